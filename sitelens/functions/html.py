@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 COMMENT_RX = r"(?s)<!--.*?-->"
+# whole <script> element: group 1 attribute section, group 2 body
+SCRIPT_ELEM_RX = r"(?is)<script((?:[\s/][^>]*)?)>(.*?)</script\s*>"
 # body of <script>/<style> blanked; the tags themselves stay (H2 needs script src)
 SCRIPT_BODY_RX = r"(?is)(<script\b[^>]*>).*?(</script\s*>)"
 STYLE_BODY_RX = r"(?is)(<style\b[^>]*>).*?(</style\s*>)"
@@ -51,11 +53,19 @@ def unescape(v: Column) -> Column:
 def attr(attrs: Column, name: str) -> Column:
     """Value of attribute ``name`` (last duplicate wins), unquoted and decoded; NULL if absent."""
     vals = F.regexp_extract_all(attrs, F.lit(_attr_rx(name)), 1)
-    raw = F.element_at(vals, -1)
+    raw = F.try_element_at(vals, F.lit(-1))
     first = F.substring(raw, 1, 1)
     unq = F.when(first.isin('"', "'"), raw.substr(F.lit(2), F.length(raw) - 2)).otherwise(raw)
     return F.when(F.size(vals) > 0, unescape(unq))
 
 
+def has_attr_rx(name: str) -> str:
+    return r"(?is)(?:^|[\s/])" + name + r"(?:\s*=|[\s/]|$)"
+
+
 def has_attr(attrs: Column, name: str) -> Column:
-    return attrs.rlike(r"(?is)(?:^|[\s/])" + name + r"(?:\s*=|[\s/]|$)")
+    return attrs.rlike(has_attr_rx(name))
+
+
+def attr_rx(name: str) -> str:
+    return _attr_rx(name)

@@ -24,7 +24,7 @@ def page_source(pages: DataFrame) -> DataFrame:
 
 
 def _masked(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", H.masked_html("html").alias("mh"))
+    return pages.withColumn("mh", H.masked_html("html")).drop("html")
 
 
 def meta_tags(pages: DataFrame) -> DataFrame:
@@ -57,12 +57,11 @@ def link_hrefs(pages: DataFrame) -> DataFrame:
 def inline_scripts(pages: DataFrame) -> DataFrame:
     """H4: bodies of <script> without src, trimmed, non-empty, cut to 2,000 chars."""
     h = F.regexp_replace("html", H.COMMENT_RX, "")
-    blocks = pages.select("page_id", F.posexplode(
-        F.regexp_extract_all(h, F.lit(r"(?is)<script((?:[\s/][^>]*)?)>(.*?)</script\s*>"), 0)).alias("pos", "blk"))
-    attrs = F.regexp_extract("blk", r"(?is)^<script([^>]*)>", 1)
-    body = F.regexp_extract("blk", r"(?is)^<script[^>]*>(.*)</script\s*>$", 1)
-    return blocks.filter(~H.has_attr(attrs, "src")) \
-        .select("page_id", "pos", F.substring(F.trim(body), 1, INLINE_SCRIPT_MAX).alias("script")) \
+    blocks = pages.select("page_id", F.posexplode(F.arrays_zip(
+        F.regexp_extract_all(h, F.lit(H.SCRIPT_ELEM_RX), 1).alias("attrs"),
+        F.regexp_extract_all(h, F.lit(H.SCRIPT_ELEM_RX), 2).alias("body"))).alias("pos", "s"))
+    return blocks.filter(~H.has_attr(F.col("s.attrs"), "src")) \
+        .select("page_id", "pos", F.substring(F.trim("s.body"), 1, INLINE_SCRIPT_MAX).alias("script")) \
         .filter(F.col("script") != "")
 
 
@@ -75,18 +74,13 @@ def html_comments(pages: DataFrame) -> DataFrame:
         .select("page_id", "pos", F.trim("comment").alias("comment")).filter(F.col("comment") != "")
 
 
-def _attr_map(attrs: F.Column) -> F.Column:
-    names = F.transform(F.regexp_extract_all(attrs, F.lit(r"""(?is)(?:^|[\s/])([^\s"'>/=]+)\s*="""), 1), F.lower)
-    return names
-
-
 def data_attributes(pages: DataFrame) -> DataFrame:
     """H6: data-* attributes of the first <html> and first <body>; body wins a clash."""
     m = _masked(pages)
     rx_pair = r"""(?is)(?:^|[\s/])(data-[^\s"'>/=]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
     out = None
     for order, tag in enumerate(["html", "body"]):
-        first = F.element_at(H.start_tags(F.col("mh"), tag), 1)
+        first = F.try_element_at(H.start_tags(F.col("mh"), tag), F.lit(1))
         d = m.select("page_id", F.lit(order).alias("tag_ord"),
                      F.posexplode(F.arrays_zip(F.regexp_extract_all(first, F.lit(rx_pair), 1).alias("k"),
                                                F.regexp_extract_all(first, F.lit(rx_pair), 2).alias("v")))
@@ -150,10 +144,11 @@ def redirect_hops(headers: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def first_cookies(cookies: DataFrame) -> DataFrame:
-    """Name -> value; a jar value wins, final-response cookies only fill gaps."""
+    """Name -> value; the jar wins (a later hop overwrites an earlier one),
+    final-response cookies only fill gaps."""
     pri = F.when(F.col("origin") == "jar", 0).otherwise(1)
     return cookies.groupBy("page_id", "name").agg(
-        F.min_by("value", F.struct(pri.alias("p"), F.col("hop"))).alias("value"))
+        F.min_by("value", F.struct(pri.alias("p"), (-F.col("hop")).alias("h"))).alias("value"))
 
 
 def raw_set_cookies(headers: DataFrame) -> DataFrame:

@@ -134,3 +134,7 @@ def o_html_rule_match() -> str:
     return f"""WITH pg AS (SELECT page_id, substr(html, 1, 200000) AS html FROM pages),
 m AS ({o_html_matches('pg')})
 SELECT {SCORED_COLS} FROM ({o_score('m')}) s"""
+
+
+# query modules register themselves on import
+from sitelens.plans import q_evidence  # noqa: E402,F401
