@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from sitelens.sources.rules import implies_edges
 
 IMPLIED_CONFIDENCE = 0.6
+CHECKPOINT_EVERY = 8
 
 
 def implies_closure(rules: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -25,22 +26,22 @@ def implies_closure(rules: DataFrame, max_depth: int | None = None) -> DataFrame
     edges = implies_edges(rules).select("src_key", "pos", "dst_key").cache()
     visited = rules.select(F.col("tech_key").alias("root_key"), F.col("tech_key").alias("node_key"),
                            F.lit(0).alias("depth"), F.array().cast(T.ArrayType(T.IntegerType())).alias("path"))
-    visited = visited.cache()
     frontier = visited
     depth = 0
-    limit = max_depth if max_depth is not None else rules.count() + 1
+    limit = max_depth if max_depth is not None else 1 << 30
     while depth < limit:
         depth += 1
         step = frontier.join(F.broadcast(edges), frontier.node_key == edges.src_key) \
-            .select("root_key", F.col("dst_key").alias("node_key"), F.lit(depth).alias("depth"),
+            .select("root_key", F.col("dst_key").alias("node_key"),
                     F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"))
         step = step.join(visited.select("root_key", "node_key"), ["root_key", "node_key"], "left_anti") \
             .groupBy("root_key", "node_key").agg(F.min("path").alias("path")) \
-            .select("root_key", "node_key", F.lit(depth).alias("depth"), "path")
-        step = step.checkpoint()  # cut lineage each round (shared checkpoint dir)
-        if step.isEmpty():
+            .select("root_key", "node_key", F.lit(depth).alias("depth"), "path").cache()
+        if step.isEmpty():  # every node reached: the walk ends after at most (#nodes) rounds
             break
-        visited = visited.unionByName(step).checkpoint()
+        visited = visited.unionByName(step)
+        if depth % CHECKPOINT_EVERY == 0:
+            visited = visited.checkpoint()  # cut lineage on long chains (shared checkpoint dir)
         frontier = step
     return visited
 

@@ -98,3 +98,74 @@ def implies_values() -> str:
         for i, d in enumerate(r.get("implies") or []):
             rows.append((r["tech_key"], names[r["tech_key"]], i, d.lower().strip(), d.strip()))
     return values(rows, ["src_key", "src_name", "pos", "dst_key", "dst_raw"])
+
+
+# --- DuckDB mirrors of the URL column expressions ------------------------------------
+URL_RX = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def d_url(u: str, group: int) -> str:
+    return f"regexp_extract({u}, {sql_str(URL_RX)}, {group})"
+
+
+def d_netloc(u: str) -> str:
+    return f"lower({d_url(u, 2)})"
+
+
+def d_host_of(netloc: str) -> str:
+    return f"split_part({netloc}, ':', 1)"
+
+
+def d_host(u: str) -> str:
+    return d_host_of(d_netloc(u))
+
+
+def d_is_abs(u: str) -> str:
+    return f"(starts_with({u}, 'http://') OR starts_with({u}, 'https://'))"
+
+
+def d_normalize_path(u: str) -> str:
+    p = f"regexp_replace({d_url(u, 3)}, '/{{2,}}', '/', 'g')"
+    p = f"(CASE WHEN length({p}) > 1 THEN regexp_replace({p}, '/+$', '') ELSE {p} END)"
+    return f"(CASE WHEN {p} = '' THEN '/' ELSE {p} END)"
+
+
+def d_strip_www(h: str) -> str:
+    return f"(CASE WHEN starts_with({h}, 'www.') THEN substr({h}, 5) ELSE {h} END)"
+
+
+def d_apex(host: str, variant: str = "full") -> str:
+    h = d_host_of(f"lower({host})")
+    parts = f"string_split({h}, '.')"
+    n = f"len({parts})"
+    last2 = f"(CASE WHEN {n} >= 2 THEN array_to_string({parts}[-2:], '.') ELSE {h} END)"
+    if variant == "last2":
+        return last2
+    three = f"({n} >= 3 AND length({parts}[-2]) <= 3 AND length({parts}[-1]) = 2)"
+    out = f"(CASE WHEN {three} THEN array_to_string({parts}[-3:], '.') ELSE {last2} END)"
+    if variant == "noip":
+        return out
+    ipv4 = f"({n} = 4 AND list_bool_and(list_transform({parts}, lambda x: regexp_matches(x, '^[0-9]+$'))))"
+    return f"(CASE WHEN {ipv4} THEN {h} ELSE {out} END)"
+
+
+def d_first_party(h1: str, h2: str) -> str:
+    a = d_strip_www(d_host_of(f"lower({h1})"))
+    b = d_strip_www(d_host_of(f"lower({h2})"))
+    return f"({a} = {b} OR {d_apex(a)} = {d_apex(b)})"
+
+
+def d_resolve(base: str, ref: str) -> str:
+    scheme = f"lower({d_url(base, 1)})"
+    origin = f"({scheme} || '://' || {d_url(base, 2)})"
+    path = d_url(base, 3)
+    bdir = f"regexp_replace({path}, '[^/]*$', '')"
+    bdir = f"(CASE WHEN {bdir} = '' THEN '/' ELSE {bdir} END)"
+    r = f"trim({ref})"
+    return f"""(CASE WHEN regexp_matches({r}, '^[A-Za-z][A-Za-z0-9+.\\-]*://') THEN {r}
+      WHEN starts_with({r}, '//') THEN {scheme} || ':' || {r}
+      WHEN starts_with({r}, '/') THEN {origin} || {r}
+      WHEN {r} = '' THEN {base}
+      WHEN starts_with({r}, '?') THEN {origin} || {path} || {r}
+      WHEN starts_with({r}, '#') THEN regexp_replace({base}, '#.*$', '') || {r}
+      ELSE {origin} || {bdir} || {r} END)"""

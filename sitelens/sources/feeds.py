@@ -175,3 +175,72 @@ def f5_requests_sql() -> str:
 FROM (SELECT page_id, url AS site_url, {PAGE_HOST_SQL} AS host FROM pages) p
 JOIN {_values(rows, 'seq, url, method, resource_type, status, content_type')}
   ON (p.page_id + t.seq) % 3 <> 0"""
+
+
+# --- F6: JS bundles and source maps ---------------------------------------------
+# Two bundles per page; {h} page host, {id} page id.  No backslashes anywhere.
+_F6_APP = ('fetch("/api/v1/users?id={id}");axios.get("/api/v2/items/{id}");const a="https://{h}/api/v3/self";'
+           'const b="https://api.stripe.com/v1/api/charges";var c={url: "/dashboard/{id}"};var d="/v1/orders/{id}";'
+           'fetch("//cdn.{h}/lib/x.js");fetch(`data:text/plain,abc`);var r={route: "/graphql/{id}"};'
+           ';//# sourceMappingURL=app.js.map?v={id}')
+_F6_INLINE_MAP = ('{"version":3,"sources":["a.js","b.js"],'
+                  '"sourcesContent":[null,"fetch(`/api/v1/from-sourcemap`)"]}')
+_F6_VENDOR = ('axios.post("/api/v1/login");const e="https://www.{h}/api/v1/www-ok";fetch("/not-an-api-route/{id}");'
+              ';//# sourceMappingURL=data:application/json;base64,#B64#')
+_F6_APP_MAP = '{"version":3,"sources":["x.js"],"sourcesContent":[null,"axios.get(`/api/v1/mapped/{id}`)",7]}'
+_F6_VENDOR_MAP = '{"version":3,"sourcesContent":["fetch(`/api/v1/from-header-map`)"]}'
+
+
+def _tmpl(s: str) -> str:
+    """SQL expression filling {h} (column host) and {id} (column page_id) into a template."""
+    import base64
+    s = s.replace("#B64#", base64.b64encode(_F6_INLINE_MAP.encode()).decode())
+    parts = []
+    for chunk in s.split("{h}"):
+        sub = chunk.split("{id}")
+        parts.append(", CAST(page_id AS STRING), ".join(_q(x) for x in sub))
+    return "concat(" + ", host, ".join(parts) + ")"
+
+
+def f6_scripts_sql() -> str:
+    return f"""SELECT page_id, url, 'https://' || host || '/static/app.js' AS js_url,
+  CAST(NULL AS STRING) AS x_sourcemap, CAST(NULL AS STRING) AS sourcemap, {_tmpl(_F6_APP)} AS body
+FROM (SELECT page_id, url, {PAGE_HOST_SQL} AS host FROM pages) p
+UNION ALL
+SELECT page_id, url, 'https://' || host || '/static/vendor.js' AS js_url,
+  CASE WHEN page_id % 2 = 0 THEN 'vendor.js.map?v=' || CAST(page_id AS STRING) END AS x_sourcemap, CAST(NULL AS STRING) AS sourcemap,
+  {_tmpl(_F6_VENDOR)} AS body
+FROM (SELECT page_id, url, {PAGE_HOST_SQL} AS host FROM pages) p"""
+
+
+def f6_maps_sql() -> str:
+    return f"""SELECT 'https://' || host || '/static/app.js.map?v=' || CAST(page_id AS STRING) AS url, {_tmpl(_F6_APP_MAP)} AS body
+FROM (SELECT page_id, {PAGE_HOST_SQL} AS host FROM pages) p
+UNION ALL
+SELECT 'https://' || host || '/static/vendor.js.map?v=' || CAST(page_id AS STRING) AS url, {_tmpl(_F6_VENDOR_MAP)} AS body
+FROM (SELECT page_id, {PAGE_HOST_SQL} AS host FROM pages) p"""
+
+
+# --- F7: probe responses ---------------------------------------------------------
+F7_SPEC1 = ('{"openapi":"3.0.0","info":{"title":"Demo API","version":"1.2.3"},"paths":{'
+            '"/api/users":{"get":{},"post":{}},"/api/items/{id}":{"PUT":{},"get":{}},"/health":{},'
+            '"/ping":"x","/api/users/":{"delete":{}}}}')
+F7_SPEC2 = '{"swagger":"2.0","info":{"title":"Second"},"paths":{"/v2/pets":{"post":{}},"/v2/pets//":{}}}'
+
+
+def f7_probes_sql() -> str:
+    from sitelens.operators.network import PROBE_PATHS
+    rows = [(i, p) for i, p in enumerate(PROBE_PATHS)]
+    k = "(p.page_id + t.path_rank) % 4"
+    return f"""SELECT p.page_id, p.url AS site_url, t.path_rank AS seq, t.path_rank, t.path,
+  'https://' || p.host || t.path AS url, 'GET' AS method, 'probe' AS resource_type,
+  CASE {k} WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 404 ELSE 301 END AS status,
+  CASE {k} WHEN 0 THEN 'application/json' WHEN 1 THEN 'text/html; charset=utf-8'
+           WHEN 2 THEN 'text/html' ELSE 'text/plain' END AS content_type,
+  CASE {k}
+    WHEN 0 THEN CASE t.path WHEN '/openapi.json' THEN {_q(F7_SPEC1)} WHEN '/v3/api-docs' THEN {_q(F7_SPEC2)}
+                ELSE '{{"ok":true}}' END
+    WHEN 1 THEN CASE WHEN t.path_rank % 3 = 0 THEN '{{"html":"json"}}' ELSE '<html>nope</html>' END
+    WHEN 2 THEN '<html>404</html>' ELSE '' END AS body
+FROM (SELECT page_id, url, {PAGE_HOST_SQL} AS host FROM pages) p
+JOIN {_values(rows, 'path_rank, path')} ON TRUE"""
