@@ -79,12 +79,12 @@ def normalize_routes(routes: DataFrame, pages: DataFrame) -> DataFrame:
     root-relative kept as is; protocol-relative, data:, bare words dropped.
     """
     r = routes.join(pages.select("page_id", "url"), "page_id").select("page_id", "url", F.trim("route").alias("ep"))
-    target = U.url_netloc("url")
-    ep_net = U.url_netloc("ep")
-    q = U.url_query("ep")
-    path = F.concat(U.url_path("ep"), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+    r = r.withColumn("target", U.url_netloc("url")).withColumn("ep_net", U.url_netloc("ep")) \
+        .withColumn("q", U.url_query("ep")).withColumn("p", U.url_path("ep"))
+    r = U.with_first_party(r, "ep_net", "target", "fp")
+    path = F.concat(F.col("p"), F.when(F.col("q") != "", F.concat(F.lit("?"), F.col("q"))).otherwise(F.lit("")))
     path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
     absolute = U.is_absolute_http("ep")
-    out = (F.when(absolute & ((target == "") | U.first_party(ep_net, target)), path)
+    out = (F.when(absolute & ((F.col("target") == "") | F.col("fp")), path)
            .when(~absolute & F.col("ep").startswith("/") & ~F.col("ep").startswith("//"), F.col("ep")))
     return r.select("page_id", out.alias("route")).filter(F.col("route").isNotNull()).distinct()

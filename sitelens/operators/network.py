@@ -31,11 +31,11 @@ def runtime_requests(requests: DataFrame) -> DataFrame:
 
     requests need ``site_url`` (the scanned page) and ``url``, ``resource_type``.
     """
-    netloc = U.url_netloc("url")
-    target = U.url_netloc("site_url")
+    r = requests.withColumn("_net", U.url_netloc("url")).withColumn("_target", U.url_netloc("site_url"))
+    r = U.with_first_party(r, "_net", "_target", "_fp")
     keep = (F.col("resource_type") == "probe") | (
-        F.col("resource_type").isin("xhr", "fetch") & ((netloc == "") | U.first_party(netloc, target)))
-    return requests.filter(keep)
+        F.col("resource_type").isin("xhr", "fetch") & ((F.col("_net") == "") | F.col("_fp")))
+    return r.filter(keep).drop("_net", "_target", "_fp")
 
 
 def useful_probes(probes: DataFrame) -> DataFrame:

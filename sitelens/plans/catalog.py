@@ -139,3 +139,4 @@ SELECT {SCORED_COLS} FROM ({o_score('m')}) s"""
 # query modules register themselves on import
 from sitelens.plans import q_evidence  # noqa: E402,F401
 from sitelens.plans import q_endpoints  # noqa: E402,F401
+from sitelens.plans import q_domains  # noqa: E402,F401

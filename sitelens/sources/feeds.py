@@ -244,3 +244,50 @@ def f7_probes_sql() -> str:
     WHEN 2 THEN '<html>404</html>' ELSE '' END AS body
 FROM (SELECT page_id, url, {PAGE_HOST_SQL} AS host FROM pages) p
 JOIN {_values(rows, 'path_rank, path')} ON TRUE"""
+
+
+# --- F8: certificate-log names and subdomain responses -------------------------------
+_SITE_DOMAINS = (f"SELECT DISTINCT CASE WHEN left(h, 4) = 'www.' THEN substr(h, 5) ELSE h END AS domain "
+                 f"FROM (SELECT {PAGE_HOST_SQL} AS h FROM pages) x")
+
+
+def f8_ct_sql() -> str:
+    """(domain, source, source_rank, entry_pos, raw); hackertarget only answers for even-length domains."""
+    nl = "chr(10)"
+    return f"""SELECT domain, 'hackertarget' AS source, 0 AS source_rank, 0 AS entry_pos, 'api.' || domain || ',10.0.0.1' AS raw
+FROM ({_SITE_DOMAINS}) d WHERE length(domain) % 2 = 0
+UNION ALL SELECT domain, 'hackertarget', 0, 1, upper('static.' || domain) || ',10.0.0.2' FROM ({_SITE_DOMAINS}) d
+  WHERE length(domain) % 2 = 0
+UNION ALL SELECT domain, 'hackertarget', 0, 2, '*.' || domain || ',10.0.0.3' FROM ({_SITE_DOMAINS}) d
+  WHERE length(domain) % 2 = 0
+UNION ALL SELECT domain, 'crt.sh', 1, 0, '*.' || domain || {nl} || 'www.' || domain FROM ({_SITE_DOMAINS}) d
+UNION ALL SELECT domain, 'crt.sh', 1, 1, ' API.' || domain || ' ' || {nl} || 'evil-' || domain || '.org' || {nl} || ' '
+  || {nl} || domain || {nl} || 'www.' || domain FROM ({_SITE_DOMAINS}) d
+UNION ALL SELECT domain, 'certspotter', 2, 0, '["mail.' || domain || '","*.' || domain || '"]' FROM ({_SITE_DOMAINS}) d"""
+
+
+F8_PREFIXES = ["", "www.", "api.", "static.", "mail."]
+F8_STATUS = [200, 301, 404, 403, 302, 201, 500, 401]
+
+
+def f8_responses_sql() -> str:
+    """(subdomain, status, response_time_ms) for every name a source could report."""
+    pre = _values([(i, p) for i, p in enumerate(F8_PREFIXES)], "prefix_id, prefix")
+    st = " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(F8_STATUS))
+    return f"""SELECT t.prefix || d.domain AS subdomain,
+  CASE (length(d.domain) + t.prefix_id) % {len(F8_STATUS)} {st} END AS status,
+  CAST(length(d.domain) * 3.14159 + t.prefix_id AS DOUBLE) AS response_time_ms
+FROM ({_SITE_DOMAINS}) d JOIN {pre} ON TRUE"""
+
+
+def f8_headers_sql() -> str:
+    """(subdomain, key_norm, value): server, content-type and a location (external on odd lengths)."""
+    pre = _values([(i, p) for i, p in enumerate(F8_PREFIXES)], "prefix_id, prefix")
+    servers = ["nginx/1.25.3", "cloudflare", "Apache/2.4.57 (Ubuntu)", "Vercel", "awselb/2.0"]
+    sv = " ".join(f"WHEN {i} THEN {_q(s)}" for i, s in enumerate(servers))
+    base = f"SELECT t.prefix || d.domain AS subdomain, length(d.domain) + t.prefix_id AS k FROM ({_SITE_DOMAINS}) d JOIN {pre} ON TRUE"
+    return f"""SELECT subdomain, 'server' AS key_norm, CASE k % {len(servers)} {sv} END AS value FROM ({base}) b
+UNION ALL SELECT subdomain, 'content-type', 'text/html' FROM ({base}) b
+UNION ALL SELECT subdomain, 'x-powered-by', 'PHP/8.1' FROM ({base}) b WHERE k % 4 = 1
+UNION ALL SELECT subdomain, 'location', CASE WHEN k % 2 = 1 THEN 'https://elsewhere.org/login' ELSE '/home' END
+  FROM ({base}) b"""
