@@ -304,10 +304,10 @@ def d_static_routes() -> str:
     return f"""{d_map_routes()},
 br AS (SELECT DISTINCT page_id, unnest({d_routes('body')}) AS route FROM {F6S}),
 ar AS (SELECT page_id, route FROM br UNION SELECT page_id, route FROM mr),
-e AS (SELECT ar.page_id, p.url, trim(ar.route) AS ep FROM ar JOIN pages p ON p.page_id = ar.page_id),
+epr AS (SELECT ar.page_id, p.url, trim(ar.route) AS ep FROM ar JOIN pages p ON p.page_id = ar.page_id),
 sr AS (SELECT DISTINCT page_id, CASE
     WHEN {O.d_is_abs('ep')} AND ({target} = '' OR {fp}) THEN {path}
-    WHEN NOT {O.d_is_abs('ep')} AND starts_with(ep, '/') AND NOT starts_with(ep, '//') THEN ep END AS route FROM e)"""
+    WHEN NOT {O.d_is_abs('ep')} AND starts_with(ep, '/') AND NOT starts_with(ep, '//') THEN ep END AS route FROM epr)"""
 
 
 @oracle("js_routes_first_party")

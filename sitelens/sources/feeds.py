@@ -291,3 +291,77 @@ UNION ALL SELECT subdomain, 'content-type', 'text/html' FROM ({base}) b
 UNION ALL SELECT subdomain, 'x-powered-by', 'PHP/8.1' FROM ({base}) b WHERE k % 4 = 1
 UNION ALL SELECT subdomain, 'location', CASE WHEN k % 2 = 1 THEN 'https://elsewhere.org/login' ELSE '/home' END
   FROM ({base}) b"""
+
+
+# --- F7 (wordlists): listings, lines, observed path responses --------------------------
+F7_LISTING = [
+    # (listing_ord, item_pos, name, type, download_url)
+    (0, 0, "quickhits.txt", "file", "https://dl/quickhits.txt"),
+    (0, 1, "swagger.txt", "file", "https://dl/old/swagger.txt"),
+    (0, 2, "big.txt", "file", "https://dl/big.txt"),
+    (0, 3, "README.md", "file", "https://dl/README.md"),
+    (0, 4, "CMS", "dir", ""),
+    (1, 0, "api-endpoints.txt", "file", "https://dl/api-endpoints.txt"),
+    (1, 1, "graphql.txt", "file", ""),
+    (2, 0, "django.txt", "file", "https://dl/django.txt"),
+    (2, 1, "wp-plugins.fuzz.txt", "file", "https://dl/wp-plugins.fuzz.txt"),
+    (2, 2, "SAP-NetWeaver.txt", "file", "https://dl/SAP-NetWeaver.txt"),
+    (2, 3, "swagger.txt", "file", "https://dl/swagger.txt"),
+    (2, 4, "php.txt", "file", "https://dl/php.txt"),
+    (2, 5, "jquery.txt", "file", "https://dl/jquery.txt"),
+]
+# Files that receive page-derived lines, by page_id % 8.
+F7_WORDLIST_FILES = ["quickhits.txt", "swagger.txt", "django.txt", "wp-plugins.fuzz.txt", "SAP-NetWeaver.txt",
+                     "big.txt", "php.txt", "jquery.txt"]
+# Fixed lines at the head of every file (comment, blank, no slash, duplicates, critical paths).
+F7_FIXED_LINES = ["# note", "", "backup.zip", "/.env", "/.env", "/.git/config", "  /admin/  ", "/api/v1",
+                  "/wp-login.php", "/robots.txt"]
+
+
+def f7_listing_sql() -> str:
+    return f"SELECT * FROM {_values(F7_LISTING, 'listing_ord, item_pos, name, type, download_url')}"
+
+
+def f7_lines_sql() -> str:
+    """(filename, line_no, line): fixed head lines per file, then the six nav links of every page."""
+    files = _values([(i, f) for i, f in enumerate(F7_WORDLIST_FILES)], "file_id, filename")
+    fixed = _values([(i, l) for i, l in enumerate(F7_FIXED_LINES)], "k, line")
+    ks = _values([(k,) for k in range(1, 7)], "k")
+    href = "split_part(split_part(p.html, '<a href=\"', t.k + 1), '\"', 1)"
+    return f"""SELECT f.filename, CAST(x.k - 100 AS BIGINT) AS line_no, x.line FROM {files.replace('AS t(', 'AS f(')}
+  JOIN {fixed.replace('AS t(', 'AS x(')} ON TRUE
+UNION ALL
+SELECT f.filename, CAST(p.page_id * 10 + t.k AS BIGINT) AS line_no, {href} AS line
+FROM pages p JOIN {ks} ON TRUE
+JOIN {files.replace('AS t(', 'AS f(')} ON p.page_id % {len(F7_WORDLIST_FILES)} = f.file_id"""
+
+
+def f7_site_sql() -> str:
+    """per page: base_url (scheme://netloc of the page) and the canary answer."""
+    return f"""SELECT page_id, url AS site_url,
+  split_part(url, '://', 1) || '://' || split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1) AS base_url,
+  CASE WHEN page_id % 4 = 0 THEN 301 ELSE 404 END AS canary_status,
+  CASE WHEN page_id % 4 = 0 THEN '/Home/' END AS canary_location
+FROM pages"""
+
+
+F7_RESP_STATUS = [200, 200, 401, 403, 301, 302, 404, 301, 500]
+
+
+def f7_responses_sql(probes: str) -> str:
+    """Observed answers for probed (page_id, path) rows of ``probes``; a function of page and path."""
+    h = f"((pr.page_id + length(pr.path)) % {len(F7_RESP_STATUS)})"
+    st = " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(F7_RESP_STATUS))
+    return f"""SELECT pr.page_id, pr.rank, pr.filename, pr.path, s.site_url, s.base_url,
+  CASE {h} {st} END AS status,
+  CASE {h} WHEN 0 THEN 'application/json' WHEN 1 THEN 'text/html; charset=utf-8' ELSE 'text/plain' END AS content_type,
+  CASE {h} WHEN 4 THEN pr.path || '/'
+           WHEN 5 THEN CASE length(pr.path) % 4 WHEN 0 THEN '/login' WHEN 1 THEN 'https://other-site.org/x'
+                       WHEN 2 THEN '/home' ELSE pr.path || '/v2' END
+           WHEN 7 THEN '/moved' || pr.path END AS location,
+  CASE {h} WHEN 0 THEN '{{"name":"x","version":1}}'
+           WHEN 1 THEN CASE WHEN length(pr.path) % 2 = 0 THEN '{{"k":1}}' ELSE '<html>page</html>' END
+           ELSE '' END AS body,
+  CASE pr.page_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 403 END AS next_status,
+  'application/json' AS next_content_type, '{{"a":1,"b":2}}' AS next_body, CAST(NULL AS STRING) AS next_location
+FROM {probes} pr JOIN ({f7_site_sql()}) s ON s.page_id = pr.page_id"""
