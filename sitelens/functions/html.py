@@ -50,13 +50,34 @@ def unescape(v: Column) -> Column:
     return F.replace(v, F.lit("&amp;"), F.lit("&"))
 
 
-def attr(attrs: Column, name: str) -> Column:
-    """Value of attribute ``name`` (last duplicate wins), unquoted and decoded; NULL if absent."""
-    vals = F.regexp_extract_all(attrs, F.lit(_attr_rx(name)), 1)
-    raw = F.try_element_at(vals, F.lit(-1))
+def attr_raw(attrs: Column, name: str) -> Column:
+    """Raw (still quoted) value of the last ``name`` attribute; NULL if absent."""
+    return F.try_element_at(F.regexp_extract_all(attrs, F.lit(_attr_rx(name)), 1), F.lit(-1))
+
+
+def clean_attr(raw: Column) -> Column:
+    """Unquote and decode a raw attribute value."""
     first = F.substring(raw, 1, 1)
     unq = F.when(first.isin('"', "'"), raw.substr(F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.when(F.size(vals) > 0, unescape(unq))
+    return unescape(unq)
+
+
+def attr(attrs: Column, name: str) -> Column:
+    """Value of attribute ``name`` (last duplicate wins), unquoted and decoded; NULL if absent."""
+    return clean_attr(attr_raw(attrs, name))
+
+
+def tag_rows(df, html_col: str, tag: str, names: dict[str, str], keep=("page_id",)):
+    """One row per <tag> start tag: (keep..., pos, a, <out> for each wanted attribute).
+
+    The attribute regexes run inside the generator's input (``transform`` over the tag
+    list), which filters above cannot be pushed through -- so each regex runs once per tag.
+    """
+    def rec(a):
+        return F.struct(a.alias("a"), *[attr_raw(a, att).alias("_raw_" + out) for out, att in names.items()])
+    g = df.select(*keep, F.posexplode(F.transform(start_tags(F.col(html_col), tag), rec)).alias("pos", "t"))
+    return g.select(*keep, "pos", F.col("t.a").alias("a"),
+                    *[clean_attr(F.col("t._raw_" + out)).alias(out) for out in names])
 
 
 def has_attr_rx(name: str) -> str:

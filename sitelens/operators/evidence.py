@@ -29,19 +29,17 @@ def _masked(pages: DataFrame) -> DataFrame:
 
 def meta_tags(pages: DataFrame) -> DataFrame:
     """H1: (page_id, key, content); key = name | property | http-equiv, lower-cased; last duplicate wins."""
-    tags = _masked(pages).select("page_id", F.posexplode(H.start_tags(F.col("mh"), "meta")).alias("pos", "a"))
-    key = F.coalesce(F.nullif(H.attr(F.col("a"), "name"), F.lit("")),
-                     F.nullif(H.attr(F.col("a"), "property"), F.lit("")),
-                     F.nullif(H.attr(F.col("a"), "http-equiv"), F.lit("")))
-    rows = tags.select("page_id", "pos", F.lower(key).alias("key"), H.attr(F.col("a"), "content").alias("content")) \
+    tags = H.tag_rows(_masked(pages), "mh", "meta", {"n": "name", "p": "property", "h": "http-equiv",
+                                                     "content": "content"})
+    key = F.coalesce(F.nullif("n", F.lit("")), F.nullif("p", F.lit("")), F.nullif("h", F.lit("")))
+    rows = tags.select("page_id", "pos", F.lower(key).alias("key"), "content") \
         .filter((F.col("key") != "") & (F.col("content") != ""))
     return rows.groupBy("page_id", "key").agg(F.max_by("content", "pos").alias("content"))
 
 
 def _tag_attr_list(pages: DataFrame, tag: str, attr_name: str) -> DataFrame:
-    tags = _masked(pages).select("page_id", F.posexplode(H.start_tags(F.col("mh"), tag)).alias("pos", "a"))
-    v = H.attr(F.col("a"), attr_name)
-    return tags.filter(v.isNotNull() & (v != "")).select("page_id", "pos", F.trim(v).alias(attr_name))
+    tags = H.tag_rows(_masked(pages), "mh", tag, {"v": attr_name})
+    return tags.filter(F.col("v").isNotNull() & (F.col("v") != "")).select("page_id", "pos", F.trim("v").alias(attr_name))
 
 
 def script_srcs(pages: DataFrame) -> DataFrame:
@@ -95,21 +93,19 @@ def data_attributes(pages: DataFrame) -> DataFrame:
 
 def manifest_url(pages: DataFrame) -> DataFrame:
     """H7: href of the first <link> whose rel tokens include 'manifest'."""
-    tags = _masked(pages).select("page_id", F.posexplode(H.start_tags(F.col("mh"), "link")).alias("pos", "a"))
-    rel = F.lower(F.coalesce(H.attr(F.col("a"), "rel"), F.lit("")))
-    href = H.attr(F.col("a"), "href")
+    tags = H.tag_rows(_masked(pages), "mh", "link", {"rel": "rel", "href": "href"})
+    rel = F.lower(F.coalesce("rel", F.lit("")))
     hit = tags.filter(F.array_contains(F.split(F.trim(rel), r"\s+"), "manifest"))
-    return hit.groupBy("page_id").agg(F.min_by(F.struct(F.trim(href).alias("h")), "pos").alias("f")) \
+    return hit.groupBy("page_id").agg(F.min_by(F.struct(F.trim("href").alias("h")), "pos").alias("f")) \
         .select("page_id", F.col("f.h").alias("manifest_url")).filter(F.col("manifest_url").isNotNull()
                                                                       & (F.col("manifest_url") != ""))
 
 
 def site_links(pages: DataFrame, limit: int = SITE_LINKS_MAX) -> DataFrame:
     """H9: <a href> resolved against the page, fragment dropped, same netloc, deduped, first ``limit``."""
-    tags = _masked(pages).select("page_id", "url", F.posexplode(H.start_tags(F.col("mh"), "a")).alias("pos", "a"))
-    href = H.attr(F.col("a"), "href")
-    resolved = F.regexp_replace(U.resolve_url(F.col("url"), href), "#.*$", "")
-    links = tags.filter(href.isNotNull()).select("page_id", "url", "pos", resolved.alias("link")) \
+    tags = H.tag_rows(_masked(pages), "mh", "a", {"href": "href"}, keep=("page_id", "url"))
+    resolved = F.regexp_replace(U.resolve_url(F.col("url"), F.col("href")), "#.*$", "")
+    links = tags.filter(F.col("href").isNotNull()).select("page_id", "url", "pos", resolved.alias("link")) \
         .filter(U.url_netloc("link") == U.url_netloc("url")) \
         .groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
     w = Window.partitionBy("page_id").orderBy("pos")

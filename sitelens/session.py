@@ -40,9 +40,30 @@ def configure(spark: SparkSession) -> SparkSession:
         if k.startswith("spark.sql."):
             spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sitelens`` importable on executors (pandas UDFs reference its modules).
+
+    The package is zipped once per driver process and distributed with addPyFile,
+    the same as ``--py-files`` on spark-submit.
+    """
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="sitelens-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "sitelens"), "zip", os.path.dirname(pkg), "sitelens")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder; only tests/local runs get our own."""
     sc = spark.sparkContext
