@@ -42,8 +42,13 @@ def _automaton(bc, token):
     return a
 
 
+_UDFS: dict[int, object] = {}
+
+
 def candidate_ids_udf(bc):
     """pandas UDF: text -> sorted distinct ids of patterns whose literal occurs in fold(text)."""
+    if id(bc) in _UDFS:
+        return _UDFS[id(bc)]
     token = uuid.uuid4().hex
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -60,16 +65,31 @@ def candidate_ids_udf(bc):
             out.append(sorted(found))
         return pd.Series(out)
 
+    _UDFS[id(bc)] = hits
     return hits
 
 
+_KEYS_CACHE: dict[tuple, object] = {}
+
+
 def pattern_keys(pats: DataFrame, keys: Column) -> list[tuple[str, int]]:
     """(literal, pid) pairs of the small pattern table, size-checked before broadcast."""
-    rows = pats.select(F.explode(keys).alias("lit"), "pid").filter(F.col("lit").isNotNull()).distinct()
-    n = rows.count()
-    if n > MAX_BROADCAST_LITERALS:
-        raise ValueError(f"{n} literals exceed the broadcast bound {MAX_BROADCAST_LITERALS}")
-    return [(r["lit"], int(r["pid"])) for r in rows.collect()]
+    rows = pats.select(F.explode(keys).alias("lit"), "pid").filter(F.col("lit").isNotNull())
+    got = rows.limit(MAX_BROADCAST_LITERALS + 1).collect()
+    if len(got) > MAX_BROADCAST_LITERALS:
+        raise ValueError(f"more than {MAX_BROADCAST_LITERALS} literals: too many for one broadcast")
+    return sorted({(r["lit"], int(r["pid"])) for r in got})
+
+
+def literal_broadcast(pats: DataFrame, keys: Column):
+    """Broadcast of the literal list, built once per distinct pattern table (plan hash)."""
+    spark = pats.sparkSession
+    key = (id(spark), pats.select(keys.alias("_k"), "pid")._jdf.queryExecution().analyzed().semanticHash())
+    bc = _KEYS_CACHE.get(key)
+    if bc is None:
+        bc = spark.sparkContext.broadcast(pattern_keys(pats, keys))
+        _KEYS_CACHE[key] = bc
+    return bc
 
 
 def regex_join(texts: DataFrame, text_col: str, pats: DataFrame, keys: Column, cond) -> DataFrame:
@@ -83,8 +103,7 @@ def regex_join(texts: DataFrame, text_col: str, pats: DataFrame, keys: Column, c
     spark = texts.sparkSession
     keyed = pats.filter(F.size(F.coalesce(keys, F.array())) > 0)
     unkeyed = pats.filter(F.size(F.coalesce(keys, F.array())) == 0)
-    lits = pattern_keys(keyed, keys)
-    bc = spark.sparkContext.broadcast(lits)
+    bc = literal_broadcast(keyed, keys)
     hits = candidate_ids_udf(bc)
     cand = texts.withColumn("_pids", hits(F.col(text_col))) \
         .select("*", F.explode("_pids").alias("pid")).drop("_pids")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import urls as U
+from sitelens.functions.staging import computed
 
 MAX_PROBES = 500
 SOFT404_MAX_BODY = 10_240
@@ -201,59 +202,65 @@ def classify_responses(resp: DataFrame) -> DataFrame:
 
     resp: (page_id, site_url, base_url, filename, path, status, content_type, location, body,
            next_status, next_content_type, next_body, baseline)
+    Every URL piece is computed once (``computed``) before the filters that use it.
     """
-    url = F.concat(F.col("base_url"), F.col("path"))
-    r = resp.withColumn("url", url).filter(_status_ok(F.col("status")))                      # W6
+    r = resp.withColumn("url", F.concat(F.col("base_url"), F.col("path"))).filter(_status_ok(F.col("status")))  # W6
     # Same-host redirect to the same path modulo '/' -> take the next hop
-    res = U.resolve_url(F.col("url"), F.coalesce("location", F.lit("")))
+    r = computed(r, res=U.resolve_url(F.col("url"), F.coalesce("location", F.lit(""))))
+    r = computed(r, res_net=U.url_netloc("res"), url_net=U.url_netloc("url"),
+                 res_lp=_loc_path(F.col("res")), url_lp=_loc_path(F.col("url")),
+                 p_noqs=U.url_path("url"))
     hop = F.col("status").isin(301, 302) & (F.coalesce("location", F.lit("")) != "") & \
-        ((U.url_netloc(res) == U.url_netloc("url")) | (U.url_netloc(res) == "")) & \
-        (_loc_path(res) == _loc_path(F.col("url")))
+        ((F.col("res_net") == F.col("url_net")) | (F.col("res_net") == "")) & (F.col("res_lp") == F.col("url_lp"))
     r = r.withColumn("_hop", hop)
     for c, n in (("status", "next_status"), ("content_type", "next_content_type"), ("body", "next_body"),
                  ("location", "next_location")):
         r = r.withColumn(c, F.when(F.col("_hop"), F.col(n)).otherwise(F.col(c)))
     r = r.filter(_status_ok(F.col("status")))                                                 # W6 again
     ct = F.lower(F.trim(F.coalesce("content_type", F.lit(""))))
-    generic = F.exists(_arr(GENERIC_WORDLISTS), lambda g: F.col("filename").endswith(g))
     body = F.coalesce("body", F.lit(""))
+    r = computed(r, ct=ct, b=body, generic=F.exists(_arr(GENERIC_WORDLISTS), lambda g: F.col("filename").endswith(g)),
+                 is_json=F.try_parse_json(body).isNotNull())
     # W8 soft-404 for 200
+    ct, body = F.col("ct"), F.col("b")
     structured = F.exists(_arr(STRUCTURED_TYPES), lambda t: ct.startswith(t))
     htmlish = ct.startswith("text/html") | ((ct == "") & F.contains(F.lower(F.substring(body, 1, 200)), F.lit("html")))
-    p_noqs = U.url_path("url")
-    last_seg = F.element_at(F.split(p_noqs, "/"), -1)
-    has_ext = F.when(F.contains(p_noqs, F.lit("/")), F.contains(last_seg, F.lit("."))).otherwise(
-        F.contains(p_noqs, F.lit(".")))
-    is_json = F.try_parse_json(body).isNotNull()
-    keep200 = F.when(generic, structured).when(htmlish, is_json | (has_ext & (F.length(body) <= SOFT404_MAX_BODY))) \
-        .otherwise(F.lit(True))
+    last_seg = F.element_at(F.split(F.col("p_noqs"), "/"), -1)
+    has_ext = F.when(F.contains(F.col("p_noqs"), F.lit("/")), F.contains(last_seg, F.lit("."))).otherwise(
+        F.contains(F.col("p_noqs"), F.lit(".")))
+    keep200 = F.when(F.col("generic"), structured) \
+        .when(htmlish, F.col("is_json") | (has_ext & (F.length(body) <= SOFT404_MAX_BODY))).otherwise(F.lit(True))
     r = r.filter((F.col("status") != 200) | keep200)
     # W10 canonical redirect, W11 nav / cross-domain redirect
     loc = F.coalesce("location", F.lit(""))
-    isredir = F.col("status").isin(301, 302) & (loc != "")
-    lp = _loc_path(U.resolve_url(F.col("url"), loc))
-    lp = F.when(lp == "", F.lit("/")).otherwise(lp)
-    probed = F.lower(F.regexp_replace("path", "/+$", ""))
+    r = computed(r, isredir=F.col("status").isin(301, 302) & (loc != ""),
+                 lp0=_loc_path(U.resolve_url(F.col("url"), loc)),
+                 raw_lp=F.lower(F.regexp_replace(U.url_path(loc), "/+$", "")),
+                 loc_host=U.host_of(U.url_netloc(loc)),
+                 base_host=U.host_of(U.url_netloc("base_url")),
+                 probed=F.lower(F.regexp_replace("path", "/+$", "")))
+    lp = F.when(F.col("lp0") == "", F.lit("/")).otherwise(F.col("lp0"))
+    probed = F.col("probed")
     pseg = F.split(F.regexp_replace(F.regexp_replace(probed, "^/+", ""), "/+$", ""), "/")
     lseg = F.split(F.regexp_replace(F.regexp_replace(lp, "^/+", ""), "/+$", ""), "/")
+    r = computed(r, lp=lp, pseg=pseg, lseg=lseg)
+    lp, pseg, lseg = F.col("lp"), F.col("pseg"), F.col("lseg")
     single_bad = (lp != probed) & ~lp.startswith(F.concat(probed, F.lit("/")))
     parent = F.slice(pseg, 1, F.size(pseg) - 1)
     multi_bad = parent != F.slice(lseg, 1, F.size(pseg) - 1)
-    rule2 = generic & (probed != "") & F.when(F.size(pseg) <= 1, single_bad).otherwise(multi_bad)
+    rule2 = F.col("generic") & (probed != "") & F.when(F.size(pseg) <= 1, single_bad).otherwise(multi_bad)
     canonical = (F.col("baseline").isNotNull() & (lp == F.col("baseline"))) | rule2
-    raw_lp = F.lower(F.regexp_replace(U.url_path(loc), "/+$", ""))
-    nav = F.exists(_arr(NAV_SUFFIXES), lambda s: raw_lp.endswith(s))
-    loc_host = U.host_of(U.url_netloc(loc))
-    cross = (loc_host != "") & (U.apex_domain(loc_host, "last2") != U.apex_domain(U.host_of(U.url_netloc("base_url")),
-                                                                                   "last2"))
-    r = r.filter(~(isredir & (canonical | nav | cross)))
+    nav = F.exists(_arr(NAV_SUFFIXES), lambda s: F.col("raw_lp").endswith(s))
+    cross = (F.col("loc_host") != "") & \
+        (U.apex_domain(F.col("loc_host"), "last2") != U.apex_domain(F.col("base_host"), "last2"))
+    r = r.filter(~(F.col("isredir") & (canonical | nav | cross)))
     keys_ok = F.contains(ct, F.lit("application/json")) | ((F.col("status") == 200) & ct.startswith("text/html"))
     return r.select(
         "page_id", "url", F.col("status").alias("status_code"), _label(F.col("status")).alias("status_label"),
         F.nullif("content_type", F.lit("")).alias("content_type"), _conf(F.col("status")).alias("confidence"),
         F.col("filename").alias("source_wordlist"),
         F.when(keys_ok, F.json_object_keys(body)).alias("top_level_keys"),
-        F.when(isredir, F.col("location")).alias("redirect_location"), "path", "rank")
+        F.when(F.col("isredir"), F.col("location")).alias("redirect_location"), "path", "rank")
 
 
 def canary_baseline(canary: DataFrame) -> DataFrame:

@@ -29,14 +29,30 @@ class CompiledRules:
         """implies closure, computed on first use (once per rule set)."""
         if self._closure is None:
             ensure_checkpoint_dir(self.rules.sparkSession)
-            self._closure = I.implies_closure(self.rules).cache()
+            self._closure = localize(I.implies_closure(self.rules))
         return self._closure
 
 
+# Compiled rule tables are a dimension: thousands of rows for a full rule database.
+MAX_LOCAL_RULE_ROWS = 1_000_000
+
+
+def localize(df: DataFrame, max_rows: int = MAX_LOCAL_RULE_ROWS) -> DataFrame:
+    """Materialise a small, size-checked dimension table as a local relation.
+
+    Joins then broadcast it without a Spark job per use.  Above the bound the table
+    stays distributed (and Spark picks the join strategy by size).
+    """
+    rows = df.limit(max_rows + 1).collect()  # size probe only: no row is ever dropped
+    if len(rows) > max_rows:
+        return df.cache()
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def compile_all(rules: DataFrame) -> CompiledRules:
+    rules = localize(rules)
     pats, bad = R.compile_rules(rules)
-    rules = rules.cache()
-    return CompiledRules(rules, pats.cache(), bad, R.dom_rules(rules).cache())
+    return CompiledRules(rules, localize(pats), bad, localize(R.dom_rules(rules)))
 
 
 def matches_raw(pages: DataFrame, cr: CompiledRules, headers: DataFrame | None = None,

@@ -26,9 +26,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+_REGISTERED: dict[tuple[int, str], str] = {}
+
+
 def register(spark: SparkSession, sf_dir: str, names=("pages",)) -> None:
+    """Register the given tables as views (once per session and directory)."""
     for n in names:
+        key = (id(spark), n)
+        if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists(n):
+            continue
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)
+        _REGISTERED[key] = sf_dir
 
 
 def _q(s: str) -> str:
