@@ -1,12 +1,361 @@
-"""DOM evidence (H8) and DOM matching (M8-M14) -- filled in below."""
+"""DOM evidence (H8) and DOM matching.
+
+* Selectors are compiled once per rule set (``compile_selectors``): comma lists of
+  compounds -- tag, #id, .class, [attr], [attr op 'v'].  Combinators and
+  pseudo-classes are quarantined (counted, never silently dropped).
+* Element text needs nesting, which regexes cannot give: ``dom_elements`` is one
+  Arrow UDF over the stdlib HTML parser, and only emits elements whose tag some
+  selector needs (a small broadcast set), so its output stays proportional to
+  the evidence actually wanted.
+* Matching is an equi-join on the tag, then native predicates on the attribute map.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+DOM_MATCH_CUT = 100     # M8
+DOM_CRITERIA_CUT = 120  # M10
+SRC_RANK_DOM = 6
+# Fixed value: tags with no end tag in HTML.
+VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
+             "track", "wbr"}
+# Attributes that can carry a resource URL for a selector tested on a request URL.
+URL_ATTRS = ["href", "src", "data-href"]
+
+ELEMENT = T.StructType([
+    T.StructField("pos", T.IntegerType()),
+    T.StructField("tag", T.StringType()),
+    T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("text", T.StringType()),
+])
+
+# ---------------------------------------------------------------------------
+# selector grammar (rule-compile time, Python on the small rule table)
+# ---------------------------------------------------------------------------
+_ATTR = r"\[\s*([A-Za-z0-9_:-]+)\s*(?:([~|^$*]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]+)))?\s*\]"
+_COMPOUND = re.compile(r"^([A-Za-z][A-Za-z0-9-]*|\*)?((?:#[A-Za-z0-9_-]+|\.[A-Za-z0-9_-]+|" + _ATTR + r")*)$")
+_PART = re.compile(r"#([A-Za-z0-9_-]+)|\.([A-Za-z0-9_-]+)|" + _ATTR)
+
+
+def parse_selector(sel: str):
+    """[(tag | None, [(attr, op, val)])] per comma alternative, or None if unsupported."""
+    out = []
+    for alt in (a.strip() for a in sel.split(",")):
+        m = _COMPOUND.match(alt)
+        if not alt or not m:
+            return None
+        tag = m.group(1)
+        tag = None if tag in (None, "*") else tag.lower()
+        conds = []
+        for p in _PART.finditer(m.group(2) or ""):
+            if p.group(1):
+                conds.append(("id", "=", p.group(1)))
+            elif p.group(2):
+                conds.append(("class", "~=", p.group(2)))
+            else:
+                val = next((g for g in (p.group(5), p.group(6), p.group(7)) if g is not None), None)
+                conds.append((p.group(3).lower(), p.group(4) or "exists", val))
+        out.append((tag, conds))
+    return out
+
+
+_SEL_SCHEMA = T.ArrayType(T.StructType([
+    T.StructField("tag", T.StringType()),
+    T.StructField("conds", T.ArrayType(T.StructType([
+        T.StructField("attr", T.StringType()), T.StructField("op", T.StringType()),
+        T.StructField("val", T.StringType())]))),
+]))
+
+
+@F.pandas_udf(_SEL_SCHEMA)
+def _parse_selectors(sels: pd.Series) -> pd.Series:
+    res = []
+    for s in sels:
+        p = parse_selector(s) if s is not None else None
+        res.append(None if p is None else [{"tag": t, "conds": [{"attr": a, "op": o, "val": v} for a, o, v in c]}
+                                           for t, c in p])
+    return pd.Series(res)
+
+
+def compile_selectors(dom_rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(alternatives(selector, alt, tag, conds), quarantine(selector, reason))."""
+    s = dom_rules.select("selector").distinct().withColumn("alts", _parse_selectors("selector"))
+    bad = s.filter(F.col("alts").isNull()).select("selector", F.lit("unsupported selector").alias("reason"))
+    good = s.filter(F.col("alts").isNotNull()).select("selector", F.posexplode("alts").alias("alt", "a")) \
+        .select("selector", "alt", F.col("a.tag").alias("tag"), F.col("a.conds").alias("conds"))
+    return good, bad
+
+
+def cond_holds(attrs: Column, c) -> Column:
+    """CSS attribute test of one compiled condition against an attribute map."""
+    v = attrs[c["attr"]]
+    tokens = F.split(F.coalesce(v, F.lit("")), r"\s+")
+    return (v.isNotNull() &
+            F.when(c["op"] == "exists", F.lit(True))
+            .when(c["op"] == "=", v == c["val"])
+            .when(c["op"] == "*=", F.contains(v, c["val"]) & (c["val"] != ""))
+            .when(c["op"] == "^=", v.startswith(c["val"]) & (c["val"] != ""))
+            .when(c["op"] == "$=", v.endswith(c["val"]) & (c["val"] != ""))
+            .when(c["op"] == "~=", F.array_contains(tokens, c["val"]))
+            .when(c["op"] == "|=", (v == c["val"]) | v.startswith(F.concat(c["val"], F.lit("-"))))
+            .otherwise(F.lit(False)))
+
+
+# ---------------------------------------------------------------------------
+# H8: elements (Arrow UDF over the stdlib parser)
+# ---------------------------------------------------------------------------
+def _elements(html: str, wanted: frozenset | None) -> list[dict]:
+    from html.parser import HTMLParser
+
+    out: list[dict] = []
+    stack: list[dict] = []
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.raw = None
+
+        def handle_starttag(self, tag, attrs):
+            d = {}
+            for k, val in attrs:
+                d[k] = "" if val is None else val
+            keep = wanted is None or tag in wanted
+            el = {"pos": len(out), "tag": tag, "attrs": d, "text": [], "keep": keep}
+            if keep:
+                out.append(el)
+            if tag in ("script", "style"):
+                self.raw = tag
+            if tag not in VOID_TAGS:
+                stack.append(el)
+
+        def handle_startendtag(self, tag, attrs):
+            self.handle_starttag(tag, attrs)
+            if tag not in VOID_TAGS and stack and stack[-1]["tag"] == tag:
+                stack.pop()
+
+        def handle_endtag(self, tag):
+            if self.raw == tag:
+                self.raw = None
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i]["tag"] == tag:
+                    del stack[i:]
+                    break
+
+        def handle_data(self, data):
+            if self.raw:
+                return
+            s = data.strip()
+            if s:
+                for el in stack:
+                    if el["keep"]:
+                        el["text"].append(s)
+
+    p = P()
+    try:
+        p.feed(html)
+        p.close()
+    except Exception:  # malformed markup: keep what was parsed
+        pass
+    return [{"pos": e["pos"], "tag": e["tag"], "attrs": e["attrs"], "text": "".join(e["text"])} for e in out]
+
+
+_ELEM_UDFS: dict[str, object] = {}
+
+
+def _elements_udf(wanted_tags: list[str] | None):
+    key = "*" if wanted_tags is None else ",".join(sorted(wanted_tags))
+    if key in _ELEM_UDFS:
+        return _ELEM_UDFS[key]
+    wanted = None if wanted_tags is None else frozenset(wanted_tags)
+
+    @F.pandas_udf(T.ArrayType(ELEMENT))
+    def elements(htmls: pd.Series) -> pd.Series:
+        return pd.Series([[] if h is None else _elements(h, wanted) for h in htmls])
+
+    _ELEM_UDFS[key] = elements
+    return elements
+
+
+def dom_elements(pages: DataFrame, wanted_tags: list[str] | None = None) -> DataFrame:
+    """H8: (page_id, pos, tag, attrs, text) -- text is the stripped text of all descendants, joined."""
+    e = pages.select("page_id", F.explode(_elements_udf(wanted_tags)(F.col("html"))).alias("e"))
+    return e.select("page_id", "e.pos", "e.tag", "e.attrs", "e.text")
+
+
+def dom_evidence(elements: DataFrame, alts: DataFrame) -> DataFrame:
+    """Elements matching each selector: (page_id, selector, pos, text, attrs) -- one row per element."""
+    tagged = alts.filter(F.col("tag").isNotNull())
+    anytag = alts.filter(F.col("tag").isNull())
+    ok = lambda: F.forall("conds", lambda c: cond_holds(F.col("attrs"), c))
+    a = elements.join(F.broadcast(tagged), "tag").filter(ok())
+    # tag-less alternatives (e.g. '.cls', '[attr]') test every emitted element: the element
+    # side is already restricted to the tags some selector needs or, with such selectors, all
+    b = elements.withColumn("_k", F.lit(1)).join(
+        F.broadcast(anytag.drop("tag").withColumn("_k", F.lit(1))), "_k").filter(ok()).drop("_k")
+    u = a.select("page_id", "selector", "pos", "text", "attrs").unionByName(
+        b.select("page_id", "selector", "pos", "text", "attrs"))
+    # an element matching two alternatives of one selector counts once
+    return u.dropDuplicates(["page_id", "selector", "pos"])
+
+
+# ---------------------------------------------------------------------------
+# Synthetic findings
+# ---------------------------------------------------------------------------
+_URL_SEL = r"^([a-zA-Z0-9_-]*)\[([a-zA-Z0-9_-]+)([~|^$*]?=)['\"]?([^'\"\]]+)['\"]?\]$"
+
+
+def url_selector_alternatives(dom_rules: DataFrame) -> DataFrame:
+    """M11 compile: (selector, attr, op, val) for alternatives of the form tag[attr op 'v'] on URL attrs."""
+    s = dom_rules.select("selector").distinct()
+    alts = s.select("selector", F.posexplode(F.split("selector", ",")).alias("alt", "sub")) \
+        .withColumn("sub", F.trim("sub"))
+    m = alts.filter(F.col("sub").rlike(_URL_SEL)).select(
+        "selector", "alt", F.regexp_extract("sub", _URL_SEL, 2).alias("attr"),
+        F.regexp_extract("sub", _URL_SEL, 3).alias("op"), F.regexp_extract("sub", _URL_SEL, 4).alias("val"))
+    return m.filter(F.col("attr").isin(URL_ATTRS))
+
+
+def url_matches(url: Column) -> Column:
+    """M11 semantics of one compiled alternative (columns attr/op/val) on a request URL."""
+    v = F.col("val")
+    rel = ~(v.startswith("http:") | v.startswith("https:") | v.startswith("//"))
+    return (F.when(F.col("op") == "=", (url == v) | (rel & url.endswith(v)))
+            .when(F.col("op") == "*=", F.contains(url, v))
+            .when(F.col("op") == "^=", url.startswith(v))
+            .when(F.col("op") == "$=", url.endswith(v))
+            .when(F.col("op") == "~=", F.array_contains(F.split(url, r"\s+"), v))
+            .otherwise(F.contains(url, v)))
+
+
+def dom_from_requests(requests: DataFrame, dom_rules: DataFrame, existing: DataFrame) -> DataFrame:
+    """For selectors without any finding on a page, each request URL that satisfies an
+    alternative becomes a finding {text: '', attributes: {attr: url}} (selector alternative order,
+    then request order)."""
+    alts = url_selector_alternatives(dom_rules)
+    cand = requests.select("page_id", "seq", "url").join(F.broadcast(alts), how="inner",
+                                                         on=url_matches(F.col("url")))
+    cand = cand.join(existing.select("page_id", "selector").distinct(), ["page_id", "selector"], "left_anti")
+    return cand.select("page_id", "selector", (F.col("alt") * 1000000 + F.col("seq")).alias("pos"),
+                       F.lit("").alias("text"), F.create_map(F.col("attr"), F.col("url")).alias("attrs"))
+
+
+MANIFEST_SELECTOR = "link[rel='manifest']"
+
+
+def dom_from_manifest(manifest: DataFrame, existing: DataFrame) -> DataFrame:
+    """link[rel='manifest'] finding from a known manifest URL when the page has none."""
+    m = manifest.select("page_id", F.lit(MANIFEST_SELECTOR).alias("selector"), F.lit(0).alias("pos"),
+                        F.lit("").alias("text"),
+                        F.create_map(F.lit("rel"), F.lit("manifest"), F.lit("href"), F.col("manifest_url")).alias("attrs"))
+    return m.join(existing.select("page_id", "selector").distinct(), ["page_id", "selector"], "left_anti")
+
+
+def merge_dom_findings(static: DataFrame, browser: DataFrame | None) -> DataFrame:
+    """Browser findings are appended unless the same text is already present for the selector."""
+    if browser is None:
+        return static
+    add = browser.join(static.select("page_id", "selector", "text").distinct(), ["page_id", "selector", "text"],
+                       "left_anti").withColumn("pos", F.col("pos") + 1_000_000_000)
+    return static.unionByName(add)
+
+
+# ---------------------------------------------------------------------------
+# DOM rules against findings
+# ---------------------------------------------------------------------------
+def _criteria_ok(text: Column) -> Column:
+    t_ok = F.col("text_rx").isNull() | F.regexp_like(F.coalesce(text, F.lit("")),
+                                                    F.concat(F.lit("(?iu)"), F.col("text_rx")))
+    a_ok = F.coalesce(F.forall(F.map_entries(F.coalesce("attr_rx", F.create_map().cast("map<string,string>"))),
+                               lambda e: F.col("attrs")[e["key"]].isNotNull() &
+                               F.regexp_like(F.col("attrs")[e["key"]], F.concat(F.lit("(?iu)"), e["value"]))),
+                      F.lit(True))
+    p_ok = F.coalesce(F.forall(F.map_entries(F.coalesce("prop_rx", F.create_map().cast("map<string,string>"))),
+                               lambda e: F.col("attrs")[e["key"]].isNotNull() &
+                               F.regexp_like(F.col("attrs")[e["key"]], F.concat(F.lit("(?iu)"), e["value"]))),
+                      F.lit(True))
+    return t_ok & a_ok & p_ok
+
+
+def _criteria_version() -> Column:
+    """First non-empty capture: text, then attributes, then properties (map order)."""
+    def cap(value: Column, pattern: Column) -> Column:
+        return F.nullif(F.call_function("regexp_extract", F.coalesce(value, F.lit("")),
+                                        F.concat(F.lit("(?iu)"), pattern), F.lit(1)), F.lit(""))
+
+    def grp(p: Column) -> Column:
+        return F.when(F.coalesce(p, F.lit("")) != "", F.lit(1)).otherwise(F.lit(0))
+
+    t = F.when(F.col("text_rx").isNotNull() & (F.col("text_groups") > 0), cap(F.col("text"), F.col("text_rx")))
+    empty = F.create_map().cast("map<string,string>")
+    attrs = F.transform(F.map_entries(F.coalesce("attr_rx", empty)), lambda e: cap(F.col("attrs")[e["key"]], e["value"]))
+    props = F.transform(F.map_entries(F.coalesce("prop_rx", empty)), lambda e: cap(F.col("attrs")[e["key"]], e["value"]))
+    return F.try_element_at(F.filter(F.concat(F.array(t), attrs, props), lambda x: x.isNotNull()), F.lit(1))
+
+
+def match_dom(findings: DataFrame, dom_rules: DataFrame) -> DataFrame:
+    """M8 (list), M9 (exists), M10 (criteria) -> matches_raw rows (src 'dom')."""
+    j = findings.withColumnRenamed("pos", "fpos").join(F.broadcast(dom_rules), "selector")
+    base = ["page_id", "tech_key", F.lit("dom").alias("src"), F.lit(SRC_RANK_DOM).alias("src_rank"), "pos"]
+    # M8: any finding; text of the first one
+    lst = j.filter(F.col("kind") == "list").groupBy("page_id", "tech_key", "pos", "selector") \
+        .agg(F.min_by("text", "fpos").alias("t"))
+    lst = lst.select(*base, F.lit("selector").alias("key"),
+                     F.substring(F.concat(F.lit("Found element: "), F.col("selector"),
+                                          F.when(F.coalesce("t", F.lit("")) != "",
+                                                 F.concat(F.lit(" (text: "), F.col("t"), F.lit(")")))
+                                          .otherwise(F.lit(""))), 1, DOM_MATCH_CUT).alias("matched"),
+                     F.col("selector").alias("pattern"), F.lit(None).cast("string").alias("version"))
+    # M9: exists
+    ex = j.filter(F.col("kind") == "exists").select("page_id", "tech_key", "pos", "selector").distinct()
+    ex = ex.select(*base, F.col("selector").alias("key"),
+                   F.concat(F.lit("Element exists: "), F.col("selector")).alias("matched"),
+                   F.lit("").alias("pattern"), F.lit(None).cast("string").alias("version"))
+    # First element meeting every criterion
+    cr = j.filter(F.col("kind") == "criteria").filter(_criteria_ok(F.col("text")))
+    cr = cr.withColumn("version", _criteria_version())
+    details = F.concat_ws(", ",
+                          F.when(F.col("text_rx").isNotNull(), F.concat(F.lit("text: "), F.col("text"))),
+                          F.when(F.col("attr_rx").isNotNull(), F.concat(
+                              F.lit("attributes: "),
+                              F.to_json(F.map_from_arrays(F.map_keys("attr_rx"),
+                                                          F.transform(F.map_keys("attr_rx"),
+                                                                      lambda k: F.col("attrs")[k]))))))
+    cr = cr.withColumn("m", F.substring(F.when(details != "", F.concat(F.lit("Found: "), F.col("selector"),
+                                                                       F.lit(" ("), details, F.lit(")")))
+                                        .otherwise(F.concat(F.lit("Found: "), F.col("selector"))), 1, DOM_CRITERIA_CUT))
+    cr = cr.groupBy("page_id", "tech_key", "pos", "selector", "sub_json") \
+        .agg(F.min_by(F.struct("m", "version"), "fpos").alias("b"))
+    cr = cr.select(*base, F.col("selector").alias("key"), F.col("b.m").alias("matched"),
+                   F.col("sub_json").alias("pattern"), F.col("b.version").alias("version"))
+    return lst.unionByName(ex).unionByName(cr)
+
+
+def prepare_dom_rules(dom_rules: DataFrame) -> DataFrame:
+    """dom rules plus the group count of the text regex and the sub-rule as JSON (evidence pattern)."""
+    from sitelens.sources.rules import analyze_pattern
+    d = dom_rules.withColumn("text_groups", F.when(F.col("text_rx").isNotNull(),
+                                                   analyze_pattern(F.col("text_rx"))["n_groups"]))
+    sub = F.to_json(F.struct(F.col("text_rx").alias("text"), F.col("attr_rx").alias("attributes"),
+                             F.col("prop_rx").alias("properties")))
+    return d.withColumn("sub_json", sub)
 
 
-def match_dom(pages: DataFrame, dom_rules: DataFrame, requests: DataFrame | None = None) -> DataFrame:
-    spark = pages.sparkSession
-    return spark.createDataFrame([], "page_id long, tech_key string, src string, src_rank int, pos int, "
-                                     "key string, matched string, pattern string, version string")
+def page_dom_findings(pages: DataFrame, dom_rules: DataFrame, requests: DataFrame | None = None,
+                      manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Static findings (H8) + synthetic manifest (M13) + request-URL findings (M12); plus quarantine."""
+    alts, bad = compile_selectors(dom_rules)
+    tags = [r["tag"] for r in alts.select("tag").distinct().collect()]
+    wanted = None if any(t is None for t in tags) else sorted(tags)
+    els = dom_elements(pages, wanted)
+    found = dom_evidence(els, alts)
+    if manifest is not None:
+        found = found.unionByName(dom_from_manifest(manifest, found))
+    if requests is not None:
+        found = found.unionByName(dom_from_requests(requests, dom_rules, found))
+    return found, bad

@@ -141,3 +141,4 @@ from sitelens.plans import q_evidence  # noqa: E402,F401
 from sitelens.plans import q_endpoints  # noqa: E402,F401
 from sitelens.plans import q_domains  # noqa: E402,F401
 from sitelens.plans import q_wordlists  # noqa: E402,F401
+from sitelens.plans import q_dom  # noqa: E402,F401

@@ -84,7 +84,8 @@ def matches_raw(pages: DataFrame, cr: CompiledRules, headers: DataFrame | None =
     if "js_global" in sources and js_globals is not None:
         parts.append(M.match_js_globals(js_globals, cr.patterns))
     if "dom" in sources:
-        parts.append(D.match_dom(pages, cr.dom, requests=requests))
+        found, _ = D.page_dom_findings(pages, cr.dom, requests=requests, manifest=E.manifest_url(pages))
+        parts.append(D.match_dom(found, D.prepare_dom_rules(cr.dom)))
     out = parts[0].select(*M.MATCH_COLS)
     for p in parts[1:]:
         out = out.unionByName(p.select(*M.MATCH_COLS))
