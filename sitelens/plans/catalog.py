@@ -143,3 +143,4 @@ from sitelens.plans import q_domains  # noqa: E402,F401
 from sitelens.plans import q_wordlists  # noqa: E402,F401
 from sitelens.plans import q_dom  # noqa: E402,F401
 from sitelens.plans import q_streaming  # noqa: E402,F401
+from sitelens.plans import q_report  # noqa: E402,F401
