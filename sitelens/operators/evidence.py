@@ -27,29 +27,61 @@ def _masked(pages: DataFrame) -> DataFrame:
     return pages.withColumn("mh", H.masked_html("html")).drop("html")
 
 
-def meta_tags(pages: DataFrame) -> DataFrame:
+# attributes read from each start-tag kind (output column -> attribute name)
+TAG_ATTRS = {
+    "meta": {"n": "name", "p": "property", "h": "http-equiv", "content": "content"},
+    "script": {"src": "src"},
+    "link": {"href": "href", "rel": "rel"},
+    "a": {"href": "href"},
+}
+_ALL_ATTR_COLS = sorted({c for spec in TAG_ATTRS.values() for c in spec})
+
+
+def page_tags(pages: DataFrame, kinds=("meta", "script", "link")) -> DataFrame:
+    """One pass over the html: (page_id, kind, pos, <attribute columns>) for every start tag of ``kinds``.
+
+    The html is masked once and every tag kind is read from that one value; the
+    (small) tag table is then hash-partitioned by page, so every consumer of it
+    reads the same shuffle output instead of re-scanning the html.
+    """
+    m = _masked(pages)
+
+    def recs(kind):
+        spec = TAG_ATTRS[kind]
+        return F.transform(H.start_tags(F.col("mh"), kind), lambda a, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("pos"),
+            *[(H.attr_raw(a, spec[c]) if c in spec else F.lit(None).cast("string")).alias("_raw_" + c)
+              for c in _ALL_ATTR_COLS]))
+
+    g = m.select("page_id", F.explode(F.concat(*[recs(k) for k in kinds])).alias("t"))
+    out = g.select("page_id", F.col("t.kind").alias("kind"), F.col("t.pos").alias("pos"),
+                   *[H.clean_attr(F.col("t._raw_" + c)).alias(c) for c in _ALL_ATTR_COLS])
+    return out.repartition("page_id")
+
+
+def meta_tags(pages: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """H1: (page_id, key, content); key = name | property | http-equiv, lower-cased; last duplicate wins."""
-    tags = H.tag_rows(_masked(pages), "mh", "meta", {"n": "name", "p": "property", "h": "http-equiv",
-                                                     "content": "content"})
+    t = (tags if tags is not None else page_tags(pages, ("meta",))).filter(F.col("kind") == "meta")
     key = F.coalesce(F.nullif("n", F.lit("")), F.nullif("p", F.lit("")), F.nullif("h", F.lit("")))
-    rows = tags.select("page_id", "pos", F.lower(key).alias("key"), "content") \
+    rows = t.select("page_id", "pos", F.lower(key).alias("key"), "content") \
         .filter((F.col("key") != "") & (F.col("content") != ""))
     return rows.groupBy("page_id", "key").agg(F.max_by("content", "pos").alias("content"))
 
 
-def _tag_attr_list(pages: DataFrame, tag: str, attr_name: str) -> DataFrame:
-    tags = H.tag_rows(_masked(pages), "mh", tag, {"v": attr_name})
-    return tags.filter(F.col("v").isNotNull() & (F.col("v") != "")).select("page_id", "pos", F.trim("v").alias(attr_name))
+def _tag_attr_list(pages: DataFrame, tag: str, attr_name: str, tags: DataFrame | None = None) -> DataFrame:
+    t = (tags if tags is not None else page_tags(pages, (tag,))).filter(F.col("kind") == tag)
+    v = F.col(attr_name)
+    return t.filter(v.isNotNull() & (v != "")).select("page_id", "pos", F.trim(v).alias(attr_name))
 
 
-def script_srcs(pages: DataFrame) -> DataFrame:
+def script_srcs(pages: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """H2: every <script src>, stripped, document order, duplicates kept."""
-    return _tag_attr_list(pages, "script", "src")
+    return _tag_attr_list(pages, "script", "src", tags)
 
 
-def link_hrefs(pages: DataFrame) -> DataFrame:
+def link_hrefs(pages: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """H3: every <link href>, stripped, document order."""
-    return _tag_attr_list(pages, "link", "href")
+    return _tag_attr_list(pages, "link", "href", tags)
 
 
 def inline_scripts(pages: DataFrame) -> DataFrame:
@@ -91,11 +123,11 @@ def data_attributes(pages: DataFrame) -> DataFrame:
     return out.groupBy("page_id", "name").agg(F.max_by("value", F.struct("tag_ord", "pos")).alias("value"))
 
 
-def manifest_url(pages: DataFrame) -> DataFrame:
+def manifest_url(pages: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """H7: href of the first <link> whose rel tokens include 'manifest'."""
-    tags = H.tag_rows(_masked(pages), "mh", "link", {"rel": "rel", "href": "href"})
+    t = (tags if tags is not None else page_tags(pages, ("link",))).filter(F.col("kind") == "link")
     rel = F.lower(F.coalesce("rel", F.lit("")))
-    hit = tags.filter(F.array_contains(F.split(F.trim(rel), r"\s+"), "manifest"))
+    hit = t.filter(F.array_contains(F.split(F.trim(rel), r"\s+"), "manifest"))
     return hit.groupBy("page_id").agg(F.min_by(F.struct(F.trim("href").alias("h")), "pos").alias("f")) \
         .select("page_id", F.col("f.h").alias("manifest_url")).filter(F.col("manifest_url").isNotNull()
                                                                       & (F.col("manifest_url") != ""))

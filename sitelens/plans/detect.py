@@ -49,10 +49,14 @@ def localize(df: DataFrame, max_rows: int = MAX_LOCAL_RULE_ROWS) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
-def compile_all(rules: DataFrame) -> CompiledRules:
+def compile_all(rules: DataFrame, with_closure: bool = True) -> CompiledRules:
+    """Compile a rule set once: patterns (+ analysis), quarantine, dom rules and the implies closure."""
     rules = localize(rules)
     pats, bad = R.compile_rules(rules)
-    return CompiledRules(rules, localize(pats), bad, localize(R.dom_rules(rules)))
+    cr = CompiledRules(rules, localize(pats), bad, localize(R.dom_rules(rules)))
+    if with_closure:
+        cr.closure  # noqa: B018 -- materialise now: it belongs to the rule set, not to a page batch
+    return cr
 
 
 def matches_raw(pages: DataFrame, cr: CompiledRules, headers: DataFrame | None = None,
@@ -69,13 +73,15 @@ def matches_raw(pages: DataFrame, cr: CompiledRules, headers: DataFrame | None =
         parts.append(M.match_keyed(cookies.select("page_id", F.lower("name").alias("key_norm"), "value")
                                    .groupBy("page_id", "key_norm").agg(F.last("value").alias("value")),
                                    cr.patterns, "cookie"))
+    # one html pass for every start-tag source, shared by the branches below
+    tags = E.page_tags(pages, ("meta", "script", "link"))
     if "meta" in sources:
-        parts.append(M.match_keyed(E.meta_tags(pages).select("page_id", F.col("key").alias("key_norm"),
-                                                             F.col("content").alias("value")),
+        parts.append(M.match_keyed(E.meta_tags(pages, tags).select("page_id", F.col("key").alias("key_norm"),
+                                                                   F.col("content").alias("value")),
                                    cr.patterns, "meta"))
     srcs = links = None
     if "script" in sources or "dom" in sources:
-        srcs, links = E.script_srcs(pages), E.link_hrefs(pages)
+        srcs, links = E.script_srcs(pages, tags), E.link_hrefs(pages, tags)
     if "script" in sources:
         vals = M.script_values(srcs, links, requests)
         parts.append(M.match_scripts(vals, cr.patterns))
@@ -84,7 +90,7 @@ def matches_raw(pages: DataFrame, cr: CompiledRules, headers: DataFrame | None =
     if "js_global" in sources and js_globals is not None:
         parts.append(M.match_js_globals(js_globals, cr.patterns))
     if "dom" in sources:
-        found, _ = D.page_dom_findings(pages, cr.dom, requests=requests, manifest=E.manifest_url(pages))
+        found, _ = D.page_dom_findings(pages, cr.dom, requests=requests, manifest=E.manifest_url(pages, tags))
         parts.append(D.match_dom(found, D.prepare_dom_rules(cr.dom)))
     out = parts[0].select(*M.MATCH_COLS)
     for p in parts[1:]:
