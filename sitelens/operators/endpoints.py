@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions import urls as U
+from sitelens.functions.staging import computed
 
 # Third-party domains never reported.
 THIRD_PARTY_DOMAINS = [
@@ -73,8 +74,9 @@ def _json_boost(ct: F.Column) -> F.Column:
 
 def runtime_endpoints(requests: DataFrame) -> DataFrame:
     """(page_id, seq, url, method, content_type); third-party dropped; API-labelled; 0.7 (+0.1 json/graphql)."""
-    r = requests.filter(~is_third_party("url")).withColumn("label", api_label("url")).filter(F.col("label").isNotNull())
-    return r.select("page_id", normalize_path("url").alias("url"), F.coalesce("method", F.lit("GET")).alias("method"),
+    r = computed(requests, _tp=is_third_party("url"), label=api_label("url"), _path=normalize_path("url"))
+    r = r.filter(~F.col("_tp") & F.col("label").isNotNull())
+    return r.select("page_id", F.col("_path").alias("url"), F.coalesce("method", F.lit("GET")).alias("method"),
                     "content_type", F.col("label").alias("pattern_matched"),
                     F.round(F.least(F.lit(0.7) + _json_boost(F.col("content_type")), F.lit(1.0)), 2).alias("confidence"),
                     F.lit(STAGES["runtime"]).alias("stage"), F.col("seq").cast("long").alias("seq"))
@@ -82,7 +84,7 @@ def runtime_endpoints(requests: DataFrame) -> DataFrame:
 
 def probe_endpoints(probes: DataFrame) -> DataFrame:
     """E5: status 200 only; label by path suffix else 'Probed API Endpoint'; 0.8 (+0.1 json/graphql)."""
-    p = probes.filter(F.col("status") == 200).withColumn("path", normalize_path("url"))
+    p = computed(probes.filter(F.col("status") == 200), path=normalize_path("url"))
     label = None
     for suf, lab in PROBE_LABELS:
         cond = F.col("path").endswith(suf)
@@ -96,8 +98,8 @@ def probe_endpoints(probes: DataFrame) -> DataFrame:
 
 def static_endpoints(routes: DataFrame) -> DataFrame:
     """Static routes with an API label; GET, 0.65; no third-party filter."""
-    r = routes.withColumn("label", api_label("route")).filter(F.col("label").isNotNull())
-    return r.select("page_id", normalize_path("route").alias("url"), F.lit("GET").alias("method"),
+    r = computed(routes, label=api_label("route"), _path=normalize_path("route")).filter(F.col("label").isNotNull())
+    return r.select("page_id", F.col("_path").alias("url"), F.lit("GET").alias("method"),
                     F.lit(None).cast("string").alias("content_type"), F.col("label").alias("pattern_matched"),
                     F.lit(0.65).alias("confidence"), F.lit(STAGES["static"]).alias("stage"),
                     F.col("seq").cast("long").alias("seq"))

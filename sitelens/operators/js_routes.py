@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.functions import urls as U
+from sitelens.functions.staging import computed
 
 MAX_SCRIPTS = 15  # J1
 # CDN host fragments whose scripts are never analysed.
@@ -79,9 +80,8 @@ def normalize_routes(routes: DataFrame, pages: DataFrame) -> DataFrame:
     root-relative kept as is; protocol-relative, data:, bare words dropped.
     """
     r = routes.join(pages.select("page_id", "url"), "page_id").select("page_id", "url", F.trim("route").alias("ep"))
-    r = r.withColumn("target", U.url_netloc("url")).withColumn("ep_net", U.url_netloc("ep")) \
-        .withColumn("q", U.url_query("ep")).withColumn("p", U.url_path("ep"))
-    r = U.with_first_party(r, "ep_net", "target", "fp")
+    r = computed(r, target=U.url_netloc("url"), ep_net=U.url_netloc("ep"), q=U.url_query("ep"), p=U.url_path("ep"))
+    r = computed(r, fp=U.first_party(F.col("ep_net"), F.col("target")))
     path = F.concat(F.col("p"), F.when(F.col("q") != "", F.concat(F.lit("?"), F.col("q"))).otherwise(F.lit("")))
     path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
     absolute = U.is_absolute_http("ep")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.functions import urls as U
+from sitelens.functions.staging import computed
 
 # The 17 well-known probe paths in probe order (N4 picks the first spec by this order).
 PROBE_PATHS = [
@@ -31,8 +32,8 @@ def runtime_requests(requests: DataFrame) -> DataFrame:
 
     requests need ``site_url`` (the scanned page) and ``url``, ``resource_type``.
     """
-    r = requests.withColumn("_net", U.url_netloc("url")).withColumn("_target", U.url_netloc("site_url"))
-    r = U.with_first_party(r, "_net", "_target", "_fp")
+    r = computed(requests, _net=U.url_netloc("url"), _target=U.url_netloc("site_url"))
+    r = computed(r, _fp=U.first_party(F.col("_net"), F.col("_target")))
     keep = (F.col("resource_type") == "probe") | (
         F.col("resource_type").isin("xhr", "fetch") & ((F.col("_net") == "") | F.col("_fp")))
     return r.filter(keep).drop("_net", "_target", "_fp")
