@@ -155,20 +155,28 @@ def select_wordlists(detected: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def rank_paths(selected: DataFrame, manifest: DataFrame, parsed: DataFrame, cap: int = MAX_PROBES) -> DataFrame:
     """(page_id, rank, filename, path) -- critical always-probe entries, then framework files by
-    path_count ascending, then the other always-probe entries; first occurrence of a path kept; top ``cap``."""
+    path_count ascending, then the other always-probe entries; first occurrence of a path kept; top ``cap``.
+
+    The ranked list depends only on the *set* of selected files, so it is computed once per
+    distinct file set (sites sharing a technology stack share it) and joined back to the sites.
+    """
+    sets = selected.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("filename")), "\n").alias("fileset"))
+    fs = sets.select("fileset").distinct()
+    fs_files = fs.select("fileset", F.explode(F.split("fileset", "\n")).alias("filename"))
     head = parsed.filter(F.col("pos") < cap)  # exact: see module note
     m = manifest.select("filename", "file_ord", "always_probe", "path_count")
-    c = selected.join(F.broadcast(m), "filename").join(head, "filename")
+    c = fs_files.join(F.broadcast(m), "filename").join(head, "filename")
     crit = F.col("filename").isin(CRITICAL_FILES) | \
         F.lower(F.regexp_replace("path", "/+$", "")).isin(CRITICAL_PATHS)
     tier = F.when(F.col("always_probe") & crit, 0).when(~F.col("always_probe"), 1).otherwise(2)
     c = c.withColumn("key", F.struct(tier.alias("tier"),
                                      F.when(tier == 1, F.col("path_count")).otherwise(F.lit(0)).alias("pc"),
                                      F.col("file_ord"), F.col("pos")))
-    first = c.groupBy("page_id", "path").agg(F.min(F.struct("key", "filename")).alias("k"))
-    w = Window.partitionBy("page_id").orderBy("k.key")
-    return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap) \
-        .select("page_id", "rank", F.col("k.filename").alias("filename"), "path")
+    first = c.groupBy("fileset", "path").agg(F.min(F.struct("key", "filename")).alias("k"))
+    w = Window.partitionBy("fileset").orderBy("k.key")
+    ranked = first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap) \
+        .select("fileset", "rank", F.col("k.filename").alias("filename"), "path")
+    return sets.join(ranked, "fileset").select("page_id", "rank", "filename", "path")
 
 
 # ---------------------------------------------------------------------------
