@@ -65,13 +65,19 @@ def _c(x) -> Column:
 # ---------------------------------------------------------------------------
 def parse_wordlists(lines: DataFrame) -> DataFrame:
     """(filename, line_no, line) -> (filename, pos, path): stripped, no blanks or '#',
-    leading '/' forced, first occurrence kept, pos renumbered in file order."""
+    leading '/' forced, first occurrence kept.  ``pos`` is the line number of that first
+    occurrence: it orders the file without a per-file window (one file may be huge)."""
     p = F.trim("line")
     p = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
     kept = lines.filter((F.trim("line") != "") & ~F.trim("line").startswith("#")).select("filename", "line_no", p.alias("path"))
-    first = kept.groupBy("filename", "path").agg(F.min("line_no").alias("line_no"))
-    w = Window.partitionBy("filename").orderBy("line_no")
-    return first.withColumn("pos", F.row_number().over(w) - 1).select("filename", "pos", "path")
+    return kept.groupBy("filename", "path").agg(F.min("line_no").alias("pos")).select("filename", "pos", "path")
+
+
+def file_heads(parsed: DataFrame, cap: int) -> DataFrame:
+    """The first ``cap`` paths of every file (row_number <= cap: a group-limited top-k, trimmed
+    map-side before the shuffle, so a huge file never lands whole in one task)."""
+    w = Window.partitionBy("filename").orderBy("pos")
+    return parsed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap).drop("_rn")
 
 
 def listing_files(listing: DataFrame) -> DataFrame:
@@ -163,7 +169,7 @@ def rank_paths(selected: DataFrame, manifest: DataFrame, parsed: DataFrame, cap:
     sets = selected.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("filename")), "\n").alias("fileset"))
     fs = sets.select("fileset").distinct()
     fs_files = fs.select("fileset", F.explode(F.split("fileset", "\n")).alias("filename"))
-    head = parsed.filter(F.col("pos") < cap)  # exact: see module note
+    head = file_heads(parsed, cap)  # exact: see module note
     m = manifest.select("filename", "file_ord", "always_probe", "path_count")
     c = fs_files.join(F.broadcast(m), "filename").join(head, "filename")
     crit = F.col("filename").isin(CRITICAL_FILES) | \

@@ -83,8 +83,7 @@ def d_parsed() -> str:
     p = "CASE WHEN starts_with(trim(line), '/') THEN trim(line) ELSE '/' || trim(line) END"
     return f"""lines AS ({FD.f7_lines_sql()}),
 kept AS (SELECT filename, line_no, {p} AS path FROM lines WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')),
-parsed AS (SELECT filename, row_number() OVER (PARTITION BY filename ORDER BY line_no) - 1 AS pos, path
-           FROM (SELECT filename, path, min(line_no) AS line_no FROM kept GROUP BY filename, path))"""
+parsed AS (SELECT filename, min(line_no) AS pos, path FROM kept GROUP BY filename, path)"""
 
 
 def d_manifest() -> str:
