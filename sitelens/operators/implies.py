@@ -46,12 +46,19 @@ def implies_closure(rules: DataFrame, max_depth: int | None = None) -> DataFrame
     return visited
 
 
-def resolve_implies(tech: DataFrame, rules: DataFrame, closure: DataFrame) -> DataFrame:
+def resolve_implies(tech: DataFrame, rules: DataFrame, closure: DataFrame, materialize: bool = True) -> DataFrame:
     """Merge implied technologies into per-page tech matches.
 
     tech: (page_id, tech_key, ord, name, category, version, confidence, n_sources, evidence)
     Adds ``implied`` (bool) and ``order_key`` (for the stable A6 ordering).
+
+    ``tech`` feeds two branches (the direct keys and the merge); column pruning makes
+    their plans differ, so without materialising it the whole matching would run twice.
+    It is checkpointed to the shared checkpoint folder (reliable, lineage cut): the
+    scored table is small next to the pages it came from.
     """
+    if materialize:
+        tech = tech.checkpoint(eager=True)
     edges = implies_edges(rules)
     direct_keys = tech.select("page_id", F.col("tech_key").alias("root_key"), F.col("ord").alias("root_ord"))
     reach = direct_keys.join(F.broadcast(closure), "root_key") \
