@@ -15,6 +15,7 @@ from sitelens.functions import urls as U
 from sitelens.functions.staging import computed
 
 MAX_PROBES = 500
+MAX_BROADCAST_RANKED_ROWS = 2_000_000  # ranked lists broadcast below this many rows
 SOFT404_MAX_BODY = 10_240
 # File names always probed when no technology matches.
 ALWAYS_PROBE_FILES = [
@@ -182,6 +183,12 @@ def rank_paths(selected: DataFrame, manifest: DataFrame, parsed: DataFrame, cap:
     w = Window.partitionBy("fileset").orderBy("k.key")
     ranked = first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap) \
         .select("fileset", "rank", F.col("k.filename").alias("filename"), "path")
+    # Most sites share a few stacks: joining on the file set would put a hot set's sites in one
+    # task.  The ranked lists hold <= cap rows per distinct set; broadcast them when that bound
+    # (checked) is small, otherwise shuffle and let AQE split the skewed partitions.
+    n_sets = fs.count()
+    if n_sets * cap <= MAX_BROADCAST_RANKED_ROWS:
+        ranked = F.broadcast(ranked)
     return sets.join(ranked, "fileset").select("page_id", "rank", "filename", "path")
 
 
@@ -219,13 +226,17 @@ def classify_responses(resp: DataFrame) -> DataFrame:
     Every URL piece is computed once (``computed``) before the filters that use it.
     """
     r = resp.withColumn("url", F.concat(F.col("base_url"), F.col("path"))).filter(_status_ok(F.col("status")))  # W6
-    # Same-host redirect to the same path modulo '/' -> take the next hop
-    r = computed(r, res=U.resolve_url(F.col("url"), F.coalesce("location", F.lit(""))))
-    r = computed(r, res_net=U.url_netloc("res"), url_net=U.url_netloc("url"),
-                 res_lp=_loc_path(F.col("res")), url_lp=_loc_path(F.col("url")),
-                 p_noqs=U.url_path("url"))
-    hop = F.col("status").isin(301, 302) & (F.coalesce("location", F.lit("")) != "") & \
-        ((F.col("res_net") == F.col("url_net")) | (F.col("res_net") == "")) & (F.col("res_lp") == F.col("url_lp"))
+    # base_url is the site origin (scheme://netloc), so the request URL's pieces are plain string ops;
+    # the Location header is parsed only on redirect rows
+    loc0 = F.coalesce("location", F.lit(""))
+    redirect0 = F.col("status").isin(301, 302) & (loc0 != "")
+    r = computed(r, url_net=F.lower(F.split_part(F.col("base_url"), F.lit("://"), F.lit(2))),
+                 p_noqs=F.regexp_extract("path", r"^([^?#]*)", 1),
+                 res=F.when(redirect0, U.resolve_url(F.col("url"), loc0)))
+    r = computed(r, url_lp=_loc_path(F.col("p_noqs")),
+                 res_net=F.when(redirect0, U.url_netloc("res")), res_lp=F.when(redirect0, _loc_path(F.col("res"))))
+    hop = redirect0 & ((F.col("res_net") == F.col("url_net")) | (F.col("res_net") == "")) & \
+        (F.col("res_lp") == F.col("url_lp"))
     r = r.withColumn("_hop", hop)
     for c, n in (("status", "next_status"), ("content_type", "next_content_type"), ("body", "next_body"),
                  ("location", "next_location")):
@@ -247,11 +258,12 @@ def classify_responses(resp: DataFrame) -> DataFrame:
     r = r.filter((F.col("status") != 200) | keep200)
     # W10 canonical redirect, W11 nav / cross-domain redirect
     loc = F.coalesce("location", F.lit(""))
-    r = computed(r, isredir=F.col("status").isin(301, 302) & (loc != ""),
-                 lp0=_loc_path(U.resolve_url(F.col("url"), loc)),
-                 raw_lp=F.lower(F.regexp_replace(U.url_path(loc), "/+$", "")),
-                 loc_host=U.host_of(U.url_netloc(loc)),
-                 base_host=U.host_of(U.url_netloc("base_url")),
+    isredir = F.col("status").isin(301, 302) & (loc != "")
+    r = computed(r, isredir=isredir,
+                 lp0=F.when(isredir, _loc_path(U.resolve_url(F.col("url"), loc))),
+                 raw_lp=F.when(isredir, F.lower(F.regexp_replace(U.url_path(loc), "/+$", ""))),
+                 loc_host=F.when(isredir, U.host_of(U.url_netloc(loc))),
+                 base_host=U.host_of(F.col("url_net")),
                  probed=F.lower(F.regexp_replace("path", "/+$", "")))
     lp = F.when(F.col("lp0") == "", F.lit("/")).otherwise(F.col("lp0"))
     probed = F.col("probed")
