@@ -58,13 +58,15 @@ def map_routes(scripts: DataFrame, maps: DataFrame) -> DataFrame:
 
     Null entries and unparsable maps are skipped.
     """
-    s = scripts.select("page_id", "js_url", sourcemap_url(scripts).alias("map_ref")).filter(F.col("map_ref").isNotNull())
+    s = computed(scripts.select("page_id", "js_url", "x_sourcemap", "sourcemap", "body"),
+                 map_ref=sourcemap_url(scripts)).select("page_id", "js_url", "map_ref") \
+        .filter(F.col("map_ref").isNotNull())
     inline = s.filter(F.col("map_ref").startswith("data:") & F.contains("map_ref", F.lit("base64,"))).select(
         "page_id", "js_url",
         F.try_to_binary(F.split_part("map_ref", F.lit("base64,"), F.lit(2)), F.lit("base64")).alias("b"))
     inline = inline.select("page_id", "js_url", F.expr("try_cast(b AS STRING)").alias("map_body"))
-    ext = s.filter(~F.col("map_ref").startswith("data:")).select(
-        "page_id", "js_url", U.resolve_url(F.col("js_url"), F.col("map_ref")).alias("map_url"))
+    ext = computed(s.filter(~F.col("map_ref").startswith("data:")),
+                   map_url=U.resolve_url(F.col("js_url"), F.col("map_ref"))).select("page_id", "js_url", "map_url")
     ext = ext.join(maps.select(F.col("url").alias("map_url"), F.col("body").alias("map_body")), "map_url")
     bodies = inline.unionByName(ext.select("page_id", "js_url", "map_body"))
     src = F.from_json("map_body", T.StructType([T.StructField("sourcesContent", T.ArrayType(T.StringType()))]))
