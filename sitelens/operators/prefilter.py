@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.functions.regex import fold
+from sitelens.session import session_key
 
 MAX_BROADCAST_LITERALS = 2_000_000
 _AUTOMATA: dict[int, object] = {}
@@ -84,7 +85,7 @@ def pattern_keys(pats: DataFrame, keys: Column) -> list[tuple[str, int]]:
 def literal_broadcast(pats: DataFrame, keys: Column):
     """Broadcast of the literal list, built once per distinct pattern table (plan hash)."""
     spark = pats.sparkSession
-    key = (id(spark), pats.select(keys.alias("_k"), "pid")._jdf.queryExecution().analyzed().semanticHash())
+    key = (session_key(spark), pats.select(keys.alias("_k"), "pid")._jdf.queryExecution().analyzed().semanticHash())
     bc = _KEYS_CACHE.get(key)
     if bc is None:
         bc = spark.sparkContext.broadcast(pattern_keys(pats, keys))

@@ -17,7 +17,7 @@ from sitelens.operators import match as M
 from sitelens.operators import score as S
 from sitelens.plans import oracle as O
 from sitelens.plans.detect import compile_all
-from sitelens.session import configure
+from sitelens.session import configure, session_key
 from sitelens.sources import feeds as FD
 from sitelens.sources import rules as R
 
@@ -39,7 +39,7 @@ def oracle(name: str):
     return deco
 
 
-_COMPILED: dict[int, object] = {}
+_COMPILED: dict[str, object] = {}
 
 
 def _setup(spark: SparkSession, sf_dir: str, tables=("pages",)):
@@ -48,7 +48,7 @@ def _setup(spark: SparkSession, sf_dir: str, tables=("pages",)):
 
 
 def _rules(spark: SparkSession):
-    key = id(spark)
+    key = session_key(spark)
     cr = _COMPILED.get(key)
     if cr is None:
         cr = compile_all(R.load_rules(spark))

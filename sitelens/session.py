@@ -44,7 +44,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
+
+
+def session_key(spark: SparkSession) -> str:
+    """Stable identity of a live session (an object id can be reused after a session stops)."""
+    return f"{spark.sparkContext.applicationId}/{spark.sparkContext.startTime}/{id(spark)}"
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -54,14 +59,14 @@ def ship_package(spark: SparkSession) -> None:
     the same as ``--py-files`` on spark-submit.
     """
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if session_key(spark) in _SHIPPED:
         return
     import shutil
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = tempfile.mkdtemp(prefix="sitelens-pyfiles-")
     archive = shutil.make_archive(os.path.join(out, "sitelens"), "zip", os.path.dirname(pkg), "sitelens")
     sc.addPyFile(archive)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(session_key(spark))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -12,6 +12,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitelens.session import session_key
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -26,13 +28,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-_REGISTERED: dict[tuple[int, str], str] = {}
+_REGISTERED: dict[tuple[str, str], str] = {}
 
 
 def register(spark: SparkSession, sf_dir: str, names=("pages",)) -> None:
     """Register the given tables as views (once per session and directory)."""
     for n in names:
-        key = (id(spark), n)
+        key = (session_key(spark), n)
         if _REGISTERED.get(key) == sf_dir and spark.catalog.tableExists(n):
             continue
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)
