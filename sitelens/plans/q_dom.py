@@ -14,7 +14,7 @@ from sitelens.operators import implies as I
 from sitelens.operators import score as S
 from sitelens.plans import oracle as O
 from sitelens.plans.catalog import _rules, oracle, query
-from sitelens.plans.q_evidence import F2_CTE, _all_raw, d_attr, d_explode, d_masked, d_tags, f2, f3, f4, f5
+from sitelens.plans.q_evidence import F2_CTE, d_attr, d_explode, d_masked, d_tags, f2, f3, f4, f5
 from sitelens.plans.detect import matches_raw
 
 q = O.sql_str
