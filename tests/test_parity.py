@@ -8,7 +8,8 @@ from tests.oracle_check import compare, duck
 FAST = ["html_rule_match", "meta_tags", "script_srcs", "data_attributes", "header_fold", "cookie_first_wins",
         "header_match", "script_match", "js_global_match", "tech_with_implied", "endpoints_merged",
         "external_deps", "ct_subdomains", "subdomain_tech", "wordlist_manifest", "dom_from_requests",
-        "stream_request_pairing", "stream_domain_windows"]
+        "stream_request_pairing", "stream_domain_windows", "stream_detect", "exposed_paths", "endpoints_all",
+        "scan_summary", "tech_report"]
 
 
 @pytest.fixture(scope="module")
