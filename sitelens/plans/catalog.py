@@ -47,6 +47,7 @@ def _setup(spark: SparkSession, sf_dir: str, tables=("pages",)):
 
 
 def _rules(spark: SparkSession):
+    configure(spark)  # ships the package before the first UDF (rule compile) runs
     key = session_key(spark)
     cr = _COMPILED.get(key)
     if cr is None:
