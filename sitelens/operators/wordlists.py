@@ -137,37 +137,50 @@ def wordlist_manifest(files: DataFrame, rules: DataFrame, parsed: DataFrame) ->
 # ---------------------------------------------------------------------------
 # Selection and priority per site
 # ---------------------------------------------------------------------------
-def select_wordlists(detected: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(page_id, filename) for always-probe files and files whose keyword words and a
-    detected technology name's words are in a subset relation (no generic-word removal)."""
+MAX_LISTED_FILES = 100_000  # the wordlist listing is a small dimension: its file names are collected
+
+
+def _file_list(df: DataFrame) -> list[str]:
+    rows = df.limit(MAX_LISTED_FILES + 1).collect()
+    if len(rows) > MAX_LISTED_FILES:
+        raise ValueError("wordlist listing larger than the bound for a literal file list")
+    return sorted(r["filename"] for r in rows)
+
+
+def select_wordlists(detected: DataFrame, manifest: DataFrame, sites: DataFrame) -> DataFrame:
+    """(page_id, fileset) -- per site, the sorted, newline-joined set of selected files:
+    every always-probe file, plus files whose keyword words and a detected technology name's
+    words are in a subset relation (no generic-word removal; an empty name word set is a
+    subset of every keyword).  The always-probe list is the same for every site, so it is a
+    literal (the listing is a bounded dimension) -- no sites x files product is built."""
     names = detected.select("page_id", F.lower("name").alias("det")).distinct() \
         .withColumn("dw", word_set("det", False))
     kws = manifest.select("filename", F.explode("tech_match").alias("kw")).withColumn("kw_w", word_set("kw", False)) \
         .filter(F.size("kw_w") > 0)
-    # shared-word equi-join; an empty detected word set is a subset of every keyword
     nx = names.select("page_id", "dw", F.explode_outer("dw").alias("word"))
     kx = kws.select("filename", "kw_w", F.explode("kw_w").alias("word"))
-    j = nx.filter(F.col("word").isNotNull()).join(F.broadcast(kx), "word") \
+    matched = nx.filter(F.col("word").isNotNull()).join(F.broadcast(kx), "word") \
         .filter(subset_either(F.col("kw_w"), F.col("dw"))).select("page_id", "filename")
-    # Per-site rows are the output itself (every site probes the always-probe files); the
-    # file side is the small manifest, broadcast on a constant key.
-    one = F.lit(1).alias("_k")
-    files_any = F.broadcast(kws.select("filename").distinct().select("filename", one))
-    # an empty detected word set is a subset of every keyword's words
-    empty = nx.filter(F.col("word").isNull()).select("page_id", one).join(files_any, "_k").drop("_k")
-    always = detected.select("page_id", one).distinct().join(
-        F.broadcast(manifest.filter("always_probe").select("filename", one)), "_k").drop("_k")
-    return j.unionByName(always).unionByName(empty).distinct()
-
-
-def rank_paths(selected: DataFrame, manifest: DataFrame, parsed: DataFrame, cap: int = MAX_PROBES) -> DataFrame:
+    empty = nx.filter(F.col("word").isNull()).select("page_id").distinct().withColumn("_empty", F.lit(True))
+    always = _file_list(manifest.filter("always_probe").select("filename"))
+    kw_files = _file_list(kws.select("filename").distinct())
+    per_site = matched.groupBy("page_id").agg(F.collect_set("filename").alias("m"))
+    s = sites.select("page_id").distinct().join(per_site, "page_id", "left").join(empty, "page_id", "left")
+    files = F.concat(F.coalesce("m", F.array().cast("array<string>")), F.array(*[F.lit(f) for f in always]).cast("array<string>"),
+                     F.when(F.col("_empty"), F.array(*[F.lit(f) for f in kw_files]).cast("array<string>"))
+                     .otherwise(F.array().cast("array<string>")))
+    return s.select("page_id", F.array_join(F.array_sort(F.array_distinct(files)), "\n").alias("fileset")) \
+        .filter(F.col("fileset") != "")
+
+
+def rank_paths(sets: DataFrame, manifest: DataFrame, parsed: DataFrame, cap: int = MAX_PROBES) -> DataFrame:
     """(page_id, rank, filename, path) -- critical always-probe entries, then framework files by
     path_count ascending, then the other always-probe entries; first occurrence of a path kept; top ``cap``.
 
-    The ranked list depends only on the *set* of selected files, so it is computed once per
-    distinct file set (sites sharing a technology stack share it) and joined back to the sites.
+    ``sets``: (page_id, fileset) from ``select_wordlists``.  The ranked list depends only on the
+    set of selected files, so it is computed once per distinct file set (sites sharing a
+    technology stack share it) and joined back to the sites.
     """
-    sets = selected.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("filename")), "\n").alias("fileset"))
     fs = sets.select("fileset").distinct()
     fs_files = fs.select("fileset", F.explode(F.split("fileset", "\n")).alias("filename"))
     head = file_heads(parsed, cap)  # exact: see module note

@@ -43,8 +43,8 @@ def _detected(spark, sf_dir) -> DataFrame:
 
 def _ranked(spark, sf_dir) -> DataFrame:
     m = _manifest(spark, sf_dir)
-    sel = W.select_wordlists(_detected(spark, sf_dir), m)
-    return W.rank_paths(sel, m, _parsed(spark, sf_dir))
+    sets = W.select_wordlists(_detected(spark, sf_dir), m, spark.table("pages"))
+    return W.rank_paths(sets, m, _parsed(spark, sf_dir))
 
 
 def _exposed(spark, sf_dir) -> DataFrame:
@@ -121,7 +121,7 @@ sel AS (
   SELECT DISTINCT dn.page_id, kww.filename FROM dn JOIN kww
     ON len(kww.kw_w) > 0 AND (len(dn.dw) = 0 OR {d_subset_either('kww.kw_w', 'dn.dw')})
   UNION
-  SELECT DISTINCT d.page_id, man.filename FROM (SELECT DISTINCT page_id FROM det) d JOIN man ON man.always_probe),
+  SELECT DISTINCT p.page_id, man.filename FROM pages p JOIN man ON man.always_probe),
 wcand AS (SELECT sel.page_id, sel.filename, p.path, p.pos, man.file_ord, man.path_count, man.always_probe
          FROM sel JOIN man ON man.filename = sel.filename JOIN parsed p ON p.filename = sel.filename),
 tiered AS (SELECT *, CASE WHEN always_probe AND (filename IN ({', '.join(q(f) for f in W.CRITICAL_FILES)})

@@ -65,8 +65,8 @@ def test_priority_cap(spark):
     parsed = spark.createDataFrame([("quickhits.txt", 0, "/plain"), ("quickhits.txt", 1, "/.env"),
                                     ("quickhits.txt", 2, "/robots.txt"), ("wordpress.txt", 0, "/wp-admin"),
                                     ("wordpress.txt", 1, "/wp-login.php")], "filename string, pos int, path string")
-    sel = spark.createDataFrame([(1, "quickhits.txt"), (1, "wordpress.txt")], "page_id long, filename string")
-    got = [r["path"] for r in W.rank_paths(sel, manifest, parsed, cap=3).orderBy("rank").collect()]
+    sets = spark.createDataFrame([(1, "quickhits.txt\nwordpress.txt")], "page_id long, fileset string")
+    got = [r["path"] for r in W.rank_paths(sets, manifest, parsed, cap=3).orderBy("rank").collect()]
     assert got == ["/.env", "/robots.txt", "/wp-admin"]     # critical first, framework next, plain dropped
 
 
