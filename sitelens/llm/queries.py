@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitelens.llm import language as op10
 from sitelens.llm import secrets as op2
 from sitelens.llm.common import setup, table
 
@@ -21,3 +22,8 @@ def query(fn):
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.identify(table(spark, sf_dir, "documents"))
