@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sitelens.llm import language as op10
+from sitelens.llm import quality as op9
 from sitelens.llm import secrets as op2
 from sitelens.llm.common import setup, table
 
@@ -27,3 +28,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
