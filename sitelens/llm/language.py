@@ -26,9 +26,9 @@ BUCKETS = 4096
 DIM = 16
 NGRAMS = (1, 2, 3, 4)
 #: Bound of the training sample: rows over all languages, and languages.
-SAMPLE_ROWS = 4096
+SAMPLE_ROWS = 2048
 MAX_LANGS = 256
-EPOCHS, BATCH, RATE, SEED = 20, 32, 2.0, 7
+EPOCHS, BATCH, RATE, SEED = 30, 32, 2.0, 7
 #: Share of right held-back answers that the rejection threshold keeps.
 KEPT_RIGHT = 0.995
 UNKNOWN = "und"
