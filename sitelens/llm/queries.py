@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitelens.llm import decontaminate as op5
 from sitelens.llm import language as op10
+from sitelens.llm import lines as op7
 from sitelens.llm import mixing as op4
 from sitelens.llm import quality as op9
 from sitelens.llm import secrets as op2
@@ -68,3 +70,26 @@ SELECT doc_id, mix_source, CAST(n // 8 AS BIGINT) AS mix_block,
        CAST(((n // 8) // a * period + slot) * 8 + n % 8 AS BIGINT) AS mix_position
 FROM r JOIN i USING (mix_source) JOIN slots USING (mix_source) WHERE j = (n // 8) % a
 """
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Distinct five-word shingles of a text column, as an SQL expression over its list of words.
+WORDS_SQL = "list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+SHINGLES_SQL = "CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+
+ORACLES["op5_decontaminate"] = f"""
+WITH i AS (SELECT item_id, {SHINGLES_SQL} AS s FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark)),
+d AS (SELECT doc_id, unnest({SHINGLES_SQL}) AS x FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents)),
+p AS (SELECT item_id, len(s) AS item_shingles, unnest(s) AS x FROM i)
+SELECT doc_id, item_id, item_shingles, count(*) AS shared FROM p JOIN d USING (x)
+GROUP BY doc_id, item_id, item_shingles HAVING count(*) * 10 >= 8 * item_shingles
+"""
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
