@@ -12,6 +12,7 @@ from sitelens.llm import lines as op7
 from sitelens.llm import mixing as op4
 from sitelens.llm import quality as op9
 from sitelens.llm import secrets as op2
+from sitelens.llm import toxicity as op6
 from sitelens.llm.common import setup, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +94,8 @@ GROUP BY doc_id, item_id, item_shingles HAVING count(*) * 10 >= 8 * item_shingle
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
