@@ -10,6 +10,7 @@ from sitelens.llm import decontaminate as op5
 from sitelens.llm import language as op10
 from sitelens.llm import lines as op7
 from sitelens.llm import mixing as op4
+from sitelens.llm import ngram_join as op1
 from sitelens.llm import quality as op9
 from sitelens.llm import secrets as op2
 from sitelens.llm import toxicity as op6
@@ -99,3 +100,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1.join(table(spark, sf_dir, "documents"))
