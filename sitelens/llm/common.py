@@ -190,3 +190,33 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, n
                 yield i + d, mix((h[a:b] * WORD_MUL[b - a, :b - a]).sum(dtype=U64, keepdims=True))
             else:
                 yield i + d, joined[:0]
+
+
+#: Bits of a Bloom filter: 8 MB, whatever the input.
+BLOOM_BITS = 26
+BLOOM_HASHES = 3
+
+
+def bloom_places(id_col: str) -> list[Column]:
+    return [F.pmod(F.xxhash64(id_col, F.lit(q)), F.lit(1 << BLOOM_BITS)).alias(f"bloom{q}") for q in range(BLOOM_HASHES)]
+
+
+def bloom(ids: DataFrame, id_col: str) -> np.ndarray:
+    """Fixed-size Bloom filter of ids as 64-bit words: spares a shuffle the rows that are surely not asked for.
+
+    It saturates (and spares less) beyond some millions of ids; the join behind it stays exact.
+    """
+    place = F.explode(F.array(*bloom_places(id_col)))
+    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def bloom_hits(words: np.ndarray, places: list[pa.Array]) -> np.ndarray:
+    """Rows whose places (the columns of ``bloom_places``) are all set."""
+    hit = np.ones(len(places[0]), bool)
+    for column in places:
+        p = np.asarray(column).astype(np.int64)
+        hit &= (words[p >> 6].view(U64) >> (p & 63).astype(U64)) & U64(1) == 1
+    return hit
