@@ -12,7 +12,7 @@ give all their pairs.  In larger ones each class first meets a few leaders; link
 classes to components.  A class needs its larger buckets only as far as its small ones could be spoiled:
 for such classes, whatever members of those buckets are not yet in its component are compared too.  So
 no link between components is missed and groups of copies do not expand into all their pairs.
-Candidates are verified on the exact sets.
+Candidates that sizes and sketches (a lower bound of the distance) leave are verified on the exact sets.
 
 Defined cases: null and empty texts, and texts of separators only, have the empty set and link with nothing;
 fewer than five words are one shingle; repeated rows and equal texts are linked; a null doc_id is never
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import U64, mix, shingle_sets, stored, utf8
+from sitelens.llm.common import U64, bloom, bloom_hits, bloom_places, mix, shingle_sets, stored, utf8
 from sitelens.llm.graph import components
 
 #: Similarity as a fraction, NUM / DEN.
@@ -40,7 +40,9 @@ ENUMERATE_TO = 64
 SMALL = 40
 #: Signatures that a map task sorts and sends at a time, and that one reduce part should hold.
 FLUSH, PART = 2_000_000, 1_500_000
-BLOOM_BITS = 26
+#: Ranges of the domain that a sketch counts.
+CELL_BITS = 8
+CELLS = 1 << CELL_BITS
 #: Leaders of a large bucket.
 LEADERS = 4
 #: Askers, and members, of a large bucket that meet in one task.
@@ -133,13 +135,44 @@ def class_hash(s: np.ndarray) -> int:
     return int((h[:1] * U64(3) + h[1:]).view(np.int64)[0]) or 1
 
 
+def sketches(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per set the features in each of CELLS equal ranges of the domain (255 at most): their L1 distance bounds the Hamming distance from below."""
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    counts = np.bincount(own * CELLS + (x >> U64(64 - CELL_BITS)).astype(np.int64), minlength=len(sizes) * CELLS)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(len(sizes), CELLS)
+
+
 def _member_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_shingles, class, sketch, spare): spare is the least number of signatures the set can do without."""
     for batch in batches:
         data, offsets, _ = utf8(batch.column(1))
         n, c = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        spare, sketch = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+        rows, sets, held = [], [], 0
+
+        def describe() -> None:
+            nonlocal held
+            held = 0
+            if not sets:
+                return
+            x, sizes, at = np.concatenate(sets), np.array([len(s) for s in sets], np.int64), np.array(rows)
+            for d, v in zip(rows, sketches(x, sizes)):
+                sketch[d] = v.tobytes()
+            spare[at] = 1 << 40
+            for own, _, settled, left, _ in signatures(x, sizes):
+                np.minimum.at(spare, at[own[settled]], left[settled])
+            rows.clear(), sets.clear()
+
         for d, s in shingle_sets(data, offsets):
             n[d], c[d] = len(s), class_hash(s)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(c)], ["doc_id", "n_shingles", "class"])
+            if len(s):
+                rows.append(d)
+                sets.append(s)
+                held += len(s) + CELLS
+                if held > 1 << 17:
+                    describe()
+        describe()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(c), pa.array(sketch, pa.binary()), pa.array(spare)], ["doc_id", "n_shingles", "class", "sketch", "spare"])
 
 
 def _signature_batches(parts: int):
@@ -279,6 +312,26 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(q).take(pa.array(keep, pa.int64())) for q in (0, 1)], ["a", "b"])
 
 
+def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sizes and sketches do not rule a link out."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n, m = (np.asarray(batch.column(q)) for q in (2, 3))
+        x, y = (np.frombuffer(utf8(batch.column(q))[0], np.uint8).reshape(-1, CELLS).astype(np.int16) for q in (4, 5))
+        apart = np.abs(x - y).sum(1, dtype=np.int64)
+        keep = pa.array(np.flatnonzero((DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & ((DEN + NUM) * apart <= (DEN - NUM) * (n + m))))
+        yield pa.RecordBatch.from_arrays([batch.column(q).take(keep) for q in (0, 1)], ["a", "b"])
+
+
+def near(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave: no link is lost, most chance meetings are."""
+    known = members.groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    left = pairs.join(known.withColumnsRenamed({"class": "a", "n": "n", "sketch": "x"}), "a")
+    both = left.join(known.withColumnsRenamed({"class": "b", "n": "m", "sketch": "y"}), "b")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(_near_batches, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets link."""
     left = pairs.join(sets.withColumnsRenamed({"class": "a", "shingles": "x"}), "a")
@@ -286,34 +339,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_verify_batches, "a long, b long")
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """Fixed-size Bloom filter of ids (three bits each), as 64-bit words: spares the scan what is surely not asked for."""
-    place = F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(q)), F.lit(1 << BLOOM_BITS)) for q in range(3)]))
-    words = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    out[words["w"].to_numpy()] = words["bits"].to_numpy()
-    return out
-
-
 def shingle_tables(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, shingles) of the wanted classes, from the text of one document of each."""
     by_class = members.groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id"))
     ids = stored(by_class.join(classes, "class"), "wanted")
-    words = docs.sparkSession.sparkContext.broadcast(_bloom(ids))  # 2**BLOOM_BITS bits
+    words = docs.sparkSession.sparkContext.broadcast(bloom(ids, "doc_id"))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = np.ones(batch.num_rows, bool)
-            for q in range(3):
-                p = np.asarray(batch.column(2 + q)).astype(np.int64)
-                hit &= (words.value[p >> 6].view(U64) >> (p & 63).astype(U64)) & U64(1) == 1
-            some = pa.array(np.flatnonzero(hit))
+            some = pa.array(np.flatnonzero(bloom_hits(words.value, batch.columns[2:])))
             data, offsets, _ = utf8(batch.column(1).take(some))
             sets = [s for _, s in shingle_sets(data, offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array([class_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "class", "shingles"])
 
-    places = [F.pmod(F.xxhash64("doc_id", F.lit(q)), F.lit(1 << BLOOM_BITS)).alias(f"p{q}") for q in range(3)]
-    sets = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").select("doc_id", "text", *places).mapInArrow(run, "doc_id long, class long, shingles binary")
+    sets = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").select("doc_id", "text", *bloom_places("doc_id")).mapInArrow(run, "doc_id long, class long, shingles binary")
     found = ids.join(sets, ["doc_id", "class"]).groupBy("class").agg(F.first("shingles").alias("shingles"))
     return stored(found, "shingles")
 
@@ -347,7 +386,7 @@ def leader_pairs(large: DataFrame) -> DataFrame:
     return led.filter("class != leader").select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
 
 
-def unsettled_links(large: DataFrame, sets: DataFrame, label: DataFrame, parts: int) -> DataFrame:
+def unsettled_links(docs: DataFrame, known: DataFrame, large: DataFrame, label: DataFrame, parts: int) -> DataFrame:
     """Links (a, b) between components that only large buckets can show.
 
     The signatures in small buckets were compared in full; of its large ones a class asks so many (the
@@ -358,7 +397,11 @@ def unsettled_links(large: DataFrame, sets: DataFrame, label: DataFrame, parts:
     members = large.join(label.select(F.col("node").alias("class"), "component"), "class", "left")
     members = stored(members.select("bucket", "class", F.coalesce("component", "class").alias("component")), "members")
     mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    signed = sets.join(members.select("class").distinct(), "class", "left_semi").select("class", "shingles").mapInArrow(_resign_batches(parts), "class long, bucket long, side long, spare long")
+    spares = known.groupBy("class").agg(F.min("spare").alias("spare"))
+    may_ask = stored(members.groupBy("class").agg(F.count("*").alias("n")).join(spares, "class").filter(F.col("n") > F.col("spare")).select("class"), "askers")
+    met = members.join(may_ask, "class").join(mixed.filter("low != high"), "bucket").select("bucket").distinct()
+    sets = shingle_tables(docs, known, members.join(met, "bucket").select("class").union(may_ask).distinct())
+    signed = sets.join(may_ask, "class").select("class", "shingles").mapInArrow(_resign_batches(parts), "class long, bucket long, side long, spare long")
     held = signed.join(members, ["class", "bucket"]).join(mixed, "bucket")
     mine = ["class", "side"]
     nth = F.row_number().over(Window.partitionBy(*mine).orderBy("n", "bucket"))
@@ -421,19 +464,19 @@ def _tile_links(table: pa.Table) -> pa.Table:
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    members = stored(rows.mapInArrow(_member_batches, "doc_id long, n_shingles long, class long"), "classes")
+    members = stored(rows.mapInArrow(_member_batches, "doc_id long, n_shingles long, class long, sketch binary, spare long"), "classes")
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(256, 1 << int(np.ceil(np.log2(max(1, 0.6 * total / PART)))))
     packed = rows.select("text").mapInArrow(_signature_batches(parts), "part int, signs binary, owners binary, classes binary")
     buckets = stored(packed.groupBy("part").applyInArrow(_bucket_table, "classes array<long>, bucket long, class long"), "buckets")
     large = buckets.filter(F.col("bucket").isNotNull()).select("bucket", "class").distinct()
     close = buckets.filter(F.col("classes").isNotNull()).select("classes").distinct().mapInArrow(_pair_batches, "a long, b long")
-    pairs = stored(close.union(leader_pairs(large)).distinct(), "pairs")
+    pairs = stored(near(close.union(leader_pairs(large)).distinct(), members), "pairs")
     sets = shingle_tables(rows, members, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
     links = stored(verified(pairs, sets), "links")
     label = components(links)
     if not large.isEmpty():
-        links = links.union(stored(unsettled_links(large, sets, label, parts), "links"))
+        links = links.union(stored(unsettled_links(rows, members, large, label, parts), "links"))
         label = components(links)
     first = members.groupBy("class").agg(F.min("doc_id").alias("first"))
     named = first.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
