@@ -14,6 +14,7 @@ from sitelens.llm import ngram_join as op1
 from sitelens.llm import quality as op9
 from sitelens.llm import secrets as op2
 from sitelens.llm import toxicity as op6
+from sitelens.llm import vectors as op3
 from sitelens.llm.common import setup, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +106,26 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3.dedup(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op3_vector_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+reach(src, dst) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.src, l.b FROM reach r JOIN link l ON l.a = r.dst)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN (SELECT src, min(dst) AS component_id FROM reach GROUP BY src) c ON c.src = v.vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) n ON n.a = v.vec_id
+"""
