@@ -2,11 +2,12 @@
 
 Equal vectors of one label are one node.  Nodes lie in the inverted list of their nearest coarse
 centroid, with the residual coded by one of ``CODES`` words in each subspace.  A query probes every list
-that can hold a vector within the link distance: the bisector between its own centroid and the list's
-must be no farther than that, and the list's radius must reach.  In a list, distances to coded vectors
-are sums of looked-up distances (asymmetric: the query is not coded); codes within the link distance plus
-the vector's own coding error are reranked by exact cosine in double precision.  Both bounds are exact,
-so no link is lost; the index is fitted on a bounded sample (``SAMPLE``), every row is indexed.
+that may hold a vector within the link distance: the list's radius must reach, and the bisector between its
+own centroid and the list's must be no farther than that distance (nor, in many dimensions, than
+``PROBE_DEVIATIONS`` deviations of it).  In a list, distances to coded vectors are sums of looked-up
+distances (asymmetric: the query is not coded); codes within the link distance plus the vector's own
+coding error, a bound that loses nothing, are reranked by exact cosine in double precision.  The index is
+fitted on a bounded sample (``SAMPLE``), every row is indexed and every row asks.
 
 Queries and members of a list meet in tiles of bounded size; a tile gives link counts and a spanning
 forest of its links, so dense lists do not expand into all their pairs.
@@ -31,6 +32,11 @@ MIN_COSINE = 0.93
 #: Bound of the rows that centroids and code words are fitted on.
 SAMPLE = 16_384
 MAX_LISTS = 1024
+#: Vectors of one label that a list should hold; more lists mean more copies of each query, fewer mean larger lists.
+LIST_ROWS = 128
+#: A neighbour at distance t lies t / sqrt(d) (one standard deviation) nearer to a bisector or farther from it, if offsets
+#: have no preferred direction; lists beyond so many deviations are not probed.
+PROBE_DEVIATIONS = 4.0
 SUBSPACES, CODES, ROUNDS, SEED = 8, 64, 8, 3
 TILE = 512
 #: Slack of the float bounds, far above rounding errors and far below distances that matter.
@@ -60,18 +66,15 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Index:
     """Coarse centroids and residual code words for vectors of one length."""
 
-    def __init__(self, sample: np.ndarray, n_vectors: int):
-        lists = int(np.clip(2 * np.sqrt(n_vectors), 1, min(MAX_LISTS, max(1, len(sample) // 8))))
+    def __init__(self, sample: np.ndarray, lists: int):
+        lists = int(np.clip(lists, 1, min(MAX_LISTS, max(1, len(sample) // 8))))
         self.coarse = centroids(sample, lists)
         self.cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         rest = sample - self.coarse[nearest(sample, self.coarse)]
         self.words = [centroids(rest[:, a:b], CODES, SEED + 1 + q) for q, (a, b) in enumerate(zip(self.cuts, self.cuts[1:]))]
-        self.gaps = np.sqrt(np.maximum(0, ((self.coarse[:, None, :] - self.coarse[None, :, :]) ** 2).sum(2))) if lists <= 64 else self._gaps()
-        self.radius = np.zeros(lists)
-
-    def _gaps(self) -> np.ndarray:
         n = (self.coarse ** 2).sum(1)
-        return np.sqrt(np.maximum(0, n[:, None] + n[None, :] - 2 * self.coarse @ self.coarse.T))
+        self.gaps = np.sqrt(np.maximum(0, n[:, None] + n[None, :] - 2 * self.coarse @ self.coarse.T))
+        self.radius = np.zeros(len(self.coarse))
 
     def code(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(list, distance to its centroid, codes, distance to the coded vector)."""
@@ -82,12 +85,13 @@ class Index:
         return home, np.sqrt((rest * rest).sum(1)), codes, np.sqrt(((rest - coded) ** 2).sum(1))
 
     def probes(self, u: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists that may hold a vector within ``reach`` of each row."""
+        """(row, list) of the lists from each row's own on that may hold a vector within ``reach`` of it."""
         square = np.maximum(0, (u * u).sum(1)[:, None] + (self.coarse ** 2).sum(1) - 2 * u @ self.coarse.T)
         home = square.argmin(1)
         gap = self.gaps[home]
         beyond = (square - square[np.arange(len(u)), home][:, None]) / np.maximum(2 * gap, 1e-12)  # distance to the bisector
-        ok = (np.sqrt(square) <= self.radius + reach) & ((beyond <= reach) | (gap == 0))
+        width = reach * min(1.0, PROBE_DEVIATIONS / np.sqrt(u.shape[1]))
+        ok = (np.sqrt(square) <= self.radius + reach) & ((beyond <= width) | (gap == 0)) & (np.arange(len(self.coarse)) >= home[:, None])
         return np.nonzero(ok)
 
     def distances(self, u: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
@@ -144,10 +148,12 @@ def _tile(index, cosine: float):
             linked[p, q] = np.einsum("ij,ij->i", u[p], v[q]) >= cosine
         ids = np.concatenate([x["node"].to_numpy(), y["node"].to_numpy()])
         nodes, roots = _forest(linked)
-        counts = linked @ y["copies"].to_numpy()
-        asked = np.flatnonzero(counts)
+        # a list's own vectors ask one another both ways; those of earlier lists ask for both sides
+        away = x["from"].to_numpy() != at
+        counts = np.concatenate([linked @ y["copies"].to_numpy(), x["copies"].to_numpy()[away] @ linked[away]])
+        counted = np.flatnonzero(counts)
         # forest edges carry no count, counts no edge
-        return pa.table([pa.array(np.concatenate([ids[nodes], ids[asked]])), pa.array(np.concatenate([ids[roots], ids[asked]])), pa.array(np.concatenate([np.zeros(len(nodes), np.int64), counts[asked]]))], names=["node", "root", "n"])
+        return pa.table([pa.array(np.concatenate([ids[nodes], ids[counted]])), pa.array(np.concatenate([ids[roots], ids[counted]])), pa.array(np.concatenate([np.zeros(len(nodes), np.int64), counts[counted]]))], names=["node", "root", "n"])
     return run
 
 
@@ -169,7 +175,7 @@ def _probing(index, cosine: float):
             if batch.num_rows:
                 row, probed = index.value.probes(unit(batch.column(1)), reach)
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*[batch.column(q).take(rows) for q in range(3)], pa.array(probed)], ["node", "embedding", "label", "list"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(q).take(rows) for q in range(5)], pa.array(probed)], ["node", "embedding", "label", "copies", "home", "list"])
     return run
 
 
@@ -181,22 +187,22 @@ def links(nodes: DataFrame, cosine: float = MIN_COSINE) -> DataFrame:
     drawn = nodes.filter(F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(1 << 20)) < F.lit(int(take * (1 << 20)) + 1)).orderBy("node").limit(SAMPLE).select("embedding").toArrow()
     if not len(drawn):
         drawn = nodes.select("embedding").limit(SAMPLE).toArrow()
-    index = Index(unit(drawn["embedding"]), n)
+    labels = nodes.agg(F.approx_count_distinct("label")).first()[0]
+    index = Index(unit(drawn["embedding"]), -(-n // (max(1, labels) * LIST_ROWS)))
     fitted = sc.broadcast(index)  # MAX_LISTS centroids at most
     coded = stored(nodes.select("node", "embedding", "label", "copies").mapInArrow(_indexed(fitted), "node long, embedding array<float>, label int, copies long, list long, far double, codes array<short>, error double"), "codes")
     for r in coded.groupBy("list").agg(F.max("far").alias("far")).collect():  # a row for each list
         index.radius[r["list"]] = r["far"] + SLACK
     shared = sc.broadcast(index)
-    probes = coded.select("node", "embedding", "label").mapInArrow(_probing(shared, cosine), "node long, embedding array<float>, label int, list long")
-    probes = stored(probes.join(coded.groupBy("label", "list").agg(F.count("*").alias("n")).select("label", "list"), ["label", "list"]), "probes")
+    probes = coded.select("node", "embedding", "label", "copies", F.col("list").alias("home")).mapInArrow(_probing(shared, cosine), "node long, embedding array<float>, label int, copies long, home long, list long")
     where = ["label", "list"]
     tiles = coded.groupBy(*where).agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    chunks = probes.groupBy(*where).agg(F.ceil(F.count("*") / TILE).alias("chunks"))
+    chunks = stored(probes.groupBy(*where).agg(F.ceil(F.count("*") / TILE).alias("chunks")), "chunks")
     sizes = tiles.join(chunks, where)
     of = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    ask = probes.join(sizes, where).select("label", "list", every("tiles").alias("tile"), of("chunks").alias("chunk"), F.lit(True).alias("asks"), "node", "embedding", F.lit(0).cast("long").alias("copies"), F.array().cast("array<short>").alias("codes"), F.lit(0.0).alias("error"))
-    have = coded.join(sizes, where).select("label", "list", of("tiles").alias("tile"), every("chunks").alias("chunk"), F.lit(False).alias("asks"), "node", "embedding", "copies", "codes", "error")
+    ask = probes.join(sizes, where).select("label", "list", every("tiles").alias("tile"), of("chunks").alias("chunk"), F.lit(True).alias("asks"), F.col("home").alias("from"), "node", "embedding", "copies", F.array().cast("array<short>").alias("codes"), F.lit(0.0).alias("error"))
+    have = coded.join(sizes, where).select("label", "list", of("tiles").alias("tile"), every("chunks").alias("chunk"), F.lit(False).alias("asks"), F.col("list").alias("from"), "node", "embedding", "copies", "codes", "error")
     return ask.union(have).groupBy("label", "tile", "list", "chunk").applyInArrow(_tile(shared, cosine), "node long, root long, n long")
 
 
