@@ -13,6 +13,7 @@ from sitelens.llm import mixing as op4
 from sitelens.llm import ngram_join as op1
 from sitelens.llm import quality as op9
 from sitelens.llm import secrets as op2
+from sitelens.llm import substrings as op8
 from sitelens.llm import toxicity as op6
 from sitelens.llm import vectors as op3
 from sitelens.llm.common import setup, table
@@ -129,3 +130,8 @@ SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.compo
 FROM v JOIN (SELECT src, min(dst) AS component_id FROM reach GROUP BY src) c ON c.src = v.vec_id
 LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) n ON n.a = v.vec_id
 """
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
