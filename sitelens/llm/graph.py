@@ -9,21 +9,27 @@ from sitelens.llm.common import stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node that has a link.
+    """(node, component) for every node that has a link; ``component`` is one of the nodes it reaches.
 
-    Each round takes the smallest label among neighbours and then the label of that label (pointer jump),
-    so long chains shrink geometrically; rounds are stored, labels never reach the driver.  Hot nodes are
-    pre-aggregated (min) on the map side.
+    Each round names every node after the first of itself and its neighbours in a random order and maps the
+    links to the names: nodes that reach one another stay linked or get one name, and the links left shrink
+    by a constant share, however long the chains.  Names are then followed from the last round to the first.
+    Rounds are stored, nothing but counts reaches the driver, hot nodes are pre-aggregated on the map side.
     """
-    both = links.select(F.col(a).alias("node"), F.col(b).alias("other")).union(links.select(F.col(b).alias("node"), F.col(a).alias("other")))
-    both = stored(both.filter("node != other").distinct(), "links")
-    labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "labels")
-    while True:
-        near = both.join(labels.withColumnsRenamed({"node": "other", "component": "label"}), "other").groupBy("node").agg(F.min("label").alias("label"))
-        stepped = labels.join(near, "node").select("node", "component", F.least("component", "label").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("component").alias("further"))
-        after = stored(stepped.join(jump, "label", "left").select("node", F.col("component").alias("was"), F.least("label", "further").alias("component")), "labels")
-        changed = not after.filter("was != component").isEmpty()
-        labels = after.select("node", "component")
-        if not changed:
-            return labels
+    edges = links.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x != y")
+    edges = stored(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "links")
+    rounds: list[DataFrame] = []
+    while not rounds or not edges.isEmpty():
+        order = F.struct(F.xxhash64("other", F.lit(len(rounds))), F.col("other"))
+        ends = [F.struct(F.col(p).alias("node"), F.col(q).alias("other")) for p in "xy" for q in "xy"]
+        both = edges.select(F.explode(F.array(*ends)).alias("e")).select("e.*")
+        names = stored(both.groupBy("node").agg(F.min(order).alias("first")).select("node", F.col("first.other").alias("name")), "names")
+        rounds.append(names)
+        of = lambda end: names.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name"))
+        mapped = edges.join(of("x"), "x").join(of("y"), "y").filter("x_name != y_name")
+        edges = stored(mapped.select(F.least("x_name", "y_name").alias("x"), F.greatest("x_name", "y_name").alias("y")).distinct(), "links")
+    out = rounds.pop().withColumnRenamed("name", "component")
+    while rounds:
+        after = out.select(F.col("node").alias("name"), "component")
+        out = rounds.pop().join(after, "name", "left").select("node", F.coalesce("component", "name").alias("component"))
+    return stored(out, "components")

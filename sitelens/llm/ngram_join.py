@@ -8,8 +8,9 @@ spoil all signatures, so linked sets share one.  Signatures of empty subsets are
 remaining signatures could all be spoiled also signs at twice as many parts, and so on, until it could not.
 
 Documents with equal sets are one class.  Buckets (classes with one signature) of up to ``SMALL`` classes
-give all their pairs.  In larger ones each class first meets a few leaders; links verified so far join
-classes to components.  A class needs its larger buckets only as far as its small ones could be spoiled:
+give all their pairs.  In larger ones each class first meets a few leaders.  Of the candidates, each class first has the pair with the
+class that most others are paired with; links verified so far join classes to components, and of the other
+candidates those between components are verified.  A class needs its larger buckets only as far as its small ones could be spoiled:
 for such classes, whatever members of those buckets are not yet in its component are compared too.  So
 no link between components is missed and groups of copies do not expand into all their pairs.
 Candidates that sizes and sketches (a lower bound of the distance) leave are verified on the exact sets.
@@ -46,7 +47,7 @@ CELLS = 1 << CELL_BITS
 #: Leaders of a large bucket.
 LEADERS = 4
 #: Askers, and members, of a large bucket that meet in one task.
-TILE = 256
+TILE = 512
 #: Parts that members of large buckets, once known as such, are spread over.
 SPREAD = 1024
 #: Stands for a null id where rows are looked up by id.
@@ -386,6 +387,21 @@ def leader_pairs(large: DataFrame) -> DataFrame:
     return led.filter("class != leader").select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
 
 
+def hub_pairs(pairs: DataFrame) -> DataFrame:
+    """One pair of each class: with the class that has the most pairs, of those it has a pair with."""
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("n"))
+    hub = both.join(degree, "b").groupBy("a").agg(F.max(F.struct(F.col("n"), F.xxhash64("b"), F.col("b"))).alias("hub")).select("a", F.col("hub")["b"].alias("b"))
+    return stored(hub.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "hubs")
+
+
+def between(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose classes are not in one component yet."""
+    of = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+    known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return known.filter(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+
+
 def unsettled_links(docs: DataFrame, known: DataFrame, large: DataFrame, label: DataFrame, parts: int) -> DataFrame:
     """Links (a, b) between components that only large buckets can show.
 
@@ -473,7 +489,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     close = buckets.filter(F.col("classes").isNotNull()).select("classes").distinct().mapInArrow(_pair_batches, "a long, b long")
     pairs = stored(near(close.union(leader_pairs(large)).distinct(), members), "pairs")
     sets = shingle_tables(rows, members, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-    links = stored(verified(pairs, sets), "links")
+    first = hub_pairs(pairs)
+    links = stored(verified(first, sets), "links")
+    label = components(links)
+    rest = between(pairs.join(first, ["a", "b"], "left_anti"), label)
+    links = links.union(stored(verified(rest, sets), "links"))
     label = components(links)
     if not large.isEmpty():
         links = links.union(stored(unsettled_links(rows, members, large, label, parts), "links"))
