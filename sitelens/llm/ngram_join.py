@@ -22,6 +22,7 @@ a component's smallest id (a component of null ids has a null id); texts are rea
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,7 +145,7 @@ def sketches(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _member_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_shingles, class, sketch, spare): spare is the least number of signatures the set can do without."""
+    """(doc_id, text_hash, n_shingles, class, sketch, spare): spare is the least number of signatures the set can do without."""
     for batch in batches:
         data, offsets, _ = utf8(batch.column(1))
         n, c = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -173,7 +174,7 @@ def _member_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 if held > 1 << 17:
                     describe()
         describe()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(c), pa.array(sketch, pa.binary()), pa.array(spare)], ["doc_id", "n_shingles", "class", "sketch", "spare"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(c), pa.array(sketch, pa.binary()), pa.array(spare)], ["doc_id", "text_hash", "n_shingles", "class", "sketch", "spare"])
 
 
 def _signature_batches(parts: int):
@@ -478,9 +479,9 @@ def _tile_links(table: pa.Table) -> pa.Table:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    """doc_id, n_shingles, component_id, text_hash (xxhash64 of the text) for every row of ``docs``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    members = stored(rows.mapInArrow(_member_batches, "doc_id long, n_shingles long, class long, sketch binary, spare long"), "classes")
+    members = stored(rows.select("*", F.xxhash64("text").alias("text_hash")).mapInArrow(_member_batches, "doc_id long, text_hash long, n_shingles long, class long, sketch binary, spare long"), "classes")
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(256, 1 << int(np.ceil(np.log2(max(1, 0.6 * total / PART)))))
     packed = rows.select("text").mapInArrow(_signature_batches(parts), "part int, signs binary, owners binary, classes binary")
@@ -503,4 +504,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     lowest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     of_class = named.join(lowest, "component").select("class", "component_id")
     out = members.join(of_class, "class")
-    return out.select("doc_id", "n_shingles", F.when(F.col("class") == EMPTY, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("class") == EMPTY, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document with the smallest id of each component, with its own columns.
+
+    Rows without shingles all stay; rows that repeat both id and text are one document and stay together;
+    of the texts under one id that link, one stays; rows with a null id stay if no document with an id links.
+    """
+    tag = uuid.uuid4().hex
+    found = join(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("component_id", F.coalesce("component_id", F.lit(NO_ID)))
+    alone = F.when(F.col("n_shingles") == 0, F.col("text_hash"))
+    stay = found.filter("doc_id = component_id").groupBy("doc_id", "component_id", alone).agg(F.min("text_hash").alias("text_hash"))
+    stay = stay.select(F.col("doc_id").alias(f"id_{tag}"), F.col("text_hash").alias(f"hash_{tag}"))
+    rows = docs.withColumns({f"id_{tag}": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), f"hash_{tag}": F.xxhash64(text_col)})
+    return rows.join(stay, [f"id_{tag}", f"hash_{tag}"], "left_semi").select(*docs.columns)

@@ -15,12 +15,14 @@ rows share one key and one decision; rows with a null doc_id are decided by thei
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitelens.llm.common import LOWER, U64, blocks, mix, prefix_hash, span_hash, stored, utf8
 
@@ -82,11 +84,10 @@ def _weights(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return p(target) - p(raw)
 
 
-def importance(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, weight, n_grams, label of the sampled rows else null) for every row; text is read twice, never shuffled."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """Broadcast (labels of the sampled rows, log ratio of target and raw probability by bucket)."""
     sc = docs.sparkSession.sparkContext
-    known = sc.broadcast(_labelled(labels, id_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    known = sc.broadcast(_labelled(labels, id_col))  # LABEL_ROWS at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -98,23 +99,31 @@ def importance(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 target += np.bincount(bucket[good[i:j][own]], minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(raw), pa.array(target)], ["bucket", "raw", "target"])
 
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = rows.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    ratio = sc.broadcast(_weights(raw, target) if target.sum() else np.zeros(BUCKETS))
+    return known, sc.broadcast(_weights(raw, target) if target.sum() else np.zeros(BUCKETS))
+
+
+def weighed(rows: DataFrame, model, id_col: str, text_col: str, weight: str = "weight", size: str = "n_grams", label: str = "label") -> DataFrame:
+    """rows plus importance weight, number of n-grams and (sampled rows) label; nothing is shuffled."""
+    known, ratio = model
+    id_at, text_at = rows.columns.index(id_col), rows.columns.index(text_col)
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in rows.schema], T.StructField(weight, T.DoubleType()), T.StructField(size, T.LongType()), T.StructField(label, T.IntegerType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets, _ = utf8(batch.column(1))
-            weight, size = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            data, offsets, _ = utf8(batch.column(text_at))
+            w, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for i, j, own, bucket in ngram_buckets(data, offsets):
-                weight[i:j] += np.bincount(own, ratio.value[bucket], minlength=j - i)
-                size[i:j] += np.bincount(own, minlength=j - i)
-            label = [known.value.get(d) for d in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(size), pa.array(label, pa.int32())], ["doc_id", "weight", "n_grams", "label"])
+                w[i:j] += np.bincount(own, ratio.value[bucket], minlength=j - i)
+                n[i:j] += np.bincount(own, minlength=j - i)
+            y = [known.value.get(d) for d in batch.column(id_at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w), pa.array(n), pa.array(y, pa.int32())], names=[f.name for f in schema])
 
-    return rows.mapInArrow(score, "doc_id long, weight double, n_grams long, label int")
+    return rows.mapInArrow(score, schema)
 
 
 def separating_level(weights: np.ndarray, good: np.ndarray) -> float:
@@ -156,15 +165,34 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
             return lo
 
 
-def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, weight, n_grams, key, kept: Gumbel top-k draw over all rows by importance weight."""
-    scored = importance(docs, labels, id_col, text_col)
-    # the same row always gets the same noise: a uniform number from the id and, for a null id, the weight
-    uniform = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id", F.when(F.col("doc_id").isNull(), F.col("weight"))), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
-    keys = stored(scored.withColumn("key", F.col("weight") - F.log(-F.log(uniform))), "quality")
+def gumbel_key(id_col: str, weight: str) -> Column:
+    """Weight plus Gumbel noise; the same row always gets the same noise, from its id and, for a null id, the weight."""
+    uniform = (F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), F.col(weight))), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
+    return F.col(weight) - F.log(-F.log(uniform))
+
+
+def _drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str):
+    """(model, keys of all rows, the k-th largest key or None)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    model = fit(rows, labels.withColumnRenamed(id_col, "doc_id"))
+    keys = stored(weighed(rows, model, "doc_id", "text").drop("text").withColumn("key", gumbel_key("doc_id", "weight")), "quality")
     fitted = keys.filter(F.col("label").isNotNull()).select("weight", "label").limit(2 * LABEL_ROWS).toArrow()
     level = separating_level(fitted["weight"].to_numpy(), fitted["label"].to_numpy() == 1)
-    k = keys.filter(F.col("weight") >= F.lit(level)).count()
-    cut = kth_largest(keys, "key", k)
+    return model, keys, kth_largest(keys, "key", keys.filter(F.col("weight") >= F.lit(level)).count())
+
+
+def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, weight, n_grams, key, kept: Gumbel top-k draw over all rows by importance weight."""
+    _, keys, cut = _drawn(docs, labels, id_col, text_col)
     kept = F.lit(False) if cut is None else F.col("key") >= F.lit(cut)
     return keys.select("doc_id", "weight", "n_grams", "key", kept.alias("kept"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The drawn documents, with their own columns."""
+    model, _, cut = _drawn(docs, labels, id_col, text_col)
+    if cut is None:
+        return docs.limit(0)
+    tag = uuid.uuid4().hex
+    rows = weighed(docs, model, id_col, text_col, f"weight_{tag}", f"size_{tag}", f"label_{tag}")
+    return rows.filter(gumbel_key(id_col, f"weight_{tag}") >= F.lit(cut)).select(*docs.columns)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from sitelens.llm import decontaminate as op5
 from sitelens.llm import language as op10
 from sitelens.llm import lines as op7
@@ -135,3 +136,8 @@ LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) n ON n.a = v.vec_id
 @query
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
