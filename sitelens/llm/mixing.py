@@ -28,6 +28,7 @@ NULL_SOURCE = "null_source"
 BUCKET_DIGITS = 3
 #: Slots of sources without a weight start here.
 AFTER_MIX = 1 << 40
+MIX_COLUMNS = ("mix_source", "mix_block", "mix_slot", "mix_position")
 
 
 def integer_weights(targets: DataFrame, period: Column) -> DataFrame:
@@ -68,7 +69,7 @@ def _keys(id_col: str, source_col: str) -> list[Column]:
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source",
         text_col: str | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """docs plus mix_source, mix_block (in its source), mix_slot and mix_position (order by it to read the mix).
+    """docs (less columns of these names) plus mix_source, mix_block (in its source), mix_slot and mix_position (order by it to read the mix).
 
     ``weights``: target weight by source; default: each source weighs the square root of its rows.
     """
@@ -86,14 +87,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     # a source's slots go to each of its parts, so rows join by part: no task gets a whole source
     before = counts.withColumn("mix_before", F.sum("n").over(Window.partitionBy("mix_source").orderBy("mix_bucket")) - F.col("n")).drop("n")
     parts = before.join(dealt.withColumnRenamed("source", "mix_source"), "mix_source", "left")
-    digest = _keys(id_col, source_col)
-    ties = [F.col("mix_hash"), F.col(id_col), *([F.col(text_col)] if text_col else [])]
+    own = docs.drop(*MIX_COLUMNS)
+    ties = [F.col("mix_hash"), F.col("mix_tie")]
     nth = F.row_number().over(Window.partitionBy("mix_source", "mix_bucket").orderBy(*ties)) - 1
-    rows = docs.select("*", *digest).withColumn("mix_nth", nth).join(parts, ["mix_source", "mix_bucket"])
+    tie = F.struct(F.col(id_col), *([F.col(text_col)] if text_col else [])).alias("mix_tie")
+    rows = docs.select(F.struct(*[own[c] for c in own.columns]).alias("mix_own"), tie, *_keys(id_col, source_col))
+    rows = rows.withColumn("mix_nth", nth).drop("mix_tie", "mix_hash").join(parts, ["mix_source", "mix_bucket"])
     row = F.col("mix_before") + F.col("mix_nth")
     rows = rows.withColumn("mix_block", F.floor(row / block_rows).cast("long"))
     of_period = F.element_at("slots", F.pmod(F.col("mix_block"), F.col("a").cast("long")).cast("int") + 1)
     slot = F.when(F.col("a").isNotNull(), F.floor(F.col("mix_block") / F.col("a")) * F.col("period") + of_period).cast("long")
     out = rows.withColumn("mix_slot", F.coalesce(slot, F.lit(AFTER_MIX) + F.col("mix_block")))
     place = F.col("mix_slot") * block_rows + F.pmod(row, F.lit(block_rows))
-    return out.withColumn("mix_position", place).select(*[docs[c] for c in docs.columns], "mix_source", "mix_block", "mix_slot", "mix_position")
+    return out.withColumn("mix_position", place).select("mix_own.*", *MIX_COLUMNS)
