@@ -1,8 +1,8 @@
 """HTML evidence column expressions, without an HTML parser.
 
-Pipeline (all native expressions): drop comments, blank the bodies of
-<script> and <style> (their text is raw, so tags inside them are not tags),
-then pull start tags with a quote-aware attribute part and read attributes.
+Pipeline (all native expressions): in one pass drop comments and blank the
+bodies of <script> and <style> (their text is raw: neither tags nor comments
+inside them count, and a script inside a comment is no script), then pull start tags with a quote-aware attribute part and read attributes.
 """
 
 from __future__ import annotations
@@ -10,22 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-COMMENT_RX = r"(?s)<!--.*?-->"
-# whole <script> element: group 1 attribute section, group 2 body
-SCRIPT_ELEM_RX = r"(?is)<script((?:[\s/][^>]*)?)>(.*?)</script\s*>"
-# body of <script>/<style> blanked; the tags themselves stay (H2 needs script src)
-SCRIPT_BODY_RX = r"(?is)(<script\b[^>]*>).*?(</script\s*>)"
-STYLE_BODY_RX = r"(?is)(<style\b[^>]*>).*?(</style\s*>)"
 # quote-aware attribute section of a start tag
 _ATTRS = r"""((?:[^>"']|"[^"]*"|'[^']*')*)"""
 
 
+_RAW_ATTRS = r"(?:[\s/]" + _ATTRS.replace("((?:", "(?:", 1)[:-1] + r")?>"
+# One left-to-right pass: whichever of a comment, a script and a style element starts first swallows the others.
+# Groups: 1 comment text, 2 script start tag, 3 script body, 4 script end tag, 5 style start tag, 6 style end tag.
+RAW_TEXT_RX = (r"(?is)<!--(.*?)-->|(<script" + _RAW_ATTRS + r")(.*?)(</script\s*>)|(<style" + _RAW_ATTRS +
+               r").*?(</style\s*>)")
+
+
 def masked_html(html) -> Column:
     """HTML with comments removed and raw-text element bodies emptied."""
     h = F.col(html) if isinstance(html, str) else html
-    h = F.regexp_replace(h, COMMENT_RX, "")
-    h = F.regexp_replace(h, SCRIPT_BODY_RX, "$1$2")
-    return F.regexp_replace(h, STYLE_BODY_RX, "$1$2")
+    return F.regexp_replace(h, RAW_TEXT_RX, "$2$4$5$6")
+
+
+def raw_text(html, group: int) -> Column:
+    """Array over the comments, scripts and styles of the page, in order: one group of RAW_TEXT_RX ('' elsewhere)."""
+    return F.regexp_extract_all(html, F.lit(RAW_TEXT_RX), group)
 
 
 def start_tag_rx(tag: str) -> str:

@@ -13,14 +13,10 @@ from pyspark.sql import functions as F
 from sitelens.functions import html as H
 from sitelens.functions import urls as U
 
-RAW_HTML_MAX = 200_000      # S5: html is cut to this many chars before matching
-INLINE_SCRIPT_MAX = 2_000   # H4
-SITE_LINKS_MAX = 10         # H9
-
 
 def page_source(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) with html truncated to 200,000 characters."""
-    return pages.select("page_id", "url", F.substring("html", 1, RAW_HTML_MAX).alias("html"))
+    """(page_id, url, html): whole pages, whatever their length."""
+    return pages.select("page_id", "url", "html")
 
 
 def _masked(pages: DataFrame) -> DataFrame:
@@ -40,9 +36,8 @@ _ALL_ATTR_COLS = sorted({c for spec in TAG_ATTRS.values() for c in spec})
 def page_tags(pages: DataFrame, kinds=("meta", "script", "link")) -> DataFrame:
     """One pass over the html: (page_id, kind, pos, <attribute columns>) for every start tag of ``kinds``.
 
-    The html is masked once and every tag kind is read from that one value; the
-    (small) tag table is then hash-partitioned by page, so every consumer of it
-    reads the same shuffle output instead of re-scanning the html.
+    The html is masked once and every tag kind is read from that one value.  Callers with several
+    consumers partition the (small) tag table by page, so all of them read one shuffle output.
     """
     m = _masked(pages)
 
@@ -56,7 +51,7 @@ def page_tags(pages: DataFrame, kinds=("meta", "script", "link")) -> DataFrame:
     g = m.select("page_id", F.explode(F.concat(*[recs(k) for k in kinds])).alias("t"))
     out = g.select("page_id", F.col("t.kind").alias("kind"), F.col("t.pos").alias("pos"),
                    *[H.clean_attr(F.col("t._raw_" + c)).alias(c) for c in _ALL_ATTR_COLS])
-    return out.repartition("page_id")
+    return out
 
 
 def meta_tags(pages: DataFrame, tags: DataFrame | None = None) -> DataFrame:
@@ -85,22 +80,16 @@ def link_hrefs(pages: DataFrame, tags: DataFrame | None = None) -> DataFrame:
 
 
 def inline_scripts(pages: DataFrame) -> DataFrame:
-    """H4: bodies of <script> without src, trimmed, non-empty, cut to 2,000 chars."""
-    h = F.regexp_replace("html", H.COMMENT_RX, "")
-    blocks = pages.select("page_id", F.posexplode(F.arrays_zip(
-        F.regexp_extract_all(h, F.lit(H.SCRIPT_ELEM_RX), 1).alias("attrs"),
-        F.regexp_extract_all(h, F.lit(H.SCRIPT_ELEM_RX), 2).alias("body"))).alias("pos", "s"))
-    return blocks.filter(~H.has_attr(F.col("s.attrs"), "src")) \
-        .select("page_id", "pos", F.substring(F.trim("s.body"), 1, INLINE_SCRIPT_MAX).alias("script")) \
-        .filter(F.col("script") != "")
+    """H4: whole bodies of <script> without src, trimmed, non-empty; a comment mark inside a body is part of it."""
+    blocks = pages.select("page_id", F.posexplode(F.arrays_zip(H.raw_text("html", 2).alias("tag"), H.raw_text("html", 3).alias("body"))).alias("pos", "s"))
+    attrs = F.regexp_replace("s.tag", r"(?i)^<script|>$", "")
+    return blocks.filter((F.col("s.tag") != "") & ~H.has_attr(attrs, "src")) \
+        .select("page_id", "pos", F.trim("s.body").alias("script")).filter(F.col("script") != "")
 
 
 def html_comments(pages: DataFrame) -> DataFrame:
     """H5: comment texts, trimmed, non-empty (comments inside script/style bodies are text, not comments)."""
-    h = F.regexp_replace("html", H.SCRIPT_BODY_RX, "$1$2")
-    h = F.regexp_replace(h, H.STYLE_BODY_RX, "$1$2")
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all(h, F.lit(r"(?s)<!--(.*?)-->"), 1))
-                        .alias("pos", "comment")) \
+    return pages.select("page_id", F.posexplode(H.raw_text("html", 1)).alias("pos", "comment")) \
         .select("page_id", "pos", F.trim("comment").alias("comment")).filter(F.col("comment") != "")
 
 
@@ -133,15 +122,16 @@ def manifest_url(pages: DataFrame, tags: DataFrame | None = None) -> DataFrame:
                                                                       & (F.col("manifest_url") != ""))
 
 
-def site_links(pages: DataFrame, limit: int = SITE_LINKS_MAX) -> DataFrame:
-    """H9: <a href> resolved against the page, fragment dropped, same netloc, deduped, first ``limit``."""
+def site_links(pages: DataFrame) -> DataFrame:
+    """H9: <a href> resolved against the page, fragment dropped, same netloc, deduped; all of them, ranked
+    by first appearance (a caller with a quota filters by rank)."""
     tags = H.tag_rows(_masked(pages), "mh", "a", {"href": "href"}, keep=("page_id", "url"))
     resolved = F.regexp_replace(U.resolve_url(F.col("url"), F.col("href")), "#.*$", "")
     links = tags.filter(F.col("href").isNotNull()).select("page_id", "url", "pos", resolved.alias("link")) \
         .filter(U.url_netloc("link") == U.url_netloc("url")) \
         .groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
     w = Window.partitionBy("page_id").orderBy("pos")
-    return links.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return links.withColumn("rank", F.row_number().over(w))
 
 
 # --- response tables (S6-S9, S18) ---------------------------------------------
@@ -162,12 +152,13 @@ def fold_headers(headers: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def redirect_hops(headers: DataFrame, status: DataFrame) -> DataFrame:
-    """One row per redirect hop (not the final one) with allow-listed headers only."""
+    """One row per redirect hop (not the final one) with allow-listed headers only; a repeated
+    header is joined ', ' in arrival order, as on the final response."""
     fh = final_hop(status)
     hops = status.join(fh, "page_id").filter(F.col("hop") < F.col("final_hop")).select("page_id", "hop", "status")
-    hh = headers.filter(F.lower("name").isin(REDIRECT_KEEP)) \
-        .groupBy("page_id", "hop").agg(F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct(F.lower("name").alias("k"), "value")))).alias("headers"))
+    folded = headers.filter(F.lower("name").isin(REDIRECT_KEEP)).groupBy("page_id", "hop", F.lower("name").alias("k")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), ", ").alias("value"))
+    hh = folded.groupBy("page_id", "hop").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "value")))).alias("headers"))
     return hops.join(hh, ["page_id", "hop"], "left")
 
 

@@ -131,7 +131,7 @@ def q_html_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @oracle("html_rule_match")
 def o_html_rule_match() -> str:
-    return f"""WITH pg AS (SELECT page_id, substr(html, 1, 200000) AS html FROM pages),
+    return f"""WITH pg AS (SELECT page_id, html FROM pages),
 m AS ({o_html_matches('pg')})
 SELECT {SCORED_COLS} FROM ({o_score('m')}) s"""
 

@@ -43,9 +43,11 @@ def f5(spark, sf_dir):
 
 # --- DuckDB versions of the html expressions ---------------------------------------
 def d_masked(h: str) -> str:
-    h = f"regexp_replace({h}, {q(H.COMMENT_RX)}, '', 'g')"
-    h = f"regexp_replace({h}, {q(H.SCRIPT_BODY_RX)}, '\\1\\2', 'g')"
-    return f"regexp_replace({h}, {q(H.STYLE_BODY_RX)}, '\\1\\2', 'g')"
+    return f"regexp_replace({h}, {q(H.RAW_TEXT_RX)}, '\\2\\4\\5\\6', 'g')"
+
+
+def d_raw_text(h: str, group: int) -> str:
+    return f"regexp_extract_all({h}, {q(H.RAW_TEXT_RX)}, {group})"
 
 
 def d_tags(mh: str, tag: str) -> str:
@@ -71,7 +73,7 @@ def d_explode(src: str, arr: str, cols: str = "page_id") -> str:
   SELECT {cols}, arr, generate_subscripts(arr, 1) AS pos FROM (SELECT {cols}, {arr} AS arr FROM {src}))"""
 
 
-F2_CTE = f"WITH f2 AS (SELECT page_id, url, substr(html, 1, 200000) AS html FROM ({FD.f2_sql()}))"
+F2_CTE = f"WITH f2 AS (SELECT page_id, url, html FROM ({FD.f2_sql()}))"
 
 
 # ---------------------------------------------------------------------------
@@ -127,14 +129,12 @@ def q_inline_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @oracle("inline_scripts")
 def o_inline_scripts() -> str:
-    h = f"regexp_replace(html, {q(H.COMMENT_RX)}, '', 'g')"
     return f"""{F2_CTE},
-b AS (SELECT page_id, regexp_extract_all({h}, {q(H.SCRIPT_ELEM_RX)}, 1) AS attrs,
-             regexp_extract_all({h}, {q(H.SCRIPT_ELEM_RX)}, 2) AS bodies FROM f2),
-t AS (SELECT page_id, pos - 1 AS pos, attrs[pos] AS attrs, bodies[pos] AS body
-      FROM (SELECT *, generate_subscripts(attrs, 1) AS pos FROM b))
-SELECT page_id, pos, substr(trim(body), 1, 2000) AS script FROM t
-WHERE NOT regexp_matches(attrs, {q(H.has_attr_rx('src'))}) AND trim(body) <> ''"""
+b AS (SELECT page_id, {d_raw_text('html', 2)} AS tags, {d_raw_text('html', 3)} AS bodies FROM f2),
+t AS (SELECT page_id, pos - 1 AS pos, regexp_replace(tags[pos], '^<[A-Za-z]+|>$', '', 'g') AS attrs, tags[pos] AS tag, bodies[pos] AS body
+      FROM (SELECT *, generate_subscripts(tags, 1) AS pos FROM b))
+SELECT page_id, pos, trim(body) AS script FROM t
+WHERE tag <> '' AND NOT regexp_matches(attrs, {q(H.has_attr_rx('src'))}) AND trim(body) <> ''"""
 
 
 @query("html_comments")
@@ -144,9 +144,8 @@ def q_html_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @oracle("html_comments")
 def o_html_comments() -> str:
-    h = f"regexp_replace(regexp_replace(html, {q(H.SCRIPT_BODY_RX)}, '\\1\\2', 'g'), {q(H.STYLE_BODY_RX)}, '\\1\\2', 'g')"
     return f"""{F2_CTE},
-t AS ({d_explode('f2', f"regexp_extract_all({h}, '(?s)<!--(.*?)-->', 1)")})
+t AS ({d_explode('f2', d_raw_text('html', 1))})
 SELECT page_id, pos, trim(a) AS comment FROM t WHERE trim(a) <> ''"""
 
 
@@ -220,7 +219,7 @@ r AS (SELECT page_id, url, pos, {d_attr('a', 'href')} AS href FROM t),
 l AS (SELECT page_id, url, pos, regexp_replace({resolved}, '#.*$', '') AS link FROM r WHERE href IS NOT NULL),
 d AS (SELECT page_id, link, min(pos) AS pos FROM l WHERE {nl('link')} = {nl('url')} GROUP BY page_id, link),
 k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM d)
-SELECT page_id, link, pos, rank FROM k WHERE rank <= 10"""
+SELECT page_id, link, pos, rank FROM k"""
 
 
 # ---------------------------------------------------------------------------
@@ -282,7 +281,7 @@ def o_redirect_hops() -> str:
     keep = ", ".join(q(k) for k in E.REDIRECT_KEEP)
     return f"""{F3_CTE},
 hops AS (SELECT st.page_id, st.hop, st.status FROM st JOIN fh ON st.page_id = fh.page_id AND st.hop < fh.final_hop),
-hh AS (SELECT page_id, hop, lower(name) AS name, arg_max(value, pos) AS value FROM h
+hh AS (SELECT page_id, hop, lower(name) AS name, string_agg(value, ', ' ORDER BY pos) AS value FROM h
        WHERE lower(name) IN ({keep}) GROUP BY page_id, hop, lower(name))
 SELECT hops.page_id, hops.hop, hops.status, hh.name, hh.value
 FROM hops LEFT JOIN hh ON hops.page_id = hh.page_id AND hops.hop = hh.hop"""
