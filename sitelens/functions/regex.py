@@ -4,8 +4,8 @@
 * ``literal``: the longest run of characters every match must contain,
   lower-cased, ASCII only, >= 3 chars; ``None`` when no such run is provable.
   It is used as a prefilter: ``regex matches text  =>  literal in fold(text)``.
-* ``valid``: compiles in Python and uses no construct java.util.regex rejects
-  (M15 quarantine: one bad pattern in ``rlike`` would fail the whole query).
+* ``java_form``: the pattern in java.util.regex syntax; a pattern without one is
+  quarantined (M15: one bad pattern in ``rlike`` would fail the whole query).
 """
 
 from __future__ import annotations
@@ -20,29 +20,89 @@ except ImportError:  # pragma: no cover
     import sre_parse as _sp  # type: ignore
 
 MIN_LITERAL = 3
-# Python-only syntax that java.util.regex refuses
-_JAVA_UNSUPPORTED = ("(?P<", "(?P=", "(?(", "(?#")
 
 
 def n_groups(pattern: str) -> int:
     try:
         return re.compile(pattern).groups
-    except re.error:
+    except (re.error, OverflowError, RecursionError):
         return 0
 
 
-def is_valid(pattern: str) -> bool:
+class _Untranslatable(Exception):
+    """A construct that java.util.regex has no form for."""
+
+
+def _char(code: int) -> str:
+    c = chr(code)
+    return c if c.isascii() and c.isalnum() else f"\\x{{{code:x}}}"
+
+
+_CATEGORY = {"CATEGORY_DIGIT": r"\d", "CATEGORY_NOT_DIGIT": r"\D", "CATEGORY_SPACE": r"\s",
+             "CATEGORY_NOT_SPACE": r"\S", "CATEGORY_WORD": r"\w", "CATEGORY_NOT_WORD": r"\W"}
+_ANCHOR = {"AT_BEGINNING": "^", "AT_BEGINNING_STRING": r"\A", "AT_END": "$", "AT_END_STRING": r"\z",
+           "AT_BOUNDARY": r"\b", "AT_NON_BOUNDARY": r"\B"}
+
+
+def _emit(seq, flags: int) -> str:
+    """java.util.regex text of a parsed sequence: every character is escaped, so no Java-only meaning arises."""
+    out = []
+    for op, av in seq:
+        name = str(op)
+        if op is _sc.LITERAL:
+            out.append(_char(av))
+        elif op is _sc.NOT_LITERAL:
+            out.append(f"[^{_char(av)}]")
+        elif op is _sc.ANY:
+            out.append(r"[\s\S]" if flags & re.DOTALL else r"[^\n]")
+        elif op is _sc.IN:
+            items = [x for x in av if x[0] is not _sc.NEGATE]
+            body = "".join(_CATEGORY[str(v)] if o is _sc.CATEGORY else
+                           f"{_char(v[0])}-{_char(v[1])}" if o is _sc.RANGE else _char(v) for o, v in items)
+            out.append(f"[{'^' if len(items) < len(av) else ''}{body}]")
+        elif op is _sc.BRANCH:
+            out.append("(?:" + "|".join(_emit(x, flags) for x in av[1]) + ")")
+        elif op is _sc.SUBPATTERN:
+            group, add, drop, inner = av
+            out.append(("(" if group is not None else "(?:") + _emit(inner, (flags | add) & ~drop) + ")")
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            lo, hi, inner = av
+            most = "" if hi is _sc.MAXREPEAT else str(hi)
+            kind = {"MAX_REPEAT": "", "MIN_REPEAT": "?", "POSSESSIVE_REPEAT": "+"}[name]
+            out.append(f"(?:{_emit(inner, flags)}){{{lo},{most}}}{kind}")
+        elif op is _sc.AT and str(av) in _ANCHOR:
+            out.append(_ANCHOR[str(av)])
+        elif op in (_sc.ASSERT, _sc.ASSERT_NOT):
+            direction, inner = av
+            out.append(f"(?{'<' if direction < 0 else ''}{'=' if op is _sc.ASSERT else '!'}{_emit(inner, flags)})")
+        elif op is _sc.GROUPREF:
+            out.append(f"(?:\\{av})")
+        elif name == "ATOMIC_GROUP":
+            out.append(f"(?>{_emit(av, flags)})")
+        else:
+            raise _Untranslatable(name)
+    return "".join(out)
+
+
+def java_form(pattern: str | None) -> str | None:
+    """The pattern in java.util.regex syntax, or None if it is no valid regex or has no Java form.
+
+    Written out anew from the parse tree, so what Python accepts and Java reads differently (named groups,
+    ``{,n}``, brackets and ``&&`` inside classes) neither fails nor changes its meaning in ``rlike``.
+    """
     if pattern is None:
-        return False
+        return None
     try:
         re.compile(pattern)
-    except re.error:
-        return False
-    if any(tok in pattern for tok in _JAVA_UNSUPPORTED):
-        return False
-    if re.search(r"(?<!\\)\{,\d", pattern):
-        return False
-    return True
+        parsed = _sp.parse(pattern)
+        flags = parsed.state.flags
+        return ("(?m)" if flags & re.MULTILINE else "") + _emit(parsed, flags)
+    except (re.error, _Untranslatable, OverflowError, RecursionError, KeyError, ValueError):
+        return None
+
+
+def is_valid(pattern: str) -> bool:
+    return java_form(pattern) is not None
 
 
 def _runs(seq, out: list[str]) -> None:
@@ -89,8 +149,7 @@ def mandatory_literal(pattern: str) -> str | None:
 
 
 def analyze(pattern: str) -> tuple[int, str | None, bool]:
-    ok = is_valid(pattern)
-    if not ok:
+    if not is_valid(pattern):
         return 0, None, False
     return n_groups(pattern), mandatory_literal(pattern), True
 

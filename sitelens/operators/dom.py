@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.functions import regex as rx
+
 DOM_MATCH_CUT = 100     # M8
 DOM_CRITERIA_CUT = 120  # M10
 SRC_RANK_DOM = 6
@@ -207,18 +209,13 @@ def dom_evidence(elements: DataFrame, alts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Synthetic findings
 # ---------------------------------------------------------------------------
-_URL_SEL = r"^([a-zA-Z0-9_-]*)\[([a-zA-Z0-9_-]+)([~|^$*]?=)['\"]?([^'\"\]]+)['\"]?\]$"
-
-
 def url_selector_alternatives(dom_rules: DataFrame) -> DataFrame:
-    """M11 compile: (selector, attr, op, val) for alternatives of the form tag[attr op 'v'] on URL attrs."""
+    """M11 compile: (selector, alt, attr, op, val) for alternatives that are one valued test of a URL attribute."""
     s = dom_rules.select("selector").distinct()
-    alts = s.select("selector", F.posexplode(F.split("selector", ",")).alias("alt", "sub")) \
-        .withColumn("sub", F.trim("sub"))
-    m = alts.filter(F.col("sub").rlike(_URL_SEL)).select(
-        "selector", "alt", F.regexp_extract("sub", _URL_SEL, 2).alias("attr"),
-        F.regexp_extract("sub", _URL_SEL, 3).alias("op"), F.regexp_extract("sub", _URL_SEL, 4).alias("val"))
-    return m.filter(F.col("attr").isin(URL_ATTRS))
+    alts = s.select("selector", F.posexplode(F.split("selector", ",")).alias("alt", "sub"))
+    one = alts.withColumn("conds", _parse_selectors(F.trim("sub"))[0]["conds"]).filter(F.size("conds") == 1)
+    m = one.select("selector", "alt", F.inline("conds"))
+    return m.filter(F.col("attr").isin(URL_ATTRS) & (F.coalesce("val", F.lit("")) != ""))
 
 
 def url_matches(url: Column) -> Column:
@@ -268,34 +265,20 @@ def merge_dom_findings(static: DataFrame, browser: DataFrame | None) -> DataFram
 # ---------------------------------------------------------------------------
 # DOM rules against findings
 # ---------------------------------------------------------------------------
-def _criteria_ok(text: Column) -> Column:
-    t_ok = F.col("text_rx").isNull() | F.regexp_like(F.coalesce(text, F.lit("")),
-                                                    F.concat(F.lit("(?iu)"), F.col("text_rx")))
-    a_ok = F.coalesce(F.forall(F.map_entries(F.coalesce("attr_rx", F.create_map().cast("map<string,string>"))),
-                               lambda e: F.col("attrs")[e["key"]].isNotNull() &
-                               F.regexp_like(F.col("attrs")[e["key"]], F.concat(F.lit("(?iu)"), e["value"]))),
-                      F.lit(True))
-    p_ok = F.coalesce(F.forall(F.map_entries(F.coalesce("prop_rx", F.create_map().cast("map<string,string>"))),
-                               lambda e: F.col("attrs")[e["key"]].isNotNull() &
-                               F.regexp_like(F.col("attrs")[e["key"]], F.concat(F.lit("(?iu)"), e["value"]))),
-                      F.lit(True))
-    return t_ok & a_ok & p_ok
+def _value_of(c: Column) -> Column:
+    """What a criterion tests: the element's text, or one of its attributes."""
+    return F.when(c["kind"] == "text", F.coalesce(F.col("text"), F.lit(""))).otherwise(F.col("attrs")[c["key"]])
 
 
-def _criteria_version() -> Column:
-    """First non-empty capture: text, then attributes, then properties (map order)."""
-    def cap(value: Column, pattern: Column) -> Column:
-        return F.nullif(F.call_function("regexp_extract", F.coalesce(value, F.lit("")),
-                                        F.concat(F.lit("(?iu)"), pattern), F.lit(1)), F.lit(""))
+def _criteria_ok() -> Column:
+    return F.forall("criteria", lambda c: F.coalesce(F.regexp_like(_value_of(c), F.concat(F.lit("(?iu)"), c["rx"])), F.lit(False)))
 
-    def grp(p: Column) -> Column:
-        return F.when(F.coalesce(p, F.lit("")) != "", F.lit(1)).otherwise(F.lit(0))
 
-    t = F.when(F.col("text_rx").isNotNull() & (F.col("text_groups") > 0), cap(F.col("text"), F.col("text_rx")))
-    empty = F.create_map().cast("map<string,string>")
-    attrs = F.transform(F.map_entries(F.coalesce("attr_rx", empty)), lambda e: cap(F.col("attrs")[e["key"]], e["value"]))
-    props = F.transform(F.map_entries(F.coalesce("prop_rx", empty)), lambda e: cap(F.col("attrs")[e["key"]], e["value"]))
-    return F.try_element_at(F.filter(F.concat(F.array(t), attrs, props), lambda x: x.isNotNull()), F.lit(1))
+def _criteria_version() -> Column:
+    """First non-empty capture: text, then attributes, then properties (map order); patterns without a group have none."""
+    got = F.transform("criteria", lambda c: F.when(c["n_groups"] > 0, F.call_function(
+        "regexp_extract", _value_of(c), F.concat(F.lit("(?iu)"), c["rx"]), F.lit(1))))
+    return F.try_element_at(F.filter(got, lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(1))
 
 
 def match_dom(findings: DataFrame, dom_rules: DataFrame) -> DataFrame:
@@ -317,7 +300,7 @@ def match_dom(findings: DataFrame, dom_rules: DataFrame) -> DataFrame:
                    F.concat(F.lit("Element exists: "), F.col("selector")).alias("matched"),
                    F.lit("").alias("pattern"), F.lit(None).cast("string").alias("version"))
     # First element meeting every criterion
-    cr = j.filter(F.col("kind") == "criteria").filter(_criteria_ok(F.col("text")))
+    cr = j.filter(F.col("kind") == "criteria").filter(_criteria_ok())
     cr = cr.withColumn("version", _criteria_version())
     details = F.concat_ws(", ",
                           F.when(F.col("text_rx").isNotNull(), F.concat(F.lit("text: "), F.col("text"))),
@@ -336,14 +319,43 @@ def match_dom(findings: DataFrame, dom_rules: DataFrame) -> DataFrame:
     return lst.unionByName(ex).unionByName(cr)
 
 
+_CRITERIA = T.ArrayType(T.StructType([
+    T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), T.StructField("pattern", T.StringType()),
+    T.StructField("rx", T.StringType()), T.StructField("n_groups", T.IntegerType())]))
+
+
+@F.pandas_udf(_CRITERIA)
+def _compile_criteria(criteria: pd.Series) -> pd.Series:
+    return pd.Series([None if rows is None else [
+        {"kind": c["kind"], "key": c["key"], "pattern": c["pattern"], "rx": rx.java_form(c["pattern"]), "n_groups": rx.n_groups(c["pattern"] or "")}
+        for c in rows] for rows in criteria])
+
+
+def _with_criteria(dom_rules: DataFrame) -> DataFrame:
+    """dom rules plus ``criteria``: the compiled regexes of text, attributes and properties (``rx`` null: no valid regex)."""
+    empty = F.create_map().cast("map<string,string>")
+
+    def listed(kind: str, entries: Column) -> Column:
+        return F.transform(entries, lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("key"), F.coalesce(e["value"], F.lit("")).alias("pattern")))
+
+    text = F.when(F.col("text_rx").isNotNull(), F.create_map(F.lit(""), F.col("text_rx"))).otherwise(empty)
+    each = F.concat(*[listed(k, F.map_entries(F.coalesce(m, empty))) for k, m in (("text", text), ("attribute", F.col("attr_rx")), ("property", F.col("prop_rx")))])
+    return dom_rules.withColumn("criteria", _compile_criteria(each))
+
+
 def prepare_dom_rules(dom_rules: DataFrame) -> DataFrame:
-    """dom rules plus the group count of the text regex and the sub-rule as JSON (evidence pattern)."""
-    from sitelens.sources.rules import analyze_pattern
-    d = dom_rules.withColumn("text_groups", F.when(F.col("text_rx").isNotNull(),
-                                                   analyze_pattern(F.col("text_rx"))["n_groups"]))
+    """dom rules with compiled criteria and the sub-rule as JSON (evidence pattern); rules with a bad regex are left
+    to ``bad_dom_rules``."""
     sub = F.to_json(F.struct(F.col("text_rx").alias("text"), F.col("attr_rx").alias("attributes"),
                              F.col("prop_rx").alias("properties")))
-    return d.withColumn("sub_json", sub)
+    return _with_criteria(dom_rules).filter(F.forall("criteria", lambda c: c["rx"].isNotNull())).withColumn("sub_json", sub)
+
+
+def bad_dom_rules(dom_rules: DataFrame) -> DataFrame:
+    """M15 for DOM criteria: (tech_key, src, key, pattern, reason) of every regex without a valid form."""
+    c = _with_criteria(dom_rules).select("tech_key", "selector", F.explode("criteria").alias("c")).filter(F.col("c.rx").isNull())
+    return c.select("tech_key", F.lit("dom").alias("src"), F.col("selector").alias("key"), F.col("c.pattern").alias("pattern"),
+                    F.lit("invalid regex").alias("reason"))
 
 
 def page_dom_findings(pages: DataFrame, dom_rules: DataFrame, requests: DataFrame | None = None,

@@ -6,7 +6,8 @@ matches_raw(page_id, tech_key, src, src_rank, pos, key, matched, pattern, versio
   regex on the value: no shuffle, the page side never moves.
 * M4 and M5 are theta joins, run through the literal prefilter
   (``operators.prefilter``) so regexes only run on candidate pairs.
-All regexes are case-insensitive and unanchored (``(?iu)`` + pattern).
+All regexes are case-insensitive and unanchored (``(?iu)`` + the compiled form ``rx``;
+``pattern`` is the rule's own text).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ JS_VALUE_CUT = 100
 MATCH_COLS = ["page_id", "tech_key", "src", "src_rank", "pos", "key", "matched", "pattern", "version"]
 
 
-def _rx(pattern_col: str = "pattern") -> F.Column:
+def _rx(pattern_col: str = "rx") -> F.Column:
     return F.concat(F.lit(CI), F.col(pattern_col))
 
 

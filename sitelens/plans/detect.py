@@ -53,7 +53,8 @@ def compile_all(rules: DataFrame, with_closure: bool = True) -> CompiledRules:
     """Compile a rule set once: patterns (+ analysis), quarantine, dom rules and the implies closure."""
     rules = localize(rules)
     pats, bad = R.compile_rules(rules)
-    cr = CompiledRules(rules, localize(pats), bad, localize(R.dom_rules(rules)))
+    dom = localize(R.dom_rules(rules))
+    cr = CompiledRules(rules, localize(pats), bad.unionByName(D.bad_dom_rules(dom)), dom)
     if with_closure:
         cr.closure  # noqa: B018 -- materialise now: it belongs to the rule set, not to a page batch
     return cr
@@ -70,11 +71,11 @@ def matches_raw(pages: DataFrame, cr: CompiledRules, headers: DataFrame | None =
         parts.append(M.match_keyed(headers.select("page_id", F.col("name").alias("key_norm"), "value"),
                                    cr.patterns, "header"))
     if "cookie" in sources and cookies is not None:
-        parts.append(M.match_keyed(cookies.select("page_id", F.lower("name").alias("key_norm"), "value")
-                                   .groupBy("page_id", "key_norm").agg(F.last("value").alias("value")),
-                                   cr.patterns, "cookie"))
+        # names that differ in case only: the last in name order wins, whatever the partitioning
+        parts.append(M.match_keyed(cookies.groupBy("page_id", F.lower("name").alias("key_norm"))
+                                   .agg(F.max_by("value", "name").alias("value")), cr.patterns, "cookie"))
     # one html pass for every start-tag source, shared by the branches below
-    tags = E.page_tags(pages, ("meta", "script", "link"))
+    tags = E.page_tags(pages, ("meta", "script", "link")).repartition("page_id")
     if "meta" in sources:
         parts.append(M.match_keyed(E.meta_tags(pages, tags).select("page_id", F.col("key").alias("key_norm"),
                                                                    F.col("content").alias("value")),
@@ -96,11 +97,3 @@ def matches_raw(pages: DataFrame, cr: CompiledRules, headers: DataFrame | None =
     for p in parts[1:]:
         out = out.unionByName(p.select(*M.MATCH_COLS))
     return out
-
-
-def detect_technologies(pages: DataFrame, cr: CompiledRules, **evidence) -> DataFrame:
-    """tech per page with implied ones merged and A6 rank."""
-    raw = matches_raw(pages, cr, **evidence)
-    tech = S.score(raw, cr.rules)
-    merged = I.resolve_implies(tech, cr.rules, cr.closure)
-    return I.rank_matches(merged)

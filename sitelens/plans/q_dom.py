@@ -3,8 +3,6 @@ DOM rule matching (M8-M10, M14) and the full detection with every source (A7).""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +48,6 @@ def q_dom_from_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syn.select("page_id", "selector", "pos", "text", F.explode("attrs").alias("attr", "value"))
 
 
-_URL_SEL = re.compile(r"^([a-zA-Z0-9_-]*)\[([a-zA-Z0-9_-]+)([~|^$*]?=)['\"]?([^'\"\]]+)['\"]?\]$")
-
-
 def _d_css(v: str, op: str, val: str) -> str:
     return {"=": f"{v} = {q(val)}", "*=": f"contains({v}, {q(val)})", "^=": f"starts_with({v}, {q(val)})",
             "$=": f"ends_with({v}, {q(val)})",
@@ -78,9 +73,9 @@ def o_dom_from_requests() -> str:
     for sel in sels:
         subs = [x.strip() for x in sel.split(",")]
         for alt, sub in enumerate(subs):
-            m = _URL_SEL.match(sub)
-            if m and m.group(2) in D.URL_ATTRS:
-                tag, attr, op, val = m.groups()
+            parsed = D.parse_selector(sub)
+            if parsed and len(parsed[0][1]) == 1 and parsed[0][1][0][0] in D.URL_ATTRS and parsed[0][1][0][2]:
+                tag, (attr, op, val) = parsed[0][0], parsed[0][1][0]
                 parts.append(f"SELECT page_id, {q(sel)} AS selector, {alt} * 1000000 + seq AS pos, '' AS text, "
                              f"{q(attr)} AS attr, url AS value FROM req WHERE {_d_url_match(op, val)}")
                 # the page's own markup: a start tag satisfying the same simple selector

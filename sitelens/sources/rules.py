@@ -92,13 +92,14 @@ _ANALYSIS = T.StructType([
     T.StructField("n_groups", T.IntegerType()),
     T.StructField("literal", T.StringType()),
     T.StructField("valid", T.BooleanType()),
+    T.StructField("rx", T.StringType()),
 ])
 
 
 @F.pandas_udf(_ANALYSIS)
 def analyze_pattern(patterns: pd.Series) -> pd.DataFrame:
-    res = [rx.analyze(p) if p is not None else (0, None, False) for p in patterns]
-    return pd.DataFrame(res, columns=["n_groups", "literal", "valid"])
+    res = [(*rx.analyze(p), rx.java_form(p)) if p is not None else (0, None, False, None) for p in patterns]
+    return pd.DataFrame(res, columns=["n_groups", "literal", "valid", "rx"])
 
 
 def _map_patterns(rules: DataFrame, col: str, src: str) -> DataFrame:
@@ -132,7 +133,7 @@ def all_patterns(rules: DataFrame) -> DataFrame:
     # js_global "." means "key exists" and is never run as a regex
     return df.select("tech_key", "ord", "src", "src_rank", "pos", "key", "key_norm", "pattern",
                      F.col("a.n_groups").alias("n_groups"), F.col("a.literal").alias("literal"),
-                     F.col("a.valid").alias("valid"))
+                     F.col("a.valid").alias("valid"), F.col("a.rx").alias("rx"))
 
 
 def compile_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
