@@ -195,11 +195,11 @@ def dom_evidence(elements: DataFrame, alts: DataFrame) -> DataFrame:
     tagged = alts.filter(F.col("tag").isNotNull())
     anytag = alts.filter(F.col("tag").isNull())
     ok = lambda: F.forall("conds", lambda c: cond_holds(F.col("attrs"), c))
-    a = elements.join(F.broadcast(tagged), "tag").filter(ok())
+    a = elements.join(tagged, "tag").filter(ok())
     # tag-less alternatives (e.g. '.cls', '[attr]') test every emitted element: the element
     # side is already restricted to the tags some selector needs or, with such selectors, all
     b = elements.withColumn("_k", F.lit(1)).join(
-        F.broadcast(anytag.drop("tag").withColumn("_k", F.lit(1))), "_k").filter(ok()).drop("_k")
+        anytag.drop("tag").withColumn("_k", F.lit(1)), "_k").filter(ok()).drop("_k")
     u = a.select("page_id", "selector", "pos", "text", "attrs").unionByName(
         b.select("page_id", "selector", "pos", "text", "attrs"))
     # an element matching two alternatives of one selector counts once
@@ -235,7 +235,7 @@ def dom_from_requests(requests: DataFrame, dom_rules: DataFrame, existing: DataF
     alternative becomes a finding {text: '', attributes: {attr: url}} (selector alternative order,
     then request order)."""
     alts = url_selector_alternatives(dom_rules)
-    cand = requests.select("page_id", "seq", "url").join(F.broadcast(alts), how="inner",
+    cand = requests.select("page_id", "seq", "url").join(alts, how="inner",
                                                          on=url_matches(F.col("url")))
     cand = cand.join(existing.select("page_id", "selector").distinct(), ["page_id", "selector"], "left_anti")
     return cand.select("page_id", "selector", (F.col("alt") * 1000000 + F.col("seq")).alias("pos"),
@@ -283,7 +283,7 @@ def _criteria_version() -> Column:
 
 def match_dom(findings: DataFrame, dom_rules: DataFrame) -> DataFrame:
     """M8 (list), M9 (exists), M10 (criteria) -> matches_raw rows (src 'dom')."""
-    j = findings.withColumnRenamed("pos", "fpos").join(F.broadcast(dom_rules), "selector")
+    j = findings.withColumnRenamed("pos", "fpos").join(dom_rules, "selector")
     base = ["page_id", "tech_key", F.lit("dom").alias("src"), F.lit(SRC_RANK_DOM).alias("src_rank"), "pos"]
     # M8: any finding; text of the first one
     lst = j.filter(F.col("kind") == "list").groupBy("page_id", "tech_key", "pos", "selector") \

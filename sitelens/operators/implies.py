@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from sitelens.sources.rules import implies_edges
 
 IMPLIED_CONFIDENCE = 0.6
-CHECKPOINT_EVERY = 8
 
 
 def implies_closure(rules: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -31,7 +30,7 @@ def implies_closure(rules: DataFrame, max_depth: int | None = None) -> DataFrame
     limit = max_depth if max_depth is not None else 1 << 30
     while depth < limit:
         depth += 1
-        step = frontier.join(F.broadcast(edges), frontier.node_key == edges.src_key) \
+        step = frontier.join(edges, frontier.node_key == edges.src_key) \
             .select("root_key", F.col("dst_key").alias("node_key"),
                     F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"))
         step = step.join(visited.select("root_key", "node_key"), ["root_key", "node_key"], "left_anti") \
@@ -40,42 +39,47 @@ def implies_closure(rules: DataFrame, max_depth: int | None = None) -> DataFrame
         if step.isEmpty():  # every node reached: the walk ends after at most (#nodes) rounds
             break
         visited = visited.unionByName(step)
-        if depth % CHECKPOINT_EVERY == 0:
-            visited = visited.checkpoint()  # cut lineage on long chains (shared checkpoint dir)
         frontier = step
     return visited
 
 
-def resolve_implies(tech: DataFrame, rules: DataFrame, closure: DataFrame, materialize: bool = True) -> DataFrame:
+def implied_by_rule(rules: DataFrame, closure: DataFrame) -> DataFrame:
+    """(tech_key, implied ARRAY<STRUCT>): every technology that a rule implies, directly or not, with its way there."""
+    edges = implies_edges(rules)
+    reach = closure.join(edges, closure.node_key == edges.src_key)
+    return reach.groupBy(F.col("root_key").alias("tech_key")).agg(F.collect_list(F.struct(
+        "dst_key", "depth", "path", F.col("pos").alias("epos"), F.col("src_name").alias("via_name"), "dst_raw")).alias("implied"))
+
+
+def resolve_implies(tech: DataFrame, rules: DataFrame, closure: DataFrame) -> DataFrame:
     """Merge implied technologies into per-page tech matches.
 
     tech: (page_id, tech_key, ord, name, category, version, confidence, n_sources, evidence)
     Adds ``implied`` (bool) and ``order_key`` (for the stable A6 ordering).
 
-    ``tech`` feeds two branches (the direct keys and the merge); column pruning makes
-    their plans differ, so without materialising it the whole matching would run twice.
-    It is checkpointed to the shared checkpoint folder (reliable, lineage cut): the
-    scored table is small next to the pages it came from.
+    One branch: each direct row becomes itself and the technologies its rule implies (a rule-level
+    table), and one aggregation by (page, technology) merges both; the matching runs once.
     """
-    if materialize:
-        tech = tech.checkpoint(eager=True)
-    edges = implies_edges(rules)
-    direct_keys = tech.select("page_id", F.col("tech_key").alias("root_key"), F.col("ord").alias("root_ord"))
-    reach = direct_keys.join(F.broadcast(closure), "root_key") \
-        .groupBy("page_id", "node_key").agg(F.min(F.struct("depth", "root_ord", "path")).alias("k"))
-    via = reach.join(F.broadcast(edges), reach.node_key == edges.src_key) \
-        .groupBy("page_id", "dst_key").agg(F.min(F.struct(
-            F.col("k.depth").alias("depth"), F.col("k.root_ord").alias("root_ord"), F.col("k.path").alias("path"),
-            F.col("pos").alias("epos"), F.col("src_name").alias("via_name"), F.col("dst_raw").alias("dst_raw")))
-            .alias("v"))
+    own = ["ord", "name", "category", "version", "confidence", "evidence"]
+    to = implied_by_rule(rules, closure)
+    listed = tech.select("page_id", "tech_key", *own).join(to, "tech_key", "left")
+    direct = F.struct(*own)
+    none = to.schema["implied"].dataType.elementType
+    way = T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("root_ord", none["depth"].dataType), T.StructField("path", none["path"].dataType),
+                        T.StructField("epos", none["epos"].dataType), T.StructField("via_name", T.StringType()), T.StructField("dst_raw", T.StringType())])
+    itself = F.array(F.struct(F.col("tech_key").alias("dst_key"), direct.alias("d"), F.lit(None).cast(way).alias("v")))
+    others = F.transform(F.coalesce("implied", F.array().cast(to.schema["implied"].dataType)), lambda x: F.struct(
+        x["dst_key"].alias("dst_key"), F.when(F.lit(False), direct).alias("d"),
+        F.struct(x["depth"].alias("depth"), F.col("ord").cast(none["depth"].dataType).alias("root_ord"), x["path"].alias("path"), x["epos"].alias("epos"),
+                 x["via_name"].alias("via_name"), x["dst_raw"].alias("dst_raw")).cast(way).alias("v")))
+    each = listed.select("page_id", F.explode(F.concat(itself, others)).alias("e")).select("page_id", "e.*")
+    merged = each.groupBy("page_id", "dst_key").agg(F.first("d", ignorenulls=True).alias("d"), F.min("v").alias("v"))
     info = rules.select(F.col("tech_key").alias("dst_key"), F.col("name").alias("r_name"),
                         F.col("category").alias("r_category"), F.col("ord").alias("r_ord"))
-    via = via.join(F.broadcast(info), "dst_key", "left")
+    j = merged.select("page_id", "dst_key", "d.*", "v").join(info, "dst_key", "left")
     implied_ev = F.struct(F.lit("implies").alias("source"), F.lit("implies").alias("key"),
                           F.concat(F.lit("Implied by "), F.col("v.via_name")).alias("matched"),
                           F.lit("").alias("pattern"))
-    t = tech.withColumnRenamed("tech_key", "dst_key")
-    j = t.join(via, ["page_id", "dst_key"], "full_outer")
     is_direct = F.col("name").isNotNull()
     raise_it = is_direct & F.col("v").isNotNull() & (F.col("confidence") < IMPLIED_CONFIDENCE)
     new = ~is_direct

@@ -51,7 +51,7 @@ def match_keyed(evidence: DataFrame, patterns: DataFrame, src: str) -> DataFrame
     The evidence key reported is the rule's own key; matched = the whole value.
     """
     p = patterns.filter(F.col("src") == src)
-    j = evidence.join(F.broadcast(p), "key_norm").filter(F.regexp_like(F.col("value"), _rx()))
+    j = evidence.join(p, "key_norm").filter(F.regexp_like(F.col("value"), _rx()))
     return j.select("page_id", "tech_key", "src", "src_rank", "pos", "key",
                     F.col("value").alias("matched"), "pattern", _version(F.col("value")).alias("version"))
 
@@ -62,7 +62,7 @@ def match_js_globals(js: DataFrame, patterns: DataFrame) -> DataFrame:
     ev = js.select("page_id", js_key("key").alias("key_norm"), "value", F.col("pos").alias("ev_pos"))
     # the evidence dict keeps the last value for a normalised key
     ev = ev.groupBy("page_id", "key_norm").agg(F.max_by("value", "ev_pos").alias("value"))
-    j = ev.join(F.broadcast(p), "key_norm") \
+    j = ev.join(p, "key_norm") \
         .filter((F.col("pattern") == ".") | F.regexp_like(F.col("value"), _rx()))
     cut = F.when(F.length("value") > JS_VALUE_CUT,
                  F.concat(F.substring("value", 1, JS_VALUE_CUT), F.lit("..."))).otherwise(F.col("value"))

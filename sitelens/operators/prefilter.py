@@ -108,9 +108,9 @@ def regex_join(texts: DataFrame, text_col: str, pats: DataFrame, keys: Column, c
     hits = candidate_ids_udf(bc)
     cand = texts.withColumn("_pids", hits(F.col(text_col))) \
         .select("*", F.explode("_pids").alias("pid")).drop("_pids")
-    a = cand.join(F.broadcast(keyed), "pid").filter(cond)
+    a = cand.join(keyed, "pid").filter(cond)
     if unkeyed.isEmpty():  # the pattern table is a small local relation: no cluster job
         return a
     # no literal: nested loop against a broadcast side that only holds such patterns
-    b = texts.join(F.broadcast(unkeyed), on=cond, how="inner")
+    b = texts.join(unkeyed, on=cond, how="inner")
     return a.unionByName(b)

@@ -140,7 +140,7 @@ def compile_upstream(techs: DataFrame, categories: DataFrame, default_website: s
                  as_list(F.get_json_object(d, "$.cats")).alias("cats"))
     # Lowest priority among known category ids (first listed on ties), slugified; else 'other'
     cats = t.select("file", "pos", F.posexplode("cats").alias("cpos", "cat_id")) \
-        .join(F.broadcast(categories), "cat_id") \
+        .join(categories, "cat_id") \
         .groupBy("file", "pos").agg(F.min_by(slugify(F.col("name")), F.struct("priority", "cpos")).alias("category"))
     t = t.join(cats, ["file", "pos"], "left").withColumn("category", F.coalesce("category", F.lit("other")))
     return t.select(F.col("name").alias("key"), "file", "pos", "name", "category", "website", "confidence",

@@ -28,7 +28,7 @@ def score(matches_raw: DataFrame, rules: DataFrame) -> DataFrame:
     r = rules.select("tech_key", "ord", "name", "category", F.col("confidence").alias("base"))
     conf = F.col("base") + CORROBORATION_STEP * (F.col("n_sources") - 1) + \
         F.when(F.col("version").isNotNull(), VERSION_BOOST).otherwise(0.0)
-    out = g.join(F.broadcast(r), "tech_key").select(
+    out = g.join(r, "tech_key").select(
         "page_id", "tech_key", "ord", "name", "category", "version",
         F.round(F.least(conf, F.lit(1.0)), 2).alias("confidence"), "n_sources",
         F.transform("ev", lambda e: F.struct(e["source"].alias("source"), e["key"].alias("key"),

@@ -1,9 +1,10 @@
 """Wordlists (S13, W1-W14): parse, manifest, per-site selection, priority cap,
 and classification of observed path responses.
 
-All per-site work is bounded before it fans out: a path beyond position
-``MAX_PROBES`` inside its own (deduplicated) file can never reach a site's
-top ``MAX_PROBES``, so files are cut once, independent of the site count.
+Per-site work is bounded before it fans out: paths get their priority tier
+first, and a path beyond position ``MAX_PROBES`` of its tier in its own
+(deduplicated) file can never reach a site's top ``MAX_PROBES``; so each
+(file, tier) is cut once, exactly, independent of the site count.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from sitelens.functions import urls as U
 from sitelens.functions.staging import computed
 
 MAX_PROBES = 500
-MAX_BROADCAST_RANKED_ROWS = 2_000_000  # ranked lists broadcast below this many rows
 SOFT404_MAX_BODY = 10_240
 # File names always probed when no technology matches.
 ALWAYS_PROBE_FILES = [
@@ -74,11 +74,15 @@ def parse_wordlists(lines: DataFrame) -> DataFrame:
     return kept.groupBy("filename", "path").agg(F.min("line_no").alias("pos")).select("filename", "pos", "path")
 
 
-def file_heads(parsed: DataFrame, cap: int) -> DataFrame:
-    """The first ``cap`` paths of every file (row_number <= cap: a group-limited top-k, trimmed
-    map-side before the shuffle, so a huge file never lands whole in one task)."""
-    w = Window.partitionBy("filename").orderBy("pos")
-    return parsed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap).drop("_rn")
+def path_tiers(parsed: DataFrame, manifest: DataFrame, cap: int) -> DataFrame:
+    """(filename, path, pos, tier, file_ord, path_count): W5 tiers -- 0 critical paths of always-probe files, 1 framework
+    files, 2 other always-probe paths -- and of each (file, tier) the first ``cap`` paths (row_number <= cap: a
+    group-limited top-k, trimmed map-side before the shuffle)."""
+    crit = F.col("filename").isin(CRITICAL_FILES) | F.lower(F.regexp_replace("path", "/+$", "")).isin(CRITICAL_PATHS)
+    tier = F.when(F.col("always_probe") & crit, 0).when(~F.col("always_probe"), 1).otherwise(2)
+    t = parsed.join(manifest.select("filename", "file_ord", "always_probe", "path_count"), "filename").withColumn("tier", tier)
+    w = Window.partitionBy("filename", "tier").orderBy("pos")
+    return t.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= cap).drop("_rn", "always_probe")
 
 
 def listing_files(listing: DataFrame) -> DataFrame:
@@ -122,7 +126,7 @@ def wordlist_manifest(files: DataFrame, rules: DataFrame, parsed: DataFrame) ->
     t = rules.select("tech_key").withColumn("tw", word_set("tech_key", True))
     fx = f.select("filename", "fw", F.explode("fw").alias("word"))
     tx = t.select("tech_key", "tw", F.explode("tw").alias("word"))
-    pairs = fx.join(F.broadcast(tx), "word").select("filename", "fw", "tech_key", "tw").distinct()
+    pairs = fx.join(tx, "word").select("filename", "fw", "tech_key", "tw").distinct()
     pairs = pairs.filter(subset_either(F.col("fw"), F.col("tw")))
     tm = pairs.groupBy("filename").agg(F.array_sort(F.collect_set("tech_key")).alias("tech_match"))
     m = f.join(tm, "filename", "left").withColumn("tech_match", F.coalesce("tech_match", F.array().cast("array<string>")))
@@ -137,38 +141,28 @@ def wordlist_manifest(files: DataFrame, rules: DataFrame, parsed: DataFrame) ->
 # ---------------------------------------------------------------------------
 # Selection and priority per site
 # ---------------------------------------------------------------------------
-MAX_LISTED_FILES = 100_000  # the wordlist listing is a small dimension: its file names are collected
-
-
-def _file_list(df: DataFrame) -> list[str]:
-    rows = df.limit(MAX_LISTED_FILES + 1).collect()
-    if len(rows) > MAX_LISTED_FILES:
-        raise ValueError("wordlist listing larger than the bound for a literal file list")
-    return sorted(r["filename"] for r in rows)
-
-
 def select_wordlists(detected: DataFrame, manifest: DataFrame, sites: DataFrame) -> DataFrame:
     """(page_id, fileset) -- per site, the sorted, newline-joined set of selected files:
     every always-probe file, plus files whose keyword words and a detected technology name's
     words are in a subset relation (no generic-word removal; an empty name word set is a
-    subset of every keyword).  The always-probe list is the same for every site, so it is a
-    literal (the listing is a bounded dimension) -- no sites x files product is built."""
+    subset of every keyword).  The always-probe list is the same for every site: it is one row,
+    an array, added to each site -- no sites x files product is built."""
     names = detected.select("page_id", F.lower("name").alias("det")).distinct() \
         .withColumn("dw", word_set("det", False))
     kws = manifest.select("filename", F.explode("tech_match").alias("kw")).withColumn("kw_w", word_set("kw", False)) \
         .filter(F.size("kw_w") > 0)
     nx = names.select("page_id", "dw", F.explode_outer("dw").alias("word"))
     kx = kws.select("filename", "kw_w", F.explode("kw_w").alias("word"))
-    matched = nx.filter(F.col("word").isNotNull()).join(F.broadcast(kx), "word") \
+    matched = nx.filter(F.col("word").isNotNull()).join(kx, "word") \
         .filter(subset_either(F.col("kw_w"), F.col("dw"))).select("page_id", "filename")
     empty = nx.filter(F.col("word").isNull()).select("page_id").distinct().withColumn("_empty", F.lit(True))
-    always = _file_list(manifest.filter("always_probe").select("filename"))
-    kw_files = _file_list(kws.select("filename").distinct())
+    names_of = lambda df, c: df.agg(F.array_sort(F.collect_set("filename")).alias(c))  # noqa: E731  one row, also of nothing
+    lists = names_of(manifest.filter("always_probe"), "always").crossJoin(names_of(kws, "kw_files"))
     per_site = matched.groupBy("page_id").agg(F.collect_set("filename").alias("m"))
     s = sites.select("page_id").distinct().join(per_site, "page_id", "left").join(empty, "page_id", "left")
-    files = F.concat(F.coalesce("m", F.array().cast("array<string>")), F.array(*[F.lit(f) for f in always]).cast("array<string>"),
-                     F.when(F.col("_empty"), F.array(*[F.lit(f) for f in kw_files]).cast("array<string>"))
-                     .otherwise(F.array().cast("array<string>")))
+    s = s.crossJoin(lists)
+    nothing = F.array().cast("array<string>")
+    files = F.concat(F.coalesce("m", nothing), "always", F.when(F.col("_empty"), F.col("kw_files")).otherwise(nothing))
     return s.select("page_id", F.array_join(F.array_sort(F.array_distinct(files)), "\n").alias("fileset")) \
         .filter(F.col("fileset") != "")
 
@@ -183,25 +177,14 @@ def rank_paths(sets: DataFrame, manifest: DataFrame, parsed: DataFrame, cap: int
     """
     fs = sets.select("fileset").distinct()
     fs_files = fs.select("fileset", F.explode(F.split("fileset", "\n")).alias("filename"))
-    head = file_heads(parsed, cap)  # exact: see module note
-    m = manifest.select("filename", "file_ord", "always_probe", "path_count")
-    c = fs_files.join(F.broadcast(m), "filename").join(head, "filename")
-    crit = F.col("filename").isin(CRITICAL_FILES) | \
-        F.lower(F.regexp_replace("path", "/+$", "")).isin(CRITICAL_PATHS)
-    tier = F.when(F.col("always_probe") & crit, 0).when(~F.col("always_probe"), 1).otherwise(2)
-    c = c.withColumn("key", F.struct(tier.alias("tier"),
-                                     F.when(tier == 1, F.col("path_count")).otherwise(F.lit(0)).alias("pc"),
+    c = fs_files.join(path_tiers(parsed, manifest, cap), "filename")
+    c = c.withColumn("key", F.struct("tier", F.when(F.col("tier") == 1, F.col("path_count")).otherwise(F.lit(0)).alias("pc"),
                                      F.col("file_ord"), F.col("pos")))
     first = c.groupBy("fileset", "path").agg(F.min(F.struct("key", "filename")).alias("k"))
     w = Window.partitionBy("fileset").orderBy("k.key")
     ranked = first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap) \
         .select("fileset", "rank", F.col("k.filename").alias("filename"), "path")
-    # Most sites share a few stacks: joining on the file set would put a hot set's sites in one
-    # task.  The ranked lists hold <= cap rows per distinct set; broadcast them when that bound
-    # (checked) is small, otherwise shuffle and let AQE split the skewed partitions.
-    n_sets = fs.count()
-    if n_sets * cap <= MAX_BROADCAST_RANKED_ROWS:
-        ranked = F.broadcast(ranked)
+    # most sites share a few stacks: AQE splits the skewed partitions of a hot file set
     return sets.join(ranked, "fileset").select("page_id", "rank", "filename", "path")
 
 

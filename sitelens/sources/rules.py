@@ -68,8 +68,8 @@ def load_rules(spark: SparkSession, path: str = FIXTURE_RULES, categories_path:
         F.coalesce("implies", empty_arr).alias("implies"),
         "dom",
     )
-    return (rules.join(F.broadcast(cats.withColumnRenamed("slug", "category_slug")
-                                   .withColumnRenamed("name", "category_name")), "category_slug", "left")
+    return (rules.join(cats.withColumnRenamed("slug", "category_slug")
+                                   .withColumnRenamed("name", "category_name"), "category_slug", "left")
             .withColumn("category", F.coalesce("category_name", "category_slug"))
             .drop("category_name"))
 
