@@ -8,7 +8,7 @@ spoil all signatures, so linked sets share one.  Signatures of empty subsets are
 remaining signatures could all be spoiled also signs at twice as many parts, and so on, until it could not.
 
 Documents with equal sets are one class.  Buckets (classes with one signature) of up to ``SMALL`` classes
-give all their pairs.  In larger ones each class first meets a few leaders.  Of the candidates, each class first has the pair with the
+give all their pairs.  In larger ones each class first meets a leader.  Of the candidates, each class first has the pair with the
 class that most others are paired with; links verified so far join classes to components, and of the other
 candidates those between components are verified.  A class needs its larger buckets only as far as its small ones could be spoiled:
 for such classes, whatever members of those buckets are not yet in its component are compared too.  So
@@ -45,8 +45,6 @@ FLUSH, PART = 2_000_000, 1_500_000
 #: Ranges of the domain that a sketch counts.
 CELL_BITS = 8
 CELLS = 1 << CELL_BITS
-#: Leaders of a large bucket.
-LEADERS = 4
 #: Askers, and members, of a large bucket that meet in one task.
 TILE = 512
 #: Parts that members of large buckets, once known as such, are spread over.
@@ -377,15 +375,13 @@ def _resign_batches(parts: int):
 def leader_pairs(large: DataFrame) -> DataFrame:
     """Pairs (a, b) of each class with the leaders of its large buckets.
 
-    Leaders stand in the most large buckets (the copy closest to all others has the fewest changed parts);
-    one is taken from each of ``LEADERS`` random quarters of the classes.
+    A leader stands in the most large buckets of its bucket's classes: the copy closest to all others
+    has the fewest changed parts.
     """
-    central = F.struct(F.col("n"), F.xxhash64("class").alias("h"), F.col("class"))
-    quarter = F.pmod(F.xxhash64(F.lit(1), "class"), F.lit(LEADERS))
     rows = large.join(large.groupBy("class").agg(F.count("*").alias("n")), "class")
-    best = rows.groupBy("bucket").agg(*[F.max(F.when(quarter == q, central)).alias(f"l{q}") for q in range(LEADERS)])
-    led = large.join(best, "bucket").select("class", F.explode(F.array_distinct(F.array(*[F.col(f"l{q}")["class"] for q in range(LEADERS)]))).alias("leader"))
-    return led.filter("class != leader").select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
+    best = rows.groupBy("bucket").agg(F.max(F.struct(F.col("n"), F.xxhash64("class").alias("h"), F.col("class"))).alias("best")).select("bucket", F.col("best.class").alias("leader"))
+    led = large.join(best, "bucket").filter("class != leader")
+    return led.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
 
 
 def hub_pairs(pairs: DataFrame) -> DataFrame:

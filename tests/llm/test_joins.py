@@ -228,3 +228,18 @@ def test_suffix_sort_with_colliding_hashes(monkeypatch):
         order, common = substrings.suffix_sort(data, np.cumsum(size) - size, size, group)
         assert [(group[k], texts[k]) for k in order] == sorted(zip(group.tolist(), texts))
         assert all(common[k] == 0 or texts[order[k]][:common[k]] == texts[order[k - 1]][:common[k]] for k in range(len(order)))
+
+
+def test_components_over_many_tasks(llm, monkeypatch):
+    from sitelens.llm import graph
+    rng = random.Random(3)
+    pairs = [(i, i + 1) for i in range(300)] + [(1000 + rng.randrange(40), 1000 + rng.randrange(40)) for _ in range(30)] + [(2000, 2000 + i) for i in range(1, 50)]
+    ids = sorted({x for p in pairs for x in p})
+    at = {d: i for i, d in enumerate(ids)}
+    want = dict(zip(ids, brute.groups(ids, [(at[a], at[b]) for a, b in pairs])))
+    for per_task in (500_000, 40):
+        monkeypatch.setattr(graph, "LINKS_PER_TASK", per_task)
+        got = {r.node: r.component for r in graph.components(llm.createDataFrame(pairs, "a long, b long")).collect()}
+        linked = {x for a, b in pairs if a != b for x in (a, b)}
+        assert set(got) == linked
+        assert len({(want[d], got[d]) for d in got}) == len({want[d] for d in got}) == len(set(got.values()))
