@@ -127,7 +127,7 @@ def compile_upstream(techs: DataFrame, categories: DataFrame, default_website: s
 
     all_conf = F.filter(F.concat(confs("h"), confs("c"), confs("m"), confs("j"),
                                  F.transform("html_p", lambda p: p["conf"]),
-                                 F.transform("script_p", lambda p: p["conf"])), lambda x: x.isNotNull())
+                                 F.transform("script_p", lambda p: p["conf"]), _dom_confidences(d)), lambda x: x.isNotNull())
     t = t.select("file", "pos", "name", "data",
                  flat_map("h").alias("headers"), flat_map("c").alias("cookies"), flat_map("m").alias("meta"),
                  flat_map("j").alias("js_globals"),
@@ -147,6 +147,12 @@ def compile_upstream(techs: DataFrame, categories: DataFrame, default_website: s
                     "headers", "cookies", "meta", "js_globals", "scripts", "html", "implies", "dom")
 
 
+def _dom_confidences(d: Column) -> Column:
+    """Confidences named in the text, attribute and property patterns of the dom part."""
+    dom = F.coalesce(F.get_json_object(d, "$.dom"), F.lit(""))
+    return F.transform(F.regexp_extract_all(dom, F.lit(r";confidence:(\d+)"), 1), lambda x: x.cast("double") / 100)
+
+
 def _dom(d: Column) -> Column:
     """dom: string -> [s]; list -> strings; dict -> per selector {exists, text, attributes, properties}
     (first usable pattern each, empty attribute/property patterns -> '.'), kept as JSON text."""

@@ -24,7 +24,7 @@ def q_stream_request_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @oracle("stream_request_pairing")
 def o_stream_request_pairing() -> str:
-    return """WITH ev AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id % 20 AS k, event_type FROM events
+    return """WITH ev AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS k, event_type FROM events
             WHERE event_type IN ('click', 'view'))
 SELECT r.event_id AS req_id, r.k, epoch_us(r.ts) AS req_us, s.event_id AS resp_id, epoch_us(s.ts) AS resp_us
 FROM ev r LEFT JOIN ev s ON s.event_type = 'view' AND s.k = r.k AND s.ts >= r.ts AND s.ts <= r.ts + INTERVAL 1 HOUR
@@ -40,7 +40,7 @@ def q_stream_domain_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @oracle("stream_domain_windows")
 def o_stream_domain_windows() -> str:
     return """SELECT epoch_us(date_trunc('day', CAST(ts AS TIMESTAMP))) AS window_start_us,
-  'cdn' || CAST(user_id % 5 AS VARCHAR) || '.example.io' AS domain, count(*) AS request_count,
+  'cdn' || CAST(user_id AS VARCHAR) || '.example.io' AS domain, count(*) AS request_count,
   array_to_string(list_sort(list_distinct(list(event_type))), ',') AS resource_types
 FROM events GROUP BY 1, 2"""
 

@@ -37,16 +37,19 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def land(df: DataFrame, sentinel: DataFrame, folder: str) -> str:
-    """Write the data file, then the sentinel file (in this order: file order = batch order)."""
+    """Write the data, in as many files as it has partitions, and the sentinel beside it.
+
+    A batch takes all files that are there; the sentinel moves the watermark past them, and the batch
+    that follows emits what was waiting for it.
+    """
     src = os.path.join(folder, "source")
-    df.coalesce(1).write.mode("overwrite").parquet(os.path.join(src, "part=0"))
-    sentinel.coalesce(1).write.mode("overwrite").parquet(os.path.join(src, "part=1"))
+    df.write.mode("overwrite").parquet(os.path.join(src, "part=0"))
+    sentinel.write.mode("overwrite").parquet(os.path.join(src, "part=1"))
     return src
 
 
 def _stream(spark: SparkSession, src: str, schema) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-            .option("recursiveFileLookup", "true").parquet(src))
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
 
 
 def _run(query_df: DataFrame, folder: str, mode: str = "append", batch_fn=None) -> str:
@@ -65,9 +68,9 @@ def _run(query_df: DataFrame, folder: str, mode: str = "append", batch_fn=None)
 # Request / response pairing (stream-stream left outer join)
 # ---------------------------------------------------------------------------
 def request_events(events: DataFrame) -> DataFrame:
-    """clicks are requests, views are responses; key = user_id % 20; ts as TIMESTAMP (UTC)."""
+    """clicks are requests, views are responses; key = the user; ts as TIMESTAMP (UTC)."""
     return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
-                         (F.col("user_id") % 20).alias("k"), "event_type") \
+                         F.col("user_id").alias("k"), "event_type") \
         .filter(F.col("event_type").isin("click", "view"))
 
 
@@ -104,9 +107,9 @@ def stream_pairing(spark: SparkSession, events: DataFrame) -> DataFrame:
 # Windowed external-domain rollup (D1 over tumbling windows)
 # ---------------------------------------------------------------------------
 def domain_events(events: DataFrame) -> DataFrame:
-    """Every event as a third-party request: domain by user bucket, resource type = event type."""
+    """Every event as a third-party request: domain by user, resource type = event type."""
     return events.select(F.col("ts").cast("timestamp").alias("ts"),
-                         F.concat(F.lit("cdn"), (F.col("user_id") % 5).cast("string"), F.lit(".example.io"))
+                         F.concat(F.lit("cdn"), F.col("user_id").cast("string"), F.lit(".example.io"))
                          .alias("domain"), F.col("event_type").alias("resource_type"), "event_id")
 
 
