@@ -1,4 +1,4 @@
-"""DOM selectors, elements and rule forms (cases of the reference's matcher tests)."""
+"""DOM selectors, elements and rule forms (rule forms, evidence strings, request findings)."""
 
 from pyspark.sql import functions as F
 

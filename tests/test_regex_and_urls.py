@@ -20,7 +20,8 @@ def test_groups_and_validity():
     assert rx.n_groups(r"jquery[.-]([\d.]*\d)[^/]*\.js") == 1
     assert rx.n_groups("csrfmiddlewaretoken") == 0
     assert not rx.is_valid("([a")
-    assert not rx.is_valid("(?P<v>x)")       # Python-only syntax is quarantined
+    assert rx.java_form("(?P<v>x)(?P=v)") == r"(x)(?:\1)"   # Python-only syntax is translated
+    assert not rx.is_valid("(x)?(?(1)a|b)")   # a conditional has no Java form
     assert rx.is_valid(r"Apache(?:/([\d.]+))?")
 
 
