@@ -109,14 +109,3 @@ def resolve_url(base, ref) -> Column:
         .when(r.startswith("#"), F.concat(F.regexp_replace(b, "#.*$", ""), r))
         .otherwise(F.concat(origin, base_dir, r))
     )
-
-
-def with_first_party(df, host1: str, host2: str, out: str = "first_party"):
-    """first_party(host1, host2) as a column, staged so each URL piece is computed once
-    (keeps the generated code of wide plans small enough for whole-stage codegen)."""
-    a, b = f"_{out}_a", f"_{out}_b"
-    df = df.withColumn(a, strip_www(host_of(F.lower(F.col(host1))))) \
-           .withColumn(b, strip_www(host_of(F.lower(F.col(host2)))))
-    df = df.withColumn(a + "x", apex_domain(F.col(a))).withColumn(b + "x", apex_domain(F.col(b)))
-    return df.withColumn(out, (F.col(a) == F.col(b)) | (F.col(a + "x") == F.col(b + "x"))) \
-        .drop(a, b, a + "x", b + "x")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.functions import regex as rx
+from sitelens.operators import prefilter as PF
 
 DOM_MATCH_CUT = 100     # M8
 DOM_CRITERIA_CUT = 120  # M10
@@ -196,12 +197,15 @@ def dom_evidence(elements: DataFrame, alts: DataFrame) -> DataFrame:
     anytag = alts.filter(F.col("tag").isNull())
     ok = lambda: F.forall("conds", lambda c: cond_holds(F.col("attrs"), c))
     a = elements.join(tagged, "tag").filter(ok())
-    # tag-less alternatives (e.g. '.cls', '[attr]') test every emitted element: the element
-    # side is already restricted to the tags some selector needs or, with such selectors, all
-    b = elements.withColumn("_k", F.lit(1)).join(
-        anytag.drop("tag").withColumn("_k", F.lit(1)), "_k").filter(ok()).drop("_k")
+    # tag-less alternatives (e.g. '.cls', '[attr]') meet the elements that have the attribute of their first test
+    keyed = anytag.drop("tag").filter(F.size("conds") > 0).withColumn("akey", F.col("conds")[0]["attr"])
+    b = elements.select("*", F.explode(F.map_keys("attrs")).alias("akey")).join(keyed, "akey").filter(ok()).drop("akey")
+    # '*' alone is on every element: its few selectors are one row, an array
+    every = anytag.filter(F.size("conds") == 0).agg(F.collect_set("selector").alias("selectors"))
+    c = elements.crossJoin(every).withColumn("selector", F.explode("selectors"))
     u = a.select("page_id", "selector", "pos", "text", "attrs").unionByName(
-        b.select("page_id", "selector", "pos", "text", "attrs"))
+        b.select("page_id", "selector", "pos", "text", "attrs")).unionByName(
+        c.select("page_id", "selector", "pos", "text", "attrs"))
     # an element matching two alternatives of one selector counts once
     return u.dropDuplicates(["page_id", "selector", "pos"])
 
@@ -235,8 +239,9 @@ def dom_from_requests(requests: DataFrame, dom_rules: DataFrame, existing: DataF
     alternative becomes a finding {text: '', attributes: {attr: url}} (selector alternative order,
     then request order)."""
     alts = url_selector_alternatives(dom_rules)
-    cand = requests.select("page_id", "seq", "url").join(alts, how="inner",
-                                                         on=url_matches(F.col("url")))
+    # every kind of test needs the value inside the URL: the literal prefilter finds the candidates
+    pats = alts.withColumn("pid", F.hash("selector", "alt", "attr", "op", "val"))
+    cand = PF.regex_join(requests.select("page_id", "seq", "url"), "url", pats, F.array(F.lower("val")), url_matches(F.col("url")))
     cand = cand.join(existing.select("page_id", "selector").distinct(), ["page_id", "selector"], "left_anti")
     return cand.select("page_id", "selector", (F.col("alt") * 1000000 + F.col("seq")).alias("pos"),
                        F.lit("").alias("text"), F.create_map(F.col("attr"), F.col("url")).alias("attrs"))

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from sitelens.functions import urls as U
 from sitelens.functions.staging import computed
 
-MAX_SCRIPTS = 15  # J1
 # CDN host fragments whose scripts are never analysed.
 CDN_HOSTS = ["googleapis.com", "cdn.jsdelivr.net", "unpkg.com", "cdnjs.cloudflare.com"]
 # The six route patterns (one capture group each), in order.
@@ -25,8 +24,9 @@ ROUTE_PATTERNS = [
 SOURCEMAP_RX = r"(?://#|//@)\s*sourceMappingURL=(\S+)\s*$"
 
 
-def select_scripts(script_srcs: DataFrame, pages: DataFrame, limit: int = MAX_SCRIPTS) -> DataFrame:
-    """Script srcs resolved against the page URL, CDN hosts dropped, first ``limit`` per page."""
+def select_scripts(script_srcs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Script srcs resolved against the page URL, CDN hosts dropped, all of them ranked in document order
+    (a caller with a quota filters by rank)."""
     s = script_srcs.join(pages.select("page_id", "url"), "page_id")
     src = F.trim("src")
     resolved = F.when(U.is_absolute_http(src), src).otherwise(U.resolve_url(F.col("url"), src))
@@ -34,7 +34,7 @@ def select_scripts(script_srcs: DataFrame, pages: DataFrame, limit: int = MAX_SC
     netloc = U.url_netloc("js_url")
     s = s.filter(~F.exists(F.array(*[F.lit(c) for c in CDN_HOSTS]), lambda c: F.contains(netloc, c)))
     w = Window.partitionBy("page_id").orderBy("pos")
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return s.withColumn("rank", F.row_number().over(w))
 
 
 def extract_routes(text: F.Column) -> F.Column:

@@ -40,8 +40,3 @@ def score(matches_raw: DataFrame, rules: DataFrame) -> DataFrame:
 def evidence_text(col: str = "evidence") -> F.Column:
     """Flat rendering of the evidence array: 'source:key:matched' joined by ' | '."""
     return F.array_join(F.transform(col, lambda e: F.concat_ws(":", e["source"], e["key"], e["matched"])), " | ")
-
-
-def order_matches(tech: DataFrame) -> DataFrame:
-    """Per page, confidence descending; ties keep rule order, implied ones after."""
-    return tech.orderBy("page_id", F.desc("confidence"), "ord_rank")

@@ -56,10 +56,6 @@ def _rules(spark: SparkSession):
     return cr
 
 
-def _feed(spark: SparkSession, sql: str) -> DataFrame:
-    return spark.sql(sql)
-
-
 # ---------------------------------------------------------------------------
 # oracle building blocks
 # ---------------------------------------------------------------------------

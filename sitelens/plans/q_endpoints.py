@@ -238,7 +238,7 @@ s AS (SELECT rr.page_id, rr.pos, f2.url, trim(rr.v) AS src FROM rr JOIN f2 ON rr
       WHERE rr.v IS NOT NULL AND rr.v <> ''),
 r AS (SELECT page_id, pos, {resolved} AS js_url FROM s),
 k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM r WHERE NOT ({cdn}))
-SELECT page_id, pos, js_url, rank FROM k WHERE rank <= 15"""
+SELECT page_id, pos, js_url, rank FROM k"""
 
 
 def d_routes(text: str) -> str:

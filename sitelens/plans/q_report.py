@@ -88,3 +88,15 @@ def q_scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rep = RP.scan_report(spark.table("pages"), tech.withColumn("evidence", F.split("evidence", r" \| ")), ep, deps,
                          rules_count=None)
     return rep.select("page_id", "url", F.to_json(F.struct(*[c for c in rep.columns if c != "page_id"])).alias("report"))
+
+
+@query("tech_versions")
+def q_tech_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: pages per (technology, version)."""
+    return RP.version_distribution(_tech(spark, sf_dir))
+
+
+@oracle("tech_versions")
+def o_tech_versions() -> str:
+    return f"""SELECT name, version, count(DISTINCT page_id) AS pages FROM ({o_tech_with_implied()})
+WHERE version IS NOT NULL GROUP BY name, version"""
