@@ -378,7 +378,8 @@ def leader_pairs(large: DataFrame) -> DataFrame:
     A leader stands in the most large buckets of its bucket's classes: the copy closest to all others
     has the fewest changed parts.
     """
-    rows = large.join(large.groupBy("class").agg(F.count("*").alias("n")), "class")
+    by_class = large.groupBy("class").agg(F.count("*").alias("n"), F.collect_list("bucket").alias("buckets"))  # some signatures of one set
+    rows = by_class.select("class", "n", F.explode("buckets").alias("bucket"))
     best = rows.groupBy("bucket").agg(F.max(F.struct(F.col("n"), F.xxhash64("class").alias("h"), F.col("class"))).alias("best")).select("bucket", F.col("best.class").alias("leader"))
     led = large.join(best, "bucket").filter("class != leader")
     return led.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct()
@@ -412,7 +413,7 @@ def unsettled_links(docs: DataFrame, known: DataFrame, large: DataFrame, label:
     mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     spares = known.groupBy("class").agg(F.min("spare").alias("spare"))
     may_ask = stored(members.groupBy("class").agg(F.count("*").alias("n")).join(spares, "class").filter(F.col("n") > F.col("spare")).select("class"), "askers")
-    met = members.join(may_ask, "class").join(mixed.filter("low != high"), "bucket").select("bucket").distinct()
+    met = members.join(may_ask, "class", "left_semi").join(mixed.filter("low != high"), "bucket").select("bucket").distinct()
     sets = shingle_tables(docs, known, members.join(met, "bucket").select("class").union(may_ask).distinct())
     signed = sets.join(may_ask, "class").select("class", "shingles").mapInArrow(_resign_batches(parts), "class long, bucket long, side long, spare long")
     held = signed.join(members, ["class", "bucket"]).join(mixed, "bucket")
@@ -426,11 +427,16 @@ def unsettled_links(docs: DataFrame, known: DataFrame, large: DataFrame, label:
     sizes = rows.groupBy("bucket").agg(F.ceil(F.max("n") / TILE).alias("tiles"), F.ceil(F.count("*") / TILE).alias("chunks"))
     of = lambda n: F.pmod(F.xxhash64("class"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    present = members.join(sizes, "bucket")
-    have = present.groupBy("class").agg(F.collect_list("bucket").alias("buckets"))
+    spot = F.struct("bucket", "tiles", "chunks")
+    # a class's buckets are listed first, so that its shingles join once and not once a bucket
+    asking = rows.join(sizes, "bucket").groupBy("class", "component").agg(F.collect_list(F.struct(spot.alias("spot"), "buckets")).alias("places"))
+    present = members.join(sizes, "bucket").groupBy("class", "component").agg(F.collect_list(spot).alias("places"))
     shingles = sets.select("class", "shingles")
-    askers = rows.join(sizes, "bucket").join(shingles, "class").select("bucket", every("tiles").alias("tile"), of("chunks").alias("chunk"), F.lit(True).alias("asks"), "class", "component", "shingles", "buckets")
-    answers = present.join(have, "class").join(shingles, "class").select("bucket", of("tiles").alias("tile"), every("chunks").alias("chunk"), F.lit(False).alias("asks"), "class", "component", "shingles", "buckets")
+    askers = asking.join(shingles, "class").withColumn("place", F.explode("places")).select("class", "component", "shingles", "place.buckets", "place.spot.*")
+    askers = askers.select("bucket", every("tiles").alias("tile"), of("chunks").alias("chunk"), F.lit(True).alias("asks"), "class", "component", "shingles", "buckets")
+    answers = present.join(shingles, "class").withColumn("buckets", F.transform("places", lambda x: x["bucket"])).withColumn("place", F.explode("places"))
+    answers = answers.select("class", "component", "shingles", "buckets", "place.*")
+    answers = answers.select("bucket", of("tiles").alias("tile"), every("chunks").alias("chunk"), F.lit(False).alias("asks"), "class", "component", "shingles", "buckets")
     return askers.union(answers).groupBy("bucket", "tile", "chunk").applyInArrow(_tile_links, "a long, b long").distinct()
 
 
