@@ -89,7 +89,7 @@ def has_letter(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
 
 
-def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict | None:
+def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict | None:
     """Model fitted on a bounded sample of the labelled ``rows``, or None without any."""
     rows = rows.filter(F.col(lang_col).isNotNull() & has_letter(text_col))
     sizes = {r[lang_col]: r["n"] for r in rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGS).collect()}
@@ -97,10 +97,9 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
         return None
     langs = sorted(sizes)
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, SAMPLE_ROWS / len(langs) / sizes[k])))])
-    drawn = F.pmod(F.xxhash64(F.lit(SEED), text_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = (rows.select(lang_col, text_col).filter(F.col(lang_col).isin(langs))
-              .filter(drawn < F.element_at(share, F.col(lang_col))))
-    got = (sample.mapInArrow(_sample_batches, "lang string, buckets array<int>, shares array<float>")
+    drawn = F.pmod(F.xxhash64(F.lit(SEED), id_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    sample = rows.filter(F.col(lang_col).isin(langs)).filter(drawn < F.element_at(share, F.col(lang_col)))
+    got = (sample.select(lang_col, text_col).mapInArrow(_sample_batches, "lang string, buckets array<int>, shares array<float>")
            .limit(2 * SAMPLE_ROWS).toArrow())
     x = np.zeros((len(got), BUCKETS), np.float32)
     y = np.array([langs.index(k) for k in got["lang"].to_pylist()])
@@ -174,6 +173,6 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Train on rows outside the held-out fold (crc32(id) mod 4 = 2) and predict every row."""
     fold = F.coalesce(crc_mod(id_col, 4) == 2, F.lit(False))
-    model = train(docs.filter(~fold), text_col, lang_col)
+    model = train(docs.filter(~fold), text_col, lang_col, id_col)
     out = predict(docs, model, id_col, text_col)
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
