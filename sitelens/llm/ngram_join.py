@@ -41,7 +41,7 @@ ENUMERATE_TO = 64
 #: Classes of a bucket that are compared in all pairs.
 SMALL = 40
 #: Signatures that a map task sorts and sends at a time, and that one reduce part should hold.
-FLUSH, PART = 2_000_000, 1_500_000
+FLUSH, PART = 600_000, 1_500_000
 #: Ranges of the domain that a sketch counts.
 CELL_BITS = 8
 CELLS = 1 << CELL_BITS
