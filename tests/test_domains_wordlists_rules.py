@@ -1,4 +1,4 @@
-"""Domains, wordlists and the rule build (cases of the reference's tests)."""
+"""Domains, wordlists and the rule build."""
 
 from pyspark.sql import functions as F
 

@@ -1,4 +1,4 @@
-"""API endpoint detection (cases of the reference's detector tests)."""
+"""API endpoint detection."""
 
 from pyspark.sql import functions as F
 

@@ -1,4 +1,4 @@
-"""Fingerprint matching and scoring on small inputs (cases of the reference's matcher tests)."""
+"""Fingerprint matching and scoring on small inputs."""
 
 from pyspark.sql import functions as F
 
