@@ -107,7 +107,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op1.join(table(spark, sf_dir, "documents"))
+    return op1.join(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query
@@ -141,3 +141,16 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+ORACLES["op1_ngram_join"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {SHINGLES_SQL} AS s FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents)),
+x AS (SELECT doc_id, unnest(s) AS shingle FROM d),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+  SELECT p.a, p.b FROM p JOIN d e ON e.doc_id = p.a JOIN d f ON f.doc_id = p.b
+  WHERE 100 * p.n >= 80 * (len(e.s) + len(f.s) - p.n)),
+reach(src, dst) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.src, l.b FROM reach r JOIN link l ON l.a = r.dst)
+SELECT d.doc_id, len(d.s) AS n_shingles, min(r.dst) AS component_id FROM d JOIN reach r ON r.src = d.doc_id GROUP BY d.doc_id, len(d.s)
+"""
