@@ -1,14 +1,21 @@
-"""Line dedup by content-defined chunks (operator 7).
+"""Line dedup (operator 7): runs of two or more shared lines, found whole.
 
-Lines are hashed, a rolling hash over the hashes of ``WINDOW`` lines ends a chunk where it is 0 modulo
+``dedup_runs`` is the operator.  Every two neighbouring non-blank lines, with the blank lines between
+them, form a pair.  A pair that stands more than once in the corpus is kept at its first place (smallest
+doc_id, then position) and its lines are removed at all others, once all its copies are equal byte by byte
+(pairs whose hashes collide are left alone).  The pairs of a common run cover it, so every run of two or
+more non-blank lines that two places share goes whole, whatever its surroundings.  Each removed line
+stands in an earlier place of its pair; in one document a pair that overlaps its first place is no repeat.
+
+``dedup_lines`` is the coarser form by content-defined chunks.  Lines are hashed, a rolling hash over the hashes of ``WINDOW`` lines ends a chunk where it is 0 modulo
 ``DIVISOR``; so boundaries depend on nearby lines alone and move with inserted or removed lines.  A chunk
 of at least two non-blank lines that stands more than once in the corpus is kept at its first place
 (smallest doc_id, then position) and removed elsewhere, once all its copies are equal byte by byte
 (chunks whose hashes collide are left alone).
 
-Defined cases: a null text stays null; empty texts and texts of one line have no multi-line chunk; rows
-with the same id and text are one document and share one decision; null ids come first; a document of
-nothing but repeated chunks becomes the empty string; single lines are never removed.
+Defined cases: a null text stays null; empty texts and texts of one line have no pair or multi-line chunk;
+rows with the same id and text are one document and share one decision; null ids come first; a document of
+nothing but repeats becomes the empty string; a shared line without a shared neighbour is never removed.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.llm.common import BLOCK_BYTES, SEPARATOR, U64, blocks, mix, prefix_hash, span_hash, utf8
+from sitelens.llm.common import BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES, SEPARATOR, U64, blocks, mix, prefix_hash, span_hash, utf8
 
 WINDOW = 2
 DIVISOR = 4
@@ -104,7 +111,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     k1, k2 = _key(id_col, text_col)
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
     chunks = keyed.select("k1", "k2", "text").mapInArrow(_chunk_batches, "k1 string, k2 long, number int, h long, chunk string")
-    place = F.struct(F.col("k1").cast("long").alias("id"), F.col("k2"), F.col("number"))
+    place = F.struct(F.col("k1").try_cast("long").alias("id"), F.col("k2"), F.col("number"))
     known = (chunks.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
              .filter((F.col("first") != F.col("last")) & (F.col("low") == F.col("high"))).select("h", "first"))
     others = chunks.drop("chunk").join(known, "h").filter(place != F.col("first"))
@@ -143,13 +150,129 @@ def _rebuild(text_at: int, removed_at: int, count_at: int | None):
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: str | None = "n_removed_lines") -> DataFrame:
     """docs with shortened texts; ``count`` (or None) names an added column of lines removed."""
+    return _shortened(docs, repeated_chunks(docs, id_col, text_col), _rebuild, id_col, text_col, count)
+
+
+def _shortened(docs: DataFrame, gone: DataFrame, cut, id_col: str, text_col: str, count: str | None) -> DataFrame:
     tag = uuid.uuid4().hex
     k1, k2 = _key(id_col, text_col)
-    gone = repeated_chunks(docs, id_col, text_col).withColumnsRenamed({"k1": f"k1_{tag}", "k2": f"k2_{tag}", "removed": f"removed_{tag}"})
+    gone = gone.withColumnsRenamed({"k1": f"k1_{tag}", "k2": f"k2_{tag}", "removed": f"removed_{tag}"})
     rows = docs.withColumns({f"k1_{tag}": k1, f"k2_{tag}": k2}).join(gone, [f"k1_{tag}", f"k2_{tag}"], "left")
     own = [*docs.columns, f"removed_{tag}", *([count] if count else [])]
     if count:
         rows = rows.withColumn(count, F.lit(0).cast("long"))
     rows = rows.select(*own)
     at = [own.index(text_col), own.index(f"removed_{tag}"), own.index(count) if count else None]
-    return rows.mapInArrow(_rebuild(*at), T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])).drop(f"removed_{tag}")
+    return rows.mapInArrow(cut(*at), T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])).drop(f"removed_{tag}")
+
+
+def document_pairs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(owner, first line, last line, start, end, hash) of all pairs of a block; lines are numbered in their document."""
+    for i, j, own, start, end, h in document_lines(data, offsets):
+        if not len(own):
+            continue
+        lo = offsets[i]
+        cumulated = np.concatenate([[0], np.cumsum(~SEPARATOR[data[lo:offsets[j]]], dtype=np.int64)])
+        filled = np.flatnonzero(cumulated[end - lo] > cumulated[start - lo])
+        if len(filled) < 2:
+            continue
+        begins = np.concatenate([[True], own[1:] != own[:-1]])
+        number = np.arange(len(own)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        place = np.arange(len(own)) - filled[np.maximum(np.searchsorted(filled, np.arange(len(own)), "right") - 1, 0)]
+        opening = np.add.reduceat(h * mix(place.astype(U64) + U64(1)), filled)  # a line and the blank ones after it
+        a, b = filled[:-1], filled[1:]
+        joined = mix(opening[:-1] + h[b] * U64(0x9E3779B97F4A7C15) + (b - a).astype(U64))
+        same = own[a] == own[b]
+        a, b = a[same], b[same]
+        yield own[a] + i, number[a], number[b], start[a], end[b], joined[same]
+
+
+def _bits(h: np.ndarray) -> list[np.ndarray]:
+    """Places of hashes in a Bloom filter."""
+    return [(mix(h + U64(q)) >> U64(64 - BLOOM_BITS)).astype(np.int64) for q in range(BLOOM_HASHES)]
+
+
+def _pair_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets, _ = utf8(batch.column(0))
+        for *_, h in document_pairs(data, offsets):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+
+
+def _hash_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = np.unique(np.concatenate(_bits(np.asarray(batch.column(0)).view(U64))))
+        yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["w", "bit"])
+
+
+def _pair_batches(words, with_text: bool):
+    """Pairs whose hash may stand twice: their documents and lines, their hash and on demand their bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.value
+        for batch in batches:
+            data, offsets, _ = utf8(batch.column(2))
+            for own, first, last, start, end, h in document_pairs(data, offsets):
+                hit = np.ones(len(h), bool)
+                for at in _bits(h):
+                    hit &= (known[at >> 6].view(U64) >> (at & 63).astype(U64)) & U64(1) == 1
+                keep = np.flatnonzero(hit)
+                if not len(keep):
+                    continue
+                rows = pa.array(own[keep])
+                columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(first[keep].astype(np.int32)), pa.array(last[keep].astype(np.int32)), pa.array(h[keep].view(np.int64))]
+                if with_text:
+                    columns.append(pa.array([data[a:b].tobytes() for a, b in zip(start[keep].tolist(), end[keep].tolist())], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "number", "until", "h", "pair"][:len(columns)])
+    return run
+
+
+def repeated_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k1, k2, removed): by document, the (first, last) lines of its pairs that stand first elsewhere."""
+    k1, k2 = _key(id_col, text_col)
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
+    twice = docs.select(F.col(text_col).alias("text")).mapInArrow(_pair_hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    found = twice.mapInArrow(_hash_bits, "w long, bit long").groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    bits[found["w"].to_numpy()] = found["bits"].to_numpy()
+    words = docs.sparkSession.sparkContext.broadcast(bits)
+    kind = "k1 string, k2 long, number int, until int, h long"
+    pairs = keyed.mapInArrow(_pair_batches(words, True), f"{kind}, pair binary")
+    place = F.struct(F.col("k1").try_cast("long").alias("id"), F.col("k2"), F.col("number"), F.col("until"))
+    known = (pairs.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("pair").alias("low"), F.max("pair").alias("high"))
+             .filter((F.col("first") != F.col("last")) & (F.col("low") == F.col("high"))).select("h", "first"))
+    same = place["id"].eqNullSafe(F.col("first.id")) & (F.col("k2") == F.col("first.k2"))
+    others = keyed.mapInArrow(_pair_batches(words, False), kind).join(known, "h").filter(~(same & (F.col("number") <= F.col("first.until"))))
+    return others.groupBy("k1", "k2").agg(F.collect_set(F.struct("number", "until")).alias("removed"))
+
+
+def _cut(text_at: int, removed_at: int, count_at: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(removed_at)
+            rows = np.flatnonzero(np.asarray(spans.is_valid()))
+            columns = list(batch.columns)
+            lost = np.zeros(batch.num_rows, np.int64)
+            if len(rows):
+                out = batch.column(text_at).to_pylist()
+                removed = spans.take(pa.array(rows)).to_pylist()
+                data, offsets, _ = utf8(batch.column(text_at).take(pa.array(rows)))
+                for i, j, own, start, end, _ in document_lines(data, offsets):
+                    bounds = np.searchsorted(own, np.arange(j - i + 1))
+                    for d in range(j - i):
+                        a, b = int(bounds[d]), int(bounds[d + 1])
+                        gone = np.zeros(b - a, bool)
+                        for span in removed[i + d]:
+                            gone[span["number"]:span["until"] + 1] = True
+                        stays = np.flatnonzero(~gone) + a
+                        out[rows[i + d]] = b"\n".join(data[s:e].tobytes() for s, e in zip(start[stays].tolist(), end[stays].tolist())).decode()
+                        lost[rows[i + d]] = gone.sum()
+                columns[text_at] = pa.array(out, batch.schema.field(text_at).type)
+            if count_at is not None:
+                columns[count_at] = pa.array(lost)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+    return run
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: str | None = "n_removed_lines") -> DataFrame:
+    """docs without repeated runs of two or more lines; ``count`` (or None) names an added column of lines removed."""
+    return _shortened(docs, repeated_pairs(docs, id_col, text_col), _cut, id_col, text_col, count)

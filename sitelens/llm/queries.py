@@ -97,7 +97,7 @@ GROUP BY doc_id, item_id, item_shingles HAVING count(*) * 10 >= 8 * item_shingle
 
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op7.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return op7.dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query

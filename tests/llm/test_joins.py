@@ -174,6 +174,44 @@ def test_line_dedup_equals_brute_force(make_docs, small):
     assert got.filter("n_removed_lines > 0").count() > 10
 
 
+def runs_by_definition(rows):
+    """Texts without the lines of every pair of neighbouring non-blank lines that stands at an earlier place."""
+    first, out, key = {}, [], lambda r: (r[0] is not None, r[0] or 0)
+    pairs = {}
+    for d, t in sorted({r for r in rows if r[1]}, key=key):
+        parts = t.split("\n")
+        full = [k for k, x in enumerate(parts) if x.strip(" \t\n\v\f\r")]
+        pairs[d, t] = [(a, b, tuple(parts[a:b + 1])) for a, b in zip(full, full[1:])]
+        for a, b, p in pairs[d, t]:
+            first.setdefault(p, (d, t, b, a))
+    for d, t in rows:
+        if t:
+            gone = {k for a, b, p in pairs[d, t] if first[p][:2] != (d, t) or a > first[p][2] for k in range(a, b + 1)}
+            t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        out.append((d, t))
+    return out
+
+
+def test_line_runs_equal_the_definition(make_docs, small):
+    rng = random.Random(11)
+    fresh = lambda n: [" ".join(prose(rng, 6, 100000)) for _ in range(n)]
+    rows = [(r["doc_id"], r["text"]) for r in small[1]]
+    planted = {n: fresh(n) for n in range(2, 11)}
+    for n, passage in planted.items():
+        rows += [(70000 + 100 * n + i, "\n".join(fresh(1 + i) + passage + fresh(3 - i))) for i in range(3)]
+    gap = ["one line", "", " ", "after blanks"]
+    rows += [(80000, None), (80001, ""), (80002, "\n\n\n"), (80003, "single line"), (80004, "single line"), (None, "\n".join(gap + ["x"])), (80005, "\n".join(["y", *gap])),
+             (80006, "one line\nafter blanks"), (80007, "same\nsame\nsame\nsame\nsame"), (80008, "twin\ntwin\ntwin"), (80009, "p\nq"), (80009, "p\nq"), (80010, "p\nq"), (80011, "\n".join(planted[6][2:5]))]
+    got = lines.dedup_runs(make_docs(rows).withColumn("h", F.lit(1)).withColumn("removed", F.lit(2)))
+    found = got.collect()
+    assert Counter((r.doc_id, r.text) for r in found) == Counter(runs_by_definition(rows))
+    text = {r.doc_id: r for r in found}
+    for n, passage in planted.items():  # every line of a passage goes, at every place but the first
+        assert [text[70000 + 100 * n + i].n_removed_lines for i in range(3)] == [0, n, n]
+        assert not set(passage) & set(text[70000 + 100 * n + 1].text.split("\n"))
+    assert text[80007].text == "same\nsame" and text[80008].n_removed_lines == 0 and text[80005].text == "y"
+
+
 def test_chunk_boundaries_move_with_the_text():
     rng = random.Random(4)
     body = [" ".join(prose(rng, 5)) for _ in range(200)]
