@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     setup(spark)
-    return mixing.mix(docs, text_col="text")
+    return mixing.mix(docs, text_col="text", exact=True)
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 import base64
 import hashlib
 import json
+import math
 import os
 import random
 import struct
@@ -10,6 +11,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -100,6 +102,30 @@ def test_mix_follows_the_schedule_and_keeps_every_row(llm, make_docs):
         assert all(abs(count[s] - Fraction((t + 1) * a[s], 40)) < 1 for s in a)
 
 
+@pytest.mark.parametrize("given", [False, True])
+def test_exact_mix_stays_within_one_block_of_the_weights(make_docs, given):
+    """20 sources, one of a third of the rows or of weight 0.9: windows and counts by the weights as fractions."""
+    sizes = {f"s{i:02}": 200 + 13 * i for i in range(19)} | {"big": 3000}
+    rows = [(1000 * i + k, f"t{k}", None, s) for i, (s, n) in enumerate(sizes.items()) for k in range(n)] + [(999999, "n", None, None)]
+    weights = {s: 0.9 if s == "big" else 0.1 / 19 for s in sizes} if given else None
+    got = mixing.mix(make_docs(rows), weights, text_col="text", block_rows=3, exact=True).select("doc_id", "mix_source", "mix_block", "mix_slot", "mix_position").collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows} and len({r.mix_position for r in got}) == len(got) == len(rows)
+    weight = {s: Fraction(w) for s, w in (weights or {s: math.sqrt(n) for s, n in (sizes | {mixing.NULL_SOURCE: 1}).items()}).items()}
+    share = {s: w / sum(weight.values()) for s, w in weight.items()}
+    slots = {(r.mix_source, r.mix_block): r.mix_slot for r in got if r.mix_source in share}
+    assert len(set(slots.values())) == len(slots)
+    assert all(math.floor(j / share[s]) <= t < math.ceil((j + 1) / share[s]) for (s, j), t in slots.items())
+    order, count = {t: s for (s, _), t in slots.items()}, Counter()
+    ends = {s: max(t for (x, _), t in slots.items() if x == s) for s in share}
+    for t in range(max(ends.values()) + 1):
+        count[order.get(t)] += 1
+        assert all(abs(count[s] - (t + 1) * share[s]) < 1 for s in share if t <= ends[s])
+
+
+def test_exact_mix_of_nothing(make_docs):
+    assert mixing.mix(make_docs([(1, "x", None, "s")]).filter("doc_id > 1"), exact=True).count() == 0
+
+
 def test_mix_of_nothing(make_docs):
     assert mixing.mix(make_docs([(1, "x", None, "s")]).filter("doc_id > 1")).count() == 0
 
