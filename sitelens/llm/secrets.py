@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -32,9 +33,15 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: Line breaks inside encoded text: real ones, escaped ones (JSON, source text) and those between joined literals.
+BREAK = rb"""(?:(?:\\+r)?\\+n(?:["'][\x20\t]*\+?[\x20\t]*\r?\n[\x20\t]*["'])?|\r?\n)[\x20\t]*"""
 #: Base64 text over one or more lines; an encoded key is never shorter than 40 characters in its first line.
-BASE64_LINES = re.compile(rb"[A-Za-z0-9+/]{40,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/]+)*={0,2}")
-MIN_BASE64, MIN_HEX_KEY = 40, 64
+BASE64_LINES = re.compile(rb"[A-Za-z0-9+/]{40,}(?:" + BREAK + rb"[A-Za-z0-9+/]+)*")
+BASE64_PIECE = re.compile(rb"(?:" + BREAK + rb")?([A-Za-z0-9+/]+)")
+#: How a DER sequence, an OpenSSH key and a PEM file start in base64, at any place of a run.
+KEY_START = re.compile(rb"M[A-P]|b3BlbnNzaC1rZXktdjE|LS0tLS1CRUdJTi")
+HEX_ANY = re.compile(rb"[0-9a-fA-F]{64,}")
+MIN_BASE64 = 40
 SSH_MAGIC = b"openssh-key-v1\0"
 
 _HEX, _B64 = np.zeros(256, bool), np.zeros(256, bool)
@@ -162,42 +169,74 @@ def is_signed_token(token: bytes) -> bool:
     return isinstance(alg, str) and bool(alg) and (bool(sign) or alg.lower() == "none")
 
 
-def _key_in_base64(text: bytes) -> tuple[str, int] | None:
-    """(kind, characters used) of a key that starts where text starts."""
-    if text[:1] != b"M" and not text.startswith(b"b3BlbnNzaC1rZXktdjE"):
-        return None
-    body = re.sub(rb"[^A-Za-z0-9+/]", b"", text)
-    raw = binascii.a2b_base64(body[:len(body) // 4 * 4] + (body[len(body) // 4 * 4:] + b"==")[:4] if len(body) % 4 > 1 else body[:len(body) // 4 * 4])
-    kind, n = "der_key", der_length(raw)
-    if n is None:
-        kind, n = "ssh_key", ssh_length(raw)
-    if n is None or n > len(raw) or (kind == "der_key" and not is_private_key(raw[:n])):
-        return None
-    left, used = -(-n * 4 // 3), 0  # encoded characters, then their place in the text
-    for used, c in enumerate(text, 1):
-        left -= bool(_B64[c])
-        if left == 0:
-            break
-    while used < len(text) and text[used] == 0x3D and used:
-        used += 1
-    return kind, used
+def _decoded(body: bytes) -> bytes:
+    return binascii.a2b_base64(body + b"A" * (-len(body) % 4))[:len(body) * 3 // 4]
 
 
-def confirmed(doc: bytes, hex_runs: list[tuple[int, int]], has_base64: bool) -> list[tuple[int, int, int]]:
+def _der_may_start(head: bytes, room: int) -> int | None:
+    """Bytes of a DER sequence that starts with ``head``, if it fits and its first value may be a key's."""
+    n = der_length(head)
+    if n is None or n > room:
+        return None
+    first = 2 if head[1] < 0x80 else 2 + (head[1] & 0x7F)
+    return n if head[first:first + 1] in (b"\x02", b"\x30") else None
+
+
+def _keys_in_base64(body: bytes, nested: bool) -> Iterator[tuple[int, str, int]]:
+    """(start, kind, end) of the keys in base64 text without breaks, wherever they start."""
+    at = 0
+    while m := KEY_START.search(body, at):
+        p = at = m.start()
+        at += 1
+        if body[p] == 0x4D:
+            n = _der_may_start(_decoded(body[p:p + 12]), (len(body) - p) * 3 // 4)
+            if n and is_private_key(_decoded(body[p:p + -(-n * 4 // 3)])[:n]):
+                at = p + -(-n * 4 // 3)
+                yield p, "der_key", at
+        elif body[p] == 0x62:
+            if n := ssh_length(_decoded(body[p:])):
+                at = p + -(-n * 4 // 3)
+                yield p, "ssh_key", at
+        elif not nested:  # a whole PEM file in base64
+            for s, kind, e in _base64_keys(_decoded(body[p:]), True):
+                at = p + -(-e * 4 // 3)
+                yield p + s * 4 // 3, kind, at
+
+
+def _base64_keys(doc: bytes, nested: bool = False) -> Iterator[tuple[int, str, int]]:
+    """(start, kind, end) in bytes of doc."""
+    for m in BASE64_LINES.finditer(doc):
+        pieces = [x.span(1) for x in BASE64_PIECE.finditer(doc, m.start(), m.end())]
+        sums = np.concatenate([[0], np.cumsum([b - a for a, b in pieces])]).tolist()
+
+        def place(k: int) -> int:
+            i = bisect.bisect_right(sums, k) - 1
+            return pieces[i][0] + k - sums[i]
+
+        for s, kind, e in _keys_in_base64(b"".join(doc[a:b] for a, b in pieces), nested):
+            end = place(e - 1) + 1
+            while doc[end:end + 1] == b"=":
+                end += 1
+            yield place(s), kind, end
+
+
+def confirmed(doc: bytes, has_base64: bool) -> list[tuple[int, int, int]]:
     """(start, kind index, end) in bytes of what decodes to a key or token."""
     found = []
     if b"eyJ" in doc:
         found += [(m.start(), 5, m.end()) for m in TOKEN.finditer(doc) if is_signed_token(m[0])]
-    if has_base64:
-        for m in BASE64_LINES.finditer(doc):
-            if got := _key_in_base64(m[0]):
-                found.append((m.start(), KINDS.index(got[0]), m.start() + got[1]))
-    for s, e in hex_runs:
-        if e - s >= MIN_HEX_KEY and doc[s:s + 2] == b"30":
-            raw = bytes.fromhex(doc[s:e - (e - s) % 2].decode())
-            n = der_length(raw)
-            if n and n <= len(raw) and is_private_key(raw[:n]):
-                found.append((s, 3, s + 2 * n))
+    if not has_base64:  # hexadecimal digits of either case are base64 characters too
+        return found
+    found += [(s, KINDS.index(kind), e) for s, kind, e in _base64_keys(doc)]
+    for m in HEX_ANY.finditer(doc):
+        at = doc.find(b"30", m.start(), m.end())
+        while at >= 0:
+            room = (m.end() - at) // 2
+            n = _der_may_start(bytes.fromhex(doc[at:at + 2 * min(room, 9)].decode()), room)
+            if n and is_private_key(bytes.fromhex(doc[at:at + 2 * n].decode())):
+                found.append((at, 3, at + 2 * n))
+                at += 2 * n - 1
+            at = doc.find(b"30", at + 1, m.end())
     return found
 
 
@@ -225,7 +264,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if d in rare:
                 base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(doc) if len(m[0]) >= MIN_ACCESS]
             base += [(s, 2, e) for s, e in hexes.get(d, [])]
-            spans = sorted(set(base + confirmed(doc, hexes.get(d, []), d in base64_docs)))
+            spans = sorted(set(base + confirmed(doc, d in base64_docs)))
             if not spans:
                 continue
             point = np.concatenate([[0], np.cumsum((np.frombuffer(doc, np.uint8) & 0xC0) != 0x80)])

@@ -58,6 +58,23 @@ def test_structural_confirmation(make_docs):
     assert f"ssh_key:0:{len(ssh)}" in got[3].spans and got[9].spans == ""
 
 
+def test_keys_in_other_forms(make_docs):
+    """Escaped breaks, keys after other base64 characters, whole PEM files in base64, hex of either case."""
+    text = base64.b64encode(rsa_key()).decode()
+    body = [text[i:i + 64] for i in range(0, len(text), 64)]
+    pem = ["-----BEGIN RSA PRIVATE KEY-----", *body, "-----END RSA PRIVATE KEY-----", ""]
+    ssh = base64.b64encode(ssh_key()).decode()
+    whole = base64.b64encode("\n".join(pem).encode()).decode()
+    rows = [(1, json.dumps({"é": "\n".join(pem)})), (2, json.dumps(json.dumps({"k": "\r\n".join(pem)}))), (3, f"key/{text} end"), (4, f"data: {whole}\n"),
+            (5, "\n".join(whole[i:i + 76] for i in range(0, len(whole), 76))), (6, f"0x{rsa_key().hex().upper()}"), (7, "ff" + rsa_key().hex()), (8, "key+" + ssh),
+            (9, " +\n  ".join(f'"{x}\\n"' for x in pem[:-1])), (10, f"key/{text[:-12]}"), (11, "M" * 4000 + "MIIE" * 1000), (12, "30" * 2000)]
+    got = {r.doc_id: r for r in secrets.scan_secrets(make_docs(rows)).collect()}
+    assert [(r.n_der_key, r.n_ssh_key) for r in (got[k] for k in range(1, 13))] == [(1, 0)] * 7 + [(0, 1), (1, 0)] + [(0, 0)] * 3
+    assert f"der_key:4:{4 + len(text)}" in got[3].spans and f"der_key:2:{2 + 2 * len(rsa_key())}" in got[6].spans
+    s, e = (int(x) for x in got[1].spans.split("der_key:")[1].split(",")[0].split(":"))
+    assert rows[0][1].encode().decode()[s:e].replace("\\n", "") == text
+
+
 def test_base_spans_equal_brute_force(make_docs, small):
     odd = ["password=abcdef token=token:abcdefgh", "PASSWORD : 'x1y2z3'", "ſecret=abcdefg", "apikey=\"abc\" api_key=abcdefé", "AKIA" + "A" * 16 + " AKIAAKIA" + "B" * 11, "f" * 24 + "é" + "0" * 23, "token=" + "a" * 100000, "key=x"]
     rows = [(r["doc_id"], r["text"]) for r in small[1]] + [(90000 + i, t) for i, t in enumerate(odd)] + [(1, "f" * 30), (1, "f" * 30), (None, "token=abcdefgh"), (2, None), (3, "")]
