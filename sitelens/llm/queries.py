@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+import public_tokenizers
+from sitelens.llm import bpe as op12
 from sitelens.llm import decontaminate as op5
 from sitelens.llm import language as op10
 from sitelens.llm import lines as op7
@@ -138,6 +140,11 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
