@@ -17,6 +17,7 @@ from sitelens.llm import ngram_join as op1
 from sitelens.llm import quality as op9
 from sitelens.llm import secrets as op2
 from sitelens.llm import substrings as op8
+from sitelens.llm import target_sampling as op13
 from sitelens.llm import toxicity as op6
 from sitelens.llm import vectors as op3
 from sitelens.llm.common import setup, table
@@ -145,6 +146,11 @@ def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

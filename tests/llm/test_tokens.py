@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sitelens.llm import bpe
+from sitelens.llm import bpe, target_sampling
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["'s't're've'm'll'd", "''s 'S 'LL 'sx it's don't", "<|start<|endoftext|>of", "<|startoftext|>x<|endoftext|><|endoftext|>",
@@ -91,3 +91,65 @@ def test_automaton_is_minimal_and_numbers_words():
 def test_other_kinds_of_tokenizers_are_refused():
     with pytest.raises(ValueError):
         bpe.compiled(public_tokenizers.path("byte_bpe_50k.json"), [])
+
+
+def plain_resample(docs, target, share=5, least=20):
+    """{doc_id: (n_features, weight, score, rank)} by definition."""
+    def runs(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return len(w), [" ".join(w[i:i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+
+    def buckets(features):
+        return [zlib.crc32(f.encode()) % 10000 for f in features]
+    held = {d: runs(t) for d, t in docs}
+    s, t = Counter(), Counter()
+    for _, f in held.values():
+        s.update(buckets(f))
+    for x in target:
+        t.update(buckets(runs(x)[1]))
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (big_s + 10000) / ((s[b] + 1) * (big_t + 10000)))) for b in range(10000)]
+    out = {}
+    for d, (n, f) in held.items():
+        h = int(hashlib.sha256(f"42:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in buckets(f))
+        out[d] = (len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n)
+    order = sorted((d for d in out if out[d][3] >= least), key=lambda d: (-out[d][2], math.inf if d is None else d))
+    rank = {d: r + 1 for r, d in enumerate(order[:len(order) * share // 100])}
+    return {d: (*v[:3], rank.get(d)) for d, v in out.items()}
+
+
+WORDY = [None, "", " .,; \x00\x7f", "A", "One TWO three", "x" * 5000 + " y " + "é" * 70 + " Z", "ÄÖ ÉÀ a1-b2_c3", "1 2 3 " * 50, "w " * 3000]
+
+
+@pytest.mark.parametrize("share", [5, 40])
+def test_resampling_equals_the_definition(make_docs, small, share):
+    rows = [(i, t) for i, t in enumerate(WORDY)] + [(100 + r["doc_id"], r["text"]) for r in small[1]] + [(None, "no id " * 30)]
+    target = ["three words here " * 5, None, "", small[1][3]["text"], "1 2 3"]
+    docs = make_docs(rows).withColumn("rank", F.lit("clash")).withColumn("id", F.lit("clash"))
+    aims = make_docs(list(enumerate(target)))
+    got = {r.doc_id: (r.n_features, r.weight, r.score, r.rank) for r in target_sampling.resample(docs, aims, share=share).collect()}
+    assert got == plain_resample(rows, target, share)
+    drawn = target_sampling.sample(docs, aims, share=share)
+    assert drawn.columns == docs.columns
+    assert {r.doc_id for r in drawn.collect()} == {d for d, v in got.items() if v[3]}
+
+
+def test_resampling_of_ties_repeats_and_empty_tables(make_docs):
+    text = "one two three four five " * 4
+    rows = [(i // 2, text) for i in range(40)]
+    got = target_sampling.resample(make_docs(rows), make_docs([]), share=50).collect()
+    assert sorted(r.rank for r in got if r.rank) == list(range(1, 21))
+    want = plain_resample([(i, text) for i in range(20)], [], 50)
+    assert len(got) == 40 and all(r.n_features == want[r.doc_id][0] for r in got)
+    picked = [r.doc_id for r in sorted((r for r in got if r.rank), key=lambda r: r.rank)]
+    assert picked == sorted(picked, key=lambda d: (-next(r.score for r in got if r.doc_id == d), d))
+    assert target_sampling.resample(make_docs([]), make_docs([(1, text)])).collect() == []
+
+
+def test_long_texts_are_split_between_words(monkeypatch):
+    monkeypatch.setattr(target_sampling, "BLOCK_BYTES", 50)
+    text = ("ab " * 30 + "é" * 40 + "x" * 120 + ". q " + "ü1 " * 20).encode()
+    splitter = target_sampling.Split(target_sampling.Regex(target_sampling.WORD), "removed", invert=True)
+    starts, ends = target_sampling.word_spans(splitter, np.frombuffer(text, np.uint8))
+    assert [text[a:b] for a, b in zip(starts, ends)] == [m.group().encode() for m in re.finditer(target_sampling.WORD, text.decode())]
