@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
 from sitelens.llm import bpe as op12
 from sitelens.llm import decontaminate as op5
+from sitelens.llm import hard_negatives as op11
 from sitelens.llm import language as op10
 from sitelens.llm import lines as op7
 from sitelens.llm import mixing as op4
@@ -141,6 +143,32 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return op11.mine(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+         CAST(list_sum([a.e[i] * b.e[i] FOR i IN range(1, len(a.e) + 1)]) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 5
+"""
+
+
 @query
 def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -151,6 +179,36 @@ def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+ORACLES["op13_target_resample"] = r"""
+WITH tab AS (
+  SELECT list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS crc FROM range(256) r(i)),
+words AS (
+  SELECT 0 AS part, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+runs AS (
+  SELECT part, id, len(w) AS n_words, w || [w[i] || ' ' || w[i+1] FOR i IN range(1, len(w))] || [w[i] || ' ' || w[i+1] || ' ' || w[i+2] FOR i IN range(1, len(w) - 1)] AS f FROM words),
+each AS (SELECT part, id, unnest(f) AS f FROM runs),
+counted AS (SELECT part, id, f, count(*) AS n FROM each GROUP BY ALL),
+hashed AS (
+  SELECT f, xor(list_reduce([4294967295] || [CAST('0x' || substr(hex(f), 2 * k - 1, 2) AS BIGINT) FOR k IN range(1, strlen(f) + 1)],
+         lambda a, b: xor(a >> 8, crc[1 + (xor(a, b) & 255)])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM counted), tab),
+hist AS (SELECT bucket, sum(n) FILTER (part = 0) AS s, sum(n) FILTER (part = 1) AS t FROM counted JOIN hashed USING (f) GROUP BY bucket),
+total AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS big_s, CAST(coalesce(sum(t), 0) AS DOUBLE) AS big_t FROM hist),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1.0::DOUBLE) * (big_s + 10000)) / ((coalesce(s, 0) + 1.0::DOUBLE) * (big_t + 10000)))) AS BIGINT) AS g FROM hist, total),
+weighed AS (SELECT id, sum(n * g) AS weight FROM counted JOIN hashed USING (f) JOIN gain USING (bucket) WHERE part = 0 GROUP BY id),
+scored AS (
+  SELECT r.id AS doc_id, n_words, CAST(len(f) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || r.id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM runs r LEFT JOIN weighed w ON w.id = r.id WHERE part = 0),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank, n_words
+FROM scored s LEFT JOIN placed p ON p.doc_id = s.doc_id
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
