@@ -42,6 +42,8 @@ from sitelens.session import ensure_checkpoint_dir
 LEXICON_WORDS = 65_536
 #: Longer words are always merged.
 LEXICON_BYTES = 48
+#: Bases that a state is tried at together.
+WINDOW = 1024
 #: Merged words that a Python worker remembers.
 REMEMBERED = 1 << 16
 
@@ -167,7 +169,7 @@ def double_array(arcs: list[dict[int, int]], final: list[bool]) -> dict[str, np.
     counts = [0] * len(arcs)
     for s, out in enumerate(arcs):  # targets are settled before their sources
         counts[s] = int(final[s]) + sum(counts[t] for t in out.values())
-    size = sum(map(len, arcs)) * 2 + 1024
+    size = sum(map(len, arcs)) * 2 + 2 * WINDOW
     check = np.full(size, -1, np.int32)
     target, add = np.zeros(size, np.int32), np.zeros(size, np.int32)
     base = np.zeros(len(arcs) + 1, np.int32)  # the last state is dead: no check names it
@@ -176,23 +178,22 @@ def double_array(arcs: list[dict[int, int]], final: list[bool]) -> dict[str, np.
         labels = np.array(sorted(arcs[s]), np.int64)
         if not len(labels):
             continue
-        at = free_from - int(labels[0])
-        while True:
-            if at + 4096 + 256 > len(check):
-                check, target, add = (np.concatenate([a, np.full(8192, fill, np.int32)]) for a, fill in ((check, -1), (target, 0), (add, 0)))
-            fits = (check[np.arange(at, at + 4096)[:, None] + labels[None, :2]] < 0).all(1)
-            hits = np.flatnonzero(fits) + at
-            hit = next((int(h) for h in hits if (check[h + labels] < 0).all()), None)
-            if hit is not None:
-                break
-            at += 4096
+        hit, at = None, free_from - int(labels[0])
+        while hit is None:
+            if at + WINDOW + 256 > len(check):
+                check, target, add = (np.concatenate([a, np.full(len(a) // 2, fill, np.int32)]) for a, fill in ((check, -1), (target, 0), (add, 0)))
+                continue
+            hits = np.arange(at, at + WINDOW)
+            for b in labels.tolist():  # bases where every arc finds a free place
+                hits = hits[check[hits + b] < 0]
+            hit, at = (int(hits[0]), at) if len(hits) else (None, at + WINDOW)
         base[s] = hit
         before = int(final[s])
         for b in labels.tolist():
             check[hit + b], target[hit + b], add[hit + b] = s, arcs[s][b], before
             before += counts[arcs[s][b]]
-        taken = np.flatnonzero(check[free_from:free_from + 4096] < 0)
-        free_from += int(taken[0]) if len(taken) else 4096
+        free = np.flatnonzero(check[free_from:free_from + WINDOW] < 0)
+        free_from += int(free[0]) if len(free) else WINDOW
     return {"base": base, "check": check, "target": target, "add": add, "final": np.array([*final, False], np.uint8)}
 
 
@@ -441,12 +442,12 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", spe
     """Compile the most frequent words of all documents; the distributed file's name.
 
     Word counts come from a Spark aggregation with partial sums (no order within a word's rows matters); only the
-    ``words`` most frequent reach the driver.
+    ``words`` most frequent that occur twice reach the driver.
     """
     spark = docs.sparkSession
     empty = _ship(spark, compiled(tokenizer, []))
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counted(empty, specials), "word binary, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
+    top = counts.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(words)
     return _ship(spark, compiled(tokenizer, [bytes(w) for w in top.select("word").toArrow()["word"].to_pylist()]))
 
 
