@@ -40,12 +40,10 @@ from sitelens.session import ensure_checkpoint_dir
 
 #: Words of the lexicon; further words are merged.
 LEXICON_WORDS = 65_536
-#: Longer words are always merged.
+#: Longer words are always merged, one by one.
 LEXICON_BYTES = 48
 #: Bases that a state is tried at together.
 WINDOW = 1024
-#: Merged words that a Python worker remembers.
-REMEMBERED = 1 << 16
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
 #: Pre-tokeniser and byte alphabet of the file kind (fixed values).
@@ -82,25 +80,76 @@ def lower_cases(tokenizer: Tokenizer) -> np.ndarray:
 
 
 class Merges:
-    """Exact pair merging of words that the lexicon lacks."""
+    """Exact pair merging of words that the lexicon lacks: the pair of lowest rank, the first of equals, goes first."""
 
     def __init__(self, letters: np.ndarray, pairs: np.ndarray):
-        self.letters = letters.reshape(2, 256).tolist()  # ids of single bytes: inside a word, at its end
-        self.rank = {(a, b): (r, c) for r, (a, b, c) in enumerate(pairs.reshape(-1, 3).tolist())}
-        self.known: dict[bytes, list[int]] = {}
-
-    def ids(self, word: bytes) -> list[int]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self._merged(word)
-            if len(word) <= LEXICON_BYTES:
-                self.known[word] = found
-        return found
+        self.letters = letters.reshape(2, 256)  # ids of single bytes: inside a word, at its end
+        pairs = pairs.reshape(-1, 3).astype(np.int64)
+        keys = pairs[:, 0] << 32 | pairs[:, 1]
+        self.order = np.append(np.argsort(keys, kind="stable"), len(keys))  # the last rank stands for no pair
+        self.keys, self.made = np.append(keys[self.order[:-1]], np.iinfo(np.int64).max), np.append(pairs[:, 2], -1)
+        self.none = len(keys)
+
+    @functools.cached_property
+    def rank(self) -> dict[tuple[int, int], tuple[int, int]]:
+        return {(int(k) >> 32, int(k) & 0xFFFFFFFF): (int(r), int(self.made[r])) for k, r in zip(self.keys[:-1], self.order)}
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where((self.keys[at] == key) & (right >= 0), self.order[at], self.none)
+
+    def all(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word); words of up to LEXICON_BYTES merge all at once, a pair each a round."""
+        counts = np.zeros(len(starts), np.int64)
+        order = np.argsort(sizes, kind="stable")
+        short = int(np.searchsorted(sizes[order], LEXICON_BYTES, side="right"))
+        parts, rows = [], []
+        for a in range(0, short, 1024):
+            at = order[a:min(short, a + 1024)]
+            ids, counts[at] = self._together(data, starts[at], sizes[at])
+            parts.append(ids)
+            rows.append(np.repeat(at, counts[at]))
+        for w in order[short:].tolist():
+            ids = self._merged(data[starts[w]:starts[w] + sizes[w]].tobytes())
+            counts[w] = len(ids)
+            parts.append(np.array(ids, np.int64))
+            rows.append(np.full(len(ids), w))
+        if not parts:
+            return np.zeros(0, np.int64), counts
+        return np.concatenate(parts)[np.argsort(np.concatenate(rows), kind="stable")], counts
+
+    def _together(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        width = int(sizes.max())
+        column = np.arange(width)
+        inside = column < sizes[:, None]
+        letters = data[np.minimum(starts[:, None] + column, starts[:, None] + sizes[:, None] - 1)]
+        ids = np.where(column == sizes[:, None] - 1, self.letters[1][letters], self.letters[0][letters]).astype(np.int64)
+        ids = np.concatenate([np.where(inside, ids, -1), np.full((len(ids), 1), -1)], 1)  # a column of ends
+        rank = self.ranks(ids[:, :-1], ids[:, 1:])  # of the pair that begins in each column
+        counts, live = sizes.astype(np.int64), np.arange(len(ids))
+        while len(live):
+            at = rank[live].argmin(1)
+            best = rank[live, at]
+            live, at, best = (x[best < self.none] for x in (live, at, best))
+            if not len(live):
+                break
+            row, shift = np.arange(len(live)), column + (column > at[:, None])
+            left = np.take_along_axis(ids[live], shift, 1)
+            left[row, at] = self.made[best]
+            ids[live, :-1] = left
+            kept = np.concatenate([rank[live], np.full((len(live), 1), self.none)], 1)
+            kept = np.take_along_axis(kept, shift, 1)
+            kept[row, at] = self.ranks(left[row, at], ids[live, at + 1])
+            before = np.maximum(at - 1, 0)
+            kept[row, before] = np.where(at > 0, self.ranks(left[row, before], left[row, at]), kept[row, before])
+            rank[live] = kept
+            counts[live] -= 1
+        return ids[:, :-1][column < counts[:, None]], counts
 
     def _merged(self, word: bytes) -> list[int]:
-        inner, last = self.letters
+        """One long word, by a queue of pairs."""
+        inner, last = self.letters.tolist()
         ids = [inner[b] for b in word]
         ids[-1] = last[word[-1]]
         n = len(ids)
@@ -308,15 +357,14 @@ class Lexicon:
         """(ids, bounds): the ids of text d are ids[bounds[d]:bounds[d + 1]]."""
         data, starts, ends, owner, marks = self.segment(texts, specials)
         place = self.places(data, starts, ends)
-        begin, size = self.spans[np.maximum(place, 0)], np.diff(self.spans)[np.maximum(place, 0)] if len(self.spans) > 1 else np.zeros(len(place), np.int64)
-        begin, size = begin.copy(), size.copy()
-        extra: list[int] = []
-        raw = data.tobytes()
-        for w in np.flatnonzero(place < 0).tolist():
-            ids = [int(marks[w])] if marks[w] >= 0 else self.merges.ids(raw[starts[w]:ends[w]])
-            begin[w], size[w] = len(self.ids) + len(extra), len(ids)
-            extra += ids
-        pool = np.concatenate([self.ids, np.array(extra, np.int32)])
+        size = np.diff(self.spans)[np.maximum(place, 0)] if len(self.spans) > 1 else np.zeros(len(place), np.int64)
+        begin = self.spans[np.maximum(place, 0)]
+        marked, unseen = np.flatnonzero(marks >= 0), np.flatnonzero((place < 0) & (marks < 0))
+        extra, size[unseen] = self.merges.all(data, starts[unseen], (ends - starts)[unseen])
+        extra, size[marked] = np.concatenate([extra, marks[marked]]), 1
+        other = np.concatenate([unseen, marked])
+        begin[other] = len(self.ids) + np.cumsum(size[other]) - size[other]
+        pool = np.concatenate([self.ids, extra.astype(np.int32)])
         ids = pool[ragged(begin, size)]
         per_text = np.bincount(owner, size, len(texts)).astype(np.int64) if len(owner) else np.zeros(len(texts), np.int64)
         return ids, np.concatenate([[0], np.cumsum(per_text)])
@@ -382,11 +430,12 @@ def compiled(tokenizer: str, words: list[bytes]) -> bytes:
     words = sorted(set(words))
     arcs, final, root = minimal_automaton(words)
     merges = Merges(sections["letters"], sections["pairs"])
-    ids = [merges.ids(w) for w in words]
+    lengths = np.array([len(w) for w in words], np.int64)
+    ids, counts = merges.all(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths)
     sections |= double_array(arcs, final)
     sections["start"] = np.array([root], np.int64)
-    sections["spans"] = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
-    sections["ids"] = np.array([x for i in ids for x in i], np.int32)
+    sections["spans"] = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    sections["ids"] = ids.astype(np.int32)
     align = lambda n: -(-n // 8) * 8
     reserve = 2048
     table, at = [], 8 + reserve
