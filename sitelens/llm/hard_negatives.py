@@ -36,6 +36,8 @@ TILE, CHUNK = 4096, 2048
 #: Bits of a quantised anchor component, rows scored first in a tile, cells of an estimate matrix.
 BITS, SEEDS, CELLS = 6, 16, 1 << 18
 SEED = 11
+#: Partitions of a shuffle of tiles; more tiles share them.
+MOST_PARTITIONS = 20_000
 #: Components saturate here: scores of up to 4096 dimensions, times 100, stay within 64 bits.
 LARGEST = 1 << 22
 
@@ -233,7 +235,10 @@ def _met(anchors: DataFrame, rows: DataFrame, keys: list[str], windows: Column,
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     ask = anchors.join(sizes, keys).select(*[F.col(k).alias(f"k_{k}") for k in keys], every("tiles").alias("tile"), part("chunks").alias("chunk"), F.lit(True).alias("asks"), *columns, windows.alias("windows"))
     have = rows.join(sizes, keys).select(*[F.col(k).alias(f"k_{k}") for k in keys], part("tiles").alias("tile"), every("chunks").alias("chunk"), F.lit(False).alias("asks"), *columns, F.lit(None).cast("array<long>").alias("windows"))
-    return ask.union(have).groupBy(*[f"k_{k}" for k in keys], "tile", "chunk").applyInArrow(run, schema)
+    by = [*[f"k_{k}" for k in keys], "tile", "chunk"]
+    met = sizes.agg(F.coalesce(F.sum(F.col("tiles") * F.col("chunks")), F.lit(1))).first()[0]
+    # small in bytes, long in work: a partition for each tile and chunk, not for so many bytes
+    return ask.union(have).repartition(min(int(met), MOST_PARTITIONS), *by).groupBy(*by).applyInArrow(run, schema)
 
 
 def mine(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", every: int = 100, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100) -> DataFrame:
