@@ -91,21 +91,40 @@ def first_party(host1, host2) -> Column:
     return (h1 == h2) | (apex_domain(h1) == apex_domain(h2))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: (
+        F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s)))))
+    kept = F.array_join(F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    kept = F.when(kept.startswith("/"), kept).otherwise(F.concat(F.lit("/"), kept))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), kept).otherwise(path)
+
+
 def resolve_url(base, ref) -> Column:
-    """urljoin for the common shapes: absolute, protocol-relative, root-relative, relative."""
+    """The reference resolved against the base (RFC 3986 section 5.2): scheme, network path, dot segments, query and fragment.
+
+    A reference with a scheme of its own stands as it is; one with the base's scheme and no host counts as relative.
+    Control characters and blanks around the reference, and tabs and line breaks in it, are dropped.
+    """
     b = _c(base)
-    r = F.trim(_c(ref))
-    scheme = url_scheme(b)
-    origin = F.concat(scheme, F.lit("://"), F.regexp_extract(b, _URL_RX, 2))
-    base_path = url_path(b)
-    base_dir = F.regexp_replace(base_path, "[^/]*$", "")
-    base_dir = F.when(base_dir == "", F.lit("/")).otherwise(base_dir)
+    r = F.regexp_replace(F.translate(_c(ref), "\t\r\n", ""), r"\A[\x00-\x20]++", "")
+    r = F.trim(r, F.lit(" \x0b\x0c"))
+    scheme, host, base_path = url_scheme(b), F.regexp_extract(b, _URL_RX, 2), url_path(b)
+    own = url_scheme(r)
+    rest = F.regexp_replace(r, r"\A[A-Za-z][A-Za-z0-9+.\-]*+:", "")  # without the scheme
+    tail = F.when(own != "", rest).otherwise(r)
+    path, after = F.regexp_extract(tail, r"(?s)\A([^?#]*+)(.*)\z", 1), F.regexp_extract(tail, r"(?s)\A([^?#]*+)(.*)\z", 2)
+    origin = F.concat(scheme, F.lit("://"), host)
+    folder = F.regexp_replace(base_path, r"[^/]*+\z", "")
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    query = F.regexp_extract(b, r"(?s)\A[^?#]*+(\?[^#]*+)?+", 1)
     return (
-        F.when(r.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*://"), r)
-        .when(r.startswith("//"), F.concat(scheme, F.lit(":"), r))
-        .when(r.startswith("/"), F.concat(origin, r))
-        .when(r == "", b)
-        .when(r.startswith("?"), F.concat(origin, base_path, r))
-        .when(r.startswith("#"), F.concat(F.regexp_replace(b, "#.*$", ""), r))
-        .otherwise(F.concat(origin, base_dir, r))
+        F.when((own != "") & (own != scheme), r)
+        .when(tail.startswith("//"), F.concat(scheme, F.lit(":"), tail))
+        .when(tail == "", b)
+        .when((path == "") & after.startswith("#"), F.concat(origin, base_path, query, after))
+        .when(path == "", F.concat(origin, base_path, after))
+        .when(path.startswith("/"), F.concat(origin, _without_dots(path), after))
+        .otherwise(F.concat(origin, _without_dots(F.regexp_replace(F.concat(folder, path), "/{2,}", "/")), after))
     )

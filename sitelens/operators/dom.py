@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.functions import regex as rx
+from sitelens.functions.text import strip
 from sitelens.operators import prefilter as PF
 
 DOM_MATCH_CUT = 100     # M8
@@ -217,7 +218,7 @@ def url_selector_alternatives(dom_rules: DataFrame) -> DataFrame:
     """M11 compile: (selector, alt, attr, op, val) for alternatives that are one valued test of a URL attribute."""
     s = dom_rules.select("selector").distinct()
     alts = s.select("selector", F.posexplode(F.split("selector", ",")).alias("alt", "sub"))
-    one = alts.withColumn("conds", _parse_selectors(F.trim("sub"))[0]["conds"]).filter(F.size("conds") == 1)
+    one = alts.withColumn("conds", _parse_selectors(strip("sub"))[0]["conds"]).filter(F.size("conds") == 1)
     m = one.select("selector", "alt", F.inline("conds"))
     return m.filter(F.col("attr").isin(URL_ATTRS) & (F.coalesce("val", F.lit("")) != ""))
 

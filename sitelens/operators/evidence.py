@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import html as H
 from sitelens.functions import urls as U
+from sitelens.functions.staging import computed
+from sitelens.functions.text import strip
 
 
 def page_source(pages: DataFrame) -> DataFrame:
@@ -19,10 +21,6 @@ def page_source(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html")
 
 
-def _masked(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("mh", H.masked_html("html")).drop("html")
-
-
 # attributes read from each start-tag kind (output column -> attribute name)
 TAG_ATTRS = {
     "meta": {"n": "name", "p": "property", "h": "http-equiv", "content": "content"},
@@ -30,28 +28,28 @@ TAG_ATTRS = {
     "link": {"href": "href", "rel": "rel"},
     "a": {"href": "href"},
 }
-_ALL_ATTR_COLS = sorted({c for spec in TAG_ATTRS.values() for c in spec})
+_ATTR_NAMES = {c: name for spec in TAG_ATTRS.values() for c, name in spec.items()}
+_ALL_ATTR_COLS = sorted(_ATTR_NAMES)
 
 
 def page_tags(pages: DataFrame, kinds=("meta", "script", "link")) -> DataFrame:
     """One pass over the html: (page_id, kind, pos, <attribute columns>) for every start tag of ``kinds``.
 
-    The html is masked once and every tag kind is read from that one value.  Callers with several
+    The html is tokenised once and every tag kind is read from that one list.  Callers with several
     consumers partition the (small) tag table by page, so all of them read one shuffle output.
     """
-    m = _masked(pages)
+    m = computed(pages.select("page_id", "html"), tags=H.start_tags("html", kinds)).select("page_id", "tags")
 
     def recs(kind):
         spec = TAG_ATTRS[kind]
-        return F.transform(H.start_tags(F.col("mh"), kind), lambda a, i: F.struct(
+        return F.transform(F.filter("tags", lambda t: H.tag_name(t) == kind), lambda a, i: F.struct(
             F.lit(kind).alias("kind"), i.alias("pos"),
             *[(H.attr_raw(a, spec[c]) if c in spec else F.lit(None).cast("string")).alias("_raw_" + c)
               for c in _ALL_ATTR_COLS]))
 
     g = m.select("page_id", F.explode(F.concat(*[recs(k) for k in kinds])).alias("t"))
-    out = g.select("page_id", F.col("t.kind").alias("kind"), F.col("t.pos").alias("pos"),
-                   *[H.clean_attr(F.col("t._raw_" + c)).alias(c) for c in _ALL_ATTR_COLS])
-    return out
+    return g.select("page_id", F.col("t.kind").alias("kind"), F.col("t.pos").alias("pos"),
+                    *[H.clean_attr(F.col("t._raw_" + c), _ATTR_NAMES[c]).alias(c) for c in _ALL_ATTR_COLS])
 
 
 def meta_tags(pages: DataFrame, tags: DataFrame | None = None) -> DataFrame:
@@ -66,7 +64,7 @@ def meta_tags(pages: DataFrame, tags: DataFrame | None = None) -> DataFrame:
 def _tag_attr_list(pages: DataFrame, tag: str, attr_name: str, tags: DataFrame | None = None) -> DataFrame:
     t = (tags if tags is not None else page_tags(pages, (tag,))).filter(F.col("kind") == tag)
     v = F.col(attr_name)
-    return t.filter(v.isNotNull() & (v != "")).select("page_id", "pos", F.trim(v).alias(attr_name))
+    return t.filter(v.isNotNull() & (v != "")).select("page_id", "pos", strip(v).alias(attr_name))
 
 
 def script_srcs(pages: DataFrame, tags: DataFrame | None = None) -> DataFrame:
@@ -81,33 +79,28 @@ def link_hrefs(pages: DataFrame, tags: DataFrame | None = None) -> DataFrame:
 
 def inline_scripts(pages: DataFrame) -> DataFrame:
     """H4: whole bodies of <script> without src, trimmed, non-empty; a comment mark inside a body is part of it."""
-    blocks = pages.select("page_id", F.posexplode(F.arrays_zip(H.raw_text("html", 2).alias("tag"), H.raw_text("html", 3).alias("body"))).alias("pos", "s"))
-    attrs = F.regexp_replace("s.tag", r"(?i)^<script|>$", "")
-    return blocks.filter((F.col("s.tag") != "") & ~H.has_attr(attrs, "src")) \
-        .select("page_id", "pos", F.trim("s.body").alias("script")).filter(F.col("script") != "")
+    blocks = pages.select("page_id", F.posexplode(H.scripts("html")).alias("pos", "s"))
+    return blocks.filter(~H.has_attr(F.col("s.tag"), "src")).select("page_id", "pos", strip("s.body").alias("script")).filter(F.col("script") != "")
 
 
 def html_comments(pages: DataFrame) -> DataFrame:
     """H5: comment texts, trimmed, non-empty (comments inside script/style bodies are text, not comments)."""
-    return pages.select("page_id", F.posexplode(H.raw_text("html", 1)).alias("pos", "comment")) \
-        .select("page_id", "pos", F.trim("comment").alias("comment")).filter(F.col("comment") != "")
+    return pages.select("page_id", F.posexplode(H.comments("html")).alias("pos", "comment")) \
+        .select("page_id", "pos", strip("comment").alias("comment")).filter(F.col("comment") != "")
 
 
 def data_attributes(pages: DataFrame) -> DataFrame:
     """H6: data-* attributes of the first <html> and first <body>; body wins a clash."""
-    m = _masked(pages)
-    rx_pair = r"""(?is)(?:^|[\s/])(data-[^\s"'>/=]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    out = None
-    for order, tag in enumerate(["html", "body"]):
-        first = F.try_element_at(H.start_tags(F.col("mh"), tag), F.lit(1))
-        d = m.select("page_id", F.lit(order).alias("tag_ord"),
-                     F.posexplode(F.arrays_zip(F.regexp_extract_all(first, F.lit(rx_pair), 1).alias("k"),
-                                               F.regexp_extract_all(first, F.lit(rx_pair), 2).alias("v")))
-                     .alias("pos", "kv"))
-        out = d if out is None else out.unionByName(d)
-    raw = F.col("kv.v")
-    unq = F.when(F.substring(raw, 1, 1).isin('"', "'"), raw.substr(F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    out = out.select("page_id", "tag_ord", "pos", F.lower("kv.k").alias("name"), H.unescape(unq).alias("value"))
+    m = computed(pages.select("page_id", "html"), tags=H.start_tags("html", ("html", "body"))).select("page_id", "tags")
+
+    def data_of(kind: str, order: int):
+        first = F.try_element_at(F.filter("tags", lambda t: H.tag_name(t) == kind), F.lit(1))
+        return F.transform(F.filter(H.attributes(first), lambda a: a["name"].startswith("data-")), lambda a, i: F.struct(
+            F.lit(order).alias("tag_ord"), i.alias("pos"), a["name"].alias("name"), a["value"].alias("value")))
+
+    data = [data_of(kind, order) for order, kind in enumerate(["html", "body"])]
+    out = m.select("page_id", F.explode(F.concat(*[F.coalesce(d, F.array()) for d in data])).alias("d")) \
+        .select("page_id", "d.tag_ord", "d.pos", "d.name", H.unescape(F.col("d.value")).alias("value"))
     # within a tag the parser keeps the last duplicate; across tags body overwrites html
     return out.groupBy("page_id", "name").agg(F.max_by("value", F.struct("tag_ord", "pos")).alias("value"))
 
@@ -116,8 +109,8 @@ def manifest_url(pages: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """H7: href of the first <link> whose rel tokens include 'manifest'."""
     t = (tags if tags is not None else page_tags(pages, ("link",))).filter(F.col("kind") == "link")
     rel = F.lower(F.coalesce("rel", F.lit("")))
-    hit = t.filter(F.array_contains(F.split(F.trim(rel), r"\s+"), "manifest"))
-    return hit.groupBy("page_id").agg(F.min_by(F.struct(F.trim("href").alias("h")), "pos").alias("f")) \
+    hit = t.filter(F.array_contains(F.split(strip(rel), r"\s+"), "manifest"))
+    return hit.groupBy("page_id").agg(F.min_by(F.struct(strip("href").alias("h")), "pos").alias("f")) \
         .select("page_id", F.col("f.h").alias("manifest_url")).filter(F.col("manifest_url").isNotNull()
                                                                       & (F.col("manifest_url") != ""))
 
@@ -125,9 +118,10 @@ def manifest_url(pages: DataFrame, tags: DataFrame | None = None) -> DataFrame:
 def site_links(pages: DataFrame) -> DataFrame:
     """H9: <a href> resolved against the page, fragment dropped, same netloc, deduped; all of them, ranked
     by first appearance (a caller with a quota filters by rank)."""
-    tags = H.tag_rows(_masked(pages), "mh", "a", {"href": "href"}, keep=("page_id", "url"))
-    resolved = F.regexp_replace(U.resolve_url(F.col("url"), F.col("href")), "#.*$", "")
-    links = tags.filter(F.col("href").isNotNull()).select("page_id", "url", "pos", resolved.alias("link")) \
+    found = pages.select("page_id", "url", F.posexplode(H.start_tags("html", ("a",))).alias("pos", "tag"))
+    tags = computed(found, href=H.attr(F.col("tag"), "href"))
+    resolved = F.regexp_replace(U.resolve_url(F.col("url"), F.col("href")), "(?s)#.*$", "")
+    links = computed(tags.filter(F.col("href").isNotNull()), link=resolved).select("page_id", "url", "pos", "link") \
         .filter(U.url_netloc("link") == U.url_netloc("url")) \
         .groupBy("page_id", "link").agg(F.min("pos").alias("pos"))
     w = Window.partitionBy("page_id").orderBy("pos")
@@ -174,7 +168,7 @@ def raw_set_cookies(headers: DataFrame) -> DataFrame:
     """Raw Set-Cookie values over history then final, in order, with the cookie name."""
     sc = headers.filter(F.lower("name") == "set-cookie")
     return sc.select("page_id", "hop", "pos", F.col("value").alias("raw"),
-                     F.trim(F.split_part("value", F.lit("="), F.lit(1))).alias("cookie_name"))
+                     strip(F.split_part("value", F.lit("="), F.lit(1))).alias("cookie_name"))
 
 
 def collection_errors(status: DataFrame) -> DataFrame:

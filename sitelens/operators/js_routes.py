@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from sitelens.functions import urls as U
 from sitelens.functions.staging import computed
+from sitelens.functions.text import strip
 
 # CDN host fragments whose scripts are never analysed.
 CDN_HOSTS = ["googleapis.com", "cdn.jsdelivr.net", "unpkg.com", "cdnjs.cloudflare.com"]
@@ -28,7 +29,7 @@ def select_scripts(script_srcs: DataFrame, pages: DataFrame) -> DataFrame:
     """Script srcs resolved against the page URL, CDN hosts dropped, all of them ranked in document order
     (a caller with a quota filters by rank)."""
     s = script_srcs.join(pages.select("page_id", "url"), "page_id")
-    src = F.trim("src")
+    src = strip("src")
     resolved = F.when(U.is_absolute_http(src), src).otherwise(U.resolve_url(F.col("url"), src))
     s = s.select("page_id", "pos", resolved.alias("js_url"))
     netloc = U.url_netloc("js_url")
@@ -50,7 +51,7 @@ def bundle_routes(scripts: DataFrame) -> DataFrame:
 def sourcemap_url(scripts: DataFrame) -> F.Column:
     """X-sourcemap header, else sourcemap header, else the trailing comment."""
     comment = F.nullif(F.regexp_extract("body", SOURCEMAP_RX, 1), F.lit(""))
-    return F.coalesce(F.nullif("x_sourcemap", F.lit("")), F.nullif("sourcemap", F.lit("")), F.trim(comment))
+    return F.coalesce(F.nullif("x_sourcemap", F.lit("")), F.nullif("sourcemap", F.lit("")), strip(comment))
 
 
 def map_routes(scripts: DataFrame, maps: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def normalize_routes(routes: DataFrame, pages: DataFrame) -> DataFrame:
     absolute http(s): kept only if first-party to the page host, reduced to path(+?query);
     root-relative kept as is; protocol-relative, data:, bare words dropped.
     """
-    r = routes.join(pages.select("page_id", "url"), "page_id").select("page_id", "url", F.trim("route").alias("ep"))
+    r = routes.join(pages.select("page_id", "url"), "page_id").select("page_id", "url", strip("route").alias("ep"))
     r = computed(r, target=U.url_netloc("url"), ep_net=U.url_netloc("ep"), q=U.url_query("ep"), p=U.url_path("ep"))
     r = computed(r, fp=U.first_party(F.col("ep_net"), F.col("target")))
     path = F.concat(F.col("p"), F.when(F.col("q") != "", F.concat(F.lit("?"), F.col("q"))).otherwise(F.lit("")))

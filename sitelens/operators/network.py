@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from sitelens.functions import urls as U
 from sitelens.functions.staging import computed
+from sitelens.functions.text import strip
 
 # The 17 well-known probe paths in probe order (N4 picks the first spec by this order).
 PROBE_PATHS = [
@@ -41,7 +42,7 @@ def runtime_requests(requests: DataFrame) -> DataFrame:
 
 def useful_probes(probes: DataFrame) -> DataFrame:
     """Drop status >= 400; drop 200 text/html unless the body parses as JSON."""
-    ct = F.lower(F.trim(F.coalesce("content_type", F.lit(""))))
+    ct = F.lower(strip(F.coalesce("content_type", F.lit(""))))
     html200 = (F.col("status") == 200) & ct.startswith("text/html")
     return probes.filter((F.col("status") < 400) &
                          (~html200 | F.try_parse_json(F.coalesce("body", F.lit(""))).isNotNull()))
@@ -64,6 +65,6 @@ def spec_paths(specs: DataFrame) -> DataFrame:
     e = specs.select("page_id", "title", "version", F.posexplode("paths").alias("pos", "spec_path", "item"))
     item = F.from_json(F.col("item"), _MAP)
     verbs = F.transform(F.filter(F.map_keys(item), lambda k: F.lower(k).isin(SPEC_VERBS)), F.upper)
-    is_obj = F.trim(F.coalesce("item", F.lit(""))).startswith("{") & item.isNotNull()
+    is_obj = strip(F.coalesce("item", F.lit(""))).startswith("{") & item.isNotNull()
     return e.select("page_id", "pos", "spec_path",
                     F.when(is_obj, verbs).otherwise(F.array(F.lit("GET"))).alias("methods"), "title", "version")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.functions.text import strip
+
 DEFAULT_RULE_CONFIDENCE = 0.75  # R4
 DEFAULT_CATEGORY_PRIORITY = 999  # R5
 # Legacy category slugs translated on preserved custom rules.
@@ -68,7 +70,7 @@ def pattern_confidence(p: Column) -> Column:
 def as_list(v: Column) -> Column:
     """A JSON value that is a string or a list of strings, as a list (non-strings dropped)."""
     arr = F.from_json(v, _STR_ARR)
-    is_arr = F.trim(F.coalesce(v, F.lit(""))).startswith("[") & arr.isNotNull()
+    is_arr = strip(F.coalesce(v, F.lit(""))).startswith("[") & arr.isNotNull()
     return F.when(v.isNull(), F.array().cast(_STR_ARR)).when(is_arr, F.filter(arr, lambda x: x.isNotNull())) \
         .otherwise(F.array(v))
 
@@ -157,7 +159,7 @@ def _dom(d: Column) -> Column:
     """dom: string -> [s]; list -> strings; dict -> per selector {exists, text, attributes, properties}
     (first usable pattern each, empty attribute/property patterns -> '.'), kept as JSON text."""
     raw = F.get_json_object(d, "$.dom")
-    t = F.trim(F.coalesce(raw, F.lit("")))
+    t = strip(F.coalesce(raw, F.lit("")))
     lst = F.to_json(as_list(raw))
     obj = F.from_json(raw, _STR_MAP)
 
@@ -178,7 +180,7 @@ def _dom(d: Column) -> Column:
                         F.when(is_obj, sub_map("properties")).alias("properties"),
                         F.when(is_obj, sub_map("attributes")).alias("attributes"))
 
-    as_obj = F.to_json(F.transform_values(obj, lambda k, v: norm(F.trim(F.coalesce(v, F.lit(""))))))
+    as_obj = F.to_json(F.transform_values(obj, lambda k, v: norm(strip(F.coalesce(v, F.lit(""))))))
     return F.when(raw.isNull() | (t == "") | (t == "{}") | (t == "[]"), F.lit(None)) \
         .when(t.startswith("{"), as_obj).otherwise(lst)
 
@@ -219,7 +221,7 @@ def merge_rules(upstream: DataFrame, custom: DataFrame) -> tuple[DataFrame, Data
         return F.when(F.col("c_" + name).isNull(), F.col("u_" + name)).otherwise(
             F.map_concat(F.coalesce("u_" + name, F.create_map().cast(_STR_MAP)), F.col("c_" + name)))
 
-    udom, cdom = F.trim(F.coalesce("u_dom", F.lit(""))), F.trim(F.coalesce("c_dom", F.lit("")))
+    udom, cdom = strip(F.coalesce("u_dom", F.lit(""))), strip(F.coalesce("c_dom", F.lit("")))
     dom_list = F.to_json(_union_keep_order(F.from_json("u_dom", _STR_ARR), F.from_json("c_dom", _STR_ARR)))
     dom_obj = F.to_json(F.map_concat(F.from_json("u_dom", _STR_MAP), F.from_json("c_dom", _STR_MAP)))
     dom = F.when(F.col("c_dom").isNull(), F.col("u_dom")) \

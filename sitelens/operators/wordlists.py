@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import urls as U
 from sitelens.functions.staging import computed
+from sitelens.functions.text import strip
 
 MAX_PROBES = 500
 SOFT404_MAX_BODY = 10_240
@@ -68,9 +69,9 @@ def parse_wordlists(lines: DataFrame) -> DataFrame:
     """(filename, line_no, line) -> (filename, pos, path): stripped, no blanks or '#',
     leading '/' forced, first occurrence kept.  ``pos`` is the line number of that first
     occurrence: it orders the file without a per-file window (one file may be huge)."""
-    p = F.trim("line")
+    p = strip("line")
     p = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
-    kept = lines.filter((F.trim("line") != "") & ~F.trim("line").startswith("#")).select("filename", "line_no", p.alias("path"))
+    kept = lines.filter((strip("line") != "") & ~strip("line").startswith("#")).select("filename", "line_no", p.alias("path"))
     return kept.groupBy("filename", "path").agg(F.min("line_no").alias("pos")).select("filename", "pos", "path")
 
 
@@ -238,7 +239,7 @@ def classify_responses(resp: DataFrame) -> DataFrame:
                  ("location", "next_location")):
         r = r.withColumn(c, F.when(F.col("_hop"), F.col(n)).otherwise(F.col(c)))
     r = r.filter(_status_ok(F.col("status")))                                                 # W6 again
-    ct = F.lower(F.trim(F.coalesce("content_type", F.lit(""))))
+    ct = F.lower(strip(F.coalesce("content_type", F.lit(""))))
     body = F.coalesce("body", F.lit(""))
     r = computed(r, ct=ct, b=body, generic=F.exists(_arr(GENERIC_WORDLISTS), lambda g: F.col("filename").endswith(g)),
                  is_json=F.try_parse_json(body).isNotNull())

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 
 from sitelens.functions import regex as rx
+from sitelens.functions.text import BLANKS
 from sitelens.sources.rules import FIXTURE_CATEGORIES, FIXTURE_RULES, SRC_RANK
 
 
@@ -155,17 +156,33 @@ def d_first_party(h1: str, h2: str) -> str:
     return f"({a} = {b} OR {d_apex(a)} = {d_apex(b)})"
 
 
+def d_strip(x: str) -> str:
+    return f"trim({x}, {sql_str(BLANKS)})"
+
+
 def d_resolve(base: str, ref: str) -> str:
+    """The reference resolved against the base, dot segments as a fold over the path's parts."""
     scheme = f"lower({d_url(base, 1)})"
     origin = f"({scheme} || '://' || {d_url(base, 2)})"
     path = d_url(base, 3)
-    bdir = f"regexp_replace({path}, '[^/]*$', '')"
-    bdir = f"(CASE WHEN {bdir} = '' THEN '/' ELSE {bdir} END)"
-    r = f"trim({ref})"
-    return f"""(CASE WHEN regexp_matches({r}, '^[A-Za-z][A-Za-z0-9+.\\-]*://') THEN {r}
-      WHEN starts_with({r}, '//') THEN {scheme} || ':' || {r}
-      WHEN starts_with({r}, '/') THEN {origin} || {r}
-      WHEN {r} = '' THEN {base}
-      WHEN starts_with({r}, '?') THEN {origin} || {path} || {r}
-      WHEN starts_with({r}, '#') THEN regexp_replace({base}, '#.*$', '') || {r}
-      ELSE {origin} || {bdir} || {r} END)"""
+    folder = f"regexp_replace({path}, '[^/]*$', '')"
+    folder = f"(CASE WHEN {folder} = '' THEN '/' ELSE {folder} END)"
+    r = d_strip(f"translate({ref}, chr(9) || chr(10) || chr(13), '')")
+    own = f"lower({d_url(r, 1)})"
+    tail = f"(CASE WHEN {own} <> '' THEN regexp_replace({r}, '^[A-Za-z][A-Za-z0-9+.\\-]*:', '') ELSE {r} END)"
+    rpath, after = f"regexp_extract({tail}, '^[^?#]*')", f"regexp_replace({tail}, '^[^?#]*', '')"
+
+    def dots(p: str) -> str:
+        fold = (f"list_reduce(list_transform(string_split({p}, '/'), lambda s: [s]), lambda acc, s: CASE WHEN s[1] = '..' THEN acc[1:len(acc) - 1] "
+                f"WHEN s[1] = '.' THEN acc ELSE list_concat(acc, s) END)")
+        joined = f"(array_to_string({fold}, '/') || CASE WHEN regexp_matches({p}, '/\\.\\.?$') THEN '/' ELSE '' END)"
+        joined = f"(CASE WHEN starts_with({joined}, '/') THEN {joined} ELSE '/' || {joined} END)"
+        return f"(CASE WHEN regexp_matches({p}, '/\\.\\.?(/|$)') THEN {joined} ELSE {p} END)"
+    together = f"regexp_replace({folder} || {rpath}, '/{{2,}}', '/', 'g')"
+    return f"""(CASE WHEN {own} <> '' AND {own} <> {scheme} THEN {r}
+      WHEN starts_with({tail}, '//') THEN {scheme} || ':' || {tail}
+      WHEN {tail} = '' THEN {base}
+      WHEN {rpath} = '' AND starts_with({after}, '#') THEN regexp_replace({base}, '#.*$', '') || {after}
+      WHEN {rpath} = '' THEN {origin} || {path} || {after}
+      WHEN starts_with({rpath}, '/') THEN {origin} || {dots(rpath)} || {after}
+      ELSE {origin} || {dots(together)} || {after} END)"""

@@ -46,7 +46,7 @@ F6M = f"({FD.f6_maps_sql()})"
 
 
 def d_useful(p: str = "pr") -> str:
-    ct = "lower(trim(coalesce(content_type, '')))"
+    ct = f"lower({O.d_strip("coalesce(content_type, '')")})"
     return (f"SELECT * FROM {p} WHERE status < 400 AND NOT (status = 200 AND starts_with({ct}, 'text/html') "
             f"AND NOT coalesce(json_valid(body), FALSE))")
 
@@ -228,13 +228,13 @@ def q_select_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @oracle("select_scripts")
 def o_select_scripts() -> str:
-    resolved = f"CASE WHEN {O.d_is_abs('trim(src)')} THEN trim(src) ELSE {O.d_resolve('url', 'src')} END"
+    resolved = f"CASE WHEN {O.d_is_abs(O.d_strip('src'))} THEN {O.d_strip('src')} ELSE {O.d_resolve('url', 'src')} END"
     cdn = " OR ".join(f"contains({O.d_netloc('js_url')}, {q(c)})" for c in J.CDN_HOSTS)
     from sitelens.plans.q_evidence import d_attr, d_explode, d_masked, d_tags
     return f"""{F2_CTE},
 t AS ({d_explode('f2', d_tags(d_masked('html'), 'script'))}),
 rr AS (SELECT page_id, pos, {d_attr('a', 'src')} AS v FROM t),
-s AS (SELECT rr.page_id, rr.pos, f2.url, trim(rr.v) AS src FROM rr JOIN f2 ON rr.page_id = f2.page_id
+s AS (SELECT rr.page_id, rr.pos, f2.url, {O.d_strip('rr.v')} AS src FROM rr JOIN f2 ON rr.page_id = f2.page_id
       WHERE rr.v IS NOT NULL AND rr.v <> ''),
 r AS (SELECT page_id, pos, {resolved} AS js_url FROM s),
 k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM r WHERE NOT ({cdn}))
@@ -304,7 +304,7 @@ def d_static_routes() -> str:
     return f"""{d_map_routes()},
 br AS (SELECT DISTINCT page_id, unnest({d_routes('body')}) AS route FROM {F6S}),
 ar AS (SELECT page_id, route FROM br UNION SELECT page_id, route FROM mr),
-epr AS (SELECT ar.page_id, p.url, trim(ar.route) AS ep FROM ar JOIN pages p ON p.page_id = ar.page_id),
+epr AS (SELECT ar.page_id, p.url, {O.d_strip('ar.route')} AS ep FROM ar JOIN pages p ON p.page_id = ar.page_id),
 sr AS (SELECT DISTINCT page_id, CASE
     WHEN {O.d_is_abs('ep')} AND ({target} = '' OR {fp}) THEN {path}
     WHEN NOT {O.d_is_abs('ep')} AND starts_with(ep, '/') AND NOT starts_with(ep, '//') THEN ep END AS route FROM epr)"""

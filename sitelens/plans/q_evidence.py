@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.functions import html as H
 from sitelens.operators import evidence as E
 from sitelens.operators import implies as I
 from sitelens.operators import match as M
@@ -42,16 +41,31 @@ def f5(spark, sf_dir):
 
 
 # --- DuckDB versions of the html expressions ---------------------------------------
+# The oracle masks comments and raw text first, then reads tags: RE2 has neither lookaround nor possessive
+# repetitions, so this is another route to the same rows (on markup that is well formed).
+_O_ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+_O_SECTION = rf"(?:[\s/]{_O_ATTRS})?"
+# Groups: 1 comment text, 2 script start tag, 3 script body, 4 script end tag, 5 style start tag, 6 style end tag.
+_O_RAW_TEXT = rf"(?is)<!--(.*?)-->|(<script{_O_SECTION}>)(.*?)(</script\s*>)|(<style{_O_SECTION}>).*?(</style\s*>)"
+
+
+_O_HAS_SRC = r"(?is)(?:^|[\s/])src(?:\s*=|[\s/]|$)"
+
+
+def _o_attr_rx(name: str) -> str:
+    return r"(?is)(?:^|[\s/])" + name + r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def d_masked(h: str) -> str:
-    return f"regexp_replace({h}, {q(H.RAW_TEXT_RX)}, '\\2\\4\\5\\6', 'g')"
+    return f"regexp_replace({h}, {q(_O_RAW_TEXT)}, '\\2\\4\\5\\6', 'g')"
 
 
 def d_raw_text(h: str, group: int) -> str:
-    return f"regexp_extract_all({h}, {q(H.RAW_TEXT_RX)}, {group})"
+    return f"regexp_extract_all({h}, {q(_O_RAW_TEXT)}, {group})"
 
 
 def d_tags(mh: str, tag: str) -> str:
-    return f"regexp_extract_all({mh}, {q(H.start_tag_rx(tag))}, 1)"
+    return f"regexp_extract_all({mh}, {q(rf'(?is)<{tag}({_O_SECTION})>')}, 1)"
 
 
 def d_unescape(v: str) -> str:
@@ -62,7 +76,7 @@ def d_unescape(v: str) -> str:
 
 
 def d_attr(a: str, name: str) -> str:
-    raw = f"list_extract(regexp_extract_all({a}, {q(H.attr_rx(name))}, 1), -1)"
+    raw = f"list_extract(regexp_extract_all({a}, {q(_o_attr_rx(name))}, 1), -1)"
     unq = f"CASE WHEN left({raw}, 1) IN ('\"', '''') THEN substr({raw}, 2, length({raw}) - 2) ELSE {raw} END"
     return d_unescape(unq)
 
@@ -99,7 +113,7 @@ def _o_tag_attr(tag: str, attr_name: str) -> str:
     return f"""{F2_CTE},
 t AS ({d_explode('f2', d_tags(d_masked('html'), tag))}),
 r AS (SELECT page_id, pos, {d_attr('a', attr_name)} AS v FROM t)
-SELECT page_id, pos, trim(v) AS {attr_name} FROM r WHERE v IS NOT NULL AND v <> ''"""
+SELECT page_id, pos, {O.d_strip('v')} AS {attr_name} FROM r WHERE v IS NOT NULL AND v <> ''"""
 
 
 @query("script_srcs")
@@ -131,10 +145,11 @@ def q_inline_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o_inline_scripts() -> str:
     return f"""{F2_CTE},
 b AS (SELECT page_id, {d_raw_text('html', 2)} AS tags, {d_raw_text('html', 3)} AS bodies FROM f2),
-t AS (SELECT page_id, pos - 1 AS pos, regexp_replace(tags[pos], '^<[A-Za-z]+|>$', '', 'g') AS attrs, tags[pos] AS tag, bodies[pos] AS body
-      FROM (SELECT *, generate_subscripts(tags, 1) AS pos FROM b))
-SELECT page_id, pos, trim(body) AS script FROM t
-WHERE tag <> '' AND NOT regexp_matches(attrs, {q(H.has_attr_rx('src'))}) AND trim(body) <> ''"""
+e AS (SELECT page_id, at, tags[at] AS tag, bodies[at] AS body FROM (SELECT *, generate_subscripts(tags, 1) AS at FROM b)),
+t AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY at) - 1 AS pos, regexp_replace(tag, '^<[A-Za-z]+|>$', '', 'g') AS attrs, body
+      FROM e WHERE tag <> '')
+SELECT page_id, pos, {O.d_strip('body')} AS script FROM t
+WHERE NOT regexp_matches(attrs, {q(_O_HAS_SRC)}) AND {O.d_strip('body')} <> ''"""
 
 
 @query("html_comments")
@@ -145,8 +160,8 @@ def q_html_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @oracle("html_comments")
 def o_html_comments() -> str:
     return f"""{F2_CTE},
-t AS ({d_explode('f2', d_raw_text('html', 1))})
-SELECT page_id, pos, trim(a) AS comment FROM t WHERE trim(a) <> ''"""
+t AS ({d_explode('f2', f"list_filter({d_raw_text('html', 0)}, lambda x: starts_with(x, '<!--'))")})
+SELECT page_id, pos, {O.d_strip('substr(a, 5, length(a) - 7)')} AS comment FROM t WHERE {O.d_strip('substr(a, 5, length(a) - 7)')} <> ''"""
 
 
 @query("data_attributes")
@@ -180,9 +195,9 @@ def q_manifest_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o_manifest_url() -> str:
     return f"""{F2_CTE},
 t AS ({d_explode('f2', d_tags(d_masked('html'), 'link'))}),
-r AS (SELECT page_id, pos, lower(coalesce({d_attr('a', 'rel')}, '')) AS rel, trim({d_attr('a', 'href')}) AS href FROM t)
+r AS (SELECT page_id, pos, lower(coalesce({d_attr('a', 'rel')}, '')) AS rel, {O.d_strip(d_attr('a', 'href'))} AS href FROM t)
 SELECT page_id, arg_min(href, pos) AS manifest_url FROM r
-WHERE list_contains(regexp_split_to_array(trim(rel), '\\s+'), 'manifest')
+WHERE list_contains(regexp_split_to_array({O.d_strip('rel')}, '\\s+'), 'manifest')
 GROUP BY page_id HAVING arg_min(href, pos) IS NOT NULL AND arg_min(href, pos) <> ''"""
 
 
@@ -197,21 +212,8 @@ def q_site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @oracle("site_links")
 def o_site_links() -> str:
-    url_rx = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
-    scheme = f"lower(regexp_extract(url, {q(url_rx)}, 1))"
-    netloc_raw = f"regexp_extract(url, {q(url_rx)}, 2)"
-    path = f"regexp_extract(url, {q(url_rx)}, 3)"
-    origin = f"{scheme} || '://' || {netloc_raw}"
-    bdir = f"regexp_replace({path}, '[^/]*$', '')"
-    bdir = f"CASE WHEN {bdir} = '' THEN '/' ELSE {bdir} END"
-    r = "trim(href)"
-    resolved = f"""CASE WHEN regexp_matches({r}, '^[A-Za-z][A-Za-z0-9+.\\-]*://') THEN {r}
-      WHEN starts_with({r}, '//') THEN {scheme} || ':' || {r}
-      WHEN starts_with({r}, '/') THEN {origin} || {r}
-      WHEN {r} = '' THEN url
-      WHEN starts_with({r}, '?') THEN {origin} || {path} || {r}
-      WHEN starts_with({r}, '#') THEN regexp_replace(url, '#.*$', '') || {r}
-      ELSE {origin} || {bdir} || {r} END"""
+    resolved = O.d_resolve("url", "href")
+    url_rx = O.URL_RX
     nl = lambda u: f"lower(regexp_extract({u}, {q(url_rx)}, 2))"
     return f"""WITH pg AS (SELECT page_id, url, html FROM pages),
 t AS ({d_explode('pg', d_tags(d_masked('html'), 'a'), 'page_id, url')}),
@@ -264,7 +266,7 @@ def q_raw_set_cookies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @oracle("raw_set_cookies")
 def o_raw_set_cookies() -> str:
     return f"""{F3_CTE}
-SELECT page_id, hop, pos, value AS raw, trim(split_part(value, '=', 1)) AS cookie_name
+SELECT page_id, hop, pos, value AS raw, {O.d_strip("split_part(value, '=', 1)")} AS cookie_name
 FROM h WHERE lower(name) = 'set-cookie'"""
 
 

@@ -80,9 +80,10 @@ def d_norm_filename(x: str) -> str:
 
 
 def d_parsed() -> str:
-    p = "CASE WHEN starts_with(trim(line), '/') THEN trim(line) ELSE '/' || trim(line) END"
+    line = O.d_strip("line")
+    p = f"CASE WHEN starts_with({line}, '/') THEN {line} ELSE '/' || {line} END"
     return f"""lines AS ({FD.f7_lines_sql()}),
-kept AS (SELECT filename, line_no, {p} AS path FROM lines WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')),
+kept AS (SELECT filename, line_no, {p} AS path FROM lines WHERE {line} <> '' AND NOT starts_with({line}, '#')),
 parsed AS (SELECT filename, min(line_no) AS pos, path FROM kept GROUP BY filename, path)"""
 
 
@@ -163,7 +164,7 @@ r2 AS (SELECT page_id, rank, filename, path, base_url, url, baseline,
           CASE WHEN hop THEN next_content_type ELSE content_type END AS content_type,
           CASE WHEN hop THEN next_body ELSE body END AS body,
           CASE WHEN hop THEN next_location ELSE location END AS location FROM r1),
-r3 AS (SELECT *, lower(trim(coalesce(content_type, ''))) AS ct, coalesce(body, '') AS b, ({generic}) AS generic
+r3 AS (SELECT *, lower({O.d_strip("coalesce(content_type, '')")}) AS ct, coalesce(body, '') AS b, ({generic}) AS generic
        FROM r2 WHERE status IN ({ok})),
 r4 AS (SELECT * FROM r3 WHERE status <> 200 OR (CASE
           WHEN generic THEN ({structured})

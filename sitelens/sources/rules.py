@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.functions import regex as rx
+from sitelens.functions.text import strip
 
 DATA_DIR = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data")
 FIXTURE_RULES = os.path.join(DATA_DIR, "rules_fixture.jsonl")
@@ -85,7 +86,7 @@ def js_key(col) -> F.Column:
     c = F.regexp_replace(c, r"^window\.", "")
     c = F.replace(c, F.lit("?."), F.lit("."))
     c = F.regexp_replace(c, r"\(\)$", "")
-    return F.trim(F.lower(c))
+    return strip(F.lower(c))
 
 
 _ANALYSIS = T.StructType([
@@ -149,8 +150,8 @@ def implies_edges(rules: DataFrame) -> DataFrame:
     """Implies graph edges (src_key -pos-> dst_key) with the implier's name."""
     return rules.select(F.col("tech_key").alias("src_key"), F.col("name").alias("src_name"),
                         F.posexplode("implies").alias("pos", "dst")) \
-        .select("src_key", "src_name", "pos", F.lower(F.trim("dst")).alias("dst_key"),
-                F.trim("dst").alias("dst_raw"))
+        .select("src_key", "src_name", "pos", F.lower(strip("dst")).alias("dst_key"),
+                strip("dst").alias("dst_raw"))
 
 
 def dom_rules(rules: DataFrame) -> DataFrame:
@@ -159,7 +160,7 @@ def dom_rules(rules: DataFrame) -> DataFrame:
     kind: ``list`` (list-shaped dom), ``exists`` (empty sub-rule or an ``exists`` key),
     ``criteria`` (text / attributes / properties regexes on one element).
     """
-    d = rules.filter(F.col("dom").isNotNull()).select("tech_key", "ord", F.trim("dom").alias("dom"))
+    d = rules.filter(F.col("dom").isNotNull()).select("tech_key", "ord", strip("dom").alias("dom"))
     lists = d.filter(F.col("dom").startswith("[")).select(
         "tech_key", "ord", F.posexplode(F.from_json("dom", T.ArrayType(T.StringType()))).alias("pos", "selector")) \
         .select("tech_key", "ord", "pos", "selector", F.lit("list").alias("kind"),
@@ -167,7 +168,7 @@ def dom_rules(rules: DataFrame) -> DataFrame:
                 F.lit(None).cast(_MAP).alias("attr_rx"), F.lit(None).cast(_MAP).alias("prop_rx"))
     dicts = d.filter(F.col("dom").startswith("{")).select(
         "tech_key", "ord", F.posexplode(F.from_json("dom", _MAP)).alias("pos", "selector", "sub"))
-    sub = F.trim(F.coalesce("sub", F.lit("")))
+    sub = strip(F.coalesce("sub", F.lit("")))
     is_exists = sub.isin("", "{}", "null", "[]", "false", "0") | \
         F.get_json_object(sub, "$.exists").isNotNull() | sub.rlike(r'"exists"\s*:')
     dicts = dicts.select(
