@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.functions import regex as rx
+from sitelens.functions.staging import computed
 from sitelens.functions.text import strip
 from sitelens.operators import prefilter as PF
 
@@ -241,8 +242,8 @@ def dom_from_requests(requests: DataFrame, dom_rules: DataFrame, existing: DataF
     then request order)."""
     alts = url_selector_alternatives(dom_rules)
     # every kind of test needs the value inside the URL: the literal prefilter finds the candidates
-    pats = alts.withColumn("pid", F.hash("selector", "alt", "attr", "op", "val"))
-    cand = PF.regex_join(requests.select("page_id", "seq", "url"), "url", pats, F.array(F.lower("val")), url_matches(F.col("url")))
+    pats = alts.withColumn("pid", F.xxhash64("selector", "alt", "attr", "op", "val"))
+    cand = PF.regex_join(requests.select("page_id", "seq", "url"), "url", pats, PF.any_of(F.array("val")), url_matches(F.col("url")))
     cand = cand.join(existing.select("page_id", "selector").distinct(), ["page_id", "selector"], "left_anti")
     return cand.select("page_id", "selector", (F.col("alt") * 1000000 + F.col("seq")).alias("pos"),
                        F.lit("").alias("text"), F.create_map(F.col("attr"), F.col("url")).alias("attrs"))
@@ -346,7 +347,9 @@ def _with_criteria(dom_rules: DataFrame) -> DataFrame:
 
     text = F.when(F.col("text_rx").isNotNull(), F.create_map(F.lit(""), F.col("text_rx"))).otherwise(empty)
     each = F.concat(*[listed(k, F.map_entries(F.coalesce(m, empty))) for k, m in (("text", text), ("attribute", F.col("attr_rx")), ("property", F.col("prop_rx")))])
-    return dom_rules.withColumn("criteria", _compile_criteria(each))
+    out = computed(dom_rules, criteria=_compile_criteria(each))
+    judged = F.transform("criteria", lambda c: c.withField("rx", F.when(rx.compiles(c["rx"]), c["rx"])))
+    return computed(out, criteria=judged)
 
 
 def prepare_dom_rules(dom_rules: DataFrame) -> DataFrame:

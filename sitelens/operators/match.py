@@ -4,7 +4,7 @@ matches_raw(page_id, tech_key, src, src_rank, pos, key, matched, pattern, versio
 
 * M1-M3, M6 are broadcast hash equi-joins on the normalised key, then a
   regex on the value: no shuffle, the page side never moves.
-* M4 and M5 are theta joins, run through the literal prefilter
+* M4 and M5 are theta joins, run through the prefilter of literal queries
   (``operators.prefilter``) so regexes only run on candidate pairs.
 All regexes are case-insensitive and unanchored (``(?iu)`` + the compiled form ``rx``;
 ``pattern`` is the rule's own text).
@@ -41,7 +41,8 @@ def _version(text: F.Column) -> F.Column:
 
 
 def with_pid(pats: DataFrame) -> DataFrame:
-    return pats.withColumn("pid", (F.col("ord") * 1000 + F.col("src_rank") * 100 + F.col("pos")).cast("int"))
+    """A unique id for up to a million patterns of a kind in a rule."""
+    return pats.withColumn("pid", (F.col("ord").cast("long") * 10 + F.col("src_rank")) * 1_000_000 + F.col("pos"))
 
 
 def match_keyed(evidence: DataFrame, patterns: DataFrame, src: str) -> DataFrame:
@@ -74,9 +75,8 @@ def match_js_globals(js: DataFrame, patterns: DataFrame) -> DataFrame:
 def match_html(pages: DataFrame, patterns: DataFrame) -> DataFrame:
     """M5: regex over the raw html; matched = first 100 chars of the hit + '...' (always)."""
     p = with_pid(patterns.filter(F.col("src") == "html"))
-    keys = F.when(F.col("literal").isNotNull(), F.array("literal"))
     cond = F.regexp_like(F.col("html"), _rx())
-    j = PF.regex_join(pages.select("page_id", "html"), "html", p, keys, cond)
+    j = PF.regex_join(pages.select("page_id", "html"), "html", p, PF.all_of(F.col("clauses")), cond)
     hit = rx_extract(F.col("html"), _rx(), 0)
     return j.select("page_id", "tech_key", "src", "src_rank", "pos", "key",
                     F.concat(F.substring(hit, 1, HTML_MATCH_CUT), F.lit("...")).alias("matched"), "pattern",
@@ -110,11 +110,11 @@ def match_scripts(values: DataFrame, patterns: DataFrame) -> DataFrame:
     the only shuffle is the per-(page, pattern) pick of the first hit.
     """
     p = with_pid(patterns.filter(F.col("src") == "script"))
-    keys = F.array_compact(F.array(F.lower(F.col("pattern")), F.col("literal")))
-    keys = F.when(F.col("literal").isNotNull(), keys)  # no literal: the regex could hit anything
+    # the pattern as a substring, or the regex
+    ways = F.concat(PF.any_of(F.array("pattern")), PF.all_of(F.col("clauses")))
     cond = F.contains(F.col("value"), F.col("pattern")) | F.regexp_like(F.col("value"), _rx())
     vals = values.select("page_id", "grp", F.col("pos").alias("vpos"), "value")
-    hits = PF.regex_join(vals, "value", p, keys, cond)
+    hits = PF.regex_join(vals, "value", p, ways, cond)
     is_sub = F.contains(F.col("value"), F.col("pattern"))
     hits = hits.select("page_id", "pid", "tech_key", "src", "src_rank", "pos", "key", "pattern", "value",
                        F.struct(F.when(is_sub, 0).otherwise(1).alias("pass"), "grp", "vpos").alias("o"),

@@ -1,20 +1,20 @@
 """Literal-prefiltered regex join: texts x patterns without a nested loop.
 
-Each pattern carries the literal(s) every hit must contain (rule-compile
-time, ``functions.regex``).  One Aho-Corasick pass per text (pyahocorasick,
-built once per Python worker from a broadcast of the literal list) yields the
-ids of the patterns that *can* match; only those pairs reach ``rlike``.  The
-work per text is linear in its length, independent of the rule count, so it
-holds at thousands of rules x billions of pages.  Patterns without any
-provable literal are few and go through a broadcast nested-loop join.
-
-The literal list is a function of the rule set only; its size is checked
-before it is broadcast.
+Each pattern carries a boolean query of literals (``ways``: OR of AND of ORs, from its parse tree) that every
+text it can match satisfies.  One Aho-Corasick pass per text (pyahocorasick, built once per Python worker
+from a broadcast of the literals) yields the literals that occur; their bits are folded per pattern and
+clause, and only patterns whose query holds become candidates and reach ``rlike``.  The work per text is
+linear in its length, independent of the rule count.  Patterns without any provable literal are candidates
+of every text: they are in the same list of ids, so every plan is one equi-join on the pattern id.
+
+Literals are a function of the rule set only.  More of them than ``MAX_BROADCAST_LITERALS`` are split into
+shards of patterns by hash, one pass over the texts each.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,92 +25,110 @@ from sitelens.functions.regex import fold
 from sitelens.session import session_key
 
 MAX_BROADCAST_LITERALS = 2_000_000
-_AUTOMATA: dict[int, object] = {}
+#: Rule sets whose literals stay broadcast, and automata that a worker keeps; older ones are built again when asked for.
+KEPT_RULE_SETS, KEPT_AUTOMATA = 16, 4
+_AUTOMATA: OrderedDict[str, tuple] = OrderedDict()
+_SHARDS: OrderedDict[tuple, list] = OrderedDict()
 
 
-def _automaton(bc, token):
-    a = _AUTOMATA.get(token)
-    if a is None:
-        import ahocorasick
-        a = ahocorasick.Automaton()
-        groups: dict[str, list[int]] = {}
-        for lit, pid in bc.value:
-            groups.setdefault(lit, []).append(pid)
-        for lit, pids in groups.items():
-            a.add_word(lit, tuple(pids))
-        a.make_automaton()
-        _AUTOMATA[token] = a
-    return a
+def any_of(literals: Column) -> Column:
+    """The query "one of these literals occurs"."""
+    return F.array(F.array(literals))
+
 
+def all_of(clauses: Column) -> Column:
+    """The query "of each clause one literal occurs"."""
+    return F.array(clauses)
 
-_UDFS: dict[int, object] = {}
+
+def _built(bc, token: str) -> tuple:
+    """(automaton of literals, uses of each literal as (way, clause bit), ids and full masks of ways, ids of every text)."""
+    if token not in _AUTOMATA:
+        import ahocorasick
+        ways, always = bc.value
+        automaton, number, uses = ahocorasick.Automaton(), {}, []
+        for way, (_, clauses) in enumerate(ways):
+            for bit, clause in enumerate(clauses):
+                for literal in clause:
+                    at = number.setdefault(literal, len(uses))
+                    if at == len(uses):
+                        automaton.add_word(literal, at)
+                        uses.append([])
+                    uses[at].append((way, 1 << bit))
+        automaton.make_automaton()
+        _AUTOMATA[token] = automaton, uses, [(pid, (1 << len(clauses)) - 1) for pid, clauses in ways], always
+        while len(_AUTOMATA) > KEPT_AUTOMATA:
+            _AUTOMATA.popitem(last=False)
+    _AUTOMATA.move_to_end(token)
+    return _AUTOMATA[token]
 
 
 def candidate_ids_udf(bc):
-    """pandas UDF: text -> sorted distinct ids of patterns whose literal occurs in fold(text)."""
-    if id(bc) in _UDFS:
-        return _UDFS[id(bc)]
+    """pandas UDF: text -> sorted distinct ids of the patterns whose query of literals holds in fold(text)."""
     token = uuid.uuid4().hex
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def hits(texts: pd.Series) -> pd.Series:
-        a = _automaton(bc, token)
+        automaton, uses, ways, always = _built(bc, token)
         out = []
         for t in texts:
-            if t is None or len(a) == 0:
+            if t is None:
                 out.append([])
                 continue
-            found = set()
-            for _end, pids in a.iter(fold(t)):
-                found.update(pids)
+            found, masks = set(always), {}
+            for literal in {at for _, at in automaton.iter(fold(t))} if len(automaton) else ():
+                for way, bit in uses[literal]:
+                    masks[way] = masks.get(way, 0) | bit
+            found.update(ways[way][0] for way, mask in masks.items() if mask == ways[way][1])
             out.append(sorted(found))
         return pd.Series(out)
 
-    _UDFS[id(bc)] = hits
     return hits
 
 
-_KEYS_CACHE: dict[tuple, object] = {}
-
+def _shard(rows: list) -> tuple[list, list]:
+    """(ways as (pid, clauses of folded literals), ids that hold for every text)."""
+    ways, always = [], set()
+    for r in rows:
+        queries = r["ways"] or []
+        if not queries or any(not way or any(not clause or not all(clause) for clause in way) for way in queries):
+            always.add(r["pid"])
+        else:
+            ways += [(r["pid"], [sorted({fold(x) for x in clause}) for clause in way]) for way in queries]
+    return sorted(ways), sorted(always)
 
-def pattern_keys(pats: DataFrame, keys: Column) -> list[tuple[str, int]]:
-    """(literal, pid) pairs of the small pattern table, size-checked before broadcast."""
-    rows = pats.select(F.explode(keys).alias("lit"), "pid").filter(F.col("lit").isNotNull())
-    got = rows.limit(MAX_BROADCAST_LITERALS + 1).collect()
-    if len(got) > MAX_BROADCAST_LITERALS:
-        raise ValueError(f"more than {MAX_BROADCAST_LITERALS} literals: too many for one broadcast")
-    return sorted({(r["lit"], int(r["pid"])) for r in got})
 
-
-def literal_broadcast(pats: DataFrame, keys: Column):
-    """Broadcast of the literal list, built once per distinct pattern table (plan hash)."""
+def literal_shards(pats: DataFrame, ways: Column) -> list:
+    """A candidate UDF for each shard of the pattern table, built once per distinct table (plan hash)."""
     spark = pats.sparkSession
-    key = (session_key(spark), pats.select(keys.alias("_k"), "pid")._jdf.queryExecution().analyzed().semanticHash())
-    bc = _KEYS_CACHE.get(key)
-    if bc is None:
-        bc = spark.sparkContext.broadcast(pattern_keys(pats, keys))
-        _KEYS_CACHE[key] = bc
-    return bc
-
-
-def regex_join(texts: DataFrame, text_col: str, pats: DataFrame, keys: Column, cond) -> DataFrame:
-    """Pairs (text row, pattern row) satisfying ``cond(text, pattern)``.
-
-    ``pats`` needs an int ``pid``; ``keys`` is an array<string> column of the
-    literals (already folded) of which at least one must occur in any text the
-    pattern can match; an empty/NULL array means "no literal known".
-    ``cond`` receives (text Column, pats alias prefix) and returns the exact predicate.
+    table = pats.select(F.col("pid").cast("long").alias("pid"), ways.alias("ways"))
+    key = (session_key(spark), table._jdf.queryExecution().analyzed().semanticHash(), MAX_BROADCAST_LITERALS)
+    if key not in _SHARDS:
+        literals = table.agg(F.sum(F.greatest(F.size(F.flatten(F.flatten("ways"))), F.lit(1)))).first()[0] or 0
+        n = max(1, -(-literals // MAX_BROADCAST_LITERALS))
+        made = []
+        for s in range(n):  # one bounded part of the rules at a time
+            part = table if n == 1 else table.filter(F.pmod(F.xxhash64("pid"), F.lit(n)) == s)
+            bc = spark.sparkContext.broadcast(_shard(part.collect()))
+            made.append((bc, candidate_ids_udf(bc)))
+        _SHARDS[key] = made
+        while len(_SHARDS) > KEPT_RULE_SETS:
+            for bc, _ in _SHARDS.popitem(last=False)[1]:
+                bc.unpersist()
+    _SHARDS.move_to_end(key)
+    return [udf for _, udf in _SHARDS[key]]
+
+
+def regex_join(texts: DataFrame, text_col: str, pats: DataFrame, ways: Column, cond) -> DataFrame:
+    """Pairs (text row, pattern row) satisfying ``cond``, a predicate over the columns of both.
+
+    ``pats`` needs a unique ``pid``; ``ways`` is an array<array<array<string>>>: a text that the pattern can match
+    satisfies one of the ways, that is, contains of each of its clauses one literal (ASCII case aside).  NULL, no
+    way, or a way without clauses: nothing is known, every text is a candidate.
     """
-    spark = texts.sparkSession
-    keyed = pats.filter(F.size(F.coalesce(keys, F.array())) > 0)
-    unkeyed = pats.filter(F.size(F.coalesce(keys, F.array())) == 0)
-    bc = literal_broadcast(keyed, keys)
-    hits = candidate_ids_udf(bc)
-    cand = texts.withColumn("_pids", hits(F.col(text_col))) \
-        .select("*", F.explode("_pids").alias("pid")).drop("_pids")
-    a = cand.join(keyed, "pid").filter(cond)
-    if unkeyed.isEmpty():  # the pattern table is a small local relation: no cluster job
-        return a
-    # no literal: nested loop against a broadcast side that only holds such patterns
-    b = texts.join(unkeyed, on=cond, how="inner")
-    return a.unionByName(b)
+    pats = pats.withColumn("pid", F.col("pid").cast("long"))
+    out = None
+    for hits in literal_shards(pats, ways):
+        cand = texts.withColumn("_pids", hits(F.col(text_col))).select("*", F.explode("_pids").alias("pid")).drop("_pids")
+        out = cand if out is None else out.unionByName(cand)
+    return out.join(pats, "pid").filter(cond)

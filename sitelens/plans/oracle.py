@@ -68,12 +68,12 @@ def fixture_patterns(valid_only: bool = True) -> list[dict]:
     rows = []
     for r in fixture_rules():
         def add(src, pos, key, pattern):
-            n, lit, ok = rx.analyze(pattern)
+            n, _, ok = rx.analyze(pattern)
             if valid_only and not ok:
                 return
             key_norm = js_key_py(key) if src == "js_global" else (key.lower() if src in ("header", "cookie", "meta") else None)
             rows.append(dict(tech_key=r["tech_key"], ord=r["ord"], src=src, src_rank=SRC_RANK[src], pos=pos,
-                             key=key, key_norm=key_norm, pattern=pattern, n_groups=n, literal=lit))
+                             key=key, key_norm=key_norm, pattern=pattern, n_groups=n))
         for src, fld in (("header", "headers"), ("cookie", "cookies"), ("meta", "meta")):
             for i, (k, p) in enumerate((r.get(fld) or {}).items()):
                 add(src, i, k, p)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.functions import regex as rx
+from sitelens.functions.staging import computed
 from sitelens.functions.text import strip
 
 DATA_DIR = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data")
@@ -91,16 +92,22 @@ def js_key(col) -> F.Column:
 
 _ANALYSIS = T.StructType([
     T.StructField("n_groups", T.IntegerType()),
-    T.StructField("literal", T.StringType()),
+    T.StructField("clauses", T.ArrayType(T.ArrayType(T.StringType()))),
     T.StructField("valid", T.BooleanType()),
     T.StructField("rx", T.StringType()),
 ])
 
 
 @F.pandas_udf(_ANALYSIS)
-def analyze_pattern(patterns: pd.Series) -> pd.DataFrame:
-    res = [(*rx.analyze(p), rx.java_form(p)) if p is not None else (0, None, False, None) for p in patterns]
-    return pd.DataFrame(res, columns=["n_groups", "literal", "valid", "rx"])
+def _analyze(patterns: pd.Series) -> pd.DataFrame:
+    res = [(*rx.analyze(p), rx.java_form(p)) if p is not None else (0, [], False, None) for p in patterns]
+    return pd.DataFrame(res, columns=["n_groups", "clauses", "valid", "rx"])
+
+
+def analyzed(df: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """``df`` plus n_groups, clauses, rx and valid of its patterns; valid: java.util.regex compiles rx."""
+    out = computed(df, a=_analyze(pattern)).select(*df.columns, "a.n_groups", "a.clauses", "a.rx")
+    return computed(out, valid=rx.compiles(F.col("rx")))
 
 
 def _map_patterns(rules: DataFrame, col: str, src: str) -> DataFrame:
@@ -129,12 +136,9 @@ def all_patterns(rules: DataFrame) -> DataFrame:
     rank = F.create_map(*[x for s, r in SRC_RANK.items() for x in (F.lit(s), F.lit(r))])
     df = df.withColumn("src_rank", rank[F.col("src")]) \
         .withColumn("key_norm", F.when(F.col("src") == "js_global", js_key("key"))
-                    .when(F.col("src").isin("header", "cookie", "meta"), F.lower("key"))) \
-        .withColumn("a", analyze_pattern("pattern"))
+                    .when(F.col("src").isin("header", "cookie", "meta"), F.lower("key")))
     # js_global "." means "key exists" and is never run as a regex
-    return df.select("tech_key", "ord", "src", "src_rank", "pos", "key", "key_norm", "pattern",
-                     F.col("a.n_groups").alias("n_groups"), F.col("a.literal").alias("literal"),
-                     F.col("a.valid").alias("valid"), F.col("a.rx").alias("rx"))
+    return analyzed(df).select("tech_key", "ord", "src", "src_rank", "pos", "key", "key_norm", "pattern", "n_groups", "clauses", "valid", "rx")
 
 
 def compile_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,11 +1,19 @@
 """Fingerprint matching and scoring on small inputs."""
 
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from sitelens.operators import evidence as E
 from sitelens.operators import implies as I
 from sitelens.operators import match as M
+from sitelens.operators import domains
+from sitelens.operators import prefilter as PF
 from sitelens.operators import score as S
+from sitelens.plans.detect import localize
+from sitelens.sources import rules as R
 
 
 def _tech(spark, rules, raw):
@@ -73,5 +81,59 @@ def test_prefilter_equals_brute_force(spark, rules):
         sorted(map(tuple, slow.collect()))
 
 
+def generated_rules(n=300, seed=4):
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["foo", "bar", "lib", "wp", "q", "app-v", "Iis", "K", r"\d+", "[a-c]", ".", "x?", "é", r"\.js"])
+
+    def pattern(depth=0):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            kind = rng.randrange(5 if depth < 2 else 2)
+            parts.append(word() if kind < 3 else f"(?:{pattern(depth + 1)}|{pattern(depth + 1)})" if kind == 3 else f"(?:{pattern(depth + 1)}){rng.choice(['', '?', '+', '{2}'])}")
+        return "".join(parts)
+    return sorted({pattern() for _ in range(n)})
+
+
+def generated_texts(n=120, seed=5):
+    rng = random.Random(seed)
+    bits = ["foo", "BAR", "lib", "wp", "q", "App-V", "\u0130\u0130S", "iis", "\u212a", "7", "b", " ", "x", "É", ".js", "ſ", "-"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 9))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 10])
+def test_literal_queries_equal_brute_force_on_generated_rules(spark, monkeypatch, bound):
+    """Alternations, optional parts and folding characters; also with the literals in many shards.  No nested loop."""
+    monkeypatch.setattr(PF, "MAX_BROADCAST_LITERALS", bound)
+    patterns, texts = generated_rules(300 if bound > 10 else 25), generated_texts()
+    pats = localize(R.analyzed(spark.createDataFrame(list(enumerate(patterns)), "pid long, pattern string")).filter("valid"))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    cond = F.regexp_like("t", F.concat(F.lit("(?iu)"), F.col("rx")))
+    join = PF.regex_join(rows, "t", pats, PF.all_of(F.col("clauses")), cond)
+    assert "NestedLoop" not in join._jdf.queryExecution().toString() and "CartesianProduct" not in join._jdf.queryExecution().toString()
+    got = {(r.i, r.pattern) for r in join.select("i", "pattern").collect()}
+    assert got == {(i, p) for p in patterns for i, t in enumerate(texts) if re.search(p, t, re.I)}
+    hits = rows.select("i", F.explode(PF.literal_shards(pats, PF.all_of(F.col("clauses")))[0]("t")))
+    assert hits.count() < 0.8 * len(patterns) * len(texts)  # the filter filters
+
+
+def test_a_rule_set_of_odd_patterns_ends_no_job(spark):
+    """Patterns that Java refuses or reads otherwise, in every kind of rule."""
+    odd = ["(?P<v>nginx)/(?P<n>[0-9.]+)", "a{1,3000000000}", "(", "[", "(?m:^b)", r"\bé\b", "(x)?(?(1)a|b)", "nginx$", "(?s:a.b)c", "foo[&&]", "(?-i:Nginx)"]
+    rows = [(i, f"t{i}", f"T{i}", {"Server": p}, [p], [p]) for i, p in enumerate(odd)]
+    rules = spark.createDataFrame(rows, "ord int, tech_key string, name string, headers map<string,string>, scripts array<string>, html array<string>")
+    empty = F.create_map().cast("map<string,string>")
+    rules = rules.withColumns({"category": F.lit("web-servers"), "confidence": F.lit(0.9), "cookies": empty, "meta": empty, "js_globals": empty})
+    good, bad = R.compile_rules(rules)
+    assert {r.pattern for r in bad.collect()} == {"a{1,3000000000}", "(", "[", "(x)?(?(1)a|b)"}
+    values = ["nginx/1.2", "x\nb", "é", "a\nbc", "foo&", "Nginx", "NGINX\n", "a b", "aé"]
+    pages = spark.createDataFrame(list(enumerate(values)), "page_id int, html string")
+    got = {(r.page_id, r.pattern) for r in M.match_html(pages, good).collect()}
+    ok = [p for p in odd if p not in {r.pattern for r in bad.collect()}]
+    assert got == {(i, p) for p in ok for i, v in enumerate(values) if re.search(p, v, re.I)}
+    headers = spark.createDataFrame([(f"s{i}", "server", v) for i, v in enumerate(values)], "subdomain string, key_norm string, value string")
+    techs = {r.subdomain: r.detected_tech for r in domains.classify_by_headers(headers, domains.header_rules(rules)).collect()}
+    assert techs["s0"] == "T0" and techs["s2"] == "T5"
+
+
 def test_quarantine(spark, rules):
     assert [r["tech_key"] for r in rules.quarantine.collect()] == ["broken"]

@@ -1,5 +1,7 @@
 """Rule-compile regex analysis and URL expressions."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from sitelens.functions import regex as rx
@@ -11,11 +13,29 @@ def test_mandatory_literal():
     assert rx.mandatory_literal(r"track\(\d+\)") == "track("
     assert rx.mandatory_literal(r"<!-- ad (\d+) -->") == "<!-- ad "
     assert rx.mandatory_literal(r"nginx(?:/([\d.]+))?") == "nginx"
-    assert rx.mandatory_literal("^now|Vercel$") is None          # top-level alternation voids
+    assert rx.mandatory_literal("^now|Vercel$") is None          # an alternation has no single literal
     assert rx.mandatory_literal(r"ab?c") is None                  # no 3-char run survives '?'
     assert rx.mandatory_literal(r"WordPress(?: ([\d.]+))?") == "wordpress"
 
 
+def test_clauses_are_and_of_ors():
+    assert rx.clauses("^now|Vercel$") == [["now", "vercel"]]
+    assert rx.clauses("(?:foo|bar)x+lib(?:one|two[0-9]+three)") == [["one", "three"], ["lib"], ["bar", "foo"]] or \
+        sorted(map(sorted, rx.clauses("(?:foo|bar)x+lib(?:one|two[0-9]+three)"))) == [["bar", "foo"], ["lib"], ["one", "three"]]
+    assert rx.clauses("(?:foo|b?)tail") == [["tail"]]             # a branch that needs nothing voids the clause
+    assert rx.clauses(r"\d+|x?") == [] and rx.clauses("(") == [] and rx.clauses(None) == []
+    assert rx.clauses("ab") == [["ab"]] and rx.clauses("a") == []
+
+
+def test_fold_covers_every_character_that_matches_an_ascii_letter():
+    for c in map(chr, range(0x80, 0x110000)):
+        if not 0xD800 <= ord(c) < 0xE000:
+            for a in set(c.lower() + c.upper() + c.casefold()):
+                if a.isascii() and a.isalpha() and re.fullmatch(a, c, re.I):
+                    assert rx.fold(c) == a.lower(), hex(ord(c))
+    assert rx.fold("\u0130\u0130S \u212a \u03a3\u03c2") == "iis k \u03c3\u03c3"
+
+
 def test_groups_and_validity():
     assert rx.n_groups(r"jquery[.-]([\d.]*\d)[^/]*\.js") == 1
     assert rx.n_groups("csrfmiddlewaretoken") == 0
