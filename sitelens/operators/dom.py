@@ -1,13 +1,14 @@
 """DOM evidence (H8) and DOM matching.
 
-* Selectors are compiled once per rule set (``compile_selectors``): comma lists of
-  compounds -- tag, #id, .class, [attr], [attr op 'v'].  Combinators and
-  pseudo-classes are quarantined (counted, never silently dropped).
-* Element text needs nesting, which regexes cannot give: ``dom_elements`` is one
-  Arrow UDF over the stdlib HTML parser, and only emits elements whose tag some
-  selector needs (a small broadcast set), so its output stays proportional to
-  the evidence actually wanted.
-* Matching is an equi-join on the tag, then native predicates on the attribute map.
+* Selectors are compiled once per rule set (``compile_selectors``): comma lists of chains of compounds -- tag,
+  #id, .class, [attr], [attr op 'v'] -- joined by descendant, child (>), adjacent (+) and sibling (~)
+  combinators.  Pseudo-classes are quarantined (counted, never silently dropped).
+* Element text needs nesting, which regexes cannot give: ``dom_elements`` is one Arrow UDF over the stdlib HTML
+  parser.  It labels each element with its interval in document order (``pos`` to ``last``), its parent and
+  its previous sibling, and only emits elements that some compound can match, of pages that may hold one.
+* An element meets compounds by an equi-join on one key (its tag, an attribute, or ``*``).  A combinator is
+  an equi-join on the parent or sibling label, or a running maximum over the intervals of a page (a window):
+  no pairs of elements are built.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +29,13 @@ DOM_MATCH_CUT = 100     # M8
 DOM_CRITERIA_CUT = 120  # M10
 SRC_RANK_DOM = 6
 # Fixed value: tags with no end tag in HTML.
-VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
-             "track", "wbr"}
+VOID_TAGS = {"area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img", "input",
+             "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr"}
+# Attributes that hold a list of words; their white space is normalised.
+WORD_LISTS = {"*": {"class", "accesskey", "dropzone"}, "a": {"rel", "rev"}, "link": {"rel", "rev"}, "td": {"headers"}, "th": {"headers"},
+              "form": {"accept-charset"}, "object": {"archive"}, "area": {"rel"}, "icon": {"sizes"}, "iframe": {"sandbox"}, "output": {"for"}}
+# Elements whose strings belong to their own text only, not to that of the elements around them.
+OWN_TEXT = {"script", "style", "template", "rt", "rp"}
 # Attributes that can carry a resource URL for a selector tested on a request URL.
 URL_ATTRS = ["href", "src", "data-href"]
 
@@ -38,44 +44,62 @@ ELEMENT = T.StructType([
     T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("text", T.StringType()),
+    T.StructField("last", T.IntegerType()),
+    T.StructField("parent", T.IntegerType()),
+    T.StructField("before", T.IntegerType()),
 ])
 
 # ---------------------------------------------------------------------------
 # selector grammar (rule-compile time, Python on the small rule table)
 # ---------------------------------------------------------------------------
 _ATTR = r"\[\s*([A-Za-z0-9_:-]+)\s*(?:([~|^$*]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]+)))?\s*\]"
-_COMPOUND = re.compile(r"^([A-Za-z][A-Za-z0-9-]*|\*)?((?:#[A-Za-z0-9_-]+|\.[A-Za-z0-9_-]+|" + _ATTR + r")*)$")
+_COMPOUND = re.compile(r"(?=[A-Za-z*#.\[])([A-Za-z][A-Za-z0-9-]*|\*)?((?:#[A-Za-z0-9_-]+|\.[A-Za-z0-9_-]+|" + _ATTR + r")*)")
 _PART = re.compile(r"#([A-Za-z0-9_-]+)|\.([A-Za-z0-9_-]+)|" + _ATTR)
+_JOINT = re.compile(r"\s*([>+~,])\s*|\s+")
+
+
+def _compound(m: re.Match) -> tuple:
+    tag = None if m.group(1) in (None, "*") else m.group(1).lower()
+    conds = []
+    for p in _PART.finditer(m.group(2) or ""):
+        if p.group(1):
+            conds.append(("id", "=", p.group(1)))
+        elif p.group(2):
+            conds.append(("class", "~=", p.group(2)))
+        else:
+            val = next((g for g in (p.group(5), p.group(6), p.group(7)) if g is not None), None)
+            conds.append((p.group(3).lower(), p.group(4) or "exists", val))
+    return tag, conds
 
 
 def parse_selector(sel: str):
-    """[(tag | None, [(attr, op, val)])] per comma alternative, or None if unsupported."""
-    out = []
-    for alt in (a.strip() for a in sel.split(",")):
-        m = _COMPOUND.match(alt)
-        if not alt or not m:
+    """Per comma alternative a chain [(combinator, tag | None, [(attr, op, val)])], the first combinator empty;
+    None if unsupported."""
+    out, chain, joint, at, sel = [], [], "", 0, sel.strip()
+    while True:
+        m = _COMPOUND.match(sel, at)
+        if not m or m.end() == at:
             return None
-        tag = m.group(1)
-        tag = None if tag in (None, "*") else tag.lower()
-        conds = []
-        for p in _PART.finditer(m.group(2) or ""):
-            if p.group(1):
-                conds.append(("id", "=", p.group(1)))
-            elif p.group(2):
-                conds.append(("class", "~=", p.group(2)))
-            else:
-                val = next((g for g in (p.group(5), p.group(6), p.group(7)) if g is not None), None)
-                conds.append((p.group(3).lower(), p.group(4) or "exists", val))
-        out.append((tag, conds))
-    return out
+        chain.append((joint, *_compound(m)))
+        at = m.end()
+        if at == len(sel):
+            return [*out, chain]
+        j = _JOINT.match(sel, at)
+        if not j:
+            return None
+        joint, at = j.group(1) or " ", j.end()
+        if joint == ",":
+            out.append(chain)
+            chain, joint = [], ""
 
 
-_SEL_SCHEMA = T.ArrayType(T.StructType([
+_SEL_SCHEMA = T.ArrayType(T.ArrayType(T.StructType([
+    T.StructField("joint", T.StringType()),
     T.StructField("tag", T.StringType()),
     T.StructField("conds", T.ArrayType(T.StructType([
         T.StructField("attr", T.StringType()), T.StructField("op", T.StringType()),
         T.StructField("val", T.StringType())]))),
-]))
+])))
 
 
 @F.pandas_udf(_SEL_SCHEMA)
@@ -83,18 +107,23 @@ def _parse_selectors(sels: pd.Series) -> pd.Series:
     res = []
     for s in sels:
         p = parse_selector(s) if s is not None else None
-        res.append(None if p is None else [{"tag": t, "conds": [{"attr": a, "op": o, "val": v} for a, o, v in c]}
-                                           for t, c in p])
+        res.append(None if p is None else [[{"joint": j, "tag": t, "conds": [{"attr": a, "op": o, "val": v} for a, o, v in c]}
+                                            for j, t, c in chain] for chain in p])
     return pd.Series(res)
 
 
 def compile_selectors(dom_rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(alternatives(selector, alt, tag, conds), quarantine(selector, reason))."""
+    """(compounds(selector, alt, step, steps, joint, tag, conds, key), quarantine(selector, reason)).
+
+    ``key`` is what an element must have to meet the compound: ``<tag``, an attribute name, or ``*``.
+    """
     s = dom_rules.select("selector").distinct().withColumn("alts", _parse_selectors("selector"))
     bad = s.filter(F.col("alts").isNull()).select("selector", F.lit("unsupported selector").alias("reason"))
-    good = s.filter(F.col("alts").isNotNull()).select("selector", F.posexplode("alts").alias("alt", "a")) \
-        .select("selector", "alt", F.col("a.tag").alias("tag"), F.col("a.conds").alias("conds"))
-    return good, bad
+    chains = s.filter(F.col("alts").isNotNull()).select("selector", F.posexplode("alts").alias("alt", "chain"))
+    good = chains.select("selector", "alt", F.size("chain").alias("steps"), F.posexplode("chain").alias("step", "c")) \
+        .select("selector", "alt", "step", "steps", "c.joint", "c.tag", "c.conds")
+    key = F.when(F.col("tag").isNotNull(), F.concat(F.lit("<"), F.col("tag"))).when(F.size("conds") > 0, F.col("conds")[0]["attr"]).otherwise(F.lit("*"))
+    return good.withColumn("key", key), bad
 
 
 def cond_holds(attrs: Column, c) -> Column:
@@ -116,100 +145,152 @@ def cond_holds(attrs: Column, c) -> Column:
 # H8: elements (Arrow UDF over the stdlib parser)
 # ---------------------------------------------------------------------------
 def _elements(html: str, wanted: frozenset | None) -> list[dict]:
+    """The elements that have one of the ``wanted`` keys (None: all), with labels; texts join stripped strings."""
     from html.parser import HTMLParser
 
     out: list[dict] = []
     stack: list[dict] = []
 
     class P(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.raw = None
-
-        def handle_starttag(self, tag, attrs):
-            d = {}
-            for k, val in attrs:
-                d[k] = "" if val is None else val
-            keep = wanted is None or tag in wanted
-            el = {"pos": len(out), "tag": tag, "attrs": d, "text": [], "keep": keep}
-            if keep:
+        count, data, own = 0, "", []
+        before = {None: None}  # the last child of each open element
+
+        def flush(self):
+            text, self.data = self.data.strip(), ""
+            if text:
+                kind = self.own[-1]["tag"] if self.own else None
+                for el in stack:  # strings of a script, style or template count there and below only
+                    if el["keep"] and (el["tag"] if el["tag"] in OWN_TEXT else None) == kind:
+                        el["text"].append(text)
+
+        def handle_starttag(self, tag, attrs, closed=False):
+            self.flush()
+            lists = WORD_LISTS["*"] | WORD_LISTS.get(tag, set())
+            d = {k: " ".join((v or "").split()) if k in lists else v or "" for k, v in attrs}
+            parent = stack[-1]["pos"] if stack else None
+            el = {"pos": self.count, "tag": tag, "attrs": d, "text": [], "last": self.count, "parent": parent, "before": self.before.get(parent),
+                  "keep": wanted is None or f"<{tag}" in wanted or not wanted.isdisjoint(d)}
+            self.before[parent] = self.count
+            self.count += 1
+            if el["keep"]:
                 out.append(el)
-            if tag in ("script", "style"):
-                self.raw = tag
-            if tag not in VOID_TAGS:
+            if not closed and tag not in VOID_TAGS:
                 stack.append(el)
+                if tag in OWN_TEXT:
+                    self.own.append(el)
 
         def handle_startendtag(self, tag, attrs):
-            self.handle_starttag(tag, attrs)
-            if tag not in VOID_TAGS and stack and stack[-1]["tag"] == tag:
-                stack.pop()
+            self.handle_starttag(tag, attrs, closed=True)
 
         def handle_endtag(self, tag):
-            if self.raw == tag:
-                self.raw = None
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i]["tag"] == tag:
-                    del stack[i:]
-                    break
+            self.flush()
+            if any(el["tag"] == tag for el in reversed(stack)):
+                while self.pop() != tag:
+                    pass
+
+        def pop(self):
+            el = stack.pop()
+            el["last"] = self.count - 1
+            self.before.pop(el["pos"], None)
+            if self.own and self.own[-1] is el:
+                self.own.pop()
+            return el["tag"]
 
         def handle_data(self, data):
-            if self.raw:
-                return
-            s = data.strip()
-            if s:
-                for el in stack:
-                    if el["keep"]:
-                        el["text"].append(s)
+            self.data += data
+
+        def unknown_decl(self, data):
+            self.flush()
+            if data.upper().startswith("CDATA["):
+                self.data = data[6:]
+                self.flush()
+
+        def handle_comment(self, data):
+            self.flush()
+
+        handle_decl = handle_pi = handle_comment
 
     p = P()
+    p.own, p.before = [], {None: None}
     try:
         p.feed(html)
         p.close()
     except Exception:  # malformed markup: keep what was parsed
         pass
-    return [{"pos": e["pos"], "tag": e["tag"], "attrs": e["attrs"], "text": "".join(e["text"])} for e in out]
-
+    p.flush()
+    while stack:
+        p.pop()
+    return [{"pos": e["pos"], "tag": e["tag"], "attrs": e["attrs"], "text": "".join(e["text"]), "last": e["last"], "parent": e["parent"], "before": e["before"]} for e in out]
 
-_ELEM_UDFS: dict[str, object] = {}
 
-
-def _elements_udf(wanted_tags: list[str] | None):
-    key = "*" if wanted_tags is None else ",".join(sorted(wanted_tags))
-    if key in _ELEM_UDFS:
-        return _ELEM_UDFS[key]
-    wanted = None if wanted_tags is None else frozenset(wanted_tags)
+def _elements_udf(keys: list[str] | None):
+    wanted = None if keys is None else frozenset(keys)
 
     @F.pandas_udf(T.ArrayType(ELEMENT))
     def elements(htmls: pd.Series) -> pd.Series:
         return pd.Series([[] if h is None else _elements(h, wanted) for h in htmls])
 
-    _ELEM_UDFS[key] = elements
     return elements
 
 
-def dom_elements(pages: DataFrame, wanted_tags: list[str] | None = None) -> DataFrame:
-    """H8: (page_id, pos, tag, attrs, text) -- text is the stripped text of all descendants, joined."""
-    e = pages.select("page_id", F.explode(_elements_udf(wanted_tags)(F.col("html"))).alias("e"))
-    return e.select("page_id", "e.pos", "e.tag", "e.attrs", "e.text")
+def _may_hold(html: Column, keys: list[str]) -> Column:
+    """Whether a page has a tag or an attribute of that name at all (written out somewhere)."""
+    tags = [re.escape(k[1:]) for k in keys if k.startswith("<")]
+    names = [re.escape(k) for k in keys if not k.startswith("<")]
+    parts = ([rf"<(?:{'|'.join(tags)})[\s/>]"] if tags else []) + ([rf"""[\s"'/](?:{'|'.join(names)})[\s=/>]"""] if names else [])
+    return html.rlike("(?i)" + "|".join(parts)) if parts else F.lit(False)
+
+
+def dom_elements(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """H8: (page_id, pos, tag, attrs, text, last, parent, before) of the elements with one of the ``keys`` (``<tag`` or
+    an attribute name; None: all).
+
+    text is the stripped text of all descendants, joined; pos counts all elements of the page, ``last`` is the pos of
+    the last descendant, ``before`` that of the previous sibling.
+    """
+    if keys is not None:
+        pages = pages.filter(_may_hold(F.col("html"), keys))
+    e = pages.select("page_id", F.explode(_elements_udf(keys)(F.col("html"))).alias("e"))
+    return e.select("page_id", "e.*")
+
+
+def _linked(steps: DataFrame, before: DataFrame) -> DataFrame:
+    """The rows of ``steps`` whose combinator holds towards an element of ``before`` (same page and chain, one step earlier)."""
+    chain = ["page_id", "selector", "alt"]
+    parts = []
+    for joint, label in ((">", "parent"), ("+", "before")):
+        left = before.select(*chain, F.col("pos").alias(label))
+        parts.append(steps.filter(F.col("joint") == joint).join(left, [*chain, label], "left_semi").select(steps.columns))
+    # descendant: an interval that began earlier and is still open; sibling: an earlier child of the same parent
+    for joint, keys in ((" ", chain), ("~", [*chain, "parent"])):
+        right = steps.filter(F.col("joint") == joint).withColumn("open", F.lit(None).cast("int"))
+        until = F.col("last") if joint == " " else F.lit((1 << 31) - 1)
+        left = before.withColumn("open", until)
+        earlier = Window.partitionBy(*keys).orderBy("pos", F.col("open").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+        both = right.withColumn("asks", F.lit(True)).unionByName(left.withColumn("asks", F.lit(False)))
+        parts.append(both.withColumn("reach", F.max("open").over(earlier)).filter(F.col("asks") & (F.col("reach") >= F.col("pos"))).select(steps.columns))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def dom_evidence(elements: DataFrame, alts: DataFrame) -> DataFrame:
+def dom_evidence(elements: DataFrame, compounds: DataFrame) -> DataFrame:
     """Elements matching each selector: (page_id, selector, pos, text, attrs) -- one row per element."""
-    tagged = alts.filter(F.col("tag").isNotNull())
-    anytag = alts.filter(F.col("tag").isNull())
-    ok = lambda: F.forall("conds", lambda c: cond_holds(F.col("attrs"), c))
-    a = elements.join(tagged, "tag").filter(ok())
-    # tag-less alternatives (e.g. '.cls', '[attr]') meet the elements that have the attribute of their first test
-    keyed = anytag.drop("tag").filter(F.size("conds") > 0).withColumn("akey", F.col("conds")[0]["attr"])
-    b = elements.select("*", F.explode(F.map_keys("attrs")).alias("akey")).join(keyed, "akey").filter(ok()).drop("akey")
-    # '*' alone is on every element: its few selectors are one row, an array
-    every = anytag.filter(F.size("conds") == 0).agg(F.collect_set("selector").alias("selectors"))
-    c = elements.crossJoin(every).withColumn("selector", F.explode("selectors"))
-    u = a.select("page_id", "selector", "pos", "text", "attrs").unionByName(
-        b.select("page_id", "selector", "pos", "text", "attrs")).unionByName(
-        c.select("page_id", "selector", "pos", "text", "attrs"))
+    keys = F.concat(F.array(F.concat(F.lit("<"), F.col("tag")), F.lit("*")), F.map_keys("attrs"))
+    met = elements.withColumn("key", F.explode(keys)).join(compounds.drop("tag"), "key")
+    met = met.filter(F.forall("conds", lambda c: cond_holds(F.col("attrs"), c)))
+    met = met.select("page_id", "selector", "alt", "step", "steps", "joint", "pos", "last", "parent", "before", "text", "attrs")
+    longest = compounds.agg(F.max("steps")).first()[0] or 1  # one row of the rule table
+    if longest > 1:
+        met = met.repartition("page_id")  # read once for each step
+    found = met.filter("step = 0")
+    hit = found.filter("steps = 1")
+    for step in range(1, longest):
+        found = _linked(met.filter(F.col("step") == step), found.filter(F.col("steps") > step))
+        hit = hit.unionByName(found.filter(F.col("steps") == step + 1))
     # an element matching two alternatives of one selector counts once
-    return u.dropDuplicates(["page_id", "selector", "pos"])
+    return hit.select("page_id", "selector", "pos", "text", "attrs").dropDuplicates(["page_id", "selector", "pos"])
 
 
 # ---------------------------------------------------------------------------
@@ -217,9 +298,8 @@ def dom_evidence(elements: DataFrame, alts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 def url_selector_alternatives(dom_rules: DataFrame) -> DataFrame:
     """M11 compile: (selector, alt, attr, op, val) for alternatives that are one valued test of a URL attribute."""
-    s = dom_rules.select("selector").distinct()
-    alts = s.select("selector", F.posexplode(F.split("selector", ",")).alias("alt", "sub"))
-    one = alts.withColumn("conds", _parse_selectors(strip("sub"))[0]["conds"]).filter(F.size("conds") == 1)
+    compounds, _ = compile_selectors(dom_rules)
+    one = compounds.filter((F.col("steps") == 1) & (F.size("conds") == 1))
     m = one.select("selector", "alt", F.inline("conds"))
     return m.filter(F.col("attr").isin(URL_ATTRS) & (F.coalesce("val", F.lit("")) != ""))
 
@@ -370,13 +450,21 @@ def bad_dom_rules(dom_rules: DataFrame) -> DataFrame:
 def page_dom_findings(pages: DataFrame, dom_rules: DataFrame, requests: DataFrame | None = None,
                       manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Static findings (H8) + synthetic manifest (M13) + request-URL findings (M12); plus quarantine."""
-    alts, bad = compile_selectors(dom_rules)
-    tags = [r["tag"] for r in alts.select("tag").distinct().collect()]
-    wanted = None if any(t is None for t in tags) else sorted(tags)
-    els = dom_elements(pages, wanted)
-    found = dom_evidence(els, alts)
+    compounds, bad = compile_selectors(dom_rules)
+    found = dom_evidence(dom_elements(pages, wanted_keys(compounds)), compounds).repartition("page_id")  # parsed once, read by each branch
+    parts = [found]
     if manifest is not None:
-        found = found.unionByName(dom_from_manifest(manifest, found))
+        parts.append(dom_from_manifest(manifest, found))
     if requests is not None:
-        found = found.unionByName(dom_from_requests(requests, dom_rules, found))
-    return found, bad
+        existing = found if manifest is None else found.unionByName(parts[-1])
+        parts.append(dom_from_requests(requests, dom_rules, existing))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out, bad
+
+
+def wanted_keys(compounds: DataFrame) -> list[str] | None:
+    """What elements must have to matter to some compound; None if one of them matches every element."""
+    keys = [r["key"] for r in compounds.select("key").distinct().collect()]  # tags and attributes of the rules
+    return None if "*" in keys else sorted(keys)

@@ -22,9 +22,8 @@ q = O.sql_str
 def q_dom_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H8 (rows-only check: element text needs the parser)."""
     cr = _rules(spark)
-    alts, _ = D.compile_selectors(cr.dom)
-    tags = sorted(r["tag"] for r in alts.select("tag").distinct().collect() if r["tag"] is not None)
-    return D.dom_elements(f2(spark, sf_dir), tags).select("page_id", "pos", "tag", "text",
+    compounds, _ = D.compile_selectors(cr.dom)
+    return D.dom_elements(f2(spark, sf_dir), D.wanted_keys(compounds)).select("page_id", "pos", "tag", "text",
                                                          F.to_json("attrs").alias("attrs"))
 
 
@@ -42,8 +41,8 @@ def q_dom_from_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request URLs as findings for URL selectors the page's markup lacks."""
     cr = _rules(spark)
     pages = f2(spark, sf_dir)
-    alts, _ = D.compile_selectors(cr.dom)
-    static = D.dom_evidence(D.dom_elements(pages, ["link", "script", "a"]), alts)
+    compounds, _ = D.compile_selectors(cr.dom)
+    static = D.dom_evidence(D.dom_elements(pages, D.wanted_keys(compounds)), compounds)
     syn = D.dom_from_requests(f5(spark, sf_dir), cr.dom, static)
     return syn.select("page_id", "selector", "pos", "text", F.explode("attrs").alias("attr", "value"))
 
@@ -74,8 +73,8 @@ def o_dom_from_requests() -> str:
         subs = [x.strip() for x in sel.split(",")]
         for alt, sub in enumerate(subs):
             parsed = D.parse_selector(sub)
-            if parsed and len(parsed[0][1]) == 1 and parsed[0][1][0][0] in D.URL_ATTRS and parsed[0][1][0][2]:
-                tag, (attr, op, val) = parsed[0][0], parsed[0][1][0]
+            if parsed and len(parsed[0]) == 1 and len(parsed[0][0][2]) == 1 and parsed[0][0][2][0][0] in D.URL_ATTRS and parsed[0][0][2][0][2]:
+                _, tag, [(attr, op, val)] = parsed[0][0]
                 parts.append(f"SELECT page_id, {q(sel)} AS selector, {alt} * 1000000 + seq AS pos, '' AS text, "
                              f"{q(attr)} AS attr, url AS value FROM req WHERE {_d_url_match(op, val)}")
                 # the page's own markup: a start tag satisfying the same simple selector
