@@ -283,7 +283,7 @@ def dom_evidence(elements: DataFrame, compounds: DataFrame) -> DataFrame:
     met = met.select("page_id", "selector", "alt", "step", "steps", "joint", "pos", "last", "parent", "before", "text", "attrs")
     longest = compounds.agg(F.max("steps")).first()[0] or 1  # one row of the rule table
     if longest > 1:
-        met = met.repartition("page_id")  # read once for each step
+        met = met.checkpoint()  # pages are parsed once, the few compounds that hold are read for each step
     found = met.filter("step = 0")
     hit = found.filter("steps = 1")
     for step in range(1, longest):
@@ -451,7 +451,7 @@ def page_dom_findings(pages: DataFrame, dom_rules: DataFrame, requests: DataFram
                       manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Static findings (H8) + synthetic manifest (M13) + request-URL findings (M12); plus quarantine."""
     compounds, bad = compile_selectors(dom_rules)
-    found = dom_evidence(dom_elements(pages, wanted_keys(compounds)), compounds).repartition("page_id")  # parsed once, read by each branch
+    found = dom_evidence(dom_elements(pages, wanted_keys(compounds)), compounds).checkpoint()  # parsed once, read by each branch
     parts = [found]
     if manifest is not None:
         parts.append(dom_from_manifest(manifest, found))

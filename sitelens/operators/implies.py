@@ -51,6 +51,16 @@ def implied_by_rule(rules: DataFrame, closure: DataFrame) -> DataFrame:
         "dst_key", "depth", "path", F.col("pos").alias("epos"), F.col("src_name").alias("via_name"), "dst_raw")).alias("implied"))
 
 
+def detected_names(matches: DataFrame, rules: DataFrame, closure: DataFrame) -> DataFrame:
+    """(page_id, name) of every technology of a page, found or implied: no evidence, scores or versions."""
+    named = rules.select("tech_key", "name")
+    implied = implied_by_rule(rules, closure).select("tech_key", F.explode("implied").alias("i")).select("tech_key", F.col("i.dst_key").alias("dst_key"), F.col("i.dst_raw").alias("dst_raw"))
+    implied = implied.join(named.select(F.col("tech_key").alias("dst_key"), "name"), "dst_key", "left").select("tech_key", F.coalesce("name", "dst_raw").alias("name"))
+    names = named.unionByName(implied).groupBy("tech_key").agg(F.collect_set("name").alias("names"))
+    found = matches.select("page_id", "tech_key").distinct().join(names, "tech_key")
+    return found.select("page_id", F.explode("names").alias("name")).distinct()
+
+
 def resolve_implies(tech: DataFrame, rules: DataFrame, closure: DataFrame) -> DataFrame:
     """Merge implied technologies into per-page tech matches.
 

@@ -241,8 +241,7 @@ def classify_responses(resp: DataFrame) -> DataFrame:
     r = r.filter(_status_ok(F.col("status")))                                                 # W6 again
     ct = F.lower(strip(F.coalesce("content_type", F.lit(""))))
     body = F.coalesce("body", F.lit(""))
-    r = computed(r, ct=ct, b=body, generic=F.exists(_arr(GENERIC_WORDLISTS), lambda g: F.col("filename").endswith(g)),
-                 is_json=F.try_parse_json(body).isNotNull())
+    r = computed(r, ct=ct, b=body, generic=F.exists(_arr(GENERIC_WORDLISTS), lambda g: F.col("filename").endswith(g)))
     # W8 soft-404 for 200
     ct, body = F.col("ct"), F.col("b")
     structured = F.exists(_arr(STRUCTURED_TYPES), lambda t: ct.startswith(t))
@@ -251,7 +250,7 @@ def classify_responses(resp: DataFrame) -> DataFrame:
     has_ext = F.when(F.contains(F.col("p_noqs"), F.lit("/")), F.contains(last_seg, F.lit("."))).otherwise(
         F.contains(F.col("p_noqs"), F.lit(".")))
     keep200 = F.when(F.col("generic"), structured) \
-        .when(htmlish, F.col("is_json") | (has_ext & (F.length(body) <= SOFT404_MAX_BODY))).otherwise(F.lit(True))
+        .when(htmlish, F.try_parse_json(body).isNotNull() | (has_ext & (F.length(body) <= SOFT404_MAX_BODY))).otherwise(F.lit(True))
     r = r.filter((F.col("status") != 200) | keep200)
     # W10 canonical redirect, W11 nav / cross-domain redirect
     loc = F.coalesce("location", F.lit(""))

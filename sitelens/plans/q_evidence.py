@@ -145,8 +145,8 @@ def q_inline_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o_inline_scripts() -> str:
     return f"""{F2_CTE},
 b AS (SELECT page_id, {d_raw_text('html', 2)} AS tags, {d_raw_text('html', 3)} AS bodies FROM f2),
-e AS (SELECT page_id, at, tags[at] AS tag, bodies[at] AS body FROM (SELECT *, generate_subscripts(tags, 1) AS at FROM b)),
-t AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY at) - 1 AS pos, regexp_replace(tag, '^<[A-Za-z]+|>$', '', 'g') AS attrs, body
+e AS (SELECT page_id, n, tags[n] AS tag, bodies[n] AS body FROM (SELECT *, generate_subscripts(tags, 1) AS n FROM b)),
+t AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos, regexp_replace(tag, '^<[A-Za-z]+|>$', '', 'g') AS attrs, body
       FROM e WHERE tag <> '')
 SELECT page_id, pos, {O.d_strip('body')} AS script FROM t
 WHERE NOT regexp_matches(attrs, {q(_O_HAS_SRC)}) AND {O.d_strip('body')} <> ''"""

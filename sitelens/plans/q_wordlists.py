@@ -29,22 +29,23 @@ def _parsed(spark, sf_dir) -> DataFrame:
     return W.parse_wordlists(spark.sql(FD.f7_lines_sql()))
 
 
-def _manifest(spark, sf_dir) -> DataFrame:
+def _manifest(spark, sf_dir, parsed: DataFrame | None = None) -> DataFrame:
     _setup(spark, sf_dir)
     files = W.listing_files(spark.sql(FD.f7_listing_sql()))
-    return W.wordlist_manifest(files, _rules(spark).rules, _parsed(spark, sf_dir))
+    return W.wordlist_manifest(files, _rules(spark).rules, _parsed(spark, sf_dir) if parsed is None else parsed)
 
 
 def _detected(spark, sf_dir) -> DataFrame:
     cr = _rules(spark)
-    tech = S.score(_all_raw(spark, sf_dir), cr.rules)
-    return I.resolve_implies(tech, cr.rules, cr.closure).select("page_id", "name")
+    return I.detected_names(_all_raw(spark, sf_dir), cr.rules, cr.closure)
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
-    m = _manifest(spark, sf_dir)
-    sets = W.select_wordlists(_detected(spark, sf_dir), m, spark.table("pages"))
-    return W.rank_paths(sets, m, _parsed(spark, sf_dir))
+    """Each table that several branches read (the wordlists, their manifest, the detected names) is written once."""
+    parsed = _parsed(spark, sf_dir).checkpoint()
+    m = _manifest(spark, sf_dir, parsed).checkpoint()
+    sets = W.select_wordlists(_detected(spark, sf_dir).checkpoint(), m, spark.table("pages")).checkpoint()
+    return W.rank_paths(sets, m, parsed)
 
 
 def _exposed(spark, sf_dir) -> DataFrame:
