@@ -43,9 +43,24 @@ def extract_routes(text: F.Column) -> F.Column:
     return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 1) for p in ROUTE_PATTERNS]))
 
 
+def digest(body) -> F.Column:
+    return F.sha2(body, 256)
+
+
+def routes_by_digest(texts: DataFrame, text: str) -> DataFrame:
+    """(digest, route): the routes of each distinct text, found once however many rows hold it.
+
+    Equal texts meet map-side first, so a text on every page reaches the analysis from each task once.
+    """
+    distinct = texts.filter(F.col(text).isNotNull()).groupBy(digest(text).alias("digest")).agg(F.any_value(text).alias("text"))
+    return distinct.select("digest", F.explode(F.array_distinct(extract_routes(F.col("text")))).alias("route"))
+
+
 def bundle_routes(scripts: DataFrame) -> DataFrame:
-    """J2 over bundle bodies: (page_id, js_url, route) distinct."""
-    return scripts.select("page_id", "js_url", F.explode(extract_routes(F.col("body"))).alias("route")).distinct()
+    """J2 over bundle bodies: (page_id, js_url, route) distinct.  Bodies are analysed once a digest and joined back
+    (AQE splits the rows of a hot body)."""
+    held = scripts.select("page_id", "js_url", digest("body").alias("digest")).distinct()
+    return held.join(routes_by_digest(scripts, "body"), "digest").select("page_id", "js_url", "route").distinct()
 
 
 def sourcemap_url(scripts: DataFrame) -> F.Column:
@@ -69,11 +84,13 @@ def map_routes(scripts: DataFrame, maps: DataFrame) -> DataFrame:
     ext = computed(s.filter(~F.col("map_ref").startswith("data:")),
                    map_url=U.resolve_url(F.col("js_url"), F.col("map_ref"))).select("page_id", "js_url", "map_url")
     ext = ext.join(maps.select(F.col("url").alias("map_url"), F.col("body").alias("map_body")), "map_url")
-    bodies = inline.unionByName(ext.select("page_id", "js_url", "map_body"))
+    bodies = inline.unionByName(ext.select("page_id", "js_url", "map_body")).withColumn("map", digest("map_body"))
     src = F.from_json("map_body", T.StructType([T.StructField("sourcesContent", T.ArrayType(T.StringType()))]))
-    code = bodies.select("page_id", "js_url", F.explode(F.coalesce(src["sourcesContent"], F.array())).alias("code"))
-    code = code.filter(F.col("code").isNotNull())
-    return code.select("page_id", "js_url", F.explode(extract_routes(F.col("code"))).alias("route")).distinct()
+    # each distinct map is parsed once, each distinct source of all maps analysed once
+    maps_once = bodies.groupBy("map").agg(F.any_value("map_body").alias("map_body"))
+    code = maps_once.select("map", F.explode(F.coalesce(src["sourcesContent"], F.array())).alias("code")).filter(F.col("code").isNotNull())
+    of_map = code.select("map", digest("code").alias("digest")).distinct().join(routes_by_digest(code, "code"), "digest").select("map", "route").distinct()
+    return bodies.select("page_id", "js_url", "map").distinct().join(of_map, "map").select("page_id", "js_url", "route").distinct()
 
 
 def normalize_routes(routes: DataFrame, pages: DataFrame) -> DataFrame:

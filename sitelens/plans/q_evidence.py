@@ -482,15 +482,18 @@ SELECT {SCORED_COLS} FROM ({o_score('m')}) s"""
 IMPLIED_COLS = ["page_id", "tech_key", "name", "category", "version", "confidence", "implied", "evidence", "rank"]
 
 
-@query("tech_with_implied")
-def q_tech_with_implied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cr = _rules(spark)
-    tech = S.score(_all_raw(spark, sf_dir), cr.rules)
+def implied_rows(tech: DataFrame, cr) -> DataFrame:
     merged = I.rank_matches(I.resolve_implies(tech, cr.rules, cr.closure))
     return merged.select("page_id", "tech_key", "name", "category", "version", "confidence", "implied",
                          S.evidence_text().alias("evidence"), "rank")
 
 
+@query("tech_with_implied")
+def q_tech_with_implied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cr = _rules(spark)
+    return implied_rows(S.score(_all_raw(spark, sf_dir), cr.rules), cr)
+
+
 def o_implied(scored: str) -> str:
     """DuckDB: closure by a recursive walk over simple paths, then the page-level merge."""
     return f"""e AS ({O.implies_values()}),

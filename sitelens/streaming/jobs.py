@@ -17,18 +17,24 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import deque
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sitelens.operators.domains import EXAMPLE_URLS, external_requests
 from sitelens.session import ensure_checkpoint_dir
 
-SENTINEL_TS = "2999-01-01 00:00:00"
-PAIR_WINDOW = "1 hour"         # X1: a response answers a request within this time
+SENTINEL_TS = "2200-01-01 00:00:00"
 PAIR_WATERMARK = "2 hours"
 ROLLUP_WINDOW = "1 day"        # X2 tumbling window
 ROLLUP_WATERMARK = "1 hour"
-DEDUP_WATERMARK = "1 hour"     # X3 repeated captures
+WINDOW_MS = 86_400_000
+QUIET, LATE = "30 minutes", "1 hour"  # X3: a page is complete when nothing came for so long; how late evidence may be
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -65,8 +71,14 @@ def _run(query_df: DataFrame, folder: str, mode: str = "append", batch_fn=None)
 
 
 # ---------------------------------------------------------------------------
-# Request / response pairing (stream-stream left outer join)
+# Request / response pairing (keyed state)
 # ---------------------------------------------------------------------------
+PAIRS = "req_id long, k long, req_us long, resp_id long, resp_us long"
+#: Events that the watermark has not passed, and requests without a response yet; times in microseconds.
+PAIR_STATE = "us array<long>, id array<long>, answers array<boolean>, wait_us array<long>, wait_id array<long>"
+HOUR_US = 3_600_000_000
+
+
 def request_events(events: DataFrame) -> DataFrame:
     """clicks are requests, views are responses; key = the user; ts as TIMESTAMP (UTC)."""
     return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"),
@@ -74,20 +86,51 @@ def request_events(events: DataFrame) -> DataFrame:
         .filter(F.col("event_type").isin("click", "view"))
 
 
-def pair_stream(reqs: DataFrame, resps: DataFrame) -> DataFrame:
-    """Left outer stream-stream join; an unanswered request is emitted once the watermark passes."""
-    r = reqs.select(F.col("event_id").alias("req_id"), F.col("ts").alias("req_ts"), F.col("k").alias("req_k")) \
-        .withWatermark("req_ts", PAIR_WATERMARK)
-    s = resps.select(F.col("event_id").alias("resp_id"), F.col("ts").alias("resp_ts"), F.col("k").alias("resp_k")) \
-        .withWatermark("resp_ts", PAIR_WATERMARK)
-    cond = (F.col("req_k") == F.col("resp_k")) & (F.col("resp_ts") >= F.col("req_ts")) & \
-        (F.col("resp_ts") <= F.col("req_ts") + F.expr(f"INTERVAL {PAIR_WINDOW}"))
-    return r.join(s, cond, "leftOuter")
-
+def pair_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Requests in event order, each with the first free response: a response answers the oldest request of its key
+    that still waits, for an hour at most; at equal times requests come first, then smaller ids.
 
-def pairing_output(j: DataFrame) -> DataFrame:
-    return j.select("req_id", F.col("req_k").alias("k"), F.unix_micros("req_ts").alias("req_us"),
-                    "resp_id", F.unix_micros("resp_ts").alias("resp_us"))
+    An event takes its turn when the watermark has passed it, so late arrivals within the delay change nothing.
+    State holds the events of the delay and the requests of the last hour.
+    """
+    us, ids, answers, wait_us, wait_id = map(list, state.get) if state.exists else ([], [], [], [], [])
+    for batch in batches:
+        us += batch["us"].tolist()
+        ids += batch["event_id"].tolist()
+        answers += batch["answers"].tolist()
+    passed = state.getCurrentWatermarkMs() * 1000
+    events = sorted(zip(us, answers, ids))
+    ready = [e for e in events if e[0] <= passed]
+    waiting = deque(zip(wait_us, wait_id))
+    out = []
+
+    def expire(now: int) -> None:
+        while waiting and waiting[0][0] < now - HOUR_US:
+            at, request = waiting.popleft()
+            out.append((request, key[0], at, None, None))
+
+    for at, is_answer, event in ready:
+        expire(at)
+        if not is_answer:
+            waiting.append((at, event))
+        elif waiting:
+            asked, request = waiting.popleft()
+            out.append((request, key[0], asked, event, at))
+    expire(passed)
+    left = events[len(ready):]
+    if left or waiting:
+        state.update(tuple(list(c) for c in ([e[0] for e in left], [e[2] for e in left], [e[1] for e in left], [w[0] for w in waiting], [w[1] for w in waiting])))
+        due = min([e[0] for e in left[:1]] + [w[0] + HOUR_US for w in list(waiting)[:1]])
+        state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs()) + 1)
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame(out, columns=["req_id", "k", "req_us", "resp_id", "resp_us"]).astype({"resp_id": "Int64", "resp_us": "Int64"})
+
+
+def pair_stream(events: DataFrame) -> DataFrame:
+    """One row per request of a stream of ``request_events``."""
+    e = events.withWatermark("ts", PAIR_WATERMARK).select("k", "event_id", "ts", F.unix_micros("ts").alias("us"), (F.col("event_type") == "view").alias("answers"))
+    return e.groupBy("k").applyInPandasWithState(pair_events, PAIRS, PAIR_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_pairing(spark: SparkSession, events: DataFrame) -> DataFrame:
@@ -97,66 +140,113 @@ def stream_pairing(spark: SparkSession, events: DataFrame) -> DataFrame:
         .select("event_id", F.to_timestamp(F.lit(SENTINEL_TS)).alias("ts"), F.lit(-1).cast("long").alias("k"),
                 "event_type")
     src = land(ev, sent, folder)
-    s = _stream(spark, src, ev.schema)
-    j = pair_stream(s.filter(F.col("event_type") == "click"), s.filter(F.col("event_type") == "view"))
-    out = _run(pairing_output(j), folder)
+    out = _run(pair_stream(_stream(spark, src, ev.schema)), folder)
     return spark.read.parquet(out).filter(F.col("req_id") >= 0)
 
 
 # ---------------------------------------------------------------------------
 # Windowed external-domain rollup (D1 over tumbling windows)
 # ---------------------------------------------------------------------------
-def domain_events(events: DataFrame) -> DataFrame:
-    """Every event as a third-party request: domain by user, resource type = event type."""
-    return events.select(F.col("ts").cast("timestamp").alias("ts"),
-                         F.concat(F.lit("cdn"), F.col("user_id").cast("string"), F.lit(".example.io"))
-                         .alias("domain"), F.col("event_type").alias("resource_type"), "event_id")
+ROLLUP = "site_url string, domain string, window_start_us long, request_count long, resource_types string, example_urls string, first_seq long"
+ROLLUP_STATE = "n long, types array<string>, seqs array<long>, urls array<string>"
+
 
+def request_feed(events: DataFrame) -> DataFrame:
+    """Every event as a request of its user's site: sign-ups go to the site's own API, the rest to third parties."""
+    user, kind = F.col("user_id").cast("string"), F.col("event_type")
+    own = F.concat(F.lit("https://api.shop"), user, F.lit(".example.com/v1/"), F.col("event_id").cast("string"))
+    other = F.concat(F.lit("https://cdn"), (F.col("user_id") % 7).cast("string"), F.lit(".example.io/"), kind, F.lit("/"), F.col("event_id").cast("string"))
+    return events.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("https://www.shop"), user, F.lit(".example.com/")).alias("site_url"),
+                         F.when(kind == "signup", own).otherwise(other).alias("url"), kind.alias("resource_type"), F.col("event_id").alias("seq"))
 
-def rollup_stream(s: DataFrame) -> DataFrame:
-    g = s.withWatermark("ts", ROLLUP_WATERMARK).groupBy(F.window("ts", ROLLUP_WINDOW).alias("w"), "domain") \
-        .agg(F.count(F.lit(1)).alias("request_count"), F.collect_set("resource_type").alias("types"))
-    return g.select(F.unix_micros(F.col("w.start")).alias("window_start_us"), "domain", "request_count",
-                    F.array_join(F.array_sort("types"), ",").alias("resource_types"))
+
+def rollup_window(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Count, types and the first three URLs of one site, domain and window; emitted when the watermark closes it.
+
+    State is bounded: a count, the types, and ``EXAMPLE_URLS`` URLs, whatever the number of requests.
+    """
+    site, domain, start = key
+    n, types, seqs, urls = state.get if state.exists else (0, [], [], [])
+    kept, first = set(types), list(zip(seqs, urls))
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame([(site, domain, start, n, ",".join(sorted(kept)), "\n".join(u for _, u in first), first[0][0])],
+                           columns=["site_url", "domain", "window_start_us", "request_count", "resource_types", "example_urls", "first_seq"])
+        return
+    for batch in batches:
+        n += len(batch)
+        kept.update(t for t in batch["resource_type"].unique() if t)
+        top = batch.nsmallest(EXAMPLE_URLS, "seq")
+        first = sorted(first + list(zip(top["seq"].tolist(), top["url"].tolist())))[:EXAMPLE_URLS]
+    state.update((n, sorted(kept), [q for q, _ in first], [u for _, u in first]))
+    state.setTimeoutTimestamp(max(int(start) // 1000 + WINDOW_MS, state.getCurrentWatermarkMs() + 1))
+
+
+def rollup_stream(requests: DataFrame) -> DataFrame:
+    """``external_rollup`` of every window and site of a stream of requests (ts, site_url, url, resource_type, seq)."""
+    start = F.unix_micros(F.window("ts", ROLLUP_WINDOW)["start"])
+    r = external_requests(requests.withWatermark("ts", ROLLUP_WATERMARK).withColumn("window_start_us", start))
+    return r.groupBy("site_url", "domain", "window_start_us").applyInPandasWithState(rollup_window, ROLLUP, ROLLUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_domain_windows(spark: SparkSession, events: DataFrame) -> DataFrame:
     folder = scratch(spark, "domains")
-    ev = domain_events(events)
-    sent = spark.createDataFrame([(-1,)], "event_id long").select(
-        F.to_timestamp(F.lit(SENTINEL_TS)).alias("ts"), F.lit("sentinel.invalid").alias("domain"),
-        F.lit("sentinel").alias("resource_type"), "event_id")
+    ev = request_feed(events)
+    sent = spark.createDataFrame([(-1, "https://sentinel.invalid/", "https://other.invalid/", "sentinel")], "seq long, site_url string, url string, resource_type string") \
+        .select(F.to_timestamp(F.lit(SENTINEL_TS)).alias("ts"), "site_url", "url", "resource_type", "seq")
     src = land(ev, sent, folder)
     out = _run(rollup_stream(_stream(spark, src, ev.schema)), folder)
-    return spark.read.parquet(out).filter(F.col("domain") != "sentinel.invalid")
+    return spark.read.parquet(out).filter(F.col("first_seq") >= 0)
 
 
 # ---------------------------------------------------------------------------
-# Streaming detection of arriving pages (stream-static, dedupe, foreachBatch)
+# Streaming detection over every evidence source (session windows, foreachBatch)
 # ---------------------------------------------------------------------------
-def page_captures(pages: DataFrame) -> DataFrame:
-    """Each page captured twice (a repeat 5 minutes later); capture time from the page id."""
-    base = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60)
-    first = pages.select("page_id", "url", "html", base.alias("captured_at"))
-    again = pages.select("page_id", "url", "html", (base + F.expr("INTERVAL 5 MINUTES")).alias("captured_at"))
-    return first.unionByName(again)
+EVIDENCE = "page_id long, kind string, payload string, captured_at timestamp"
+
 
+def evidence_events(sources: dict[str, DataFrame]) -> DataFrame:
+    """Rows of every source as one stream of evidence, each captured twice (a repeat five minutes later).
 
-def stream_detect(spark: SparkSession, pages: DataFrame, detect_batch) -> DataFrame:
-    """``detect_batch(pages_df) -> DataFrame`` runs per micro-batch against the static rules."""
+    A page's pieces arrive minutes apart: capture times come from the page id and the source.
+    """
+    out = None
+    for lag, (kind, rows) in enumerate(sources.items()):
+        at = F.timestamp_seconds(F.lit(1704067200) + F.col("page_id") * 60 + F.lit(lag * 120))
+        one = rows.select("page_id", F.lit(kind).alias("kind"), F.to_json(F.struct(*[c for c in rows.columns if c != "page_id"])).alias("payload"), at.alias("captured_at"))
+        out = one if out is None else out.unionByName(one)
+    return out.unionByName(out.withColumn("captured_at", F.col("captured_at") + F.expr("INTERVAL 5 MINUTES")))
+
+
+def gathered(s: DataFrame) -> DataFrame:
+    """(page_id, evidence): everything captured of a page, repeats dropped, once no more came for ``QUIET``."""
+    g = s.withWatermark("captured_at", LATE).groupBy("page_id", F.session_window("captured_at", QUIET).alias("w"))
+    return g.agg(F.collect_set(F.struct("kind", "payload")).alias("evidence")).select("page_id", "evidence", F.col("w.start").alias("captured_at"))
+
+
+def evidence_of(pages: DataFrame, kind: str, schema) -> DataFrame:
+    """The rows of one source of gathered pages, with the columns they had."""
+    fields = [f for f in schema.fields if f.name != "page_id"]
+    rows = pages.select("page_id", F.explode("evidence").alias("e")).filter(F.col("e.kind") == kind)
+    return rows.select("page_id", F.from_json("e.payload", T.StructType(fields)).alias("r")).select("page_id", "r.*")
+
+
+def stream_detect(spark: SparkSession, sources: dict[str, DataFrame], detect_batch) -> DataFrame:
+    """``detect_batch({kind: rows})`` runs per micro-batch on the pages whose evidence is complete, against the static rules."""
     folder = scratch(spark, "detect")
-    cap = page_captures(pages)
-    sent = spark.createDataFrame([(-1, "sentinel", "")], "page_id long, url string, html string") \
-        .select("page_id", "url", "html", F.to_timestamp(F.lit(SENTINEL_TS)).alias("captured_at"))
-    src = land(cap, sent, folder)
-    s = _stream(spark, src, cap.schema).withWatermark("captured_at", DEDUP_WATERMARK) \
-        .dropDuplicatesWithinWatermark(["page_id"])
+    ev = evidence_events(sources)
+    sent = spark.createDataFrame([(-1, "sentinel", "{}")], "page_id long, kind string, payload string") \
+        .select("page_id", "kind", "payload", F.to_timestamp(F.lit(SENTINEL_TS)).alias("captured_at"))
+    src = land(ev, sent, folder)
+    s = gathered(_stream(spark, src, ev.schema))
 
     def per_batch(batch: DataFrame, epoch: int, out: str) -> None:
-        real = batch.filter(F.col("page_id") >= 0)
+        whole = batch.filter(F.col("page_id") >= 0).persist()  # read once for each source
+        rows = {kind: evidence_of(whole, kind, df.schema) for kind, df in sources.items()}
         # idempotent per epoch: a replayed batch overwrites its own partition
-        detect_batch(real).withColumn("epoch", F.lit(epoch)).write.mode("overwrite") \
+        detect_batch(rows).withColumn("epoch", F.lit(epoch)).write.mode("overwrite") \
             .parquet(os.path.join(out, f"epoch={epoch}"))
+        whole.unpersist()
 
     out = _run(s, folder, batch_fn=per_batch)
     return spark.read.option("basePath", out).parquet(out).drop("epoch")
