@@ -241,7 +241,7 @@ def test_substring_dedup_equals_brute_force(make_docs):
 
 def test_substring_dedup_of_large_anchors(make_docs, monkeypatch):
     """Anchors with more than three contexts are counted string by string."""
-    monkeypatch.setattr(substrings, "LARGE", 3)
+    monkeypatch.setattr(substrings, "GROUP", 3)
     monkeypatch.setattr(substrings, "SMALL", 2)
     rows = substring_rows()
     from sitelens.llm.substrings import dedup_substrings
