@@ -400,22 +400,21 @@ def between(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return known.filter(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
 
 
-def unsettled_links(docs: DataFrame, known: DataFrame, large: DataFrame, label: DataFrame, parts: int) -> DataFrame:
-    """Links (a, b) between components that only large buckets can show.
+def unsettled_pairs(docs: DataFrame, known: DataFrame, large: DataFrame, label: DataFrame, parts: int) -> DataFrame:
+    """Pairs (a, b, apart) between components that only large buckets can show, as far as sizes and sketches leave them.
 
     The signatures in small buckets were compared in full; of its large ones a class asks so many (the
     smallest first) that some signature in them or in small buckets is sure to be unspoiled.  Askers and
-    members of a bucket meet in tiles of bounded size, where the exact sets are compared; a pair is
-    compared in the first bucket it shares, and only links leave the tile.
+    members of a bucket meet in tiles of bounded size with their sketches (of fixed size, whatever the set); a
+    pair is compared in the first bucket it shares.
     """
     members = large.join(label.select(F.col("node").alias("class"), "component"), "class", "left")
     members = stored(members.select("bucket", "class", F.coalesce("component", "class").alias("component")), "members")
     mixed = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    spares = known.groupBy("class").agg(F.min("spare").alias("spare"))
-    may_ask = stored(members.groupBy("class").agg(F.count("*").alias("n")).join(spares, "class").filter(F.col("n") > F.col("spare")).select("class"), "askers")
-    met = members.join(may_ask, "class", "left_semi").join(mixed.filter("low != high"), "bucket").select("bucket").distinct()
-    sets = shingle_tables(docs, known, members.join(met, "bucket").select("class").union(may_ask).distinct())
-    signed = sets.join(may_ask, "class").select("class", "shingles").mapInArrow(_resign_batches(parts), "class long, bucket long, side long, spare long")
+    of_class = known.groupBy("class").agg(F.min("spare").alias("spare"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
+    may_ask = stored(members.groupBy("class").agg(F.count("*").alias("n")).join(of_class, "class").filter(F.col("n") > F.col("spare")).select("class"), "askers")
+    sets = shingle_tables(docs, known, may_ask)
+    signed = sets.mapInArrow(_resign_batches(parts), "class long, bucket long, side long, spare long")
     held = signed.join(members, ["class", "bucket"]).join(mixed, "bucket")
     mine = ["class", "side"]
     nth = F.row_number().over(Window.partitionBy(*mine).orderBy("n", "bucket"))
@@ -428,16 +427,34 @@ def unsettled_links(docs: DataFrame, known: DataFrame, large: DataFrame, label:
     of = lambda n: F.pmod(F.xxhash64("class"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     spot = F.struct("bucket", "tiles", "chunks")
-    # a class's buckets are listed first, so that its shingles join once and not once a bucket
+    # a class's buckets are listed first, so that its sketch joins once and not once a bucket
     asking = rows.join(sizes, "bucket").groupBy("class", "component").agg(F.collect_list(F.struct(spot.alias("spot"), "buckets")).alias("places"))
     present = members.join(sizes, "bucket").groupBy("class", "component").agg(F.collect_list(spot).alias("places"))
-    shingles = sets.select("class", "shingles")
-    askers = asking.join(shingles, "class").withColumn("place", F.explode("places")).select("class", "component", "shingles", "place.buckets", "place.spot.*")
-    askers = askers.select("bucket", every("tiles").alias("tile"), of("chunks").alias("chunk"), F.lit(True).alias("asks"), "class", "component", "shingles", "buckets")
-    answers = present.join(shingles, "class").withColumn("buckets", F.transform("places", lambda x: x["bucket"])).withColumn("place", F.explode("places"))
-    answers = answers.select("class", "component", "shingles", "buckets", "place.*")
-    answers = answers.select("bucket", of("tiles").alias("tile"), every("chunks").alias("chunk"), F.lit(False).alias("asks"), "class", "component", "shingles", "buckets")
-    return askers.union(answers).groupBy("bucket", "tile", "chunk").applyInArrow(_tile_links, "a long, b long").distinct()
+    sketches = of_class.select("class", "size", "sketch")
+    what = ["class", "component", "size", "sketch", "buckets"]
+    askers = asking.join(sketches, "class").withColumn("place", F.explode("places")).select("class", "component", "size", "sketch", "place.buckets", "place.spot.*")
+    askers = askers.select("bucket", every("tiles").alias("tile"), of("chunks").alias("chunk"), F.lit(True).alias("asks"), *what)
+    answers = present.join(sketches, "class").withColumn("buckets", F.transform("places", lambda x: x["bucket"])).withColumn("place", F.explode("places"))
+    answers = answers.select("class", "component", "size", "sketch", "buckets", "place.*")
+    answers = answers.select("bucket", of("tiles").alias("tile"), every("chunks").alias("chunk"), F.lit(False).alias("asks"), *what)
+    return askers.union(answers).groupBy("bucket", "tile", "chunk").applyInArrow(_tile_pairs, "a long, b long, apart long").groupBy("a", "b").agg(F.min("apart").alias("apart"))
+
+
+def unsettled_links(docs: DataFrame, known: DataFrame, large: DataFrame, label: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b) between components that only large buckets can show: the closest pair of two components first, then the
+    others of those that are still two."""
+    pairs = stored(unsettled_pairs(docs, known, large, label, parts), "open-pairs")
+    sets = shingle_tables(docs, known, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    of = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
+    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({f"{e}_of": F.coalesce(f"{e}_of", e) for e in "ab"})
+    two = [F.least("a_of", "b_of").alias("p"), F.greatest("a_of", "b_of").alias("q")]
+    first = stored(named.groupBy(*two).agg(F.min(F.struct("apart", "a", "b")).alias("m")).select("m.a", "m.b"), "closest")
+    links = stored(verified(first, sets), "links")
+    joined = components(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")))
+    rest = named.join(first, ["a", "b"], "left_anti")
+    at = lambda end: joined.select(F.col("node").alias(f"{end}_of"), F.col("component").alias(f"{end}_now"))
+    rest = rest.join(at("a"), "a_of", "left").join(at("b"), "b_of", "left").filter(F.coalesce("a_now", "a_of") != F.coalesce("b_now", "b_of"))
+    return links.union(stored(verified(rest.select("a", "b"), sets), "links"))
 
 
 def _dense(lists: list[np.ndarray], among: np.ndarray) -> np.ndarray:
@@ -451,33 +468,34 @@ def _dense(lists: list[np.ndarray], among: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tile_links(table: pa.Table) -> pa.Table:
+def _tile_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of a tile between components, in their first shared bucket, that sizes and sketches leave."""
     asks = np.asarray(table["asks"])
-    classes, component = table["class"].to_numpy(), table["component"].to_numpy()
-    sets = [np.frombuffer(v.as_buffer(), U64) for v in table["shingles"]]
+    classes, component, size = table["class"].to_numpy(), table["component"].to_numpy(), table["size"].to_numpy()
     buckets = [np.array(v, np.int64) for v in table["buckets"].to_pylist()]
     x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
-    none = pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
+    none = pa.table([pa.array([], pa.int64())] * 3, names=["a", "b", "apart"])
     if not len(x) or not len(y):
         return none
-    size = np.array([len(s) for s in sets])
     open_pairs = component[x][:, None] != component[y][None, :]
+    low, high = np.minimum(size[x][:, None], size[y]), np.maximum(size[x][:, None], size[y])
+    open_pairs &= DEN * low >= NUM * high
     earlier = np.unique(np.concatenate([buckets[i] for i in x]))
     if len(earlier):
         open_pairs &= _dense([buckets[i] for i in x], earlier) @ _dense([buckets[i] for i in y], earlier).T == 0
-    low, high = np.minimum(size[x][:, None], size[y]), np.maximum(size[x][:, None], size[y])
-    open_pairs &= DEN * low >= NUM * high
-    x, open_pairs = x[open_pairs.any(1)], open_pairs[open_pairs.any(1)]
-    if not len(x):
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+    a, b, far = [], [], []
+    for k in np.flatnonzero(open_pairs.any(1)).tolist():
+        j = np.flatnonzero(open_pairs[k])
+        apart = np.abs(sketch[y[j]] - sketch[x[k]]).sum(1, dtype=np.int64)
+        ok = (DEN + NUM) * apart <= (DEN - NUM) * (size[y[j]] + size[x[k]])
+        a.append(np.full(ok.sum(), classes[x[k]]))
+        b.append(classes[y[j[ok]]])
+        far.append(apart[ok])
+    if not a:
         return none
-    shared = np.zeros(open_pairs.shape, np.float32)
-    features = np.intersect1d(np.unique(np.concatenate([sets[i] for i in x])), np.unique(np.concatenate([sets[i] for i in y])))
-    for a in range(0, len(features), 8192):
-        some = features[a:a + 8192]
-        shared += _dense([sets[i] for i in x], some) @ _dense([sets[i] for i in y], some).T
-    both = np.rint(shared).astype(np.int64)
-    i, j = np.nonzero(open_pairs & (DEN * both >= NUM * (size[x][:, None] + size[y][None, :] - both)))
-    return pa.table([pa.array(np.minimum(classes[x[i]], classes[y[j]])), pa.array(np.maximum(classes[x[i]], classes[y[j]]))], names=["a", "b"])
+    a, b, far = (np.concatenate(v) for v in (a, b, far))
+    return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(far)], names=["a", "b", "apart"])
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
