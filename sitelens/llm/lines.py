@@ -1,17 +1,19 @@
-"""Line dedup (operator 7): runs of two or more shared lines, found whole.
-
-``dedup_runs`` is the operator.  Every two neighbouring non-blank lines, with the blank lines between
-them, form a pair.  A pair that stands more than once in the corpus is kept at its first place (smallest
-doc_id, then position) and its lines are removed at all others, once all its copies are equal byte by byte
-(pairs whose hashes collide are left alone).  The pairs of a common run cover it, so every run of two or
-more non-blank lines that two places share goes whole, whatever its surroundings.  Each removed line
-stands in an earlier place of its pair; in one document a pair that overlaps its first place is no repeat.
-
-``dedup_lines`` is the coarser form by content-defined chunks.  Lines are hashed, a rolling hash over the hashes of ``WINDOW`` lines ends a chunk where it is 0 modulo
-``DIVISOR``; so boundaries depend on nearby lines alone and move with inserted or removed lines.  A chunk
-of at least two non-blank lines that stands more than once in the corpus is kept at its first place
-(smallest doc_id, then position) and removed elsewhere, once all its copies are equal byte by byte
-(chunks whose hashes collide are left alone).
+"""Line dedup (operator 7): content-defined chunks of lines, global repeats removed whole.
+
+``dedup_runs`` is the operator, of the query and of the pipeline.  Lines are hashed; a rolling hash over the
+hashes of ``RUN_WINDOW`` non-blank lines sets a boundary where it is 0 modulo ``RUN_DIVISOR``, so boundaries
+depend on nearby lines alone and move with inserted or removed lines.  A chunk reaches from one boundary line to the
+next, both included (and the blank lines between them), so neighbouring chunks overlap and all hold two
+non-blank lines at least.  A chunk that stands more than once in the corpus is kept at its first place
+(smallest doc_id, then position) and its lines are removed at all others, once all its copies are equal byte
+by byte (chunks whose hashes collide are left alone).  With a divisor of 1, the default, every non-blank
+line is a boundary and the chunks of a common run cover it: every run of two or more non-blank lines that two
+places share goes whole, whatever its surroundings.  Larger divisors make fewer, longer chunks and miss short
+runs.  Each removed line stands in an earlier place of its chunk; in one document a chunk that overlaps its
+first place is no repeat.
+
+``dedup_lines`` is a coarser form without overlaps: a rolling hash over ``WINDOW`` lines ends a chunk with one line of
+``DIVISOR``, and chunks of at least two non-blank lines that stand more than once go.
 
 Defined cases: a null text stays null; empty texts and texts of one line have no pair or multi-line chunk;
 rows with the same id and text are one document and share one decision; null ids come first; a document of
@@ -31,8 +33,8 @@ from pyspark.sql import types as T
 
 from sitelens.llm.common import BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES, SEPARATOR, U64, blocks, mix, prefix_hash, span_hash, utf8
 
-WINDOW = 2
-DIVISOR = 4
+RUN_WINDOW, RUN_DIVISOR = 1, 1
+WINDOW, DIVISOR = 2, 4
 
 
 def document_lines(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -167,13 +169,19 @@ def _shortened(docs: DataFrame, gone: DataFrame, cut, id_col: str, text_col: str
 
 
 def document_pairs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(owner, first line, last line, start, end, hash) of all pairs of a block; lines are numbered in their document."""
+    """(owner, first line, last line, start, end, hash) of all chunks of a block, from a boundary line to the next; lines are
+    numbered in their document."""
     for i, j, own, start, end, h in document_lines(data, offsets):
         if not len(own):
             continue
         lo = offsets[i]
         cumulated = np.concatenate([[0], np.cumsum(~SEPARATOR[data[lo:offsets[j]]], dtype=np.int64)])
         filled = np.flatnonzero(cumulated[end - lo] > cumulated[start - lo])
+        rolling = h[filled]
+        for back in range(1, RUN_WINDOW):
+            same = np.concatenate([np.zeros(back, bool), own[filled[back:]] == own[filled[:-back]]])
+            rolling = rolling + np.where(same, np.roll(h[filled], back), U64(0)) * U64(2 * back + 0x9E3779B97F4A7C14 | 1)
+        filled = filled[mix(rolling) % U64(RUN_DIVISOR) == 0]
         if len(filled) < 2:
             continue
         begins = np.concatenate([[True], own[1:] != own[:-1]])

@@ -50,35 +50,30 @@ def op9_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = op4.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    mixed = op4.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), exact=True)
     return mixed.select("doc_id", "mix_source", "mix_block", "mix_slot", "mix_position")
 
 
 ORACLES["op4_pfair_mix"] = """
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, 'null_source') AS mix_source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-w AS (SELECT mix_source, sqrt(count(*)) AS weight FROM d GROUP BY 1),
-p AS (SELECT CAST(greatest(400, 2 * count(*)) AS INTEGER) AS period, count(*) AS n, sum(weight) AS total FROM w),
-q AS (SELECT mix_source, (period - n) * weight / total AS quota, period, n FROM w, p),
-i AS (
-  SELECT mix_source, CAST(1 + floor(quota) + CASE WHEN row_number() OVER (ORDER BY quota - floor(quota) DESC, mix_source)
-         <= period - n - sum(floor(quota)) OVER () THEN 1 ELSE 0 END AS INTEGER) AS a, period FROM q),
-o AS (SELECT list(mix_source ORDER BY mix_source) AS names, list(a ORDER BY mix_source) AS a, any_value(period) AS period FROM i),
-sim(t, done, pick) AS (
-  SELECT 0, [0 FOR x IN names], NULL::BIGINT FROM o
+n AS (SELECT mix_source, count(*) AS n FROM d GROUP BY 1),
+o AS (SELECT list(mix_source ORDER BY mix_source) AS names, list(sqrt(n) ORDER BY mix_source) AS weight, list(ceil(n / 8) ORDER BY mix_source) AS blocks FROM n),
+p AS (SELECT *, list_reduce(list_prepend(0.0::DOUBLE, weight), lambda a, x: a + x) AS total FROM o),
+q AS (SELECT names, blocks, [greatest(1, CAST(floor(x / total * 4503599627370496.0::DOUBLE) AS BIGINT)) FOR x IN weight] AS w FROM p),
+r AS (SELECT names, blocks, [w[k] + CASE WHEN k = list_position(w, list_max(w)) THEN 4503599627370496 - CAST(list_sum(w) AS BIGINT) ELSE 0 END FOR k IN range(1, len(w) + 1)] AS w FROM q),
+run AS (SELECT *, CAST(list_max([ceil(blocks[k] * (4503599627370496.0::DOUBLE / w[k])) FOR k IN range(1, len(w) + 1)]) AS BIGINT) + 1 AS slots FROM r),
+sim(t, lag, pick) AS (
+  SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT) FOR x IN names], CAST(NULL AS BIGINT) FROM run
   UNION ALL
-  SELECT t + 1, [done[k] + CASE WHEN k = pick THEN 1 ELSE 0 END FOR k IN range(1, len(names) + 1)], pick
-  FROM (SELECT t, done, names, list_position(due, list_min(due)) AS pick
-        FROM (SELECT t, done, names, [CASE WHEN (done[k] * period) // a[k] <= t
-                     THEN CAST(ceil((done[k] + 1) * period / a[k]) AS BIGINT) ELSE 2147483647 END FOR k IN range(1, len(names) + 1)] AS due
-              FROM sim, o WHERE t < period))),
-slots AS (
-  SELECT names[pick] AS mix_source, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM sim, o WHERE pick IS NOT NULL),
-r AS (SELECT doc_id, mix_source, row_number() OVER (PARTITION BY mix_source ORDER BY h, doc_id NULLS FIRST) - 1 AS n FROM d)
-SELECT doc_id, mix_source, CAST(n // 8 AS BIGINT) AS mix_block,
-       CAST((n // 8) // a * period + slot AS BIGINT) AS mix_slot,
-       CAST(((n // 8) // a * period + slot) * 8 + n % 8 AS BIGINT) AS mix_position
-FROM r JOIN i USING (mix_source) JOIN slots USING (mix_source) WHERE j = (n // 8) % a
+  SELECT t + 1, [lag[k] + w[k] - CASE WHEN k = pick THEN 4503599627370496 ELSE 0 END FOR k IN range(1, len(w) + 1)], pick
+  FROM (SELECT t, lag, w, list_position(due, list_min(due)) AS pick
+        FROM (SELECT t, lag, w, [CASE WHEN lag[k] + w[k] > 0 THEN (4503599627370496 - lag[k] + w[k] - 1) // w[k] ELSE 9223372036854775807 END FOR k IN range(1, len(w) + 1)] AS due
+              FROM sim, run WHERE t < slots))),
+slots AS (SELECT names[pick] AS mix_source, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM sim, run WHERE pick IS NOT NULL),
+rows_of AS (SELECT doc_id, mix_source, row_number() OVER (PARTITION BY mix_source ORDER BY h, doc_id NULLS FIRST) - 1 AS n FROM d)
+SELECT doc_id, mix_source, CAST(n // 8 AS BIGINT) AS mix_block, CAST(slot AS BIGINT) AS mix_slot, CAST(slot * 8 + n % 8 AS BIGINT) AS mix_position
+FROM rows_of JOIN slots USING (mix_source) WHERE j = n // 8
 """
 
 

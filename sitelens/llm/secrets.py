@@ -32,7 +32,9 @@ SCHEMA = ("doc_id long, n_assign long, n_access long, n_hex long, base_sha256 st
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
-TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: A header begins with a brace and a quote, a blank or a line break.
+TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+TOKEN_START = re.compile(rb"e[wy][A-Za-z0-9_-]+\.")
 #: Line breaks inside encoded text: real ones, escaped ones (JSON, source text) and those between joined literals.
 BREAK = rb"""(?:(?:\\+r)?\\+n(?:["'][\x20\t]*\+?[\x20\t]*\r?\n[\x20\t]*["'])?|\r?\n)[\x20\t]*"""
 #: Base64 text over one or more lines; an encoded key is never shorter than 40 characters in its first line.
@@ -223,7 +225,7 @@ def _base64_keys(doc: bytes, nested: bool = False) -> Iterator[tuple[int, str, i
 def confirmed(doc: bytes, has_base64: bool) -> list[tuple[int, int, int]]:
     """(start, kind index, end) in bytes of what decodes to a key or token."""
     found = []
-    if b"eyJ" in doc:
+    if TOKEN_START.search(doc):
         found += [(m.start(), 5, m.end()) for m in TOKEN.finditer(doc) if is_signed_token(m[0])]
     if not has_base64:  # hexadecimal digits of either case are base64 characters too
         return found
@@ -255,7 +257,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.flatnonzero((data == 0x3A) | (data == 0x3D))
         marked = set(np.unique(np.searchsorted(offsets, marks, "right") - 1).tolist())
         whole = data.tobytes()
-        rare = {int(np.searchsorted(offsets, m.start(), "right") - 1) for m in re.finditer(rb"AKIA|eyJ", whole)}
+        rare = {int(np.searchsorted(offsets, m.start(), "right") - 1) for m in re.finditer(rb"AKIA|e[wy][A-Za-z0-9_-]+\.", whole)}
         counts = np.zeros((6, n), np.int64)
         digest, text = [empty] * n, [""] * n
         for d in sorted(marked | rare | base64_docs | set(hexes)):

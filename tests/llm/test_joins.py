@@ -212,6 +212,19 @@ def test_line_runs_equal_the_definition(make_docs, small):
     assert text[80007].text == "same\nsame" and text[80008].n_removed_lines == 0 and text[80005].text == "y"
 
 
+def test_runs_of_sparser_boundaries(make_docs, monkeypatch):
+    """With a larger divisor chunks are longer: nothing but shared runs goes, most of a long one does."""
+    monkeypatch.setattr(lines, "RUN_DIVISOR", 2)
+    monkeypatch.setattr(lines, "RUN_WINDOW", 2)
+    rng = random.Random(12)
+    fresh = lambda n: [" ".join(prose(rng, 6, 100000)) for _ in range(n)]
+    passage = fresh(60)
+    rows = [(i, "\n".join(fresh(5) + passage + fresh(5))) for i in range(3)]
+    got = {r.doc_id: r for r in lines.dedup_runs(make_docs(rows)).collect()}
+    assert got[0].n_removed_lines == 0 and got[1].n_removed_lines == got[2].n_removed_lines > 45
+    assert all(set(t.split("\n")) - set(got[d].text.split("\n")) <= set(passage) for d, t in rows)
+
+
 def test_chunk_boundaries_move_with_the_text():
     rng = random.Random(4)
     body = [" ".join(prose(rng, 5)) for _ in range(200)]

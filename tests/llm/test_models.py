@@ -230,7 +230,7 @@ def test_pipeline_equals_its_stages_by_brute_force(llm):
     assert len(names) == 5
     kept = {r.doc_id for r in quality.select(docs, labels).filter("kept").collect()}
     rows = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
-    rows = {r.doc_id: r.text for r in lines.dedup_lines(docs.filter(F.col("doc_id").isin(list(rows)))).collect()}
+    rows = {r.doc_id: r.text for r in lines.dedup_runs(docs.filter(F.col("doc_id").isin(list(rows)))).collect()}
     parts = brute.jaccard_components(list(rows.items()))
     rows = {d: t for (d, t), (n, c) in zip(rows.items(), parts) if n == 0 or c == d}
     items = [s for s in (brute.shingles(r.text) for r in bench.collect()) if s]
