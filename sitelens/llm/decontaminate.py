@@ -2,9 +2,9 @@
 
 Containment of an item of n distinct shingles is (shared shingles) / n.  A document with containment of
 at least ``THRESHOLD`` holds one of any n - ceil(THRESHOLD * n) + 1 of the item's shingles, so a MinHash
-sketch of that many smallest hashes per item finds every such document, however long: items are
-partitioned by size, the sketch length follows the partition, and a document only meets partitions it is
-large enough for.  Candidates are verified by exact containment of shingle sets.
+sketch of that many smallest hashes per item finds every such document, however long.  This is an exact prefix
+filter: the sketch length follows the item's size, documents are probed with all their shingles, and items too
+large for a document are dropped after the hit.  Candidates are verified by exact containment of shingle sets.
 
 Items go out in blocks of at most ``BLOCK_SHINGLES`` shingles (measured first); each block is a query set
 run against all documents, so the work of a task is bounded whatever the size of the benchmark.

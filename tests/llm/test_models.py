@@ -46,6 +46,13 @@ def token(head):
     return f"{part(json.dumps(head).encode())}.{part(b'{\"sub\": 1}')}.{part(b's' * 32)}"
 
 
+def test_headers_that_begin_with_a_blank_or_a_line_break(make_docs):
+    part = lambda v: base64.urlsafe_b64encode(v).rstrip(b"=").decode()
+    heads = [b'{"alg": "HS256"}', b'{ "alg": "HS256"}', b'{\n "alg": "HS256"}', b'{\t"alg": "HS256"}', b'{\r\n"alg": "HS256"}', b'["alg"]', b'{ "typ": 1}']
+    rows = [(i, f"they say {part(h)}.{part(b'{ }')}.{part(b's' * 32)} there.") for i, h in enumerate(heads)]
+    assert [r.n_signed_token for r in sorted(secrets.scan_secrets(make_docs(rows)).collect(), key=lambda r: r.doc_id)] == [1] * 5 + [0] * 2
+
+
 def test_structural_confirmation(make_docs):
     rsa, ssh = base64.b64encode(rsa_key()).decode(), base64.b64encode(ssh_key()).decode()
     pem = "\n".join(rsa[i:i + 64] for i in range(0, len(rsa), 64))
