@@ -25,9 +25,8 @@ from sitelens.llm.common import U64, blocks, crc_mod, mix, utf8
 BUCKETS = 4096
 DIM = 16
 NGRAMS = (1, 2, 3, 4)
-#: Bound of the training sample: rows over all languages, and languages.
-SAMPLE_ROWS = 2048
-MAX_LANGS = 256
+#: Bound of the training sample: rows over all languages, but so many of each language at least.
+SAMPLE_ROWS, LANG_ROWS = 2048, 8
 EPOCHS, BATCH, RATE, SEED = 30, 32, 2.0, 7
 #: Share of right held-back answers that the rejection threshold keeps.
 KEPT_RIGHT = 0.995
@@ -92,15 +91,16 @@ def has_letter(text_col: str) -> Column:
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict | None:
     """Model fitted on a bounded sample of the labelled ``rows``, or None without any."""
     rows = rows.filter(F.col(lang_col).isNotNull() & has_letter(text_col))
-    sizes = {r[lang_col]: r["n"] for r in rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGS).collect()}
+    sizes = {r[lang_col]: r["n"] for r in rows.groupBy(lang_col).agg(F.count("*").alias("n")).collect()}  # every language is learned
     if not sizes:
         return None
     langs = sorted(sizes)
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, SAMPLE_ROWS / len(langs) / sizes[k])))])
+    each = max(LANG_ROWS, SAMPLE_ROWS / len(langs))
+    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, each / sizes[k])))])
     drawn = F.pmod(F.xxhash64(F.lit(SEED), id_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = rows.filter(F.col(lang_col).isin(langs)).filter(drawn < F.element_at(share, F.col(lang_col)))
     got = (sample.select(lang_col, text_col).mapInArrow(_sample_batches, "lang string, buckets array<int>, shares array<float>")
-           .limit(2 * SAMPLE_ROWS).toArrow())
+           .limit(int(2 * each * len(langs))).toArrow())
     x = np.zeros((len(got), BUCKETS), np.float32)
     y = np.array([langs.index(k) for k in got["lang"].to_pylist()])
     for r, (b, v) in enumerate(zip(got["buckets"].to_pylist(), got["shares"].to_pylist())):
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), has_letter(text_col).alias("ok"))
     if model is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x MAX_LANGS floats at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats a language
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

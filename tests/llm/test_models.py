@@ -230,6 +230,27 @@ def test_language_on_held_out_documents(llm, make_docs):
     assert model["held_back_accuracy"] > 0.95
 
 
+def test_every_language_is_learned(make_docs):
+    """Three hundred languages of two words each, also those with few rows."""
+    rows = [(1000 * k + i, " ".join([f"{chr(97 + k % 26)}{chr(97 + k // 26)}zq"] * 12), f"l{k:03}", None) for k in range(300) for i in range(10)]
+    model = language.train(make_docs(rows))
+    assert model["langs"] == [f"l{k:03}" for k in range(300)]
+
+
+def test_scores_equal_a_plain_average_and_softmax(make_docs, small):
+    """Embeddings averaged over a text's subwords, a linear layer and softmax, text by text."""
+    model = language.train(small[0])
+    texts = [r["text"] for r in small[1] if r["text"]][:20]
+    got = {r.doc_id: r for r in language.predict(make_docs(list(enumerate(texts))), model).collect()}
+    for d, text in enumerate(texts):
+        raw = text.encode()
+        (_, _, counts), = list(language.subword_counts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+        logits = sum(n / counts[0].sum() * model["scores"][b].astype(float) for b, n in enumerate(counts[0]) if n)
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        assert got[d].lang_pred == model["langs"][int(p.argmax())] and abs(got[d].score - p.max()) < 1e-4
+
+
 # ---- pipeline ----
 def test_pipeline_equals_its_stages_by_brute_force(llm):
     docs, labels, bench = (llm.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels", "benchmark"))
