@@ -345,7 +345,7 @@ def merge_dom_findings(static: DataFrame, browser: DataFrame | None) -> DataFram
     if browser is None:
         return static
     add = browser.join(static.select("page_id", "selector", "text").distinct(), ["page_id", "selector", "text"],
-                       "left_anti").withColumn("pos", F.col("pos") + 1_000_000_000)
+                       "left_anti").withColumn("pos", F.col("pos") + 1_000_000_000).select(static.columns)
     return static.unionByName(add)
 
 
@@ -448,10 +448,10 @@ def bad_dom_rules(dom_rules: DataFrame) -> DataFrame:
 
 
 def page_dom_findings(pages: DataFrame, dom_rules: DataFrame, requests: DataFrame | None = None,
-                      manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Static findings (H8) + synthetic manifest (M13) + request-URL findings (M12); plus quarantine."""
+                      manifest: DataFrame | None = None, browser: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Static findings (H8) + those of a browser (M14) + synthetic manifest (M13) + request-URL findings (M12); plus quarantine."""
     compounds, bad = compile_selectors(dom_rules)
-    found = dom_evidence(dom_elements(pages, wanted_keys(compounds)), compounds).checkpoint()  # parsed once, read by each branch
+    found = merge_dom_findings(dom_evidence(dom_elements(pages, wanted_keys(compounds)), compounds), browser).checkpoint()  # parsed once, read by each branch
     parts = [found]
     if manifest is not None:
         parts.append(dom_from_manifest(manifest, found))

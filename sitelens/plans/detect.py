@@ -62,9 +62,12 @@ def compile_all(rules: DataFrame, with_closure: bool = True) -> CompiledRules:
 
 def matches_raw(pages: DataFrame, cr: CompiledRules, headers: DataFrame | None = None,
                 cookies: DataFrame | None = None, js_globals: DataFrame | None = None,
-                requests: DataFrame | None = None, sources=("header", "cookie", "meta", "script", "html",
+                requests: DataFrame | None = None, browser_findings: DataFrame | None = None, sources=("header", "cookie", "meta", "script", "html",
                                                             "js_global", "dom")) -> DataFrame:
-    """Union of every source's matches for the given evidence tables."""
+    """Union of every source's matches for the given evidence tables.
+
+    browser_findings: (page_id, selector, pos, text, attrs) that a browser saw, added to those of the markup (M14).
+    """
     pages = E.page_source(pages)
     parts = []
     if "header" in sources and headers is not None:
@@ -91,7 +94,7 @@ def matches_raw(pages: DataFrame, cr: CompiledRules, headers: DataFrame | None =
     if "js_global" in sources and js_globals is not None:
         parts.append(M.match_js_globals(js_globals, cr.patterns))
     if "dom" in sources:
-        found, _ = D.page_dom_findings(pages, cr.dom, requests=requests, manifest=E.manifest_url(pages, tags))
+        found, _ = D.page_dom_findings(pages, cr.dom, requests=requests, manifest=E.manifest_url(pages, tags), browser=browser_findings)
         parts.append(D.match_dom(found, D.prepare_dom_rules(cr.dom)))
     out = parts[0].select(*M.MATCH_COLS)
     for p in parts[1:]:
