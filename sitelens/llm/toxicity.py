@@ -7,8 +7,12 @@ weighs little.  A document is described by length-normalised differences of the
 the whole text, and over its most toxic words.  A logistic curve, fitted on labelled rows that the models
 have not counted, turns these into a score.
 
-Counts come from every labelled row outside the held-out fold and the calibration fold; only distinct
-n-grams (at most ``MODEL_GRAMS``, the most frequent) reach the driver, as the model that is broadcast.
+Counts come from every labelled row outside the held-out fold and the calibration fold.  The models stay
+tables: discounts, continuation counts and log ratios of all n-grams are Spark aggregations and joins, and
+no n-gram is dropped.  Contexts end with their word, so a word has one log ratio wherever it stands: each
+distinct word of the corpus is scored once by a join with the model.  The ``FREQUENT_WORDS`` most
+frequent words then go out with their log ratios; the others of each document join the table of words.
+That number decides how much is shuffled, not the result.
 
 Defined cases: null text or text without letters scores like an empty text (features 0); conflicting
 labels of one id count as toxic; without both classes in the training rows every score is 0;
@@ -21,13 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import bloom, bloom_hits, bloom_places, blocks, crc_mod, stored, utf8
+from sitelens.llm.common import BLOCK_BYTES, bloom, bloom_hits, bloom_places, blocks, crc_mod, prefix_hash, span_hash, stored, utf8
 
 SYMBOLS, BITS, ORDER = 64, 6, 7
-MODEL_GRAMS = 1 << 21
+#: Words whose log ratios are broadcast (about a megabyte).
+FREQUENT_WORDS = 1 << 16
+#: Contexts of up to this many symbols are few (at most 64 to that power) and on every word: an array, not a join.
+SHORT = 2
 #: Discount of continuation counts; those of class counts follow from the data.
 DISCOUNT = 0.75
 #: Documents weigh by their most toxic words: how many.
@@ -42,16 +49,21 @@ _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[128:] = 27 + np.arange(128, 256) % 37
 
 
-def gram_codes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _spread(data: np.ndarray, offsets: np.ndarray, i: int, j: int, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of documents i to j with one end symbol after each, and the places of those."""
+    lo, hi = int(offsets[i]), int(offsets[j])
+    out = np.zeros(hi - lo + j - i, symbol.dtype)
+    ends = offsets[i + 1:j + 1] - lo + np.arange(j - i)
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[inside] = symbol[data[lo:hi]]
+    return out, ends
+
+
+def gram_codes(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray = _SYMBOL) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks (first doc, end doc, owner, code, first symbol of a word) of predicted symbols with their context."""
     for i, j in blocks(offsets):
-        lo, hi = int(offsets[i]), int(offsets[j])
-        n = j - i
-        spread = np.zeros(hi - lo + n, np.int64)  # one end symbol after each document
-        ends = offsets[i + 1:j + 1] - lo + np.arange(n)
-        inside = np.ones(len(spread), bool)
-        inside[ends] = False
-        spread[inside] = _SYMBOL[data[lo:hi]]
+        spread, ends = _spread(data, offsets, i, j, symbol)
         code, seen = spread.copy(), np.ones(len(spread), bool)
         for back in range(1, ORDER):
             before = np.zeros(len(spread), np.int64)
@@ -64,113 +76,44 @@ def gram_codes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int
         yield i, j, own, code[at], previous[at] == 0
 
 
-def discounts(c: np.ndarray) -> np.ndarray:
-    """Discount of each count: by the numbers of n-grams seen once to four times (modified Kneser-Ney)."""
-    n = [0, *(max(1, int((c == k).sum())) for k in (1, 2, 3, 4))]
-    share = n[1] / (n[1] + 2 * n[2])
-    by_count = np.array([0.0, *(np.clip(k - (k + 1) * share * n[k + 1] / n[k], 0.1, k) for k in (1, 2, 3))])
-    return by_count[np.minimum(c, 3).astype(np.int64)]
-
-
-class KneserNey:
-    """Log ratio of toxic and ordinary probability for every known n-gram, and for unknown ones by context."""
-
-    def __init__(self, codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
-        order = np.argsort(codes)
-        self.codes = codes[order]
-        counts = [toxic[order].astype(np.float64), ordinary[order].astype(np.float64)]
-        shared = self._shared(self.codes)
-        contexts, of = np.unique(self.codes >> BITS, return_inverse=True)
-        logs, spare = [], []
-        for c in counts:
-            less = discounts(c)
-            total = np.bincount(of, c)
-            back = np.where(total > 0, np.bincount(of, less) / np.maximum(total, 1), 1.0)
-            logs.append(np.log((c - less) / np.maximum(total, 1)[of] + back[of] * shared))
-            spare.append(np.log(back))
-        self.ratio = (logs[0] - logs[1]).astype(np.float32)
-        self.contexts, self.spare = contexts, (spare[0] - spare[1]).astype(np.float32)
-
-    @staticmethod
-    def _shared(codes: np.ndarray) -> np.ndarray:
-        """Probability of each n-gram's symbol under the orders below, from continuation counts of both classes."""
-        p = np.full(len(codes), 1.0 / SYMBOLS)
-        for order in range(1, ORDER):
-            low, of = np.unique(codes & ((1 << (BITS * order)) - 1), return_inverse=True)
-            below = np.unique(codes & ((1 << (BITS * (order + 1))) - 1)) & ((1 << (BITS * order)) - 1)
-            n = np.bincount(np.searchsorted(low, below), minlength=len(low)).astype(np.float64)
-            contexts, ctx = np.unique(low >> BITS, return_inverse=True)
-            total, kinds = np.bincount(ctx, n), np.bincount(ctx)
-            p = (np.maximum(n - DISCOUNT, 0) / total[ctx])[of] + (DISCOUNT * kinds / total)[ctx][of] * p
-        return p
-
-    def hashed(self) -> dict[str, np.ndarray]:
-        """Open tables for scoring: a slot holds the code it is for and its value."""
-        out = {}
-        for name, keys, values in (("gram", self.codes, self.ratio), ("context", self.contexts, self.spare)):
-            bits = max(10, int(np.ceil(np.log2(2 * len(keys) + 1))))
-            slots, held = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
-            left = np.arange(len(keys))
-            at = _slot(keys, bits)
-            while len(left):  # linear probing, all keys at a time
-                free = slots[at] < 0
-                _, one = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
-                put = one[free[one]]
-                slots[at[put]], held[at[put]] = keys[left[put]], values[left[put]]
-                rest = np.ones(len(left), bool)
-                rest[put] = False
-                left, at = left[rest], (at[rest] + 1) & ((1 << bits) - 1)
-            out |= {f"{name}_slots": slots, f"{name}_values": held}
-        return out
-
-
-def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def look_up(slots: np.ndarray, values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(value or 0, found) of each key."""
-    bits = int(len(slots)).bit_length() - 1
-    at = _slot(keys, bits)
-    got = np.zeros(len(keys), np.float32)
-    found = np.zeros(len(keys), bool)
-    todo = np.arange(len(keys))
-    while len(todo):
-        here = slots[at]
-        hit = here == keys[todo]
-        got[todo[hit]] = values[at[hit]]
-        found[todo[hit]] = True
-        go = ~hit & (here >= 0)
-        todo, at = todo[go], (at[go] + 1) & (len(slots) - 1)
-    return got, found
-
-
-def log_ratio(model: dict[str, np.ndarray], codes: np.ndarray) -> np.ndarray:
-    value, found = look_up(model["gram_slots"], model["gram_values"], codes)
-    rest = np.flatnonzero(~found)
-    value[rest], _ = look_up(model["context_slots"], model["context_values"], codes[rest] >> BITS)
-    return value
-
-
-def features(model: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per document: mean log ratio by symbol, means of the 1 and TOP_WORDS words of the highest log ratio, log2 of words."""
-    out = np.zeros((len(offsets) - 1, 4))
-    for i, j, own, codes, head in gram_codes(data, offsets):
-        if not len(own):
-            continue
-        ratio = log_ratio(model, codes).astype(np.float64)
-        n = np.bincount(own, minlength=j - i)
-        out[i:j, 0] = np.bincount(own, ratio, minlength=j - i) / np.maximum(1, n)
-        first = np.flatnonzero(head)
-        word, word_own = np.add.reduceat(ratio, first), own[first]
-        order = np.lexsort((-word, word_own))
-        rank = np.arange(len(order)) - np.searchsorted(word_own[order], np.arange(j - i))[word_own[order]]
-        for column, top in ((1, 1), (2, TOP_WORDS)):
-            pick = order[rank < top]
-            out[i:j, column] = np.bincount(word_own[pick], np.maximum(word[pick], 0), minlength=j - i) / top
-        out[i:j, 3] = np.log2(1 + np.bincount(word_own, minlength=j - i))
-    return out
+def words_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks (first doc, end doc, owner, hash, start, end of each word, symbols that these count in)."""
+    for i, j in blocks(offsets):
+        spread, ends = _spread(data, offsets, i, j, _SYMBOL.astype(np.uint8))
+        inside = np.concatenate([[False], spread > 0, [False]])
+        first = np.flatnonzero(inside[1:] & ~inside[:-1])
+        last = np.flatnonzero(inside[:-1] & ~inside[1:])
+        h, at = np.zeros(len(first), np.uint64), 0
+        while at < len(first):  # a long document is hashed in pieces that end with a word
+            to = max(at + 1, int(np.searchsorted(last, first[at] + 2 * BLOCK_BYTES, "right")))
+            base = first[at]
+            h[at:to] = span_hash(prefix_hash(spread[base:last[to - 1]]), first[at:to] - base, last[at:to] - base)
+            at = to
+        yield i, j, np.searchsorted(ends, first, "left"), h.view(np.int64), first, last, spread
+
+
+def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, word as symbols, n) of distinct words, merged over a task as they come."""
+    held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        h, at, of = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
+        n = np.bincount(of, np.concatenate([x[1] for x in held]), minlength=len(h)).astype(np.int64)
+        return h, n, pa.concat_arrays([x[2] for x in held]).take(pa.array(at))
+
+    for batch in batches:
+        data, offsets, _ = utf8(batch.column(0))
+        for *_, h, first, last, spread in words_of(data, offsets):
+            h, at, n = np.unique(h, return_index=True, return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(last[at] - first[at])])
+            letters = spread[np.repeat(first[at] - ends[:-1], np.diff(ends)) + np.arange(ends[-1])]
+            held.append((h, n, pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(letters)])))
+        if sum(len(x[0]) for x in held[1:]) > 1 << 20:
+            held = [merged()]
+    if held:
+        h, n, word = merged()
+        for a in range(0, len(h), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(h[a:a + (1 << 16)]), word[a:a + (1 << 16)], pa.array(n[a:a + (1 << 16)])], ["h", "word", "n"])
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -217,21 +160,146 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(codes[a:a + (1 << 16)]), pa.array(counts[1, a:a + (1 << 16)]), pa.array(counts[0, a:a + (1 << 16)])], ["code", "toxic", "ordinary"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray] | None:
-    """The pair of models, or None without both classes."""
+def _low(code: str, symbols: int):
+    return F.col(code).bitwiseAND(F.lit((1 << (BITS * symbols)) - 1))
+
+
+def shared_model(grams: DataFrame) -> DataFrame:
+    """(low, p): probability of each n-gram's symbol below the highest order, from continuation counts of both classes."""
+    kinds, lows = grams.select(F.col("code").alias("low")), []
+    for order in range(ORDER - 1, 0, -1):  # distinct n-grams of one symbol more, by their last symbols
+        kinds = kinds.groupBy(_low("low", order).alias("low")).agg(F.count("*").alias("n"))
+        lows.append(kinds)
+        kinds = kinds.select("low")
+    p = None
+    for order, low in enumerate(reversed(lows), 1):
+        context = Window.partitionBy(F.shiftright("low", BITS))  # one row a symbol: at most SYMBOLS
+        low = low.select("low", F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)).alias("own"), F.sum("n").over(context).alias("total"), F.count("*").over(context).alias("kinds"))
+        below = F.lit(1.0 / SYMBOLS)
+        if p is not None:
+            low = low.withColumn("next", _low("low", order - 1)).join(p.withColumnRenamed("low", "next"), "next")
+            below = F.col("p")
+        p = low.select("low", ((F.col("own") + DISCOUNT * F.col("kinds") * below) / F.col("total")).alias("p"))
+    return p
+
+
+def discounts(grams: DataFrame, count: str) -> list[float]:
+    """Discounts of the counts 0, 1, 2 and more: by the numbers of n-grams seen once to four times (modified Kneser-Ney)."""
+    seen = grams.agg(*[F.count(F.when(F.col(count) == k, 1)) for k in (1, 2, 3, 4)]).first()
+    n = [0, *(max(1, v) for v in seen)]
+    share = n[1] / (n[1] + 2 * n[2])
+    return [0.0, *(min(max(k - (k + 1) * share * n[k + 1] / n[k], 0.1), k) for k in (1, 2, 3))]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """The pair of models as (context, spare, known): log ratio of toxic and ordinary probability by symbol, and of symbols not seen there; None without both classes."""
     grams = (_labelled(docs, labels, id_col, text_col).mapInArrow(_count_batches, "code long, toxic long, ordinary long")
              .groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     grams = stored(grams, "toxicity-ngrams")
-    least, n = 1, grams.count()
-    while n > MODEL_GRAMS:  # the rarest n-grams give their mass to the shared orders anyway
-        least *= 2
-        grams = grams.filter(F.col("toxic") + F.col("ordinary") >= least)
-        n = grams.count()
-    got = grams.toArrow()
-    codes, toxic, ordinary = (got[c].to_numpy() for c in ("code", "toxic", "ordinary"))
-    if not toxic.sum() or not ordinary.sum():
+    if not all(grams.agg(F.sum("toxic"), F.sum("ordinary")).first()):
         return None
-    return KneserNey(codes, toxic, ordinary).hashed()
+    classes = ("toxic", "ordinary")
+    less = {c: F.array(*map(F.lit, discounts(grams, c))) for c in classes}
+    taken = {c: F.get(less[c], F.least(F.col(c), F.lit(3)).cast("int")) for c in classes}
+    rows = grams.withColumn("low", _low("code", ORDER - 1)).join(shared_model(grams), "low").withColumn("symbol", _low("code", 1).cast("int"))
+    rows = rows.withColumn("context", F.shiftright("code", BITS))
+    rows = rows.select("context", "symbol", "p", *classes, *[taken[c].alias(f"{c}_less") for c in classes])
+    of = rows.groupBy("context").agg(F.collect_list(F.struct("symbol", "p", *classes, *[f"{c}_less" for c in classes])).alias("seen"),
+                                     *[F.sum(x).alias(f"sum_{x}") for c in classes for x in (c, f"{c}_less")])
+    back = {c: F.when(F.col(f"sum_{c}") > 0, F.col(f"sum_{c}_less") / F.col(f"sum_{c}")).otherwise(1.0) for c in classes}
+    of = of.select("context", "seen", *[F.greatest(f"sum_{c}", F.lit(1)).alias(f"total_{c}") for c in classes], *[back[c].alias(f"back_{c}") for c in classes])
+    log = lambda x, c: F.log((x[c] - x[f"{c}_less"]) / F.col(f"total_{c}") + F.col(f"back_{c}") * x["p"])
+    known = F.map_from_entries(F.transform("seen", lambda x: F.struct(x["symbol"], log(x, "toxic") - log(x, "ordinary"))))
+    return stored(of.select("context", (F.log("back_toxic") - F.log("back_ordinary")).alias("spare"), known.alias("known")), "toxicity-model")
+
+
+def short_ratios(model: DataFrame) -> np.ndarray:
+    """Log ratio by code for contexts of up to SHORT symbols (0 where the context is unknown)."""
+    out = np.zeros(1 << (BITS * (SHORT + 1)))
+    for r in model.filter(F.col("context") < 1 << (BITS * SHORT)).toLocalIterator():
+        of = out[r.context << BITS:(r.context + 1) << BITS]
+        of[:] = r.spare
+        of[list(r.known)] = list(r.known.values())
+    return out
+
+
+def word_ratios(words: DataFrame, model: DataFrame) -> DataFrame:
+    """(h, word, n) -> (h, n, ratio): the sum of the log ratios of a word's symbols."""
+    near = words.sparkSession.sparkContext.broadcast(short_ratios(model))  # of fixed size
+    symbols = np.arange(256)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets, _ = utf8(batch.column(1))
+            h, n = (np.asarray(batch.column(k)) for k in (0, 2))
+            for i, j, own, codes, _ in gram_codes(data, offsets, symbols):
+                short = codes < len(near.value)
+                base = np.bincount(own[short], near.value[codes[short]], minlength=j - i)
+                far = np.flatnonzero(~short)
+                own = np.concatenate([np.arange(j - i), own[far]]) + i  # a row of a word's short contexts, one of each other context
+                context = np.concatenate([-1 - (h[i:j] & 0xFFFF), codes[far] >> BITS])
+                symbol = np.concatenate([np.zeros(j - i, np.int64), codes[far] & (SYMBOLS - 1)]).astype(np.int32)
+                value = np.concatenate([base, np.zeros(len(far))])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[own], n[own], context, symbol, value)], ["h", "n", "context", "symbol", "value"])
+
+    each = words.mapInArrow(run, "h long, n long, context long, symbol int, value double").join(model, "context", "left")
+    ratio = F.coalesce(F.try_element_at("known", "symbol"), "spare", F.lit(0.0)) + F.col("value")
+    return each.groupBy("h").agg(F.max("n").alias("n"), F.sum(ratio).alias("ratio"))
+
+
+def measure(docs: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(doc_id, text) -> doc_id, mean log ratio by symbol, means of the 1 and TOP_WORDS words of the highest log ratio, log2 of words."""
+    most = ratios.orderBy(F.desc("n"), "h").limit(FREQUENT_WORDS).select("h", "ratio").toArrow().sort_by("h")
+    frequent = docs.sparkSession.sparkContext.broadcast(tuple(most[c].to_numpy() for c in ("h", "ratio")))  # at most FREQUENT_WORDS
+    tops = [f"top{k}" for k in range(TOP_WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, value = frequent.value
+        for batch in batches:
+            data, offsets, _ = utf8(batch.column(2))
+            m = len(offsets) - 1
+            symbols, count, total, top = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros((TOP_WORDS, m))
+            rare, copies, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(m + 1, np.int64)
+            for i, j, own, h, first, last, _ in words_of(data, offsets):
+                symbols[i:j] = np.bincount(own, last - first + 1, minlength=j - i)
+                count[i:j] = np.bincount(own, minlength=j - i)
+                at = np.searchsorted(hashes, h)
+                hit = at < len(hashes)
+                hit[hit] = hashes[at[hit]] == h[hit]
+                ratio, of = value[at[hit]], own[hit]
+                total[i:j] = np.bincount(of, ratio, minlength=j - i)
+                ratio, of = ratio[ratio > 0], of[ratio > 0]
+                order = np.lexsort((-ratio, of))
+                ratio, of = ratio[order], of[order]
+                rank = np.arange(len(of)) - np.searchsorted(of, of)
+                for k in range(TOP_WORDS):
+                    top[k, i + of[rank == k]] = ratio[rank == k]
+                h, of = h[~hit], own[~hit]
+                order = np.lexsort((h, of))
+                h, of = h[order], of[order]
+                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])[:len(h)])
+                rare.append(h[new])
+                copies.append(np.diff(np.append(new, len(h))))
+                ends[i + 1:j + 1] = np.bincount(of[new], minlength=j - i)
+            at = pa.array(np.cumsum(ends).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (rare, copies)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(symbols), pa.array(count), pa.array(total), *map(pa.array, top), *lists],
+                                             ["row", "doc_id", "symbols", "words", "total", *tops, "rare", "copies"])
+
+    # the number of a row is kept in the table, so it names the row from here on
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = stored(rows.mapInArrow(run, "row long, doc_id long, symbols long, words long, total double, " + ", ".join(f"{t} double" for t in tops)
+                                  + ", rare array<long>, copies array<long>"), "toxicity-words")
+    others = rows.select("row", F.explode(F.arrays_zip("rare", "copies")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.copies").alias("k"))
+    others = others.join(ratios.select("h", "ratio"), "h").groupBy("row").agg(
+        F.sum(F.col("k") * F.col("ratio")).alias("others"),
+        F.collect_list(F.when(F.col("ratio") > 0, F.struct("ratio", F.least("k", F.lit(TOP_WORDS)).cast("int").alias("k")))).alias("tops"))
+    best = F.slice(F.sort_array(F.coalesce("tops", F.array().cast("array<struct<ratio:double,k:int>>")), asc=False), 1, TOP_WORDS)
+    best = F.flatten(F.transform(best, lambda x: F.array_repeat(x["ratio"], x["k"])))
+    best = F.slice(F.sort_array(F.concat(F.array(*tops), best), asc=False), 1, TOP_WORDS)
+    rows = rows.drop("rare", "copies").join(others, "row", "left").withColumn("best", best)
+    return rows.select("doc_id", ((F.col("total") + F.coalesce("others", F.lit(0.0))) / F.greatest("symbols", F.lit(1))).alias("mean_log_ratio"), F.get("best", F.lit(0)).alias("top_word"),
+                       (F.aggregate("best", F.lit(0.0), lambda a, x: a + x) / TOP_WORDS).alias("top_words"), F.log2(F.col("words") + 1).alias("log_words"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, float]:
@@ -256,16 +324,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = fit(docs, labels, id_col, text_col)
     if model is None:
         return rows.select("doc_id", held_out.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), *[F.lit(0.0).alias(c) for c in ("mean_log_ratio", "top_word", "top_words")])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_GRAMS n-grams
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets, _ = utf8(batch.column(1))
-            x = features(shared.value, data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, k]) for k in range(4)]], ["doc_id", "mean_log_ratio", "top_word", "top_words", "log_words"])
-
+    words = rows.select("text").mapInArrow(_word_batches, "h long, word binary, n long").groupBy("h").agg(F.first("word").alias("word"), F.sum("n").alias("n"))
+    ratios = stored(word_ratios(words, model), "toxicity-word-ratios")
     names = ["mean_log_ratio", "top_word", "top_words", "log_words"]
-    measured = stored(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in names)), "toxicity")
+    measured = stored(measure(rows, ratios), "toxicity")
     known = labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     fold = crc_mod("doc_id", FOLDS) == CALIBRATION
     sample = measured.filter(fold).join(known.filter(fold), "doc_id").orderBy(F.xxhash64("doc_id")).limit(CALIBRATION_ROWS).toArrow()

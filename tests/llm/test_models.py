@@ -163,20 +163,31 @@ def test_toxicity_on_held_out_documents(llm):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_kneser_ney_probabilities():
-    """Class and shared probabilities of a context's symbols follow from the formulas on a few words."""
-    text = b"abab abc abca"
-    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-    codes = np.concatenate([c for *_, c, _ in toxicity.gram_codes(data, offsets)])
-    assert len(codes) == sum(len(w) + 1 for w in text.split())  # each letter and each end of a word
-    distinct, n = np.unique(codes, return_counts=True)
-    model = toxicity.KneserNey(distinct, n, n)
-    assert np.allclose(model.ratio, 0) and np.allclose(model.spare, 0)  # equal counts: equal models
-    tables = toxicity.KneserNey(distinct, n, np.ones(len(n), np.int64)).hashed()
-    value, found = toxicity.look_up(tables["gram_slots"], tables["gram_values"], np.concatenate([distinct, [1 << 41]]))
-    assert found[:-1].all() and not found[-1]
-    shared = toxicity.KneserNey._shared(distinct)
-    assert ((shared > 0) & (shared < 1)).all()
+def test_toxicity_equals_plain_kneser_ney(make_docs, llm, monkeypatch):
+    """Models by their formulas, n-gram by n-gram, and the log ratios of odd texts, with frequent and other words."""
+    monkeypatch.setattr(toxicity, "FREQUENT_WORDS", 20)
+    rng = random.Random(5)
+    some = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    rows = [(i, rng.choice(" 1-").join(rng.choice(some[:40 if i % 2 else 60]) for _ in range(rng.randint(1, 40)))) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, "12 !"), (None, "abc abc"), (203, "a" * 5000), (204, "zzz " * 300 + "quite unknown words"), (3, "copy of an id"), (205, "ab cab " * 400)]
+    labels = [(i, i % 2) for i in range(120)]
+    docs, given = make_docs(rows), llm.createDataFrame([(i, 1, t) for i, t in labels], "doc_id long, quality int, toxic int")
+    toxic = dict(labels)
+    counted = [(text, toxic[i]) for i, text in rows if i in toxic and zlib.crc32(str(i).encode()) % 5 not in (0, 4)]
+    plain = brute.KneserNey(counted)
+    model = {(r.context, s): v for r in toxicity.fit(docs, given).collect() for s, v in [*r.known.items(), (None, r.spare)]}
+    assert model.keys() == plain.ratio.keys() and all(math.isclose(model[k], plain.ratio[k], abs_tol=1e-9) for k in model)
+    got = Counter((r.doc_id, round(r.mean_log_ratio, 6), round(r.top_word, 6), round(r.top_words, 6)) for r in toxicity.score_toxicity(docs, given).collect())
+    assert got == Counter((i, *(round(v, 6) + 0.0 for v in plain.features(text))) for i, text in rows)
+
+
+def test_words_of_a_long_document_hash_alike_in_pieces(monkeypatch):
+    text = b"some words " * 30 + b"x" * 500 + b" and others, some"
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, 5, 5, len(text)])
+    whole = [h for *_, h, _, _, _ in toxicity.words_of(data, offsets)]
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 8)
+    assert [h.tolist() for *_, h, _, _, _ in toxicity.words_of(data, offsets)] == [h.tolist() for h in whole]
+    assert len(set(np.concatenate(whole).tolist())) == 5
 
 
 def test_models_without_labels_and_odd_rows(make_docs, llm):
