@@ -9,10 +9,9 @@ have not counted, turns these into a score.
 
 Counts come from every labelled row outside the held-out fold and the calibration fold.  The models stay
 tables: discounts, continuation counts and log ratios of all n-grams are Spark aggregations and joins, and
-no n-gram is dropped.  Contexts end with their word, so a word has one log ratio wherever it stands: each
-distinct word of the corpus is scored once by a join with the model.  The ``FREQUENT_WORDS`` most
-frequent words then go out with their log ratios; the others of each document join the table of words.
-That number decides how much is shuffled, not the result.
+no n-gram is dropped.  The contexts counted most often (``FREQUENT_CONTEXTS``) go out with the log ratios
+of their symbols; a word in which another known context occurs stays open until its n-grams have joined
+the model's table.  That number decides how much is shuffled, not the result.
 
 Defined cases: null text or text without letters scores like an empty text (features 0); conflicting
 labels of one id count as toxic; without both classes in the training rows every score is 0;
@@ -28,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelens.llm.common import BLOCK_BYTES, bloom, bloom_hits, bloom_places, blocks, crc_mod, prefix_hash, span_hash, stored, utf8
+from sitelens.llm.common import bloom, bloom_hits, bloom_places, blocks, crc_mod, stored, utf8
 
 SYMBOLS, BITS, ORDER = 64, 6, 7
-#: Words whose log ratios are broadcast (about a megabyte).
-FREQUENT_WORDS = 1 << 16
-#: Contexts of up to this many symbols are few (at most 64 to that power) and on every word: an array, not a join.
-SHORT = 2
+#: Contexts whose log ratios are broadcast (each has at most SYMBOLS).
+FREQUENT_CONTEXTS = 1 << 17
+#: Bits of the filter of known contexts: 8 MB, whatever the model.
+KNOWN_BITS = 26
 #: Discount of continuation counts; those of class counts follow from the data.
 DISCOUNT = 0.75
 #: Documents weigh by their most toxic words: how many.
@@ -49,21 +48,16 @@ _SYMBOL[97:123] = np.arange(1, 27)
 _SYMBOL[128:] = 27 + np.arange(128, 256) % 37
 
 
-def _spread(data: np.ndarray, offsets: np.ndarray, i: int, j: int, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of documents i to j with one end symbol after each, and the places of those."""
-    lo, hi = int(offsets[i]), int(offsets[j])
-    out = np.zeros(hi - lo + j - i, symbol.dtype)
-    ends = offsets[i + 1:j + 1] - lo + np.arange(j - i)
-    inside = np.ones(len(out), bool)
-    inside[ends] = False
-    out[inside] = symbol[data[lo:hi]]
-    return out, ends
-
-
-def gram_codes(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray = _SYMBOL) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def gram_codes(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks (first doc, end doc, owner, code, first symbol of a word) of predicted symbols with their context."""
     for i, j in blocks(offsets):
-        spread, ends = _spread(data, offsets, i, j, symbol)
+        lo, hi = int(offsets[i]), int(offsets[j])
+        n = j - i
+        spread = np.zeros(hi - lo + n, np.int64)  # one end symbol after each document
+        ends = offsets[i + 1:j + 1] - lo + np.arange(n)
+        inside = np.ones(len(spread), bool)
+        inside[ends] = False
+        spread[inside] = _SYMBOL[data[lo:hi]]
         code, seen = spread.copy(), np.ones(len(spread), bool)
         for back in range(1, ORDER):
             before = np.zeros(len(spread), np.int64)
@@ -76,44 +70,42 @@ def gram_codes(data: np.ndarray, offsets: np.ndarray, symbol: np.ndarray = _SYMB
         yield i, j, own, code[at], previous[at] == 0
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks (first doc, end doc, owner, hash, start, end of each word, symbols that these count in)."""
-    for i, j in blocks(offsets):
-        spread, ends = _spread(data, offsets, i, j, _SYMBOL.astype(np.uint8))
-        inside = np.concatenate([[False], spread > 0, [False]])
-        first = np.flatnonzero(inside[1:] & ~inside[:-1])
-        last = np.flatnonzero(inside[:-1] & ~inside[1:])
-        h, at = np.zeros(len(first), np.uint64), 0
-        while at < len(first):  # a long document is hashed in pieces that end with a word
-            to = max(at + 1, int(np.searchsorted(last, first[at] + 2 * BLOCK_BYTES, "right")))
-            base = first[at]
-            h[at:to] = span_hash(prefix_hash(spread[base:last[to - 1]]), first[at:to] - base, last[at:to] - base)
-            at = to
-        yield i, j, np.searchsorted(ends, first, "left"), h.view(np.int64), first, last, spread
-
-
-def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, word as symbols, n) of distinct words, merged over a task as they come."""
-    held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
-
-    def merged() -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        h, at, of = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
-        n = np.bincount(of, np.concatenate([x[1] for x in held]), minlength=len(h)).astype(np.int64)
-        return h, n, pa.concat_arrays([x[2] for x in held]).take(pa.array(at))
-
-    for batch in batches:
-        data, offsets, _ = utf8(batch.column(0))
-        for *_, h, first, last, spread in words_of(data, offsets):
-            h, at, n = np.unique(h, return_index=True, return_counts=True)
-            ends = np.concatenate([[0], np.cumsum(last[at] - first[at])])
-            letters = spread[np.repeat(first[at] - ends[:-1], np.diff(ends)) + np.arange(ends[-1])]
-            held.append((h, n, pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(letters)])))
-        if sum(len(x[0]) for x in held[1:]) > 1 << 20:
-            held = [merged()]
-    if held:
-        h, n, word = merged()
-        for a in range(0, len(h), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(h[a:a + (1 << 16)]), word[a:a + (1 << 16)], pa.array(n[a:a + (1 << 16)])], ["h", "word", "n"])
+def slots(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Open table for look_up: a slot holds the key it is for and its value."""
+    bits = max(10, int(np.ceil(np.log2(2 * len(keys) + 1))))
+    held, out = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+    left, at = np.arange(len(keys)), _slot(keys, bits)
+    while len(left):  # linear probing, all keys at a time
+        free = held[at] < 0
+        _, one = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
+        put = one[free[one]]
+        held[at[put]], out[at[put]] = keys[left[put]], values[left[put]]
+        rest = np.ones(len(left), bool)
+        rest[put] = False
+        left, at = left[rest], (at[rest] + 1) & ((1 << bits) - 1)
+    return held, out
+
+
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def look_up(slots: np.ndarray, values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value or 0, found) of each key."""
+    bits = int(len(slots)).bit_length() - 1
+    at = _slot(keys, bits)
+    got = np.zeros(len(keys))
+    found = np.zeros(len(keys), bool)
+    todo = np.arange(len(keys))
+    while len(todo):
+        here = slots[at]
+        hit = here == keys[todo]
+        got[todo[hit]] = values[at[hit]]
+        found[todo[hit]] = True
+        go = ~hit & (here >= 0)
+        todo, at = todo[go], (at[go] + 1) & (len(slots) - 1)
+    return got, found
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -192,7 +184,7 @@ def discounts(grams: DataFrame, count: str) -> list[float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
-    """The pair of models as (context, spare, known): log ratio of toxic and ordinary probability by symbol, and of symbols not seen there; None without both classes."""
+    """The pair of models as (context, n, spare, known): log ratios of toxic and ordinary probability of its symbols, and of those not seen there; None without both classes."""
     grams = (_labelled(docs, labels, id_col, text_col).mapInArrow(_count_batches, "code long, toxic long, ordinary long")
              .groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     grams = stored(grams, "toxicity-ngrams")
@@ -210,95 +202,93 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     of = of.select("context", "seen", *[F.greatest(f"sum_{c}", F.lit(1)).alias(f"total_{c}") for c in classes], *[back[c].alias(f"back_{c}") for c in classes])
     log = lambda x, c: F.log((x[c] - x[f"{c}_less"]) / F.col(f"total_{c}") + F.col(f"back_{c}") * x["p"])
     known = F.map_from_entries(F.transform("seen", lambda x: F.struct(x["symbol"], log(x, "toxic") - log(x, "ordinary"))))
-    return stored(of.select("context", (F.log("back_toxic") - F.log("back_ordinary")).alias("spare"), known.alias("known")), "toxicity-model")
-
+    seen = F.col("total_toxic") + F.col("total_ordinary")
+    return stored(of.select("context", seen.alias("n"), (F.log("back_toxic") - F.log("back_ordinary")).alias("spare"), known.alias("known")), "toxicity-model")
 
-def short_ratios(model: DataFrame) -> np.ndarray:
-    """Log ratio by code for contexts of up to SHORT symbols (0 where the context is unknown)."""
-    out = np.zeros(1 << (BITS * (SHORT + 1)))
-    for r in model.filter(F.col("context") < 1 << (BITS * SHORT)).toLocalIterator():
-        of = out[r.context << BITS:(r.context + 1) << BITS]
-        of[:] = r.spare
-        of[list(r.known)] = list(r.known.values())
-    return out
 
+def _places(contexts: np.ndarray) -> list[np.ndarray]:
+    return [_slot(contexts, KNOWN_BITS), _slot(contexts ^ 0x5555555555, KNOWN_BITS)]
 
-def word_ratios(words: DataFrame, model: DataFrame) -> DataFrame:
-    """(h, word, n) -> (h, n, ratio): the sum of the log ratios of a word's symbols."""
-    near = words.sparkSession.sparkContext.broadcast(short_ratios(model))  # of fixed size
-    symbols = np.arange(256)
 
+def known_contexts(model: DataFrame) -> np.ndarray:
+    """Bits set at the two places of each context: says which n-grams need no join as their context is unknown."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets, _ = utf8(batch.column(1))
-            h, n = (np.asarray(batch.column(k)) for k in (0, 2))
-            for i, j, own, codes, _ in gram_codes(data, offsets, symbols):
-                short = codes < len(near.value)
-                base = np.bincount(own[short], near.value[codes[short]], minlength=j - i)
-                far = np.flatnonzero(~short)
-                own = np.concatenate([np.arange(j - i), own[far]]) + i  # a row of a word's short contexts, one of each other context
-                context = np.concatenate([-1 - (h[i:j] & 0xFFFF), codes[far] >> BITS])
-                symbol = np.concatenate([np.zeros(j - i, np.int64), codes[far] & (SYMBOLS - 1)]).astype(np.int32)
-                value = np.concatenate([base, np.zeros(len(far))])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[own], n[own], context, symbol, value)], ["h", "n", "context", "symbol", "value"])
-
-    each = words.mapInArrow(run, "h long, n long, context long, symbol int, value double").join(model, "context", "left")
-    ratio = F.coalesce(F.try_element_at("known", "symbol"), "spare", F.lit(0.0)) + F.col("value")
-    return each.groupBy("h").agg(F.max("n").alias("n"), F.sum(ratio).alias("ratio"))
-
-
-def measure(docs: DataFrame, ratios: DataFrame) -> DataFrame:
+            at = np.unique(np.concatenate(_places(np.asarray(batch.column(0)))))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], ["w", "bits"])
+
+    words = model.select("context").mapInArrow(run, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (KNOWN_BITS - 6), np.int64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def frequent_model(model: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray] | np.ndarray]:
+    most = model.orderBy(F.desc("n"), "context").limit(FREQUENT_CONTEXTS).select("context", "spare", F.map_keys("known").alias("symbol"), F.map_values("known").alias("ratio")).toArrow().combine_chunks()
+    contexts = most["context"].to_numpy()
+    sizes = most["symbol"].combine_chunks().value_lengths().to_numpy()
+    codes = (np.repeat(contexts, sizes) << BITS) | most["symbol"].combine_chunks().flatten().to_numpy()
+    return {"gram": slots(codes, most["ratio"].combine_chunks().flatten().to_numpy()), "context": slots(contexts, most["spare"].to_numpy()), "known": known_contexts(model)}
+
+
+def log_ratio(model: dict, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log ratios (0 where the context is unknown or not frequent) and the places of the codes that need the whole model."""
+    value, found = look_up(*model["gram"], codes)
+    rest = np.flatnonzero(~found)
+    value[rest], found = look_up(*model["context"], codes[rest] >> BITS)
+    rest = rest[~found]
+    hit = np.ones(len(rest), bool)
+    for at in _places(codes[rest] >> BITS):
+        hit &= (model["known"][at >> 6] >> (at & 63)) & 1 == 1
+    return value, rest[hit]
+
+
+def measure(docs: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, mean log ratio by symbol, means of the 1 and TOP_WORDS words of the highest log ratio, log2 of words."""
-    most = ratios.orderBy(F.desc("n"), "h").limit(FREQUENT_WORDS).select("h", "ratio").toArrow().sort_by("h")
-    frequent = docs.sparkSession.sparkContext.broadcast(tuple(most[c].to_numpy() for c in ("h", "ratio")))  # at most FREQUENT_WORDS
-    tops = [f"top{k}" for k in range(TOP_WORDS)]
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_model(model))  # at most FREQUENT_CONTEXTS * SYMBOLS n-grams, and the filter
+    tops, lists = [f"top{k}" for k in range(TOP_WORDS)], {"open_word": "int", "open_code": "long", "open_value": "double"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, value = frequent.value
         for batch in batches:
             data, offsets, _ = utf8(batch.column(2))
             m = len(offsets) - 1
-            symbols, count, total, top = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros((TOP_WORDS, m))
-            rare, copies, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(m + 1, np.int64)
-            for i, j, own, h, first, last, _ in words_of(data, offsets):
-                symbols[i:j] = np.bincount(own, last - first + 1, minlength=j - i)
-                count[i:j] = np.bincount(own, minlength=j - i)
-                at = np.searchsorted(hashes, h)
-                hit = at < len(hashes)
-                hit[hit] = hashes[at[hit]] == h[hit]
-                ratio, of = value[at[hit]], own[hit]
-                total[i:j] = np.bincount(of, ratio, minlength=j - i)
-                ratio, of = ratio[ratio > 0], of[ratio > 0]
-                order = np.lexsort((-ratio, of))
-                ratio, of = ratio[order], of[order]
-                rank = np.arange(len(of)) - np.searchsorted(of, of)
+            symbols, words, total, top = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros((TOP_WORDS, m))
+            ends, held = np.zeros(m + 1, np.int64), [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))]
+            for i, j, own, codes, head in gram_codes(data, offsets):
+                if not len(own):
+                    continue
+                value, late = log_ratio(frequent.value, codes)
+                first, word_of = np.flatnonzero(head), np.cumsum(head) - 1
+                word, word_own = np.add.reduceat(value, first), own[first]
+                symbols[i:j], words[i:j] = np.bincount(own, minlength=j - i), np.bincount(word_own, minlength=j - i)
+                of_word = word_of[late]
+                new = np.concatenate([[True], of_word[1:] != of_word[:-1]])[:len(late)]  # an open word brings its known part once
+                held.append((of_word.astype(np.int32), codes[late], np.where(new, word[of_word], 0.0)))
+                ends[i + 1:j + 1] = np.bincount(own[late], minlength=j - i)
+                closed = np.ones(len(word), bool)
+                closed[of_word] = False
+                total[i:j] = np.bincount(word_own[closed], word[closed], minlength=j - i)
+                good = np.flatnonzero(closed & (word > 0))
+                good = good[np.lexsort((-word[good], word_own[good]))]
+                rank = np.arange(len(good)) - np.searchsorted(word_own[good], word_own[good])
                 for k in range(TOP_WORDS):
-                    top[k, i + of[rank == k]] = ratio[rank == k]
-                h, of = h[~hit], own[~hit]
-                order = np.lexsort((h, of))
-                h, of = h[order], of[order]
-                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])[:len(h)])
-                rare.append(h[new])
-                copies.append(np.diff(np.append(new, len(h))))
-                ends[i + 1:j + 1] = np.bincount(of[new], minlength=j - i)
+                    top[k, i + word_own[good[rank == k]]] = word[good[rank == k]]
             at = pa.array(np.cumsum(ends).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (rare, copies)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(symbols), pa.array(count), pa.array(total), *map(pa.array, top), *lists],
-                                             ["row", "doc_id", "symbols", "words", "total", *tops, "rare", "copies"])
+            opened = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in zip(*held)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(symbols), pa.array(words), pa.array(total), *map(pa.array, top), *opened],
+                                             ["row", "doc_id", "symbols", "words", "total", *tops, *lists])
 
     # the number of a row is kept in the table, so it names the row from here on
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    rows = stored(rows.mapInArrow(run, "row long, doc_id long, symbols long, words long, total double, " + ", ".join(f"{t} double" for t in tops)
-                                  + ", rare array<long>, copies array<long>"), "toxicity-words")
-    others = rows.select("row", F.explode(F.arrays_zip("rare", "copies")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.copies").alias("k"))
-    others = others.join(ratios.select("h", "ratio"), "h").groupBy("row").agg(
-        F.sum(F.col("k") * F.col("ratio")).alias("others"),
-        F.collect_list(F.when(F.col("ratio") > 0, F.struct("ratio", F.least("k", F.lit(TOP_WORDS)).cast("int").alias("k")))).alias("tops"))
-    best = F.slice(F.sort_array(F.coalesce("tops", F.array().cast("array<struct<ratio:double,k:int>>")), asc=False), 1, TOP_WORDS)
-    best = F.flatten(F.transform(best, lambda x: F.array_repeat(x["ratio"], x["k"])))
-    best = F.slice(F.sort_array(F.concat(F.array(*tops), best), asc=False), 1, TOP_WORDS)
-    rows = rows.drop("rare", "copies").join(others, "row", "left").withColumn("best", best)
-    return rows.select("doc_id", ((F.col("total") + F.coalesce("others", F.lit(0.0))) / F.greatest("symbols", F.lit(1))).alias("mean_log_ratio"), F.get("best", F.lit(0)).alias("top_word"),
+    rows = stored(rows.mapInArrow(run, "row long, doc_id long, symbols long, words long, total double, " + ", ".join(f"{t} double" for t in tops) + "".join(f", {c} array<{t}>" for c, t in lists.items())), "toxicity-rows")
+    late = rows.filter(F.size("open_code") > 0).select("row", F.explode(F.arrays_zip(*lists)).alias("x")).select("row", "x.*")
+    late = late.select("row", "open_word", "open_value", F.shiftright("open_code", BITS).alias("context"), _low("open_code", 1).cast("int").alias("symbol"))
+    ratio = F.col("open_value") + F.coalesce(F.try_element_at("known", "symbol"), "spare", F.lit(0.0))
+    late = late.join(model.drop("n"), "context", "left").groupBy("row", "open_word").agg(F.sum(ratio).alias("ratio"))
+    late = late.groupBy("row").agg(F.sum("ratio").alias("late"), F.collect_list(F.when(F.col("ratio") > 0, F.col("ratio"))).alias("tops"))  # no longer than the text
+    best = F.concat(F.array(*tops), F.coalesce("tops", F.array().cast("array<double>")))
+    rows = rows.drop(*lists).join(late, "row", "left").withColumn("best", F.slice(F.sort_array(best, asc=False), 1, TOP_WORDS))
+    return rows.select("doc_id", ((F.col("total") + F.coalesce("late", F.lit(0.0))) / F.greatest("symbols", F.lit(1))).alias("mean_log_ratio"), F.get("best", F.lit(0)).alias("top_word"),
                        (F.aggregate("best", F.lit(0.0), lambda a, x: a + x) / TOP_WORDS).alias("top_words"), F.log2(F.col("words") + 1).alias("log_words"))
 
 
@@ -324,10 +314,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = fit(docs, labels, id_col, text_col)
     if model is None:
         return rows.select("doc_id", held_out.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), *[F.lit(0.0).alias(c) for c in ("mean_log_ratio", "top_word", "top_words")])
-    words = rows.select("text").mapInArrow(_word_batches, "h long, word binary, n long").groupBy("h").agg(F.first("word").alias("word"), F.sum("n").alias("n"))
-    ratios = stored(word_ratios(words, model), "toxicity-word-ratios")
     names = ["mean_log_ratio", "top_word", "top_words", "log_words"]
-    measured = stored(measure(rows, ratios), "toxicity")
+    measured = stored(measure(rows, model), "toxicity")
     known = labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     fold = crc_mod("doc_id", FOLDS) == CALIBRATION
     sample = measured.filter(fold).join(known.filter(fold), "doc_id").orderBy(F.xxhash64("doc_id")).limit(CALIBRATION_ROWS).toArrow()

@@ -164,8 +164,8 @@ def test_toxicity_on_held_out_documents(llm):
 
 
 def test_toxicity_equals_plain_kneser_ney(make_docs, llm, monkeypatch):
-    """Models by their formulas, n-gram by n-gram, and the log ratios of odd texts, with frequent and other words."""
-    monkeypatch.setattr(toxicity, "FREQUENT_WORDS", 20)
+    """Models by their formulas, n-gram by n-gram, and the log ratios of odd texts, with few contexts broadcast and most joined."""
+    monkeypatch.setattr(toxicity, "FREQUENT_CONTEXTS", 20)
     rng = random.Random(5)
     some = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(60)]
     rows = [(i, rng.choice(" 1-").join(rng.choice(some[:40 if i % 2 else 60]) for _ in range(rng.randint(1, 40)))) for i in range(120)]
@@ -181,15 +181,6 @@ def test_toxicity_equals_plain_kneser_ney(make_docs, llm, monkeypatch):
     assert got == Counter((i, *(round(v, 6) + 0.0 for v in plain.features(text))) for i, text in rows)
 
 
-def test_words_of_a_long_document_hash_alike_in_pieces(monkeypatch):
-    text = b"some words " * 30 + b"x" * 500 + b" and others, some"
-    data, offsets = np.frombuffer(text, np.uint8), np.array([0, 5, 5, len(text)])
-    whole = [h for *_, h, _, _, _ in toxicity.words_of(data, offsets)]
-    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 8)
-    assert [h.tolist() for *_, h, _, _, _ in toxicity.words_of(data, offsets)] == [h.tolist() for h in whole]
-    assert len(set(np.concatenate(whole).tolist())) == 5
-
-
 def test_models_without_labels_and_odd_rows(make_docs, llm):
     rows = [(1, None), (2, ""), (3, "!!! 123"), (3, "!!! 123"), (None, "words of a row"), (4, "word " * 50000)]
     docs = make_docs(rows).withColumn("label", F.lit("clash")).withColumn("toxic", F.lit(9))
