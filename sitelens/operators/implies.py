@@ -1,88 +1,84 @@
 """A5: implied technologies.
 
-The implies graph belongs to the rule set, so its closure is computed once
-per rule set (``implies_closure``) by an iterative breadth-first join that
-keeps, per (root, node), the shortest distance and the smallest path of
-implies-list positions.  At page level the direct matches join the closure;
-the first implier of a node in breadth-first order is the reached node with
-the smallest (depth, root rule order, path), which is what a queue-driven
-walk from the direct matches (in rule order) visits first.
+The implies graph belongs to the rule set: its edges (one a listed name, linear in the rules) go out with
+a small walk, and each page walks from its own direct matches.  No table of reachable pairs exists, so a
+hub that implies thousands costs the pages that have it, nothing else.  The walk is queue-driven, from the
+direct matches in rule order, and keeps for each node the edge that reached it first; that order is also
+the A6 order of implied technologies.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sitelens.sources.rules import implies_edges
 
 IMPLIED_CONFIDENCE = 0.6
+_REACHED = "array<struct<dst_key:string,via_name:string,dst_raw:string>>"
+_REACHED_ARROW = pa.list_(pa.struct([("dst_key", pa.string()), ("via_name", pa.string()), ("dst_raw", pa.string())]))
+
+
+def reached(found: list[str], order: dict[str, int], edges: dict[str, list[tuple[str, str, str]]]) -> list[tuple[str, str, str]]:
+    """(node, name of its first implier, name as listed there), in order of discovery; found ones too if implied."""
+    queue = deque(sorted((k for k in found if k in edges), key=lambda k: order[k]))
+    seen, out = set(queue), {}
+    while queue:
+        for node, via, raw in edges[queue.popleft()]:
+            if node not in out:
+                out[node] = (node, via, raw)
+            if node in edges and node not in seen:
+                seen.add(node)
+                queue.append(node)
+    return list(out.values())
+
+
+def implies_walk(rules: DataFrame):
+    """Column function: technology keys of a page -> what they imply, directly or not, in order of discovery."""
+    edges: dict[str, list] = {}
+    for r in implies_edges(rules).orderBy("src_key", "pos").collect():  # the rule set's own size
+        edges.setdefault(r.src_key, []).append((r.dst_key, r.src_name, r.dst_raw))
+    order = {r.tech_key: r.ord for r in rules.select("tech_key", "ord").collect() if r.tech_key in edges}
+    graph = rules.sparkSession.sparkContext.broadcast((order, edges))
+
+    @F.arrow_udf(_REACHED)
+    def walk(keys: pa.Array) -> pa.Array:
+        names = ("dst_key", "via_name", "dst_raw")
+        return pa.array([[dict(zip(names, x)) for x in reached(found or [], *graph.value)] for found in keys.to_pylist()], _REACHED_ARROW)
+
+    return walk
 
 
-def implies_closure(rules: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(root_key, node_key, depth, path ARRAY<INT>) for every node reachable from every rule."""
-    edges = implies_edges(rules).select("src_key", "pos", "dst_key").cache()
-    visited = rules.select(F.col("tech_key").alias("root_key"), F.col("tech_key").alias("node_key"),
-                           F.lit(0).alias("depth"), F.array().cast(T.ArrayType(T.IntegerType())).alias("path"))
-    frontier = visited
-    depth = 0
-    limit = max_depth if max_depth is not None else 1 << 30
-    while depth < limit:
-        depth += 1
-        step = frontier.join(edges, frontier.node_key == edges.src_key) \
-            .select("root_key", F.col("dst_key").alias("node_key"),
-                    F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"))
-        step = step.join(visited.select("root_key", "node_key"), ["root_key", "node_key"], "left_anti") \
-            .groupBy("root_key", "node_key").agg(F.min("path").alias("path")) \
-            .select("root_key", "node_key", F.lit(depth).alias("depth"), "path").cache()
-        if step.isEmpty():  # every node reached: the walk ends after at most (#nodes) rounds
-            break
-        visited = visited.unionByName(step)
-        frontier = step
-    return visited
-
-
-def implied_by_rule(rules: DataFrame, closure: DataFrame) -> DataFrame:
-    """(tech_key, implied ARRAY<STRUCT>): every technology that a rule implies, directly or not, with its way there."""
-    edges = implies_edges(rules)
-    reach = closure.join(edges, closure.node_key == edges.src_key)
-    return reach.groupBy(F.col("root_key").alias("tech_key")).agg(F.collect_list(F.struct(
-        "dst_key", "depth", "path", F.col("pos").alias("epos"), F.col("src_name").alias("via_name"), "dst_raw")).alias("implied"))
-
-
-def detected_names(matches: DataFrame, rules: DataFrame, closure: DataFrame) -> DataFrame:
+def detected_names(matches: DataFrame, rules: DataFrame, walk) -> DataFrame:
     """(page_id, name) of every technology of a page, found or implied: no evidence, scores or versions."""
-    named = rules.select("tech_key", "name")
-    implied = implied_by_rule(rules, closure).select("tech_key", F.explode("implied").alias("i")).select("tech_key", F.col("i.dst_key").alias("dst_key"), F.col("i.dst_raw").alias("dst_raw"))
-    implied = implied.join(named.select(F.col("tech_key").alias("dst_key"), "name"), "dst_key", "left").select("tech_key", F.coalesce("name", "dst_raw").alias("name"))
-    names = named.unionByName(implied).groupBy("tech_key").agg(F.collect_set("name").alias("names"))
-    found = matches.select("page_id", "tech_key").distinct().join(names, "tech_key")
-    return found.select("page_id", F.explode("names").alias("name")).distinct()
+    found = matches.groupBy("page_id").agg(F.collect_set("tech_key").alias("keys"))
+    itself = F.transform("keys", lambda k: F.struct(k.alias("tech_key"), F.lit(None).cast("string").alias("raw")))
+    implied = F.transform(walk("keys"), lambda x: F.struct(x["dst_key"].alias("tech_key"), x["dst_raw"].alias("raw")))
+    each = found.select("page_id", F.explode(F.concat(itself, implied)).alias("e")).select("page_id", "e.*")
+    return each.join(rules.select("tech_key", "name"), "tech_key", "left").select("page_id", F.coalesce("name", "raw").alias("name")).distinct()
 
 
-def resolve_implies(tech: DataFrame, rules: DataFrame, closure: DataFrame) -> DataFrame:
+def resolve_implies(tech: DataFrame, rules: DataFrame, walk) -> DataFrame:
     """Merge implied technologies into per-page tech matches.
 
     tech: (page_id, tech_key, ord, name, category, version, confidence, n_sources, evidence)
     Adds ``implied`` (bool) and ``order_key`` (for the stable A6 ordering).
 
-    One branch: each direct row becomes itself and the technologies its rule implies (a rule-level
-    table), and one aggregation by (page, technology) merges both; the matching runs once.
+    One branch: the matches of a page (one a rule at most) gather in a row, the walk adds what they imply,
+    and both meet again by technology in the same partition; the matching runs once.
     """
     own = ["ord", "name", "category", "version", "confidence", "evidence"]
-    to = implied_by_rule(rules, closure)
-    listed = tech.select("page_id", "tech_key", *own).join(to, "tech_key", "left")
-    direct = F.struct(*own)
-    none = to.schema["implied"].dataType.elementType
-    way = T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("root_ord", none["depth"].dataType), T.StructField("path", none["path"].dataType),
-                        T.StructField("epos", none["epos"].dataType), T.StructField("via_name", T.StringType()), T.StructField("dst_raw", T.StringType())])
-    itself = F.array(F.struct(F.col("tech_key").alias("dst_key"), direct.alias("d"), F.lit(None).cast(way).alias("v")))
-    others = F.transform(F.coalesce("implied", F.array().cast(to.schema["implied"].dataType)), lambda x: F.struct(
-        x["dst_key"].alias("dst_key"), F.when(F.lit(False), direct).alias("d"),
-        F.struct(x["depth"].alias("depth"), F.col("ord").cast(none["depth"].dataType).alias("root_ord"), x["path"].alias("path"), x["epos"].alias("epos"),
-                 x["via_name"].alias("via_name"), x["dst_raw"].alias("dst_raw")).cast(way).alias("v")))
-    each = listed.select("page_id", F.explode(F.concat(itself, others)).alias("e")).select("page_id", "e.*")
+    page = tech.groupBy("page_id").agg(F.collect_list(F.struct("tech_key", F.struct(*own).alias("d"))).alias("found"))
+    page = page.withColumn("reached", walk(F.transform("found", lambda x: x["tech_key"])))
+    way = "struct<n:int,via_name:string,dst_raw:string>"
+    itself = F.transform("found", lambda x: F.struct(x["tech_key"].alias("dst_key"), x["d"].alias("d"), F.lit(None).cast(way).alias("v")))
+    others = F.transform("reached", lambda x, i: F.struct(
+        x["dst_key"].alias("dst_key"), F.when(F.lit(False), F.element_at("found", 1)["d"]).alias("d"),
+        F.struct(i.alias("n"), x["via_name"].alias("via_name"), x["dst_raw"].alias("dst_raw")).cast(way).alias("v")))
+    each = page.select("page_id", F.explode(F.concat(itself, others)).alias("e")).select("page_id", "e.*")
     merged = each.groupBy("page_id", "dst_key").agg(F.first("d", ignorenulls=True).alias("d"), F.min("v").alias("v"))
     info = rules.select(F.col("tech_key").alias("dst_key"), F.col("name").alias("r_name"),
                         F.col("category").alias("r_category"), F.col("ord").alias("r_ord"))
@@ -103,10 +99,7 @@ def resolve_implies(tech: DataFrame, rules: DataFrame, closure: DataFrame) -> Da
         .otherwise(F.col("evidence")).alias("evidence"),
         new.alias("implied"),
         # A6 tie order: direct matches in rule order, then implied ones in discovery order
-        F.when(new, F.struct(F.lit(1).alias("g"), F.col("v.depth").alias("d"), F.col("v.root_ord").alias("o"),
-                             F.col("v.path").alias("p"), F.col("v.epos").alias("e")))
-        .otherwise(F.struct(F.lit(0).alias("g"), F.lit(0).alias("d"), F.col("ord").alias("o"),
-                            F.array().cast(T.ArrayType(T.IntegerType())).alias("p"), F.lit(0).alias("e")))
+        F.struct(new.cast("int").alias("g"), F.when(new, F.col("v.n")).otherwise(F.col("ord")).alias("n"))
         .alias("order_key"))
     return out
 

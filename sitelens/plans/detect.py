@@ -12,7 +12,6 @@ from sitelens.operators import evidence as E
 from sitelens.operators import implies as I
 from sitelens.operators import match as M
 from sitelens.operators import score as S
-from sitelens.session import ensure_checkpoint_dir
 from sitelens.sources import rules as R
 
 
@@ -22,15 +21,14 @@ class CompiledRules:
     patterns: DataFrame
     quarantine: DataFrame
     dom: DataFrame
-    _closure: DataFrame | None = None
+    _walk: object | None = None
 
     @property
-    def closure(self) -> DataFrame:
-        """implies closure, computed on first use (once per rule set)."""
-        if self._closure is None:
-            ensure_checkpoint_dir(self.rules.sparkSession)
-            self._closure = localize(I.implies_closure(self.rules))
-        return self._closure
+    def walk(self):
+        """A5 walk over the implies graph, built on first use (once per rule set)."""
+        if self._walk is None:
+            self._walk = I.implies_walk(self.rules)
+        return self._walk
 
 
 # Compiled rule tables are a dimension: thousands of rows for a full rule database.
@@ -49,14 +47,14 @@ def localize(df: DataFrame, max_rows: int = MAX_LOCAL_RULE_ROWS) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
-def compile_all(rules: DataFrame, with_closure: bool = True) -> CompiledRules:
-    """Compile a rule set once: patterns (+ analysis), quarantine, dom rules and the implies closure."""
+def compile_all(rules: DataFrame, with_walk: bool = True) -> CompiledRules:
+    """Compile a rule set once: patterns (+ analysis), quarantine, dom rules and the implies walk."""
     rules = localize(rules)
     pats, bad = R.compile_rules(rules)
     dom = localize(R.dom_rules(rules))
     cr = CompiledRules(rules, localize(pats), bad.unionByName(D.bad_dom_rules(dom)), dom)
-    if with_closure:
-        cr.closure  # noqa: B018 -- materialise now: it belongs to the rule set, not to a page batch
+    if with_walk:
+        cr.walk  # noqa: B018 -- materialise now: it belongs to the rule set, not to a page batch
     return cr
 
 

@@ -119,6 +119,6 @@ def q_tech_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, st, ck = f3(spark, sf_dir)
     raw = matches_raw(f2(spark, sf_dir), cr, headers=E.fold_headers(h, st), cookies=E.first_cookies(ck),
                       js_globals=f4(spark, sf_dir), requests=f5(spark, sf_dir))
-    merged = I.rank_matches(I.resolve_implies(S.score(raw, cr.rules), cr.rules, cr.closure))
+    merged = I.rank_matches(I.resolve_implies(S.score(raw, cr.rules), cr.rules, cr.walk))
     return merged.select("page_id", "tech_key", "name", "category", "version", "confidence", "implied",
                          S.evidence_text().alias("evidence"), "rank")

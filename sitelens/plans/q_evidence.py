@@ -483,7 +483,7 @@ IMPLIED_COLS = ["page_id", "tech_key", "name", "category", "version", "confidenc
 
 
 def implied_rows(tech: DataFrame, cr) -> DataFrame:
-    merged = I.rank_matches(I.resolve_implies(tech, cr.rules, cr.closure))
+    merged = I.rank_matches(I.resolve_implies(tech, cr.rules, cr.walk))
     return merged.select("page_id", "tech_key", "name", "category", "version", "confidence", "implied",
                          S.evidence_text().alias("evidence"), "rank")
 

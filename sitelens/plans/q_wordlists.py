@@ -37,7 +37,7 @@ def _manifest(spark, sf_dir, parsed: DataFrame | None = None) -> DataFrame:
 
 def _detected(spark, sf_dir) -> DataFrame:
     cr = _rules(spark)
-    return I.detected_names(_all_raw(spark, sf_dir), cr.rules, cr.closure)
+    return I.detected_names(_all_raw(spark, sf_dir), cr.rules, cr.walk)
 
 
 def _ranked(spark, sf_dir) -> DataFrame:

@@ -27,7 +27,7 @@ def detected(spark):
     requests = spark.createDataFrame([(2, 0, "https://cdn.example/v3/b.css")], "page_id long, seq long, url string")
     browser = spark.createDataFrame([(2, "#app", 0, "hi", {"id": "app"}), (1, "nav > ul", 0, "x", {})], "page_id long, selector string, pos int, text string, attrs map<string,string>")
     raw = matches_raw(pages, cr, headers=headers, requests=requests, browser_findings=browser)
-    return pages, I.rank_matches(I.resolve_implies(S.score(raw, cr.rules), cr.rules, cr.closure))
+    return pages, I.rank_matches(I.resolve_implies(S.score(raw, cr.rules), cr.rules, cr.walk))
 
 
 def test_full_detection_equals_hand_written_rows(spark):

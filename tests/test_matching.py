@@ -18,7 +18,7 @@ from sitelens.sources import rules as R
 
 def _tech(spark, rules, raw):
     t = S.score(raw, rules.rules)
-    return {r["tech_key"]: r for r in I.resolve_implies(t, rules.rules, rules.closure).collect()}
+    return {r["tech_key"]: r for r in I.resolve_implies(t, rules.rules, rules.walk).collect()}
 
 
 def test_header_version_and_boost(spark, rules):
@@ -137,3 +137,48 @@ def test_a_rule_set_of_odd_patterns_ends_no_job(spark):
 
 def test_quarantine(spark, rules):
     assert [r["tech_key"] for r in rules.quarantine.collect()] == ["broken"]
+
+
+def _first_impliers(found, order, edges):
+    """By definition: of all edges out of reached nodes, the one whose node has the smallest (depth, root's order, way of positions)."""
+    label = {k: (0, order[k], ()) for k in found if k in edges}
+    while True:
+        longer = {}
+        for k, (depth, root, way) in label.items():
+            for pos, (node, *_) in enumerate(edges[k]):
+                if node in edges:
+                    longer[node] = min(longer.get(node, (1 << 30,)), (depth + 1, root, (*way, pos)))
+        better = {k: v for k, v in longer.items() if v < label.get(k, (1 << 30,))}
+        if not better:
+            break
+        label |= better
+    first = {}
+    for k, at in label.items():
+        for pos, (node, via, raw) in enumerate(edges[k]):
+            first[node] = min(first.get(node, ((1 << 30,),)), ((*at[:2], at[2], pos), via, raw))
+    return [(node, via, raw) for node, (_, via, raw) in sorted(first.items(), key=lambda x: x[1][0])]
+
+
+def test_implies_walk_finds_the_first_implier():
+    rng = random.Random(3)
+    for _ in range(300):
+        nodes = [f"t{i}" for i in range(rng.randint(2, 9))]
+        edges = {k: [(d, f"name of {k}", d.upper()) for d in rng.choices([*nodes, "no rule"], k=rng.randint(1, 4))] for k in nodes if rng.random() < 0.8}
+        order = {k: i for i, k in enumerate(rng.sample(sorted(edges), len(edges)))}
+        found = rng.sample(nodes, rng.randint(0, len(nodes)))
+        assert I.reached(found, order, edges) == _first_impliers(found, order, edges)
+
+
+def test_a_hub_of_many_rules(spark):
+    n = 20_000
+    rules = spark.range(n).select(F.col("id").cast("int").alias("ord"), F.concat(F.lit("t"), "id").alias("tech_key"), F.concat(F.lit("T"), "id").alias("name"), F.lit("c").alias("category"),
+                                  F.when(F.col("id") == 0, F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.concat(F.lit("t"), i.cast("string")))).otherwise(F.array(F.lit("T0"))).alias("implies"))
+    none = F.array().cast("array<struct<source:string,key:string,matched:string,pattern:string>>")
+    tech = spark.range(3).select(F.col("id").alias("page_id"), F.lit("t7").alias("tech_key"), F.lit(7).alias("ord"), F.lit("T7").alias("name"), F.lit("c").alias("category"),
+                                 F.lit("1").alias("version"), F.lit(0.9).alias("confidence"), F.lit(1).alias("n_sources"), none.alias("evidence"))
+    walk = I.implies_walk(rules)
+    got = I.rank_matches(I.resolve_implies(tech, rules, walk))
+    assert got.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.col("implied").cast("int")).alias("i"), F.countDistinct("rank").alias("r")).filter(f"n = {n} AND i = {n - 1} AND r = {n}").count() == 3
+    assert [r.tech_key for r in got.filter("page_id = 1 AND rank <= 4").orderBy("rank").collect()] == ["t7", "t0", "t1", "t2"]
+    names = I.detected_names(tech.select("page_id", "tech_key"), rules, walk)
+    assert names.count() == 3 * n
