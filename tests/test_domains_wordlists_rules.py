@@ -75,3 +75,10 @@ def test_parse_pattern_and_implies(spark):
     assert _one(spark, RB.pattern_confidence(F.lit(r"jquery\;version:\1\;confidence:80"))) == 0.8
     assert _one(spark, RB.parse_implies(F.lit(r"PHP\;confidence:50"))) == ["PHP"]
     assert _one(spark, RB.slugify(F.lit("SSL/TLS certificate authorities"))) == "ssl-tls-certificate-authorities"
+
+
+def test_probes_of_one_hot_list_are_dealt_to_many_tasks(spark):
+    sites = spark.range(1000).select(F.col("id").alias("page_id"), F.lit("a.txt").alias("fileset"))
+    lists = spark.createDataFrame([("a.txt", r, "a.txt", f"/{r}") for r in range(1, 51)], "fileset string, rank int, filename string, path string")
+    got = W.listed_paths(sites, lists, 40_000).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in got) == 50_000 and len(got) == 40_000 * W.MAX_PROBES // W.PROBES_A_TASK
