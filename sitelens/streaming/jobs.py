@@ -21,6 +21,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,6 +150,9 @@ def stream_pairing(spark: SparkSession, events: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 ROLLUP = "site_url string, domain string, window_start_us long, request_count long, resource_types string, example_urls string, first_seq long"
 ROLLUP_STATE = "n long, types array<string>, seqs array<long>, urls array<string>"
+#: Sites and domains of a window share a state row in shards: one call for a shard, not one for each of them.
+ROLLUP_SHARDS, ROLLUP_ROWS = 64, 50_000
+SHARD_STATE = "counts binary, types binary, examples binary"
 
 
 def request_feed(events: DataFrame) -> DataFrame:
@@ -182,11 +186,55 @@ def rollup_window(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     state.setTimeoutTimestamp(max(int(start) // 1000 + WINDOW_MS, state.getCurrentWatermarkMs() + 1))
 
 
+def _packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def rollup_shard(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What ``rollup_window`` gives, for every site and domain of one shard and window at a time.
+
+    State is bounded: per site and domain a count, the types, and ``EXAMPLE_URLS`` URLs, whatever the number of requests.
+    """
+    who, start = ["site_url", "domain"], int(key[1])
+    held = [pa.ipc.open_stream(bytes(b)).read_pandas() for b in state.get] if state.exists else None
+    if state.hasTimedOut:
+        state.remove()
+        counts, types, examples = held
+        out = counts.rename(columns={"n": "request_count"}).set_index(who)
+        by_type = types.sort_values("resource_type").groupby(who, dropna=False)["resource_type"].agg(",".join)
+        first = examples.sort_values("seq", kind="stable").groupby(who, dropna=False).agg(example_urls=("url", "\n".join), first_seq=("seq", "first"))
+        out = out.join(by_type.rename("resource_types")).join(first).reset_index()
+        yield out.assign(window_start_us=start, resource_types=out["resource_types"].fillna(""))[["site_url", "domain", "window_start_us", "request_count", "resource_types", "example_urls", "first_seq"]]
+        return
+    def fold(rows: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        batch = pd.concat(rows)
+        new = [batch.groupby(who, as_index=False, dropna=False).size().rename(columns={"size": "n"}),
+               batch.loc[batch["resource_type"].fillna("") != "", [*who, "resource_type"]], batch[[*who, "seq", "url"]]]
+        counts, types, examples = new if held is None else [pd.concat(x) for x in zip(held, new)]
+        return [counts.groupby(who, as_index=False, dropna=False)["n"].sum(), types.drop_duplicates(),
+                examples.sort_values(["seq", "url"]).groupby(who, dropna=False).head(EXAMPLE_URLS)]
+
+    rows: list[pd.DataFrame] = []
+    for batch in batches:
+        rows.append(batch)
+        if sum(map(len, rows)) >= ROLLUP_ROWS:
+            held, rows = fold(rows), []
+    if rows:
+        held = fold(rows)
+    state.update(tuple(map(_packed, held)))
+    state.setTimeoutTimestamp(max(start // 1000 + WINDOW_MS, state.getCurrentWatermarkMs() + 1))
+
+
 def rollup_stream(requests: DataFrame) -> DataFrame:
     """``external_rollup`` of every window and site of a stream of requests (ts, site_url, url, resource_type, seq)."""
     start = F.unix_micros(F.window("ts", ROLLUP_WINDOW)["start"])
     r = external_requests(requests.withWatermark("ts", ROLLUP_WATERMARK).withColumn("window_start_us", start))
-    return r.groupBy("site_url", "domain", "window_start_us").applyInPandasWithState(rollup_window, ROLLUP, ROLLUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    r = r.withColumn("shard", F.pmod(F.xxhash64("site_url", "domain"), F.lit(ROLLUP_SHARDS)))
+    return r.groupBy("shard", "window_start_us").applyInPandasWithState(rollup_shard, ROLLUP, SHARD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_domain_windows(spark: SparkSession, events: DataFrame) -> DataFrame:

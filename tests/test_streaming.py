@@ -64,6 +64,28 @@ def test_rollup_state_is_bounded_and_the_first_urls_win():
     assert out.iloc[0].tolist() == ["s", "d", 0, 90, "x,y", "u11\nu12\nu13", 11] and state.value is None
 
 
+def test_a_rollup_shard_gives_what_its_windows_give(monkeypatch):
+    monkeypatch.setattr(X, "ROLLUP_ROWS", 40)
+    rows = pd.DataFrame({"site_url": [f"s{i % 3}" for i in range(300)], "domain": [f"d{i % 7}" for i in range(300)],
+                         "resource_type": [("x", "y", None)[i % 11 % 3] if i % 21 else None for i in range(300)], "seq": [(i * 37) % 301 for i in range(300)]})
+    rows["url"] = "u" + rows["seq"].astype(str)
+    shard, want = State(), []
+    for a in range(0, 300, 100):
+        assert list(X.rollup_shard((5, 0), iter([rows[a:a + 30], rows[a + 30:a + 100]]), shard)) == []
+    for (site, domain), some in rows.groupby(["site_url", "domain"]):
+        one = State()
+        list(X.rollup_window((site, domain, 0), iter([some]), one))
+        one.hasTimedOut = True
+        want.append(next(X.rollup_window((site, domain, 0), iter([]), one)))
+    shard.hasTimedOut = True
+    got = next(X.rollup_shard((5, 0), iter([]), shard))
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, pd.concat(want).values.tolist())) and len(got) == 21 and shard.value is None
+
+
+def test_sites_of_a_window_share_calls(spark):
+    assert X.ROLLUP_SHARDS < 100 and "shard" in str(X.rollup_stream(spark.readStream.schema("ts timestamp, site_url string, url string, resource_type string, seq long").parquet("/tmp"))._jdf.queryExecution().analyzed())
+
+
 def test_bundles_are_analysed_once_a_body(spark):
     body = 'fetch("/api/users/list"); x = "/api/items/1"'
     scripts = spark.createDataFrame([(i, f"http://h/{i % 3}.js", body if i < 50 else None if i == 50 else 'y = "/v1/other"') for i in range(53)], "page_id long, js_url string, body string")
