@@ -5,6 +5,7 @@ from sitelens.operators import implies as I
 from sitelens.operators import report as RP
 from sitelens.operators import score as S
 from sitelens.plans.detect import compile_all, matches_raw
+from sitelens.session import DEFAULT_CONF
 
 RULES = "ord int, tech_key string, name string, category string, website string, confidence double, headers map<string,string>, cookies map<string,string>, " \
         "meta map<string,string>, js_globals map<string,string>, scripts array<string>, html array<string>, implies array<string>, dom string"
@@ -52,3 +53,17 @@ def test_report_is_written_as_one_line_a_site(spark, tmp_path):
     assert len(lines) == 2 and [t["name"] for t in by["http://b.example/"]["technologies"]] == ["Server", "Styles", "Live"]
     assert by["http://b.example/"]["openapi_spec_found"] and not by["http://a.example/"]["openapi_spec_found"]
     assert by["http://b.example/"]["api_endpoints"][0]["url"] == "http://b.example/api" and by["http://a.example/"]["meta"]["rules_count"] == 7
+
+
+def test_pages_are_tokenised_once_and_meet_the_rules_without_a_shuffle(spark):
+    """The tag table is written before its branches read it; a rule table has a size that Spark knows."""
+    rules = spark.createDataFrame([rule(0, "a", meta={"generator": "A"}, scripts=["a\\.js"])], RULES)
+    cr = compile_all(rules)
+    pages = spark.range(3).selectExpr("id AS page_id", "'http://a.example/' AS url", "'<meta name=generator content=A><script src=a.js></script>' AS html").repartition(2)
+    plan = matches_raw(pages, cr, sources=("meta", "script"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "<script" not in plan and "regexp_extract_all" not in plan and "LocalRelation" in plan
+
+
+def test_a_python_worker_holds_few_pages_at_a_time(spark):
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert DEFAULT_CONF["spark.sql.execution.arrow.maxRecordsPerBatch"] == "500" and DEFAULT_CONF["spark.sql.execution.arrow.maxBytesPerBatch"] == "16m"

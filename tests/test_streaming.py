@@ -82,8 +82,9 @@ def test_a_rollup_shard_gives_what_its_windows_give(monkeypatch):
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, pd.concat(want).values.tolist())) and len(got) == 21 and shard.value is None
 
 
-def test_sites_of_a_window_share_calls(spark):
-    assert X.ROLLUP_SHARDS < 100 and "shard" in str(X.rollup_stream(spark.readStream.schema("ts timestamp, site_url string, url string, resource_type string, seq long").parquet("/tmp"))._jdf.queryExecution().analyzed())
+def test_sites_of_a_window_share_calls(spark, tmp_path):
+    requests = spark.readStream.schema("ts timestamp, site_url string, url string, resource_type string, seq long").parquet(str(tmp_path))
+    assert X.ROLLUP_SHARDS < 100 and "shard" in X.rollup_stream(requests)._jdf.queryExecution().analyzed().toString()
 
 
 def test_bundles_are_analysed_once_a_body(spark):
