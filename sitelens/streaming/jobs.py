@@ -272,11 +272,24 @@ def gathered(s: DataFrame) -> DataFrame:
     return g.agg(F.collect_set(F.struct("kind", "payload")).alias("evidence")).select("page_id", "evidence", F.col("w.start").alias("captured_at"))
 
 
-def evidence_of(pages: DataFrame, kind: str, schema) -> DataFrame:
-    """The rows of one source of gathered pages, with the columns they had."""
+def written_evidence(spark: SparkSession, batch: DataFrame, path: str) -> DataFrame:
+    """(page_id, payload, kind) of a micro-batch of gathered pages, from files by kind.
+
+    The state is walked once for all sources, and Spark knows the size of each.  Read from the batch itself, every source
+    would walk the state again (a cache serves the first one only), and the batch that follows the last file has the
+    size of its empty input: all its evidence would be broadcast through the driver.
+    """
+    rows = batch.filter(F.col("page_id") >= 0).select("page_id", F.explode("evidence").alias("e"))
+    rows = rows.select("page_id", "e.payload", "e.kind")
+    rows.write.mode("overwrite").partitionBy("kind").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def evidence_of(evidence: DataFrame, kind: str, schema) -> DataFrame:
+    """The rows of one source of ``written_evidence``, with the columns they had."""
     fields = [f for f in schema.fields if f.name != "page_id"]
-    rows = pages.select("page_id", F.explode("evidence").alias("e")).filter(F.col("e.kind") == kind)
-    return rows.select("page_id", F.from_json("e.payload", T.StructType(fields)).alias("r")).select("page_id", "r.*")
+    rows = evidence.filter(F.col("kind") == kind)
+    return rows.select("page_id", F.from_json("payload", T.StructType(fields)).alias("r")).select("page_id", "r.*")
 
 
 def stream_detect(spark: SparkSession, sources: dict[str, DataFrame], detect_batch) -> DataFrame:
@@ -289,12 +302,11 @@ def stream_detect(spark: SparkSession, sources: dict[str, DataFrame], detect_bat
     s = gathered(_stream(spark, src, ev.schema))
 
     def per_batch(batch: DataFrame, epoch: int, out: str) -> None:
-        whole = batch.filter(F.col("page_id") >= 0).persist()  # read once for each source
-        rows = {kind: evidence_of(whole, kind, df.schema) for kind, df in sources.items()}
-        # idempotent per epoch: a replayed batch overwrites its own partition
+        # idempotent per epoch: a replayed batch overwrites its own evidence and its own partition
+        evidence = written_evidence(spark, batch, os.path.join(folder, "evidence", f"epoch={epoch}"))
+        rows = {kind: evidence_of(evidence, kind, df.schema) for kind, df in sources.items()}
         detect_batch(rows).withColumn("epoch", F.lit(epoch)).write.mode("overwrite") \
             .parquet(os.path.join(out, f"epoch={epoch}"))
-        whole.unpersist()
 
     out = _run(s, folder, batch_fn=per_batch)
     return spark.read.option("basePath", out).parquet(out).drop("epoch")

@@ -1,5 +1,8 @@
 """Streaming state functions on small inputs, in and out of order; bundles analysed once."""
+import random
+
 import pandas as pd
+from pyspark.sql import functions as F
 
 from sitelens.operators import js_routes as J
 from sitelens.streaming import jobs as X
@@ -94,3 +97,22 @@ def test_bundles_are_analysed_once_a_body(spark):
     assert sorted(r.route for r in once.collect()) == ["/api/items/1", "/api/users/list", "/v1/other"]
     got = {(r.page_id, r.route) for r in J.bundle_routes(scripts).collect()}
     assert got == {(i, p) for i in range(50) for p in ("/api/users/list", "/api/items/1")} | {(i, "/v1/other") for i in (51, 52)}
+
+
+def test_evidence_of_complete_pages_is_of_known_size(spark):
+    """No source is taken for small and broadcast, nor read from the state again; each page comes once and whole."""
+    html = {i: random.Random(i).randbytes(4000).hex() for i in range(200)}
+    sources = {"page": spark.createDataFrame([(i, h, None) for i, h in html.items()], "page_id long, html string, url string"),
+               "names": spark.createDataFrame([(i, n) for i in range(0, 200, 2) for n in ("b", "a", "a")], "page_id long, name string"),
+               "none": spark.createDataFrame([], "page_id long, x int")}
+    seen = []
+
+    def detect(rows):
+        plans = {kind: df._jdf.queryExecution().optimizedPlan() for kind, df in rows.items()}
+        seen.append((plans["page"].stats().sizeInBytes(), any("RDD" in p.toString() for p in plans.values())))
+        names = rows["names"].groupBy("page_id").agg(F.sort_array(F.collect_list("name")).alias("names"))
+        return rows["page"].join(names, "page_id", "left").join(rows["none"], "page_id", "left")
+
+    got = {r.page_id: (r.html, r.url, r.names, r.x) for r in X.stream_detect(spark, sources, detect).collect()}
+    assert got == {i: (h, None, None if i % 2 else ["a", "b"], None) for i, h in html.items()}
+    assert max(size for size, _ in seen) > 500_000 and not any(again for _, again in seen)
